@@ -320,7 +320,7 @@ def test_bpe_edge_rows_and_decoding(spark, edge):
 
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><script>var a="</p>"</script></head><body><nav><a href="/x">menu</a></nav>
-<div class="cookie-notice">We use cookies</div><article><h1>Title {0}</h1><p>First &amp; <b>bo</b>ld {0}<br>line
+<div class="cookie-notice">We use cookies</div><article><h1>Title {0}</h1><p>First &amp; <b>bo</b>ld {0}<br>line {0}
 <p>Second\n  part {0}</p><div class="comments"><p>nice post</p></div></article><aside>side</aside><footer>&copy; x</footer></body></html>"""
 
 
@@ -328,7 +328,7 @@ def test_html_main_text(spark):
     rows = [(k, f"http://a.example/{k}", PAGE.format(k)) for k in range(8)] + [(20, None, None), (21, "http://b/", ""), (22, "x", "plain &lt; text")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
     got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
-    assert all(got[k] == f"Title {k} First & bold {k} line Second part {k}" for k in range(8))
+    assert all(got[k] == f"Title {k} First & bold {k} line {k} Second part {k}" for k in range(8))
     assert got[20] == got[21] == "" and got[22] == "plain < text"
     assert html_extract.extract(pages.limit(0)).count() == 0
 
