@@ -90,10 +90,10 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_topk": """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)) as v
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
   from embeddings
   where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
   select q.vec_id as query_id, c.vec_id as vec_id, list_inner_product(q.v, c.v)::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
