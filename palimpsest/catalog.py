@@ -1,11 +1,13 @@
-"""The registered queries of the edit-data and evaluation operators, and their SQL twins."""
+"""The registered queries of the edit and evaluation operators, and their SQL twins."""
 
 from __future__ import annotations
 
+from palimpsest.plans.queries import QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in QUERIES.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
