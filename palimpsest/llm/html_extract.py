@@ -29,6 +29,8 @@ SUPPORT = 0.5
 CONSTANT, CONSTANT_PAGES = 0.9, 5
 #: The article node holds at least this share of the text outside boilerplate.
 MASS = 0.6
+#: Templates of so many hosts with so many constant texts in all are small: some 20 MB.
+SMALL_HOSTS, SMALL_CONSTANTS = 50_000, 500_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
@@ -236,6 +238,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
             out_.append(main_text(t, a, sets.setdefault(key, frozenset(key))))
         return pd.Series(out_)
 
-    # A row for each host: Spark broadcasts it while it is small and else deals both sides by host, splitting hot ones.
+    # A row for each host: sent to all tasks while it is small, so that no page moves; else both sides are dealt by host
+    # and Spark splits the hot ones.
+    hosts, constants_ = found.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("constants"), F.lit(0))), F.lit(0))).first()
+    if hosts <= SMALL_HOSTS and constants_ <= SMALL_CONSTANTS:
+        found = F.broadcast(found)
     joined = numbered.join(found.withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"), "left")
     return joined.select(*[joined[c] for c in pages.columns if c != out], column(whole_text(html), F.col("article"), F.col("constants")).alias(out))
