@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -170,3 +171,79 @@ def cider(hyps: DataFrame, refs: DataFrame, sigma: float = 6.0) -> DataFrame:
     scored = pairs.join(per_ref, ["example_id", "ref_idx"], "left").na.fill(0.0, ["v"])
     value = F.col("v") * F.exp(-F.col("delta") * F.col("delta") / (2 * sigma * sigma))
     return scored.groupBy("example_id").agg(F.round(F.avg(value) * 10, 6).alias("cider"))
+
+
+def multi_ref_stats(hyps: DataFrame, refs: DataFrame) -> DataFrame:
+    """For each example: hlen, the closest reference's length rlen, and for each order num (matches clipped by the
+    largest count over the references). hyps: example_id, pred; refs: example_id, ref_idx, ref."""
+    h = ngram_table(hyps, ["example_id"], {"hyp": tokens(F.col("pred"))})
+    r = ngram_table(refs, ["example_id", "ref_idx"], {"ref": tokens(F.col("ref"))})
+    most = r.groupBy("example_id", "n", "gram").agg(F.max("c_ref").alias("c_ref"))
+    sums = h.join(most, ["example_id", "n", "gram"]).groupBy("example_id").agg(*[total(F.least("c_hyp", "c_ref"), n).alias(f"num{n}") for n in N])
+    lengths = hyps.select("example_id", F.size(tokens(F.col("pred"))).alias("hlen"))
+    near = refs.select("example_id", F.size(tokens(F.col("ref"))).alias("r")).join(lengths, "example_id")
+    near = near.groupBy("example_id", "hlen").agg(F.min(F.struct(F.abs(F.col("r") - F.col("hlen")).alias("off"), "r"))["r"].alias("rlen"))
+    return near.join(sums, "example_id", "left").na.fill({f"num{n}": 0 for n in N})
+
+
+def multi_bleu(stats: DataFrame) -> DataFrame:
+    """(example_id, bleu_1 to bleu_4, length_ratio): running products of the precisions, a penalty on short texts."""
+    product, found = F.lit(1.0), []
+    ratio = (F.col("hlen") + 1e-15) / (F.col("rlen") + 1e-9)
+    penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
+    for n, den in zip(N, _dens(), strict=True):
+        product = product * ((F.col(f"num{n}") + 1e-15) / (den + 1e-9))
+        found.append(F.round(F.pow(product, F.lit(1.0 / n)) * penalty, 6).alias(f"bleu_{n}"))
+    return stats.select("example_id", *found, F.round(ratio, 6).alias("length_ratio"))
+
+
+def multi_ref_gleu_stats(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """overlap_stats for every (example, reference). rows: example_id, src, pred; refs: example_id, ref_idx, ref."""
+    both = refs.join(rows, "example_id").select("src", "ref", "pred", F.struct("example_id", "ref_idx").alias("example_id"))
+    return overlap_stats(both).select("example_id.*", *[F.col(x) for x in ("hlen", "rlen", *[f"{k}{n}" for k in ("num", "pen") for n in N])])
+
+
+def gleu_resample(stats: DataFrame, iterations: int = 500, seed: int = 0) -> DataFrame:
+    """One row: iterations, mean, population deviation and normal 95 % bounds of the corpus GLEU over random choices
+    of one reference for each example. The choice is a function of (seed, iteration, example).
+
+    stats: multi_ref_gleu_stats. It is joined to the iterations, a fixed number of them, in compressed form: one row of
+    sums for each example and reference.
+    """
+    num, den = gleu_parts()
+    narrow = stats.select("example_id", "ref_idx", "hlen", "rlen", *[c.alias(f"num{n}") for n, c in zip(N, num, strict=True)], *[c.alias(f"den{n}") for n, c in zip(N, den, strict=True)])
+    sides = ["hlen", "rlen", *[f"num{n}" for n in N], *[f"den{n}" for n in N]]
+    held = narrow.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("ref_idx", *sides))).alias("refs"))
+    runs = held.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("example_id").cast("string")))
+    pick = (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.size("refs")).cast("int")
+    picked = runs.select("iteration", F.col("refs")[pick].alias("r")).groupBy("iteration").agg(*[F.sum(f"r.{x}").alias(x) for x in sides])
+    scored = picked.select(_gleu(_cols("num"), _cols("den"), F.col("hlen"), F.col("rlen"), False).alias("g"))
+    mean, sd = F.avg("g"), F.stddev_pop("g")
+    return scored.agg(F.count("*").alias("iterations"), F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(mean - 1.959964 * sd, 6).alias("low"), F.round(mean + 1.959964 * sd, 6).alias("high"))
+
+
+def rouge_l(hyps: DataFrame, refs: DataFrame, beta: float = 1.2) -> DataFrame:
+    """(example_id, rouge_l): the longest common subsequence's share of hypothesis and reference, each at its best over
+    the references, as an F-score. The subsequence's length is an Arrow function; the rest is native."""
+    def lcs(a: list[str], b: list[str]) -> int:
+        # Bit-parallel: a bit of the row is 0 where the length grows.
+        where: dict[str, int] = {}
+        for i, x in enumerate(a):
+            where[x] = where.get(x, 0) | 1 << i
+        full = (1 << len(a)) - 1
+        row = full
+        for y in b:
+            hit = row & where.get(y, 0)
+            row = ((row + hit) | (row - hit)) & full
+        return len(a) - row.bit_count()
+
+    @F.pandas_udf("int")
+    def length(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([lcs(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+    both = refs.join(hyps, "example_id").select("example_id", F.split("ref", " ").alias("r"), F.split("pred", " ").alias("h"))
+    both = both.withColumn("l", length("r", "h"))
+    best = both.groupBy("example_id").agg(F.max(F.col("l") / F.size("h")).alias("p"), F.max(F.col("l") / F.size("r")).alias("q"))
+    score = (1 + beta**2) * F.col("p") * F.col("q") / (F.col("q") + beta**2 * F.col("p"))
+    return best.select("example_id", F.round(F.when((F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise(score), 6).alias("rouge_l"))

@@ -187,6 +187,28 @@ def q_metric_summary(spark, d):
     return long.groupBy("metric").agg(F.count("*").alias("examples"), F.round(F.avg("value"), 5).alias("mean"), F.round(F.stddev_pop("value"), 5).alias("sd"))
 
 
+def q_multi_bleu(spark, d):
+    return metrics.multi_bleu(metrics.multi_ref_stats(V.eval_rows(spark, d).select("example_id", "pred"), V.refs_multi(pairs(spark, d))))
+
+
+def q_gleu_resample(spark, d):
+    rows = V.eval_rows(spark, d).select("example_id", "src", "pred")
+    return metrics.gleu_resample(metrics.multi_ref_gleu_stats(rows, V.refs_multi(pairs(spark, d))))
+
+
+def q_rouge_l(spark, d):
+    return metrics.rouge_l(V.eval_rows(spark, d).select("example_id", "pred"), V.refs_multi(pairs(spark, d)))
+
+
+def q_example_report(spark, d):
+    rows = V.eval_rows(spark, d)
+    stats = metrics.overlap_stats(rows)
+    scores = metrics.sentence_gleu(stats).join(metrics.sentence_bleu(stats), "example_id")
+    best = rerank.rerank_best(*_split(spark, d)).select("example_id", "rerank_pred", "rerank_rank")
+    flags = rows.select("example_id", "src", "ref", "pred", (F.col("pred") == F.col("src")).alias("no_changes"))
+    return flags.join(scores, "example_id").join(best, "example_id")
+
+
 def _strip(c: str) -> str:
     for tag in T._TAGS:
         c = f"trim(replace({c}, '{tag}', ''))"
@@ -276,7 +298,47 @@ _ONE = {"one_r": "any_value(case when rlen = 0 then 1 else rlen end)", "one_h":
 _SENT_GLEU = f"select example_id, round({_SQL_GLEU.format(**_ONE)}, 6) as gleu from per group by example_id"
 _SENT_BLEU = "select example_id, {} from (select *, greatest(den, 1) as gd from per) group by example_id"
 
+_MULTI_BLEU = V.SQL_REFS + f""", h as (select example_id, {V._TOK.format('pred')} as t from evals),
+hg as (select example_id, n, gram, count(*) as c from (select example_id, n, array_to_string(t[i:i + n - 1], chr(1)) as gram
+  from (select *, unnest(range(1, len(t) - n + 2)) as i from h, (values (1), (2), (3), (4)) k(n))) group by all),
+rg as (select example_id, n, gram, max(c) as c from (select example_id, ref_idx, n, gram, count(*) as c from (
+  select example_id, ref_idx, n, array_to_string(t[i:i + n - 1], chr(1)) as gram
+  from (select *, unnest(range(1, len(t) - n + 2)) as i from (select example_id, ref_idx, {V._TOK.format('ref')} as t from refs), (values (1), (2), (3), (4)) k(n)))
+  group by all) group by all),
+m as (select example_id, n, sum(least(hg.c, rg.c)) as num from hg join rg using (example_id, n, gram) group by all),
+l as (select h.example_id, len(h.t) as hlen, min((abs(len({V._TOK.format('ref')}) - len(h.t)), len({V._TOK.format('ref')})))[2] as rlen from h join refs using (example_id) group by all),
+p as (select l.*, k.n, (coalesce(num, 0) + 1e-15::double) / (greatest(hlen - k.n + 1, 0) + 1e-9::double) as p, (hlen + 1e-15::double) / (rlen + 1e-9::double) as ratio
+  from l cross join (values (1), (2), (3), (4)) k(n) left join m on m.example_id = l.example_id and m.n = k.n),
+b as (select example_id, ratio, case when ratio < 1 then exp(1 - 1 / ratio) else 1.0 end as bp, max(case when n = 1 then p end) as p1, max(case when n = 2 then p end) as p2,
+  max(case when n = 3 then p end) as p3, max(case when n = 4 then p end) as p4 from p group by all)
+select example_id, round(p1 * bp, 6) as bleu_1, round(pow(p1 * p2, 1 / 2.0::double) * bp, 6) as bleu_2, round(pow(p1 * p2 * p3, 1 / 3.0::double) * bp, 6) as bleu_3,
+  round(pow(p1 * p2 * p3 * p4, 0.25::double) * bp, 6) as bleu_4, round(ratio, 6) as length_ratio from b"""
+
+_RESAMPLE = V.SQL_REFS + f""", sides as (
+  select example_id, -1 as ref_idx, 'src' as side, {_TOKENS['src']} as t from evals union all select example_id, -1, 'hyp', {_TOKENS['hyp']} from evals
+  union all select example_id, ref_idx, 'ref', {V._TOK.format('ref')} from refs
+), g as (select example_id, ref_idx, side, n, gram, count(*) as c from (select example_id, ref_idx, side, n, array_to_string(t[i:i + n - 1], chr(1)) as gram
+  from (select *, unnest(range(1, len(t) - n + 2)) as i from sides, (values (1), (2), (3), (4)) k(n))) group by all),
+m as (
+  select h.example_id, x.ref_idx, h.n, sum(least(h.c, coalesce(r.c, 0))) as num, sum(case when r.c is null then least(h.c, coalesce(s.c, 0)) else 0 end) as pen
+  from g h join (values (0), (1), (2)) x(ref_idx) on h.side = 'hyp'
+  left join g r on r.side = 'ref' and r.example_id = h.example_id and r.ref_idx = x.ref_idx and r.n = h.n and r.gram = h.gram
+  left join g s on s.side = 'src' and s.example_id = h.example_id and s.n = h.n and s.gram = h.gram group by all
+), st as (
+  select r.example_id, r.ref_idx, k.n, len({_TOKENS['hyp']})::double as hlen, len({V._TOK.format('r.ref')})::double as rlen,
+    greatest(coalesce(num, 0) - coalesce(pen, 0), 0)::double as num, greatest(len({_TOKENS['hyp']}) + 1 - k.n, 0)::double as den
+  from refs r join evals e using (example_id) cross join (values (1), (2), (3), (4)) k(n)
+  left join m on m.example_id = r.example_id and m.ref_idx = r.ref_idx and m.n = k.n
+), pk as (select i as iteration, example_id, ('0x' || substr(md5('0:' || i || ':' || example_id), 1, 8))::bigint % 3 as ref_idx from range(500) t(i), (select example_id from evals)),
+s as (select iteration, n, sum(hlen) as hlen, sum(rlen) as rlen, sum(num) as num, sum(den) as den from pk join st using (example_id, ref_idx) group by all),
+gl as (select iteration, case when min(least(num, den, hlen, rlen)) = 0 then 0.0 else exp(least(0.0, 1 - any_value(rlen) / any_value(hlen)) + avg(ln(num / den))) end as g from s group by iteration)
+select count(*) as iterations, round(avg(g), 6) as mean, round(stddev_pop(g), 6) as sd, round(avg(g) - 1.959964 * stddev_pop(g), 6) as low, round(avg(g) + 1.959964 * stddev_pop(g), 6) as high from gl"""
+
 QUERIES = {
+    "multi_bleu": (q_multi_bleu, f"with {_MULTI_BLEU}"),
+    "gleu_resample": (q_gleu_resample, f"with {_RESAMPLE}"),
+    "rouge_l": (q_rouge_l, None),
+    "example_report": (q_example_report, f"with {SQL_STATS}, g as ({_SENT_GLEU}), b as ({_SENT_BLEU.format(_sql_bleu('method2_higher_orders'))}), k as (select example_id, arg_max(pred, (base_score + second_score, -beam_rank)) as rerank_pred, arg_max(beam_rank, (base_score + second_score, -beam_rank)) as rerank_rank from candidates group by example_id) select example_id, src, ref, pred, pred = src as no_changes, gleu, bleu_method2_higher_orders, rerank_pred, rerank_rank from evals join g using (example_id) join b using (example_id) join k using (example_id)"),
     "normalize_ws": (q_normalize_ws, f"select doc_id, {V._WS.format('text')} as text from documents"),
     "subtokenize_comment": (q_subtokenize_comment, f"select doc_id, {_sql_subtokens('text')} as text from documents"),
     "split_render_input": (q_split_render_input, f"with {V.SQL_PAIRS} select example_id, trim(source) || ' </s> ' || trim(context || '</s>' || target) as model_input from pairs"),

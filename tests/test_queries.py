@@ -77,3 +77,56 @@ def test_corruption_lengths(spark, modality, sizes, noise):
     lines = spark.createDataFrame([(n, " ".join(f"t{i}" for i in range(n))) for n in sizes], "id long, text string")
     got = {r.id: r.n_noise for r in corrupt.corrupt(lines, modality).collect()}
     assert got == noise
+
+
+def _lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_rouge_l_matches_plain_dynamic_programming(spark):
+    import random
+
+    rnd = random.Random(1)
+    text = lambda: " ".join(rnd.choice("abcde") for _ in range(rnd.randint(1, 80)))
+    hyps, refs = [(k, text()) for k in range(60)], [(k, j, text()) for k in range(60) for j in range(2)]
+    got = metrics.rouge_l(spark.createDataFrame(hyps, "example_id long, pred string"), spark.createDataFrame(refs, "example_id long, ref_idx int, ref string"))
+    got = {r.example_id: r.rouge_l for r in got.collect()}
+    for k, h in hyps:
+        own = [r.split(" ") for i, _, r in refs if i == k]
+        p, q = max(_lcs(r, h.split(" ")) / len(h.split(" ")) for r in own), max(_lcs(r, h.split(" ")) / len(r) for r in own)
+        assert got[k] == pytest.approx((1 + 1.44) * p * q / (q + 1.44 * p) if p and q else 0, abs=1e-6)
+
+
+def test_line_files_round_trip(spark, tmp_path):
+    from palimpsest.sources import lines
+
+    rows = spark.createDataFrame([(k, f"a {k}", f"b\n{k}") for k in range(25)], "line_no long, x string, y string").repartition(5)
+    paths = {c: str(tmp_path / c) for c in "xy"}
+    lines.write_parallel_lines(rows, paths)
+    back = lines.read_parallel_lines(spark, paths)
+    assert sorted(tuple(r) for r in back.collect()) == [(k, f"a {k}", f"b {k}") for k in range(25)]
+    beams = lines.read_beam_lines(spark, paths["x"], 5)
+    assert {(r.example_id, r.beam_rank): r.pred for r in beams.collect()}[2, 3] == "a 13"
+    lines.write_beam_lines(beams, str(tmp_path / "beams"))
+    assert lines.read_beam_lines(spark, str(tmp_path / "beams"), 5).count() == 25
+    with pytest.raises(ValueError):
+        lines.read_beam_lines(spark, paths["x"], 4)
+    assert lines.merge_gap_check(spark.createDataFrame([(0,), (1,), (3,)], "id long")).first().gapless is False
+
+
+def test_streaming_projection(spark, sf, tmp_path):
+    import os
+
+    os.symlink(f"{sf}/documents.parquet", tmp_path / "documents.parquet")
+    batch = spark.read.parquet(f"{sf}/documents.parquet")
+    stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path))
+    column = T.subtokenize_comment(F.col("text")).alias("text")
+    query = stream.select("doc_id", column).writeStream.format("memory").queryName("subtokens").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, spark.table("subtokens").collect())) == sorted(map(tuple, batch.select("doc_id", column).collect()))
