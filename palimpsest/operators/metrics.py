@@ -149,26 +149,22 @@ def cider(hyps: DataFrame, refs: DataFrame, sigma: float = 6.0) -> DataFrame:
     """(example_id, cider): TF-IDF cosine over 1- to 4-grams, clipped, with a Gaussian penalty on the difference in
     bigrams. hyps: example_id, pred; refs: example_id, ref_idx, ref. The document frequency is the only global
     grouping; it is by gram, with partial sums first."""
-    h = ngram_table(hyps, ["example_id"], {"hyp": tokens(F.col("pred"))})
-    r = ngram_table(refs, ["example_id", "ref_idx"], {"ref": tokens(F.col("ref"))})
-    df = r.select("example_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    every = refs.agg(F.countDistinct("example_id").alias("docs"))
+    pairs = refs.join(hyps, "example_id")
+    table = ngram_table(pairs, ["example_id", "ref_idx"], {"hyp": tokens(F.col("pred")), "ref": tokens(F.col("ref"))})
+    df = table.where(F.col("c_ref") > 0).select("example_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
+    every = refs.agg(F.countDistinct("example_id").alias("docs"))  # one row
     idf = F.log("docs") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
-    weigh = lambda t, c: t.join(df, "gram", "left").crossJoin(F.broadcast(every)).withColumn("w", F.col(c) * idf)  # noqa: E731  one row
-    hw, rw = weigh(h, "c_hyp"), weigh(r, "c_ref")
-    norm = lambda t, keys, name: t.groupBy(*keys, "n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
+    h, r = F.col("c_hyp") * idf, F.col("c_ref") * idf
+    sums = table.join(df, "gram", "left").crossJoin(F.broadcast(every)).groupBy("example_id", "ref_idx", "n").agg(
+        F.sum(F.least(h, r) * r).alias("dot"), F.sqrt(F.sum(h * h)).alias("hn"), F.sqrt(F.sum(r * r)).alias("rn")
+    )
     bigrams = lambda t: F.greatest(F.size(tokens(t)) - 1, F.lit(0))
-    hn, rn = norm(hw, ["example_id"], "hn"), norm(rw, ["example_id", "ref_idx"], "rn")
-    dot = (
-        rw.select("example_id", "ref_idx", "n", "gram", F.col("w").alias("rw")).join(hw.select("example_id", "n", "gram", F.col("w").alias("hw")), ["example_id", "n", "gram"])
-        .groupBy("example_id", "ref_idx", "n").agg(F.sum(F.least("hw", "rw") * F.col("rw")).alias("dot"))
-    )
-    cosine = dot.join(hn, ["example_id", "n"]).join(rn, ["example_id", "ref_idx", "n"]).select(
+    cosine = sums.select(
         "example_id", "ref_idx", F.when((F.col("hn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot")).alias("v")
     )
     per_ref = cosine.groupBy("example_id", "ref_idx").agg((F.sum("v") / ORDERS).alias("v"))
-    pairs = refs.join(hyps, "example_id").select("example_id", "ref_idx", (bigrams(F.col("pred")) - bigrams(F.col("ref"))).alias("delta"))
-    scored = pairs.join(per_ref, ["example_id", "ref_idx"], "left").na.fill(0.0, ["v"])
+    deltas = pairs.select("example_id", "ref_idx", (bigrams(F.col("pred")) - bigrams(F.col("ref"))).alias("delta"))
+    scored = deltas.join(per_ref, ["example_id", "ref_idx"], "left").na.fill(0.0, ["v"])
     value = F.col("v") * F.exp(-F.col("delta") * F.col("delta") / (2 * sigma * sigma))
     return scored.groupBy("example_id").agg(F.round(F.avg(value) * 10, 6).alias("cider"))
 
