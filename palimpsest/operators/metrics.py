@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import tokens
+from palimpsest.functions.text import subtokenize_comment, tokens
 from palimpsest.operators.ngrams import ORDERS, ngram_table, total
 
 N = range(1, ORDERS + 1)
@@ -18,18 +18,19 @@ TINY = 2.2250738585072014e-308
 OFF_TIE = 1e-9
 
 
-def overlap_stats(rows: DataFrame) -> DataFrame:
+def overlap_stats(rows: DataFrame, orders: int = ORDERS) -> DataFrame:
     """For each example: lengths hlen, rlen, and for each order num (clipped matches), den, pen (matches with the
-    source only). rows: example_id, src, ref, pred."""
+    source only). rows: example_id, src, ref, pred. The smoothing methods 5 and 7 need five orders."""
     sides = {"src": tokens(F.col("src")), "ref": tokens(F.col("ref")), "hyp": tokens(F.col("pred"))}
     lengths = rows.select("example_id", F.size(sides["hyp"]).alias("hlen"), F.size(sides["ref"]).alias("rlen"))
     h, r, s = F.col("c_hyp"), F.col("c_ref"), F.col("c_src")
-    sums = ngram_table(rows, ["example_id"], sides).groupBy("example_id").agg(
-        *[total(F.least(h, r), n).alias(f"num{n}") for n in N],
-        *[total(F.when(r == 0, F.least(h, s)).otherwise(0), n).alias(f"pen{n}") for n in N],
+    ns = range(1, orders + 1)
+    sums = ngram_table(rows, ["example_id"], sides, orders).groupBy("example_id").agg(
+        *[total(F.least(h, r), n).alias(f"num{n}") for n in ns],
+        *[total(F.when(r == 0, F.least(h, s)).otherwise(0), n).alias(f"pen{n}") for n in ns],
     )
     # An example without any token on any side has no gram.
-    zero = {f"{k}{n}": 0 for k in ("num", "pen") for n in N}
+    zero = {f"{k}{n}": 0 for k in ("num", "pen") for n in ns}
     return lengths.join(sums, "example_id", "left").na.fill(zero)
 
 
@@ -55,16 +56,43 @@ def smoothed(method: str, num: Column, den: Column, n: int, hlen: Column, zeros_
     if method == "method3":
         return F.when(num == 0, 1 / (F.pow(F.lit(2.0), zeros_before + 1) * den)).otherwise(p)
     if method == "method4":
-        scaled = (zeros_before + 1) / F.log(F.greatest(hlen, F.lit(2)))
-        return F.when((num == 0) & (hlen > 1), 1 / (scaled * den)).when(num == 0, TINY).otherwise(p)
+        # The published precedence: the order, plus a constant over the log of the length.
+        return F.when((num == 0) & (hlen > 1), (n - 1 + 5 / F.log(F.greatest(hlen, F.lit(2)))) / den).when(num == 0, TINY).otherwise(p)
     return F.when(num == 0, TINY).otherwise(p)
 
 
+def neighbour_averages(values: list[Column]) -> list[Column]:
+    """Each order's mean with the smoothed order before it and the plain one behind it; one value more than orders."""
+    before, out = values[0] + 1, []
+    for value, behind in zip(values, values[1:], strict=False):
+        before = (before + value + behind) / 3
+        out.append(before)
+    return out
+
+
+def smoothed_all(method: str, num: list[Column], den: list[Column], hlen: Column) -> list[Column]:
+    """The four smoothed precisions. method5 and method7 take counts of a fifth order too; method6 needs a bigram
+    match and is null without one."""
+    zeros = [reduce(lambda a, b: a + b, [(x == 0).cast("int") for x in num[:k]], F.lit(0)) for k in range(ORDERS)]
+    if method in ("method5", "method7"):
+        if len(num) <= ORDERS:
+            raise ValueError(f"{method} needs five orders")
+        inner = "method4" if method == "method7" else "plain"
+        own = [x / d if inner == "plain" else smoothed(inner, x, d, k + 1, hlen, zeros[k]) for k, (x, d) in enumerate(zip(num[:ORDERS], den, strict=False))]
+        return neighbour_averages([*own, num[ORDERS] / den[ORDERS]])
+    if method == "method6":
+        p = [num[0] / den[0], F.when(num[1] > 0, num[1] / den[1])]
+        for k in range(2, ORDERS):
+            prior = F.when(p[k - 2] == 0, 0.0).otherwise(p[k - 1] * p[k - 1] / p[k - 2])
+            p.append((num[k] + 5 * prior) / (F.greatest(hlen - k, F.lit(0)) + 5))
+        return p
+    return [smoothed(method, x, d, k + 1, hlen, zeros[k]) for k, (x, d) in enumerate(zip(num[:ORDERS], den, strict=False))]
+
+
 def bleu(method: str, num: list[Column], den: list[Column], hlen: Column, rlen: Column, reweigh: bool = False) -> Column:
     """BLEU of order 4, between 0 and 1; 0 without a unigram match. With reweigh, short texts use their own orders."""
     den = [F.greatest(d, F.lit(1)) for d in den]
-    zeros = [reduce(lambda a, b: a + b, [(x == 0).cast("int") for x in num[:k]], F.lit(0)) for k in range(ORDERS)]
-    logs = [F.log(smoothed(method, x, d, k + 1, hlen, zeros[k])) for k, (x, d) in enumerate(zip(num, den, strict=True))]
+    logs = [F.log(p) for p in smoothed_all(method, num, den, hlen)]
     even = [F.lit(1 / ORDERS)] * ORDERS
     if reweigh:
         even = [F.when(hlen >= ORDERS, 1 / ORDERS).when(k < hlen, 1 / F.greatest(hlen, F.lit(1))).otherwise(0.0) for k in range(ORDERS)]
@@ -79,8 +107,43 @@ def _dens() -> list[Column]:
     return [F.greatest(F.col("hlen") - (n - 1), F.lit(0)) for n in N]
 
 
+def original_gleu_stats(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """For each example: hlen, the closest reference's length rlen, and by order own (matches with what only the
+    references hold), num (all matches), pen (matches with what only the source holds). Of a gram the references count
+    their largest. rows: example_id, src, pred; refs: example_id, ref_idx, ref."""
+    own = ngram_table(rows, ["example_id"], {"src": tokens(F.col("src")), "hyp": tokens(F.col("pred"))}).where(F.col("c_hyp") > 0)
+    r = ngram_table(refs, ["example_id", "ref_idx"], {"ref": tokens(F.col("ref"))}).groupBy("example_id", "n", "gram").agg(F.max("c_ref").alias("r"))
+    both = own.join(r, ["example_id", "n", "gram"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
+    h, c, s = F.col("c_hyp"), F.col("r"), F.col("c_src")
+    sums = both.groupBy("example_id").agg(
+        *[total(F.when(s == 0, F.least(h, c)).otherwise(0), n).alias(f"own{n}") for n in N], *[total(F.least(h, c), n).alias(f"num{n}") for n in N],
+        *[total(F.when(c == 0, F.least(h, s)).otherwise(0), n).alias(f"pen{n}") for n in N],
+    )
+    lengths = rows.select("example_id", F.size(tokens(F.col("pred"))).alias("hlen"))
+    near = refs.select("example_id", "ref_idx", F.size(tokens(F.col("ref"))).alias("r")).join(lengths, "example_id")
+    # Of references equally near, the first counts.
+    near = near.groupBy("example_id", "hlen").agg(F.min_by("r", F.struct(F.abs(F.col("r") - F.col("hlen")), "ref_idx")).alias("rlen"))
+    return near.join(sums, "example_id", "left").na.fill({f"{k}{n}": 0 for k in ("own", "num", "pen") for n in N})
+
+
+def original_gleu(stats: DataFrame, lambdas: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
+    """(lambda, gleu_original): the superseded corpus GLEU for each weight of the source penalty. It rewards matches
+    with what only the references hold in both numerator and denominator, and its brevity penalty has the lengths
+    exchanged, as published."""
+    lam = F.explode(F.array(*[F.lit(float(x)) for x in lambdas])).alias("lambda")
+    c = F.col
+    sums = stats.select("*", lam).groupBy("lambda").agg(
+        *[F.sum(c(f"own{n}") + F.greatest(c(f"num{n}") - c("lambda") * c(f"pen{n}"), F.lit(0.0))).alias(f"num{n}") for n in N],
+        *[F.sum(c(f"own{n}") + F.greatest(c("hlen") + 1 - n, F.lit(0))).alias(f"den{n}") for n in N], F.sum("hlen").alias("hlen"), F.sum("rlen").alias("rlen"),
+    )
+    return sums.select("lambda", F.round(_gleu(_cols("num"), _cols("den"), c("rlen"), c("hlen"), False), 6).alias("gleu_original"))
+
+
 def sentence_bleu(stats: DataFrame, methods: tuple[str, ...] = ("method2_higher_orders",)) -> DataFrame:
-    found = [F.round(100 * bleu(m, _cols("num"), _dens(), F.col("hlen"), F.col("rlen"), True), 6).alias(f"bleu_{m}") for m in methods]
+    num, den = _cols("num"), _dens()
+    if "num5" in stats.columns:
+        num, den = [*num, F.col("num5")], [*den, F.greatest(F.col("hlen") - ORDERS, F.lit(0))]
+    found = [F.round(100 * bleu(m, num, den, F.col("hlen"), F.col("rlen"), True), 6).alias(f"bleu_{m}") for m in methods]
     return stats.select("example_id", *found)
 
 
@@ -120,6 +183,45 @@ def corpus_gleu(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return sums.select(*by, F.round(_gleu(_cols("num"), _cols("den"), F.col("hlen"), F.col("rlen"), False), 6).alias("corpus_gleu"))
 
 
+def score_spread(scores: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean, population deviation and normal 95 % bounds of a column of scores."""
+    mean, sd = F.avg(value), F.stddev_pop(value)
+    # A deviation that only rounding brought about is none.
+    sd = F.when(sd < 1e-12, 0.0).otherwise(sd)
+    return scores.groupBy(*by).agg(F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(mean - 1.959964 * sd, 6).alias("low"), F.round(mean + 1.959964 * sd, 6).alias("high"))
+
+
+def metric_pivot(long: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(example_id, a column for each metric) of a long table example_id, metric, value."""
+    return long.groupBy("example_id").pivot("metric", list(names)).agg(F.first("value"))
+
+
+def evaluation_summary(rows: DataFrame, comment: bool, code: DataFrame | None = None, meteor: DataFrame | None = None) -> DataFrame:
+    """One row: bleu, acc_top_1, sari, gleu, code_bleu, meteor, copy_pct, all out of 100; -1 stands for a metric that
+    does not apply or was not supplied.
+
+    rows: example_id, src, ref, pred. comment: whether the texts are comments, which are compared by their sub-tokens,
+    have no code metric and may have a supplied one (meteor: example_id, meteor, out of 1). code: example_id,
+    code_bleu, for other texts.
+    """
+    view = (lambda c: subtokenize_comment(F.col(c))) if comment else F.col
+    texts = rows.select("example_id", *[view(c).alias(c) for c in ("src", "ref", "pred")])
+    filled = texts.withColumn("pred", F.when(F.col("pred") == "", "<EMPTY>").otherwise(F.col("pred")))
+    stats = overlap_stats(filled)
+    per = sentence_bleu(stats).join(sentence_gleu(stats), "example_id").join(sari(filled.withColumn("refs", F.array("ref"))).select("example_id", "sari"), "example_id")
+    flag = lambda a, b: (F.col(a) == F.col(b)).cast("int")
+    per = per.join(texts.select("example_id", flag("ref", "pred").alias("hit"), flag("src", "pred").alias("copy")), "example_id")
+    supplied, name, scale = (meteor, "meteor", 100) if comment else (code, "code_bleu", 1)
+    if supplied is not None:
+        per = per.join(supplied.select("example_id", name), "example_id", "left")
+    extra = {c: F.round(F.avg(c) * scale, 6) if supplied is not None and c == name else F.lit(-1.0) for c in ("code_bleu", "meteor")}
+    mean = lambda c, k: F.round(F.avg(c) * k, 6)
+    return per.agg(
+        F.count("*").alias("examples"), mean("bleu_method2_higher_orders", 1).alias("bleu"), mean("hit", 100).alias("acc_top_1"), mean("sari", 1).alias("sari"),
+        mean("gleu", 100).alias("gleu"), *[F.coalesce(v, F.lit(-1.0)).alias(k) for k, v in extra.items()], mean("copy", 100).alias("copy_pct"),
+    )
+
+
 def sari(rows: DataFrame, words=tokens) -> DataFrame:
     """(example_id, sari, sari_keep, sari_del, sari_add). rows: example_id, src, pred, refs (array of texts)."""
     low = lambda c: words(F.lower(c))

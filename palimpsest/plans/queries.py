@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import code
 from palimpsest.functions import text as T
-from palimpsest.operators import corrupt, edits, metrics, ngrams, rerank
+from palimpsest.operators import corrupt, edits, metrics, ngrams, plans, rerank, structure
 from palimpsest.sources import views as V
 
 _GRAMS = """
@@ -76,7 +77,7 @@ def q_copy_pct(spark, d):
 
 
 def q_ngram_counts(spark, d):
-    rows = V.table(spark, d, "documents").where(F.size(T.tokens(F.col("text"))) <= 512).select("doc_id", "text")
+    rows = V.table(spark, d, "documents").select("doc_id", "text")
     t = ngrams.ngram_table(rows, ["doc_id"], {"doc": T.tokens(F.col("text"))})
     return t.groupBy("doc_id", "n").agg(F.count("*").alias("grams"), F.sum("c_doc").alias("total"), F.max("c_doc").alias("most"))
 
@@ -209,6 +210,94 @@ def q_example_report(spark, d):
     return flags.join(scores, "example_id").join(best, "example_id")
 
 
+def q_edit_opcodes(spark, d):
+    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(T.tokens(F.col("source")), T.tokens(F.col("target"))))
+    return p.select("example_id", F.posexplode("ops").alias("op_idx", "op")).select("example_id", "op_idx", "op.*")
+
+
+def _minimal(mode: str):
+    def query(spark, d):
+        old = T.tokens(F.col("source"))
+        p = pairs(spark, d).withColumn("plan", plans.edit_plan(mode, old, T.tokens(F.col("target"))))
+        return p.select("example_id", F.array_join("plan", " ").alias("plan"), plans.apply_edit_plan("minimal" if mode == "other" else mode, old, F.col("plan")).alias("text"))
+
+    return query
+
+
+def q_edit_token_labels(spark, d):
+    old, new = T.tokens(F.col("source")), T.tokens(F.col("target"))
+    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new))
+    return p.select("example_id", F.array_join(plans.edit_token_labels(F.col("ops"), old, new), " ").alias("labels"))
+
+
+def q_reconstruct_predictions(spark, d):
+    """Candidates' plans against their sources, replayed and scored: the k-best form of edit predictions."""
+    old = T.tokens(F.col("source"))
+    both = V.candidates(pairs(spark, d)).join(pairs(spark, d), "example_id")
+    made = both.withColumn("plan", plans.edit_plan("other", old, T.tokens(F.col("pred")))).withColumn("text", T.empty_placeholder(plans.apply_edit_plan("minimal", old, F.col("plan"))))
+    return made.groupBy("beam_rank").agg(F.count("*").alias("examples"), F.sum((F.col("text") == F.col("pred")).cast("int")).alias("restored"), F.sum((F.col("text") == F.col("target")).cast("int")).alias("hits"))
+
+
+def q_smoothed_bleu(spark, d):
+    return metrics.sentence_bleu(metrics.overlap_stats(V.eval_rows(spark, d), 5), ("method3", "method4", "method5", "method6", "method7"))
+
+
+def q_gleu_original(spark, d):
+    return metrics.original_gleu(metrics.original_gleu_stats(V.eval_rows(spark, d).select("example_id", "src", "pred"), V.refs_multi(pairs(spark, d))))
+
+
+def q_gleu_multiref(spark, d):
+    rows = V.eval_rows(spark, d).select("example_id", "src", "pred")
+    per = metrics.sentence_gleu(metrics.multi_ref_gleu_stats(rows, V.refs_multi(pairs(spark, d))))
+    return metrics.score_spread(per, "gleu", ("example_id",))
+
+
+def q_weighted_bleu(spark, d):
+    stats = structure.recall_stats(V.eval_rows(spark, d))
+    pair, true = (structure.weighted_corpus_bleu(stats, "method1", r) for r in ("pair", "true"))
+    return pair.crossJoin(true.select(F.col("weighted_bleu").alias("weighted_bleu_true")))  # one row each
+
+
+def q_syntax_match(spark, d):
+    counts = structure.syntax_counts(V.subtrees(V.eval_rows(spark, d)))
+    return counts.select("example_id", "s_match", "s_all")
+
+
+def q_dataflow_match(spark, d):
+    return structure.dataflow_counts(V.dataflow_edges(V.eval_rows(spark, d)))
+
+
+def q_code_bleu(spark, d):
+    rows = V.eval_rows(spark, d)
+    return structure.code_bleu(structure.recall_stats(rows), V.subtrees(rows), V.dataflow_edges(rows))
+
+
+def q_code_bleu_corpus(spark, d):
+    rows = V.eval_rows(spark, d)
+    return structure.corpus_code_bleu(structure.recall_stats(rows), V.subtrees(rows), V.dataflow_edges(rows))
+
+
+def q_evaluation_summary(spark, d):
+    return metrics.evaluation_summary(V.eval_rows(spark, d), comment=False)
+
+
+def q_metric_pivot(spark, d):
+    rows = V.eval_rows(spark, d)
+    stats = metrics.overlap_stats(rows)
+    long = metrics.sentence_gleu(stats).select("example_id", F.lit("gleu").alias("metric"), F.col("gleu").alias("value"))
+    bleus = metrics.sentence_bleu(stats).select("example_id", F.lit("bleu").alias("metric"), F.col("bleu_method2_higher_orders").alias("value"))
+    return metrics.metric_pivot(long.unionByName(bleus), ("bleu", "gleu"))
+
+
+def q_java_token_table(spark, d):
+    t = code.java_token_table(V.table(spark, d, "pages").select("page_id", "html"), "page_id", "html")
+    return t.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.length("token")).alias("chars"), F.min("token").alias("least"), F.max("token").alias("greatest"))
+
+
+def q_remove_comments(spark, d):
+    return V.table(spark, d, "pages").select("page_id", code.remove_comments(F.col("html")).alias("text"))
+
+
 def _strip(c: str) -> str:
     for tag in T._TAGS:
         c = f"trim(replace({c}, '{tag}', ''))"
@@ -334,7 +423,92 @@ s as (select iteration, n, sum(hlen) as hlen, sum(rlen) as rlen, sum(num) as num
 gl as (select iteration, case when min(least(num, den, hlen, rlen)) = 0 then 0.0 else exp(least(0.0, 1 - any_value(rlen) / any_value(hlen)) + avg(ln(num / den))) end as g from s group by iteration)
 select count(*) as iterations, round(avg(g), 6) as mean, round(stddev_pop(g), 6) as sd, round(avg(g) - 1.959964 * stddev_pop(g), 6) as low, round(avg(g) + 1.959964 * stddev_pop(g), 6) as high from gl"""
 
+_GRAMS_OF = "select example_id, side, n, array_to_string(t[i:i + n - 1], chr(1)) as gram from (select *, unnest(range(1, len(t) - n + 2)) as i from {}, (values (1), (2), (3), (4)) k(n))"
+_ORIGINAL = V.SQL_REFS + f""", sides as (
+  select example_id, 'src' as side, {_TOKENS['src']} as t from evals union all select example_id, 'hyp', {_TOKENS['hyp']} from evals
+  union all select example_id, 'r' || ref_idx, {V._TOK.format('ref')} from refs
+), g as (select example_id, side, n, gram, count(*) as c from ({_GRAMS_OF.format('sides')}) group by all),
+m as (select example_id, n, gram, coalesce(max(c) filter (side = 'hyp'), 0) as h, coalesce(max(c) filter (side = 'src'), 0) as s, coalesce(max(c) filter (side like 'r_'), 0) as r from g group by all),
+p as (select example_id, n, sum(case when s = 0 then least(h, r) else 0 end) as own, sum(least(h, r)) as num, sum(case when r = 0 then least(h, s) else 0 end) as pen from m group by all),
+l as (select e.example_id, len({_TOKENS['hyp']}) as hlen, arg_min(len({V._TOK.format('refs.ref')}), (abs(len({V._TOK.format('refs.ref')}) - len({_TOKENS['hyp']})), ref_idx)) as rlen
+  from evals e join refs using (example_id) group by all),
+s as (select lam, k.n, sum(coalesce(own, 0) + greatest(coalesce(num, 0) - lam * coalesce(pen, 0), 0))::double as num, sum(coalesce(own, 0) + greatest(hlen + 1 - k.n, 0))::double as den, sum(hlen)::double as hlen, sum(rlen)::double as rlen
+  from l cross join (values (1), (2), (3), (4)) k(n) cross join (values (0.0::double), (0.5::double), (1.0::double)) x(lam) left join p on p.example_id = l.example_id and p.n = k.n group by lam, k.n)
+select lam as lambda, round(case when min(least(num, den, hlen, rlen)) = 0 then 0.0 else exp(least(0.0, 1 - any_value(hlen) / any_value(rlen)) + avg(ln(num / den))) end, 6) as gleu_original from s group by lam"""
+_KEYWORD_LIST = ", ".join(f"'{w}'" for w in code.JAVA_KEYWORDS)
+_CODE_STATS = SQL_STATS + f""", rec as (
+  select example_id, n, sum(least(c_ref, c_hyp) * w)::double as rnum, sum(c_ref * w)::double as rden
+  from (select *, case when n > 1 or gram in ({_KEYWORD_LIST}) then 1.0::double else 0.2::double end as w from grams) group by example_id, n
+), cs as (
+  select p.example_id, p.n, hlen, rlen, num, greatest(den, 1) as den, coalesce(rnum, 0) as rnum, greatest(coalesce(rden, 0), 1) as rden from per p left join rec r on r.example_id = p.example_id and r.n = p.n
+)"""
+_M1 = "exp(avg(ln(case when {num} = 0 then 0.1 / {den} else {num} / {den} end)))"
+
+
+def _sql_m1(num: str, den: str, rlen: str) -> str:
+    bp = f"any_value(case when hlen > {rlen} then 1.0 when hlen = 0 then 0.0 else exp(1 - {rlen} / greatest(hlen, 1)) end)"
+    return f"case when max(case when n = 1 then {num} end) = 0 then 0.0 else {bp} * {_M1.format(num=num, den=den)} end"
+
+
+_CORPUS_CODE = _CODE_STATS + ", su as (select n, sum(num) as num, sum(den) as den, sum(rnum) as rnum, sum(rden) as rden, sum(hlen) as hlen, sum(rlen) as rlen, count(*) as examples from cs group by n)"
+_SUBTREES = f""", sd as (select example_id, 'ref' as side, {_TOKENS['ref']} as t from evals union all select example_id, 'hyp', {_TOKENS['hyp']} from evals),
+trees as (select example_id, side, '(' || t[i] || ' (' || t[i + 1] || '))' as sexp from (select *, unnest(range(1, len(t))) as i from sd)),
+syn as (select example_id, sum(case when h > 0 then r else 0 end)::bigint as s_match, sum(r)::bigint as s_all from (
+  select example_id, sexp, count(*) filter (side = 'ref') as r, count(*) filter (side = 'hyp') as h from trees group by all) group by example_id)"""
+_EDGES = """, tk as (select example_id, side, t, unnest(range(0, len(t))) as i from sd),
+raw as (
+  select example_id, side, i as pos, t[i + 1] as var, 'comesFrom' as relation, case when i % 3 <> 0 then [t[i]] else []::varchar[] end as sv, case when i % 3 <> 0 then [i - 1] else []::bigint[] end as sp from tk
+  union all select example_id, side, i, t[i + 1], 'computedFrom', [t[i - 2]], [i - 3] from tk where i % 5 = 4
+), used as (select distinct example_id, side, unnest(sp) as pos from raw),
+kept as (select r.* from raw r left join used u using (example_id, side, pos) where len(sp) > 0 or u.pos is not null),
+mg as (select example_id, side, pos, any_value(var) as var, max(relation) as relation, list_sort(list_distinct(flatten(list(sv)))) as sv from kept group by example_id, side, pos),
+nm as (select *, unnest(list_concat(sv, [var])) as name, unnest(range(0, len(sv) + 1)) as k from mg),
+fs as (select example_id, side, name, row_number() over (partition by example_id, side order by min((pos, k))) - 1 as rnk from nm group by example_id, side, name),
+ed as (select example_id, side, pos, any_value(relation) || ' ' || string_agg('var_' || rnk, ' ' order by k) as edge from nm join fs using (example_id, side, name) group by example_id, side, pos),
+df as (select example_id, sum(least(r, h))::bigint as d_match, sum(r)::bigint as d_all from (
+  select example_id, edge, count(*) filter (side = 'ref') as r, count(*) filter (side = 'hyp') as h from ed group by all) group by example_id)"""
+_COMBINE = "round(100 * (coalesce(ngram, 0) + coalesce(weighted, 0) + coalesce(syntax, 0) + coalesce(dataflow, 0)) / ((ngram is not null)::int + (weighted is not null)::int + (syntax is not null)::int + (dataflow is not null)::int), 6) as code_bleu"
+_PARTS = "round(ngram, 6) as ngram, round(weighted, 6) as weighted, round(syntax, 6) as syntax, round(dataflow, 6) as dataflow, " + _COMBINE
+_SHARES = "case when s_all > 0 then s_match::double / s_all end as syntax, case when d_all > 0 then d_match::double / d_all end as dataflow"
+
+
+def _sql_kind(t: str) -> str:
+    rules = []
+    for kind, rule in code.JAVA_KINDS:
+        quoted = rule.replace("'", "''") if isinstance(rule, str) else None
+        test = f"regexp_matches({t}, '{quoted}')" if quoted else f"{t} in ({', '.join(repr(w) for w in rule)})"
+        rules.append(f"when {test} then '{kind}'")
+    return f"case {' '.join(rules)} else 'stray' end"
+
+
+_JAVA_TABLE = f"""with l as (select page_id, list_filter(regexp_extract_all(html, '{code.JAVA_TOKEN.replace("'", "''")}'), lambda x: not regexp_matches(x, '^/[/*]')) as t from pages),
+x as (select page_id, unnest(t) as token, unnest(range(0, len(t))) as pos from l)
+select page_id, {_sql_kind('token')} as kind, count(*) as n, max(pos)::int as last, sum(length(token))::bigint as chars, min(token) as least, max(token) as greatest from x group by 1, 2"""
+_COMMENTS = f"""select page_id, array_to_string(list_filter(string_split(array_to_string(list_transform(regexp_extract_all(html, '{code.C_PIECES.replace("'", "''")}'),
+  lambda p: case when regexp_matches(p, '^/[/*]') then ' ' else p end), ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]')), chr(10)) as text from pages"""
+_SUMMARY = f"""with {SQL_STATS}, g as ({_SENT_GLEU}), b as ({_SENT_BLEU.format(_sql_bleu('method2_higher_orders'))}), s as (with {_SARI})
+select count(*) as examples, round(avg(bleu_method2_higher_orders), 6) as bleu, round(avg((ref = pred)::int) * 100, 6) as acc_top_1, round(avg(sari), 6) as sari, round(avg(gleu) * 100, 6) as gleu,
+  -1.0::double as code_bleu, -1.0::double as meteor, round(avg((src = pred)::int) * 100, 6) as copy_pct from evals join g using (example_id) join b using (example_id) join s using (example_id)"""
+
 QUERIES = {
+    "edit_opcodes": (q_edit_opcodes, None),
+    "minimal_edit_plan": (_minimal("other"), None),
+    "comment_edit_plan": (_minimal("comment"), None),
+    "replay_code_plan": (_minimal("code"), None),
+    "edit_token_labels": (q_edit_token_labels, None),
+    "reconstruct_predictions": (q_reconstruct_predictions, None),
+    "smoothed_bleu": (q_smoothed_bleu, None),
+    "gleu_original": (q_gleu_original, f"with {_ORIGINAL}"),
+    "gleu_multiref": (q_gleu_multiref, None),
+    "weighted_bleu": (q_weighted_bleu, f"with {_CORPUS_CODE} select any_value(examples) as examples, round({_sql_m1('rnum', 'rden', '2.0 * examples')}, 6) as weighted_bleu, round({_sql_m1('rnum', 'rden', 'rlen')}, 6) as weighted_bleu_true from su"),
+    "syntax_match": (q_syntax_match, f"with {V.SQL_EVAL}{_SUBTREES} select * from syn"),
+    "dataflow_match": (q_dataflow_match, f"with {V.SQL_EVAL}{_SUBTREES}{_EDGES} select * from df"),
+    "code_bleu": (q_code_bleu, f"with {_CODE_STATS}{_SUBTREES}{_EDGES}, z as (select example_id, {_sql_m1('num', 'den', 'rlen')} as ngram, {_sql_m1('rnum', 'rden', '2.0')} as weighted from cs group by example_id), y as (select z.*, {_SHARES} from z left join syn using (example_id) left join df using (example_id)) select example_id, {_PARTS} from y"),
+    "code_bleu_corpus": (q_code_bleu_corpus, f"with {_CORPUS_CODE}{_SUBTREES}{_EDGES}, z as (select any_value(examples) as examples, {_sql_m1('num', 'den', 'rlen')} as ngram, {_sql_m1('rnum', 'rden', '2.0 * examples')} as weighted from su), t as (select sum(s_match) as s_match, sum(s_all) as s_all from syn), u as (select sum(d_match) as d_match, sum(d_all) as d_all from df), y as (select z.*, {_SHARES} from z, t, u) select examples, {_PARTS} from y"),
+    "evaluation_summary": (q_evaluation_summary, _SUMMARY),
+    "metric_pivot": (q_metric_pivot, f"with {SQL_STATS}, g as ({_SENT_GLEU}), b as ({_SENT_BLEU.format(_sql_bleu('method2_higher_orders'))}) select example_id, bleu_method2_higher_orders as bleu, gleu from g join b using (example_id)"),
+    "java_token_table": (q_java_token_table, _JAVA_TABLE),
+    "remove_comments": (q_remove_comments, _COMMENTS),
     "multi_bleu": (q_multi_bleu, f"with {_MULTI_BLEU}"),
     "gleu_resample": (q_gleu_resample, f"with {_RESAMPLE}"),
     "rouge_l": (q_rouge_l, None),
@@ -346,7 +520,7 @@ QUERIES = {
     "remove_edits": (q_remove_edits, f"with {_SQL_MARKED}, w as (select *, {V._TOK.format(V._WS.format('t'))} as w from marked), p as (select *, list_max(list_transform(range(1, len(w) + 1), lambda i: case when w[i] in ({_MARKERS}) then i else 0 end)) as place from w) select example_id, array_to_string(w[place + 1:], ' ') as text, array_to_string(w[place + 1:], ' ') as gen, length(array_to_string(w[:place], ' '))::bigint as edit_chars from p"),
     "exact_match": (q_exact_match, f"with {V.SQL_CANDIDATES} select beam_rank, round(avg((pred = target)::int) * 100, 6) as exact_match from candidates join pairs using (example_id) group by beam_rank"),
     "copy_pct": (q_copy_pct, f"with {V.SQL_EVAL} select count(*) as examples, round(avg(({_sql_subtokens('src')} = {_sql_subtokens('pred')})::int) * 100, 6) as copy_pct, round(avg((ctx = pred)::int) * 100, 6) as context_pct from evals"),
-    "ngram_counts": (q_ngram_counts, f"with l as (select doc_id, {V._TOK.format(V._WS.format('text'))} as t from documents), g as (select doc_id, n, array_to_string(t[i:i + n - 1], chr(1)) as gram, count(*) as c from (select *, unnest(range(1, len(t) - n + 2)) as i from (select * from l where len(t) <= 512), (values (1), (2), (3), (4)) k(n)) group by all) select doc_id, n::int as n, count(*) as grams, sum(c)::bigint as total, max(c) as most from g group by doc_id, n"),
+    "ngram_counts": (q_ngram_counts, f"with l as (select doc_id, {V._TOK.format(V._WS.format('text'))} as t from documents), g as (select doc_id, n, array_to_string(t[i:i + n - 1], chr(1)) as gram, count(*) as c from (select *, unnest(range(1, len(t) - n + 2)) as i from l, (values (1), (2), (3), (4)) k(n)) group by all) select doc_id, n::int as n, count(*) as grams, sum(c)::bigint as total, max(c) as most from g group by doc_id, n"),
     "sentence_bleu": (q_sentence_bleu, f"with {SQL_STATS} " + _SENT_BLEU.format(", ".join(_sql_bleu(m) for m in ("method0", "method1", "method2", "method2_higher_orders")))),
     "corpus_bleu": (q_corpus_bleu, f"with {SQL_STATS}, s as (select n, sum(num) as num, sum(greatest(den, 1)) as den, sum(hlen) as hlen, sum(rlen) as rlen, count(*) as examples from per group by n) select any_value(examples) as examples, round(case when max(case when n = 1 then num end) = 0 then 0.0 else any_value({_BP}) * exp(avg(ln(case when num = 0 then 0.1 / den else num / den end))) end, 6) as corpus_bleu from s"),
     "gleu": (q_gleu, f"with {SQL_STATS}, g as ({_SENT_GLEU}) select example_id, gleu, (ref = pred)::int as exact from g join evals using (example_id)"),

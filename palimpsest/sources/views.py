@@ -57,6 +57,33 @@ def clean_lines(spark: SparkSession, sf_dir: str, most: int = 512) -> DataFrame:
     return docs.where(F.size(tokens(F.col("text"))) <= most)
 
 
+def _sides(rows: DataFrame) -> DataFrame:
+    both = F.array(*[F.struct(F.lit(s).alias("side"), tokens(F.col(c)).alias("t")) for s, c in (("ref", "ref"), ("hyp", "pred"))])
+    return rows.select("example_id", F.explode(both).alias("x")).select("example_id", "x.side", "x.t")
+
+
+def subtrees(rows: DataFrame) -> DataFrame:
+    """(example_id, side, sexp, depth): every token above the one behind it, as trees of two levels."""
+    pairs = F.transform(F.slice("t", 2, F.size("t")), lambda w, i: F.concat(F.lit("("), F.get("t", i), F.lit(" ("), w, F.lit("))")))
+    return _sides(rows).select("example_id", "side", F.posexplode(pairs).alias("depth", "sexp"))
+
+
+def dataflow_edges(rows: DataFrame) -> DataFrame:
+    """(example_id, side, pos, var, relation, src_vars, src_pos): tokens come from the token before, every third from
+    nothing; and every fifth is also computed from the token three before."""
+    def edge(w, i, relation: str, back: int, some):
+        has = some & (i >= back)
+        at = lambda c, kind: F.when(has, F.array(c)).otherwise(F.array().cast(kind))
+        return F.struct(
+            i.alias("pos"), w.alias("var"), F.lit(relation).alias("relation"),
+            at(F.get("t", F.greatest(i - back, F.lit(0))), "array<string>").alias("src_vars"), at(i - back, "array<int>").alias("src_pos"),
+        )
+
+    first = F.transform("t", lambda w, i: edge(w, i, "comesFrom", 1, i % 3 != 0))
+    second = F.filter(F.transform("t", lambda w, i: edge(w, i, "computedFrom", 3, i % 5 == 4)), lambda e: F.size(e["src_pos"]) > 0)
+    return _sides(rows).select("example_id", "side", F.explode(F.concat(first, second)).alias("e")).select("example_id", "side", "e.*")
+
+
 _WS = r"trim(regexp_replace({}, '[ \t\n\r\f]+', ' ', 'g'))"
 _TOK = "list_filter(string_split({}, ' '), lambda x: x <> '')"
 SQL_PAIRS = f"""
