@@ -125,3 +125,36 @@ def phrase_positions(words: Column, phrase: Column) -> Column:
     last = F.size(words) - F.size(phrase)
     starts = F.when((last >= 0) & (F.size(phrase) > 0), F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     return F.filter(starts, lambda i: F.slice(words, i + 1, F.size(phrase)) == phrase)
+
+
+# Tokens that caption metrics leave out.
+PUNCTUATION = ("''", "'", "``", "`", "-LRB-", "-RRB-", "-LCB-", "-RCB-", ".", "?", "!", ",", ":", "-", "--", "...", ";")
+
+
+def drop_punctuation(words: Column) -> Column:
+    return F.filter(words, lambda w: ~w.isin(*PUNCTUATION))
+
+
+def replace_unknown(c: Column) -> Column:
+    """The unknown token of a scored text as the sign U+8D54."""
+    return F.replace(c, F.lit("<unk>"), F.lit("\u8d54"))
+
+
+def repair_utf8(c: Column) -> Column:
+    """Bytes or text with the replacement character for what cannot be decoded."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
+def dataset_text(dataset: Column, c: Column) -> Column:
+    """Sub-tokens for comment datasets, the text itself for others."""
+    return F.when(F.contains(dataset, F.lit("comment-update")), subtokenize_comment(c)).otherwise(c)
+
+
+def marker_class(c: Column) -> Column:
+    """struct of flags of an edit marker: kind (insert, keep, replace, delete), start, new, end; all false for other
+    tokens. A marker can be of several kinds."""
+    mark = c.isin(*EDIT_TOKENS)
+    has = lambda part: F.coalesce(mark & F.contains(c, F.lit(part)), F.lit(False))
+    kinds = [has(k).alias(k.lower()) for k in ("INSERT", "KEEP", "REPLACE", "DELETE")]
+    start = F.coalesce(mark, F.lit(False)) & ~has("NEW") & ~has("END")
+    return F.struct(*kinds, start.alias("start"), has("OLD").alias("old"), has("NEW").alias("new"), has("END").alias("end"))

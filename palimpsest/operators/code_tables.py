@@ -37,7 +37,7 @@ def java_spans(words: list[str]) -> list[tuple[int, int]]:
         start = at + 1
         if at >= floor and words[at] in OPENERS:
             start = next((k for k in range(at, floor - 1, -1) if words[k] == OPENERS[words[at]]), at + 1)
-        depth = accumulate((w == "{") - (w == "}") for w in words[body:])
+        depth = accumulate((words[k] == "{") - (words[k] == "}") for k in range(body, len(words)))
         end = next((body + k + 1 for k, d in enumerate(depth) if d == 0), len(words))
         spans.append((start, end))
         i = end
@@ -51,8 +51,8 @@ def python_spans(words: list[str]) -> list[tuple[int, int]]:
         if words[i] != "def":
             i += 1
             continue
-        depth = accumulate((w == "INDENT") - (w == "DEDENT") for w in words[i:])
-        end = next((i + k + 1 for k, (d, w) in enumerate(zip(depth, words[i:], strict=True)) if w == "DEDENT" and d == 0), None)
+        depth = accumulate((words[k] == "INDENT") - (words[k] == "DEDENT") for k in range(i, len(words)))
+        end = next((i + k + 1 for k, d in enumerate(depth) if words[i + k] == "DEDENT" and d == 0), None)
         if end is None:
             break
         spans.append((i, end))

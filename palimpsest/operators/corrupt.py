@@ -52,3 +52,13 @@ def corrupt(lines: DataFrame, modality: str = "nl", seed: int = 20, most: int =
         out += [F.slice("t", at + 1, p), noisy]
         at = at + p + q
     return t.select("id", F.array_join(F.concat(*out), " ").alias("noisy"), F.array_join("t", " ").alias("clean"), F.col("noise").alias("n_noise"))
+
+
+def noise_spans(mask: Column) -> Column:
+    """array of (start, end) of the runs of ones in a 0/1 mask, ends exclusive."""
+    size = F.size(mask)
+    at = lambda i: F.coalesce(F.get(mask, i), F.lit(0))
+    places = F.when(size > 0, F.sequence(F.lit(0), size)).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(places, lambda i: (at(i) == 1) & (F.when(i > 0, at(F.greatest(i - 1, F.lit(0)))).otherwise(0) == 0))
+    ends = F.filter(places, lambda i: (i > 0) & (at(i) == 0) & (at(F.greatest(i - 1, F.lit(0))) == 1))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), e.alias("end")))

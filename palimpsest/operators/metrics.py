@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import subtokenize_comment, tokens
+from palimpsest.functions.text import drop_punctuation, subtokenize_comment, tokens
 from palimpsest.operators.ngrams import ORDERS, ngram_table, total
 
 N = range(1, ORDERS + 1)
@@ -345,3 +346,24 @@ def rouge_l(hyps: DataFrame, refs: DataFrame, beta: float = 1.2) -> DataFrame:
     best = both.groupBy("example_id").agg(F.max(F.col("l") / F.size("h")).alias("p"), F.max(F.col("l") / F.size("r")).alias("q"))
     score = (1 + beta**2) * F.col("p") * F.col("q") / (F.col("q") + beta**2 * F.col("p"))
     return best.select("example_id", F.round(F.when((F.col("p") == 0) | (F.col("q") == 0), 0.0).otherwise(score), 6).alias("rouge_l"))
+
+
+def run_scorers(rows: DataFrame, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(example_id, metric, value) of all named scorers; each takes the rows and gives example_id and one more column."""
+    parts = []
+    for name, scorer in scorers.items():
+        found = scorer(rows)
+        value = next(c for c in found.columns if c != "example_id")
+        parts.append(found.select("example_id", F.lit(name).alias("metric"), F.col(value).cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def caption_suite(hyps: DataFrame, refs: DataFrame) -> DataFrame:
+    """(example_id, bleu_1 to bleu_4, cider, rouge_l) of texts without punctuation tokens. hyps: example_id, pred;
+    refs: example_id, ref_idx, ref."""
+    clean = lambda c: F.array_join(drop_punctuation(tokens(F.lower(c))), " ").alias(c)
+    h, r = hyps.select("example_id", clean("pred")), refs.select("example_id", "ref_idx", clean("ref"))
+    bleus = multi_bleu(multi_ref_stats(h, r)).drop("length_ratio")
+    scorers = {f"bleu_{n}": lambda _, n=n: bleus.select("example_id", f"bleu_{n}") for n in N}
+    scorers |= {"cider": lambda rows: cider(rows, r), "rouge_l": lambda rows: rouge_l(rows, r)}
+    return metric_pivot(run_scorers(h, scorers), tuple(scorers))

@@ -289,6 +289,33 @@ def q_metric_pivot(spark, d):
     return metrics.metric_pivot(long.unionByName(bleus), ("bleu", "gleu"))
 
 
+def _prepared(spark, d):
+    examples = V.eval_rows(spark, d).select("example_id", "src", "ref", "ctx")
+    return rerank.prepare_rerank(V.candidates(pairs(spark, d)).drop("second_score"), examples, with_plan=True)
+
+
+def q_prepare_rerank(spark, d):
+    return _prepared(spark, d).select("example_id", "beam_rank", "full_src", "seq_to_score", "base_score")
+
+
+def q_rerank_scored(spark, d):
+    """Reranking by a supplied scorer, here one that likes outputs as long as their inputs."""
+    rows = _prepared(spark, d)
+    scores = rerank.score_candidates(rows, lambda: lambda a, b: -(a.str.len() - b.str.len()).abs() / (a.str.len() + 1.0))
+    return rerank.rerank(rows, scores)
+
+
+def q_caption_suite(spark, d):
+    return metrics.caption_suite(V.eval_rows(spark, d).select("example_id", "pred"), V.refs_multi(pairs(spark, d)))
+
+
+def q_marker_classes(spark, d):
+    old = T.tokens(F.col("source"))
+    plan = plans.edit_plan("comment", old, T.tokens(F.col("target")))
+    marks = pairs(spark, d).select(F.explode(plan).alias("t")).select("t", T.marker_class(F.col("t")).alias("m")).where(F.col("m.start") | F.col("m.new") | F.col("m.end"))
+    return marks.groupBy(F.col("t").alias("marker"), F.col("m.start").alias("is_start"), F.col("m.end").alias("is_end")).agg(F.count("*").alias("n"))
+
+
 def q_java_token_table(spark, d):
     t = code.java_token_table(V.table(spark, d, "pages").select("page_id", "html"), "page_id", "html")
     return t.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.max("pos").alias("last"), F.sum(F.length("token")).alias("chars"), F.min("token").alias("least"), F.max("token").alias("greatest"))
@@ -507,6 +534,10 @@ QUERIES = {
     "code_bleu_corpus": (q_code_bleu_corpus, f"with {_CORPUS_CODE}{_SUBTREES}{_EDGES}, z as (select any_value(examples) as examples, {_sql_m1('num', 'den', 'rlen')} as ngram, {_sql_m1('rnum', 'rden', '2.0 * examples')} as weighted from su), t as (select sum(s_match) as s_match, sum(s_all) as s_all from syn), u as (select sum(d_match) as d_match, sum(d_all) as d_all from df), y as (select z.*, {_SHARES} from z, t, u) select examples, {_PARTS} from y"),
     "evaluation_summary": (q_evaluation_summary, _SUMMARY),
     "metric_pivot": (q_metric_pivot, f"with {SQL_STATS}, g as ({_SENT_GLEU}), b as ({_SENT_BLEU.format(_sql_bleu('method2_higher_orders'))}) select example_id, bleu_method2_higher_orders as bleu, gleu from g join b using (example_id)"),
+    "prepare_rerank": (q_prepare_rerank, None),
+    "rerank_scored": (q_rerank_scored, None),
+    "caption_suite": (q_caption_suite, None),
+    "marker_classes": (q_marker_classes, None),
     "java_token_table": (q_java_token_table, _JAVA_TABLE),
     "remove_comments": (q_remove_comments, _COMMENTS),
     "multi_bleu": (q_multi_bleu, f"with {_MULTI_BLEU}"),
