@@ -71,31 +71,41 @@ def syntax_counts(subtrees: DataFrame) -> DataFrame:
     subtrees: example_id, side ("ref" or "hyp"), sexp. Both sides' counts come from one grouping.
     """
     side = lambda s: F.count(F.when(F.col("side") == s, 1))
-    counts = subtrees.groupBy("example_id", "sexp").agg(side("ref").alias("r"), side("hyp").alias("h"))
+    # Both groupings keep this partitioning.
+    counts = subtrees.repartition("example_id").groupBy("example_id", "sexp").agg(side("ref").alias("r"), side("hyp").alias("h"))
     return counts.groupBy("example_id").agg(F.sum(F.when(F.col("h") > 0, F.col("r")).otherwise(0)).alias("s_match"), F.sum("r").alias("s_all"))
 
 
 def merge_dataflow(edges: DataFrame) -> DataFrame:
     """Edges with sources, and those whose place is the source of one; edges at one place become one with all sources,
-    in order, and the greatest relation. edges: example_id, side, pos, var, relation, src_vars, src_pos."""
+    in order, and the greatest relation. edges: example_id, side, pos, var, relation, src_vars, src_pos.
+
+    Rows are dealt by example once: uses of a place travel with the edges, and no join is needed.
+    """
     key = ["example_id", "side", "pos"]
-    used = edges.select("example_id", "side", F.explode("src_pos").alias("pos")).distinct()
-    kept = edges.where(F.size("src_pos") > 0).unionByName(edges.where(F.size("src_pos") == 0).join(used, key, "left_semi").select(edges.columns))
-    sources = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return kept.groupBy(*key).agg(F.max("var").alias("var"), F.max("relation").alias("relation"), sources("src_vars").alias("src_vars"), sources("src_pos").alias("src_pos"))
+    rows = edges.select(*key, "var", "relation", "src_vars", "src_pos").repartition("example_id")
+    own = F.array(F.struct("pos", F.lit(True).alias("is_edge")))
+    uses = F.transform("src_pos", lambda p: F.struct(p.alias("pos"), F.lit(False).alias("is_edge")))
+    long = rows.withColumn("x", F.explode(F.concat(own, uses))).select("example_id", "side", "x.*", "var", "relation", "src_vars", "src_pos")
+    sourced = F.col("is_edge") & (F.size("src_pos") > 0)
+    sources = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(sourced, F.col(c))))))
+    used = F.bool_or(~F.col("is_edge"))
+    relation = F.when(used, F.max(F.when(F.col("is_edge"), F.col("relation")))).otherwise(F.max(F.when(sourced, F.col("relation"))))
+    merged = long.groupBy(*key).agg(F.max(F.when(F.col("is_edge"), F.col("var"))).alias("var"), relation.alias("relation"), sources("src_vars").alias("src_vars"), sources("src_pos").alias("src_pos"))
+    return merged.where(F.col("relation").isNotNull())
 
 
 def normalize_dataflow(edges: DataFrame) -> DataFrame:
     """(example_id, side, edge): variables renamed by first appearance, by place, an edge's sources before its target.
 
-    edges: merge_dataflow's table. The names are ranked by a window inside one text.
+    edges: merge_dataflow's table. The names are ranked by windows inside one text, on the table's own partitioning.
     """
     text = ["example_id", "side"]
     names = F.concat(F.col("src_vars"), F.array("var"))
-    long = edges.select(*text, "pos", "relation", F.posexplode(names).alias("i", "name"), F.size(names).alias("n"))
-    first = long.groupBy(*text, "name").agg(F.min(F.struct("pos", "i")).alias("at"))
-    ranked = first.select(*text, "name", (F.row_number().over(Window.partitionBy(*text).orderBy("at")) - 1).alias("rank"))
-    named = long.join(ranked, [*text, "name"]).groupBy(*text, "pos", "relation").agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("r"))
+    long = edges.select(*text, "pos", "relation", F.posexplode(names).alias("i", "name"))
+    first = F.min(F.struct("pos", "i")).over(Window.partitionBy(*text, "name"))
+    ranked = long.withColumn("first", first).withColumn("rank", F.dense_rank().over(Window.partitionBy(*text).orderBy("first")) - 1)
+    named = ranked.groupBy(*text, "pos", "relation").agg(F.array_sort(F.collect_list(F.struct("i", "rank"))).alias("r"))
     return named.select(*text, F.concat_ws(" ", "relation", F.array_join(F.transform("r", lambda x: F.concat(F.lit("var_"), x["rank"].cast("string"))), " ")).alias("edge"))
 
 
