@@ -154,3 +154,10 @@ def test_code_columns(spark):
     args = one(code.java_arguments(T.tokens(c)), "void f ( ) { }")
     assert (args.types, args.names) == (["None"], ["None"])
     assert one(code.is_python3(c), "for i in xrange ( 3 )") is False and one(code.is_python3(c), "print ( 3 )") is True
+
+
+def test_token_labels(spark):
+    df = spark.createDataFrame([("a b c d".split(), "a x c d e".split()), ("a b".split(), ["a"])], "o array<string>, n array<string>")
+    df = df.withColumn("ops", plans.edit_opcodes("o", "n"))
+    got = [r.v for r in df.select(F.array_join(plans.edit_token_labels(F.col("ops"), F.col("o"), F.col("n")), " ").alias("v")).collect()]
+    assert got == ["<KEEP> a <REPLACE_OLD> b <REPLACE_NEW> x <KEEP> c <KEEP> d <INSERT> e", "<KEEP> a <DELETE> b"]
