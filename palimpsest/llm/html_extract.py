@@ -5,8 +5,10 @@ with theirs. For every host the tokens' occurrence vectors over its pages are co
 that tokens with equal vectors form an equivalence class without any page leaving its partition. Classes that are
 large and frequent enough are valid; those that occur once on a page are the template's skeleton, nested by their
 paths. The slots are what lies between: the skeleton node that is no marked boilerplate and deepest holds most of the
-slots' text is the host's article node, and constant texts of the template inside it are dropped. A page's main text
-is the rest of its article node, without boilerplate nodes. Pages that a host's template does not fit fall back on
+slots' text is the host's article node, and constant texts of the template inside it are dropped: those on nearly all
+of the host's distinct bodies, copies of a page being one body. Nothing inside an article or main element is dropped
+as constant, nor are constants that outweigh the page's other text. A page's main text is the rest of its article
+node, without boilerplate nodes. Pages that a host's template does not fit fall back on
 the document's own article element, or body.
 """
 
@@ -25,8 +27,8 @@ from palimpsest.llm.common import cut, small_batches, whole_text
 
 #: A class is valid on at least this share of a host's pages, and on two pages.
 SUPPORT = 0.5
-#: A text is the template's on at least this share of at least so many pages.
-CONSTANT, CONSTANT_PAGES = 0.9, 5
+#: A text is the template's on at least this share of a host's distinct bodies, and on two.
+CONSTANT = 0.9
 #: The article node holds at least this share of the text outside boilerplate.
 MASS = 0.6
 #: Templates of so many hosts with so many constant texts in all are small: some 20 MB.
@@ -139,8 +141,15 @@ def host_of(url: str) -> str:
     return m[1].lower() if m else ""
 
 
+#: The token that every page has.
+_PAGE = _number("\0")
+
+
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each page: its distinct tokens, how often they occur, and what text lies under them."""
+    """For each page: its distinct tokens, how often they occur, and what text lies under them.
+
+    body is a digest of the page's text outside boilerplate; it stands at that text's tokens and at the page's own.
+    """
     for batch in batches:
         rows = []
         for host, page_id, page in zip(batch["host"], batch["page"], batch["html"], strict=True):
@@ -149,16 +158,18 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for path in seen:
                 count[path] = count.get(path, 0) + 1
             mass: dict[str, int] = {}
-            text: dict[str, int] = {}
+            text: dict[tuple[str, bool], int] = {}
             for own, paths, boiler in found:
                 if not boiler:
                     for path in paths:
                         mass[path] = mass.get(path, 0) + len(own)
-                key = f"{paths[-1] if paths else ''}\0{own}"
+                key = f"{paths[-1] if paths else ''}\0{own}", boiler
                 text[key] = text.get(key, 0) + 1
-            rows += [(host, page_id, _number(p), n, p, mass.get(p, 0)) for p, n in count.items()]
-            rows += [(host, page_id, _number(k), n, None, 0) for k, n in text.items()]
-        yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "path", "mass"])
+            body = _number("\0".join(k for k, boiler in text if not boiler))
+            rows.append((host, page_id, _PAGE, 1, None, 0, body))
+            rows += [(host, page_id, _number(p), n, p, mass.get(p, 0), 0) for p, n in count.items()]
+            rows += [(host, page_id, _number(k), n, None, 0, 0 if boiler else body) for (k, boiler), n in text.items()]
+        yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "path", "mass", "body"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -166,12 +177,19 @@ def templates(pages: DataFrame) -> DataFrame:
 
     pages: host, page (a number for each row) and html.
     """
-    tokens = pages.mapInPandas(_tokens, "host string, page long, token long, n int, path string, mass long")
-    vectors = tokens.groupBy("host", "token").agg(
+    tokens = pages.mapInPandas(_tokens, "host string, page long, token long, n int, path string, mass long, body long")
+    bodies = tokens.groupBy("host", "token", "body").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
         F.count("*").alias("pages"), F.max("n").alias("most"), F.max("path").alias("path"), F.sum("mass").alias("mass"),
     )
-    sizes = pages.groupBy("host").agg(F.count("*").alias("all_pages"))
+    vectors = cut(
+        bodies.groupBy("host", "token").agg(
+            F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most"),
+            F.max("path").alias("path"), F.sum("mass").alias("mass"), F.count("*").alias("bodies"),
+        )
+    )
+    sizes = vectors.where(F.col("token") == _PAGE).select("host", F.col("pages").alias("all_pages"), F.col("bodies").alias("all_bodies"))
+    vectors = vectors.where(F.col("token") != _PAGE)
     # Rare tokens cannot be in a valid class, and they are the many: they go before the classes are formed.
     frequent = cut(
         vectors.join(sizes, "host").where((F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
@@ -186,14 +204,20 @@ def templates(pages: DataFrame) -> DataFrame:
         .groupBy("host").agg(F.max_by("path", F.struct(depth, "mass", "path")).alias("article"))
     )
     constant = (
-        frequent.where(
-            F.col("path").isNull() & (F.col("all_pages") >= CONSTANT_PAGES) & (F.col("pages") >= CONSTANT * F.col("all_pages"))
-        )
+        vectors.where(F.col("path").isNull() & (F.col("bodies") >= 2)).join(sizes, "host")
+        .where(F.col("bodies") >= CONSTANT * F.col("all_bodies"))
         .groupBy("host").agg(F.collect_list("token").alias("constants"))
     )
     return article.join(constant, "host", "full_outer")
 
 
+def _constant(text: str, paths: tuple[str, ...], constants: frozenset[int]) -> bool:
+    """Whether a block is the template's; nothing in an article or main element is."""
+    if not constants or _number(f"{paths[-1] if paths else ''}\0{text}") not in constants:
+        return False
+    return not any(p.rpartition(">")[2].split(" ")[0] in ("article", "main") for p in paths)
+
+
 def main_text(page: str, article: str | None, constants: frozenset[int]) -> str:
     """The page's main text under its host's template."""
     _, found = blocks(page)
@@ -202,13 +226,11 @@ def main_text(page: str, article: str | None, constants: frozenset[int]) -> str:
     if article is None or not article.rpartition(">")[2].startswith(("article", "main")):
         own = [p for _, paths, _ in found for p in paths if p.rpartition(">")[2].split(" ")[0] in ("article", "main")]
         article = own[0] if own else article
-    kept = []
-    for text, paths, boiler in found:
-        if boiler or (article is not None and article not in paths):
-            continue
-        if constants and _number(f"{paths[-1] if paths else ''}\0{text}") in constants:
-            continue
-        kept.append(text)
+    inside = [(text, paths) for text, paths, boiler in found if not boiler and (article is None or article in paths)]
+    kept = [text for text, paths in inside if not _constant(text, paths, constants)]
+    # Constants that outweigh the rest are an article in several versions rather than a template.
+    if 2 * sum(map(len, kept)) < sum(len(text) for text, _ in inside):
+        kept = [text for text, _ in inside]
     return " ".join(kept)
 
 

@@ -340,6 +340,31 @@ def test_html_template_without_semantic_tags(spark):
     assert got[3] == "Own text 3 of page 3, long enough to count as its content."
 
 
+def _texts(spark, pages):
+    rows = [(k, f"http://{host}/?utm={k}", html) for k, (host, html) in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[k] for k in range(len(rows))]
+
+
+BARE = '<body><div class="w"><div class="c"><p>{}</p><p>{}</p></div></div></body>'
+
+
+def test_html_keeps_frequent_article_text(spark):
+    """Copies of one article, under article elements and without; a shared heading; the same with 4 pages and with 5."""
+    own = lambda k: f"Own words number {k} that only this page has, in a line of some length."
+    pages = [("copies", PAGE.format(1))] * 10 + [("bare", BARE.format("One heading", "one article, copied ten times over"))] * 10
+    pages += [("near", BARE.format("One long article that all of the versions of this page share", f"version {k}")) for k in range(10)]
+    pages += [("heads", f"<body><article><h1>Weekly news</h1><p>{own(k)}</p></article></body>") for k in range(10)]
+    for n in (4, 5):
+        pages += [(f"n{n}", BARE.format(own(k), "Share now")) for k in range(n)]
+    got = _texts(spark, pages)
+    assert got[:10] == ["Title 1 First & bold 1 line 1 Second part 1"] * 10
+    assert got[10:20] == ["One heading one article, copied ten times over"] * 10
+    assert got[20:30] == [f"One long article that all of the versions of this page share version {k}" for k in range(10)]
+    assert got[30:40] == [f"Weekly news {own(k)}" for k in range(10)]
+    assert got[40:44] == got[44:48] == [own(k) for k in range(4)]
+
+
 def test_html_query_matches_article_elements(spark, sf):
     import html
 
