@@ -4,8 +4,9 @@ The pages of a host share a template. Tokens are opening tags with the path of c
 with theirs. For every host the tokens' occurrence vectors over its pages are compared by a commutative digest, so
 that tokens with equal vectors form an equivalence class without any page leaving its partition. Classes that are
 large and frequent enough are valid; those that occur once on a page are the template's skeleton, nested by their
-paths. The slots are what lies between: the skeleton node that is no marked boilerplate and deepest holds most of the
-slots' text is the host's article node, and constant texts of the template inside it are dropped: those on nearly all
+paths. The slots are what lies between: the deepest skeleton node that holds all slots with varying text outside marked
+boilerplate is the host's article node (slots that never hold two words are labels and do not count), a page with
+varying text beside it widens it for itself, and constant texts of the template inside it are dropped: those on nearly all
 of the host's distinct bodies, copies of a page being one body. Nothing inside an article or main element is dropped
 as constant, nor are constants that outweigh the page's other text. A page's main text is the rest of its article
 node, without boilerplate nodes. Pages that a host's template does not fit fall back on
@@ -20,7 +21,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, small_batches, whole_text
@@ -29,8 +30,6 @@ from palimpsest.llm.common import cut, small_batches, whole_text
 SUPPORT = 0.5
 #: A text is the template's on at least this share of a host's distinct bodies, and on two.
 CONSTANT = 0.9
-#: The article node holds at least this share of the text outside boilerplate.
-MASS = 0.6
 #: Templates of so many hosts with so many constant texts in all are small: some 20 MB.
 SMALL_HOSTS, SMALL_CONSTANTS = 50_000, 500_000
 
@@ -73,7 +72,7 @@ def _marked(tag: str, attrs: str) -> tuple[str, bool]:
             boiler = True
         elif key in ("class", "id", "role"):
             if key != "id" or not any(c.isdigit() for c in value):
-                names.append(f"{key}={value}")
+                names.append(f"{key}={value}".replace(">", " "))
             boiler |= any(x.lower() in _MARKED for x in _NAME_PARTS.findall(value)) and tag not in ("html", "body", "article", "main")
     return " ".join([tag, *names]), boiler
 
@@ -146,9 +145,9 @@ _PAGE = _number("\0")
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each page: its distinct tokens, how often they occur, and what text lies under them.
+    """For each page: its distinct tokens and how often they occur.
 
-    body is a digest of the page's text outside boilerplate; it stands at that text's tokens and at the page's own.
+    slot is the token of the container that a text outside boilerplate lies in, if it has two words or more. body is a digest of the page's text outside boilerplate; it stands at that text's tokens and at the page's own.
     """
     for batch in batches:
         rows = []
@@ -157,19 +156,23 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             count: dict[str, int] = {}
             for path in seen:
                 count[path] = count.get(path, 0) + 1
-            mass: dict[str, int] = {}
             text: dict[tuple[str, bool], int] = {}
+            slots: dict[str, int] = {}
             for own, paths, boiler in found:
-                if not boiler:
-                    for path in paths:
-                        mass[path] = mass.get(path, 0) + len(own)
-                key = f"{paths[-1] if paths else ''}\0{own}", boiler
-                text[key] = text.get(key, 0) + 1
+                key = f"{paths[-1] if paths else ''}\0{own}"
+                text[key, boiler] = text.get((key, boiler), 0) + 1
+                if paths and not boiler and " " in own:
+                    slots[key] = _number(paths[-1])
             body = _number("\0".join(k for k, boiler in text if not boiler))
-            rows.append((host, page_id, _PAGE, 1, None, 0, body))
-            rows += [(host, page_id, _number(p), n, p, mass.get(p, 0), 0) for p, n in count.items()]
-            rows += [(host, page_id, _number(k), n, None, 0, 0 if boiler else body) for (k, boiler), n in text.items()]
-        yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "path", "mass", "body"])
+            rows.append((host, page_id, _PAGE, 1, None, None, body))
+            rows += [(host, page_id, _number(p), n, p, None, 0) for p, n in count.items()]
+            rows += [(host, page_id, _number(k), n, None, None if boiler else slots.get(k), 0 if boiler else body) for (k, boiler), n in text.items()]
+        # As objects: a null would turn the other numbers of its column to doubles.
+        yield pd.DataFrame(rows, columns=["host", "page", "token", "n", "path", "slot", "body"], dtype=object)
+
+
+def _is_constant() -> Column:
+    return (F.col("bodies") >= 2) & (F.col("bodies") >= CONSTANT * F.col("all_bodies"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -177,15 +180,15 @@ def templates(pages: DataFrame) -> DataFrame:
 
     pages: host, page (a number for each row) and html.
     """
-    tokens = pages.mapInPandas(_tokens, "host string, page long, token long, n int, path string, mass long, body long")
+    tokens = pages.mapInPandas(_tokens, "host string, page long, token long, n int, path string, slot long, body long")
     bodies = tokens.groupBy("host", "token", "body").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
-        F.count("*").alias("pages"), F.max("n").alias("most"), F.max("path").alias("path"), F.sum("mass").alias("mass"),
+        F.count("*").alias("pages"), F.max("n").alias("most"), F.max("path").alias("path"), F.max("slot").alias("slot"),
     )
     vectors = cut(
         bodies.groupBy("host", "token").agg(
             F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.max("most").alias("most"),
-            F.max("path").alias("path"), F.sum("mass").alias("mass"), F.count("*").alias("bodies"),
+            F.max("path").alias("path"), F.max("slot").alias("slot"), F.count("*").alias("bodies"),
         )
     )
     sizes = vectors.where(F.col("token") == _PAGE).select("host", F.col("pages").alias("all_pages"), F.col("bodies").alias("all_bodies"))
@@ -197,15 +200,20 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = frequent.groupBy("host", "vector").agg(F.count("*").alias("size"))
     valid = frequent.join(classes, ["host", "vector"]).where((F.col("size") >= 2) | (F.col("pages") == F.col("all_pages")))
     node = valid.where(F.col("path").isNotNull() & (F.col("most") == 1))
-    total = node.groupBy("host").agg(F.max("mass").alias("all_mass"))
-    depth = F.length(F.regexp_replace("path", "[^>]", ""))
+    # A slot varies if one of its texts is no constant. What holds all slots is what their least and greatest path share.
+    slots = (
+        vectors.where(F.col("slot").isNotNull()).groupBy("host", F.col("slot").alias("token")).agg(F.min("bodies").alias("bodies"))
+        .join(sizes, "host").where(~_is_constant()).select("host", "token")
+    )
+    steps = F.split("path", ">")
+    ends = frequent.where(F.col("path").isNotNull()).join(slots, ["host", "token"]).groupBy("host").agg(F.min(steps).alias("lo"), F.max(steps).alias("hi"))
     article = (
-        node.join(total, "host").where((F.col("mass") > 0) & (F.col("mass") >= MASS * F.col("all_mass")))
-        .groupBy("host").agg(F.max_by("path", F.struct(depth, "mass", "path")).alias("article"))
+        node.join(ends, "host").withColumn("steps", steps)
+        .where((F.slice("lo", 1, F.size("steps")) == F.col("steps")) & (F.slice("hi", 1, F.size("steps")) == F.col("steps")))
+        .groupBy("host").agg(F.max_by("path", F.size("steps")).alias("article"))
     )
     constant = (
-        vectors.where(F.col("path").isNull() & (F.col("bodies") >= 2)).join(sizes, "host")
-        .where(F.col("bodies") >= CONSTANT * F.col("all_bodies"))
+        vectors.where(F.col("path").isNull() & (F.col("bodies") >= 2)).join(sizes, "host").where(_is_constant())
         .groupBy("host").agg(F.collect_list("token").alias("constants"))
     )
     return article.join(constant, "host", "full_outer")
@@ -218,6 +226,17 @@ def _constant(text: str, paths: tuple[str, ...], constants: frozenset[int]) -> b
     return not any(p.rpartition(">")[2].split(" ")[0] in ("article", "main") for p in paths)
 
 
+def _widened(article: str | None, found: list[tuple[str, tuple[str, ...], bool]], constants: frozenset[int]) -> str | None:
+    """The deepest node that holds the article node and the page's varying texts of two words or more; None: all."""
+    if article is None:
+        return None
+    around = next(paths[: paths.index(article) + 1] for _, paths, _ in found if article in paths)
+    for text, paths, boiler in found:
+        if not boiler and " " in text and article not in paths and not _constant(text, paths, constants):
+            around = tuple(a for a, b in zip(around, paths) if a == b)
+    return around[-1] if around else None
+
+
 def main_text(page: str, article: str | None, constants: frozenset[int]) -> str:
     """The page's main text under its host's template."""
     _, found = blocks(page)
@@ -225,7 +244,7 @@ def main_text(page: str, article: str | None, constants: frozenset[int]) -> str:
         article = None
     if article is None or not article.rpartition(">")[2].startswith(("article", "main")):
         own = [p for _, paths, _ in found for p in paths if p.rpartition(">")[2].split(" ")[0] in ("article", "main")]
-        article = own[0] if own else article
+        article = own[0] if own else _widened(article, found, constants)
     inside = [(text, paths) for text, paths, boiler in found if not boiler and (article is None or article in paths)]
     kept = [text for text, paths in inside if not _constant(text, paths, constants)]
     # Constants that outweigh the rest are an article in several versions rather than a template.

@@ -365,6 +365,16 @@ def test_html_keeps_frequent_article_text(spark):
     assert got[40:44] == got[44:48] == [own(k) for k in range(4)]
 
 
+def test_html_keeps_all_parts_without_semantic_tags(spark):
+    """A lead of 30 % beside its body, a summary on some pages only, and a node name with the path's own sign."""
+    lead, body = "Lead {0} of the text, some thirty of a hundred.", "Body {0} of the text: it goes on for much longer than the lead does, and it ends with {0}."
+    page = '<body><div class="site">Site name here</div><div class="content [&>p]:x"><div class="lead"><h1>Head</h1><p>%s</p></div><div class="body"><p>%s</p></div></div>{1}</body>' % (lead, body)
+    more = lambda k: f'<div class="end"><p>Summary of text {k}</p></div>' if k == 3 else ""
+    got = _texts(spark, [("a.example", page.format(k, more(k))) for k in range(8)])
+    for k in range(8):
+        assert got[k] == f"{lead} {body}".format(k) + (" Summary of text 3" if k == 3 else "")
+
+
 def test_html_query_matches_article_elements(spark, sf):
     import html
 
