@@ -3,8 +3,10 @@
 Plain identifiers are found by fixed patterns. Disguised ones are found by three small transducers that rewrite a text
 while they keep, for each character they put out, the source range it stands for: (1) look-alike characters become
 ASCII and invisible ones go, (2) written digits become digits and the blanks between them go, (3) "[at]", "(dot)" and
-bare "dot" between name parts become "@" and ".". The plain patterns then run over the rewritten text, and what they
-find there, if it rests on a rewritten part, is mapped back.
+bare "dot" between name parts become "@" and ".", and so do dots between digits and "plus" before them. The plain
+patterns then run over the rewritten text, and what they find there, if it rests on a rewritten part, is mapped back.
+Commas, slashes and line ends between written digits are read as bounds of numbers first, and as gaps in one number
+where that finds nothing.
 """
 
 from __future__ import annotations
@@ -101,14 +103,19 @@ _NAME = "|".join(sorted(_DIGIT_NAMES, key=len, reverse=True))
 _POINT = r"dot|point|punkt|punto"
 _DIGIT = rf"(?:\b(?:{_NAME})\b|[0-9])"
 _SEP = r"[ \t\n,/-]{1,3}"
-# Written digits in a row: at least one name, three digits or more in all.
-_NUMBER = re.compile(rf"(?:(?:\bplus\b|\+)[ \t]?)?{_DIGIT}(?:(?:{_SEP}|[ \t]+(?:{_POINT})[ \t]+)?{_DIGIT})+", re.IGNORECASE)
-_NAMES_NEAR = re.compile(rf"\b(?:{_NAME})\b{_SEP}(?:(?:{_POINT})[ \t])?(?:\b(?:{_NAME})\b|[0-9])", re.IGNORECASE)
-_PIECE = re.compile(rf"(?P<name>\b(?:{_NAME})\b)|(?P<digit>[0-9])|(?P<plus>\bplus\b|\+)|(?P<dot>[ \t]*\b(?:{_POINT})\b[ \t]*)|(?P<sep>.)", re.IGNORECASE | re.DOTALL)
-
 _AT_WORD = r"at|arroba|klammeraffe|arobase"
 _AT = rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*|[ \t]+@[ \t]+|[ \t]*_at_[ \t]*"
 _DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_POINT}|\.)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{_POINT})[ \t]+|_dot_"
+# Written digits in a row: at least one name, two digits or more in all.
+_NUMBER = re.compile(rf"(?:(?:\bplus\b|\+)[ \t]?)?{_DIGIT}(?:(?:{_SEP}|{_DOT}|\.)?{_DIGIT})+", re.IGNORECASE)
+_NAMES_NEAR = re.compile(
+    rf"\b(?:{_NAME})\b(?:{_SEP}|{_DOT}|\.)(?:\b(?:{_NAME})\b|[0-9])|[0-9](?:{_SEP}|{_DOT}|\.)(?:{_NAME})\b", re.IGNORECASE
+)
+_PIECE = re.compile(rf"(?P<name>\b(?:{_NAME})\b)|(?P<digit>[0-9])|(?P<plus>\bplus\b|\+)|(?P<dot>{_DOT})|(?P<sep>.)", re.IGNORECASE | re.DOTALL)
+_BOUNDS = frozenset("\n,/")
+_DOTTED = re.compile(rf"(?<=[0-9])(?:{_DOT})(?=[0-9])", re.IGNORECASE)
+_PLUS = re.compile(r"(?:\bplus\b[ \t]?|[\[({<][ \t]*(?:plus|\+)[ \t]*[\])}>][ \t]*)(?=[0-9])", re.IGNORECASE)
+
 _MAIL = re.compile(
     rf"(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]++){{0,4}}?)(?P<at>@|{_AT}|[ \t]+(?:{_AT_WORD})[ \t]+)"
     rf"(?P<domain>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)",
@@ -164,9 +171,10 @@ def _plain_letters(r: Rewritten) -> None:
     r.replace(changes)
 
 
-def _plain_digits(r: Rewritten) -> None:
-    """Transducer 2: digit names to digits, "plus" to +, "dot" between them to a point; blanks between them go."""
-    changes = []
+def _plain_digits(r: Rewritten, fuse: bool) -> bool:
+    """Transducer 2: digit names to digits, "plus" to +, "dot" between them to a point; blanks and hyphens between them
+    go, commas, slashes and line ends too if ``fuse``. Returns whether any of the latter stayed."""
+    changes, bounds = [], False
     for m in _NUMBER.finditer(r.text):
         if not re.search(rf"\b(?:{_NAME})\b", m[0], re.IGNORECASE):
             continue
@@ -179,10 +187,19 @@ def _plain_digits(r: Rewritten) -> None:
                 inside.append((*p.span(), "+"))
             elif kind == "dot":
                 inside.append((*p.span(), "."))
-            elif kind == "sep":
+            elif kind == "sep" and p[0] in _BOUNDS and not fuse:
+                bounds = True
+            elif kind == "sep" and p[0] != ".":
                 inside.append((*p.span(), ""))
         changes += inside
     r.replace(changes)
+    return bounds
+
+
+def _plain_points(r: Rewritten) -> None:
+    """Transducer 3 between digits: disguised dots to points, then "plus" before digits to +."""
+    r.replace([(*m.span(), ".") for m in _DOTTED.finditer(r.text)])
+    r.replace([(*m.span(), "+") for m in _PLUS.finditer(r.text)])
 
 
 def _plain_marks(r: Rewritten) -> None:
@@ -208,7 +225,7 @@ _MARK_WORDS = (*_POINT_SET, " @", "_at_")
 
 def _may_spell(low: str) -> bool:
     """Whether a digit's name stands next to a digit or another digit's name; a quick test before the patterns."""
-    for sign in ",/-+().":
+    for sign in ",/-+().[]{}<>":
         low = low.replace(sign, " ")
     words = low.split()
     if _NAME_SET.isdisjoint(words):
@@ -222,7 +239,7 @@ def _may_spell(low: str) -> bool:
 
 
 def _may_mark(low: str) -> bool:
-    return any(x in low for x in _MARK_WORDS) or (any(x in low for x in "[({<") and any(x in low for x in _BRACKETS))
+    return any(x in low for x in _MARK_WORDS) or "plus" in low or "+" in low or (any(x in low for x in "[({<") and any(x in low for x in _BRACKETS))
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
@@ -230,26 +247,40 @@ def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     odd, low = not text.isascii() and _ODD.search(text), text.lower()
     if not odd and not _may_spell(low) and not _may_mark(low):
         return []
-    r = Rewritten(text)
-    if odd:
-        _plain_letters(r)
-        low = r.text.lower()
-    if _may_spell(low) and _NAMES_NEAR.search(r.text):
-        _plain_digits(r)
+    taken, found = list(base), []
+    for fuse in (False, True):
+        r = Rewritten(text)
+        if odd:
+            _plain_letters(r)
+            low = r.text.lower()
+        bounds = _may_spell(low) and bool(_NAMES_NEAR.search(r.text)) and _plain_digits(r, fuse)
         low = r.text.lower()
-    if _may_mark(low) and _MARK.search(r.text):
-        _plain_marks(r)
+        if _may_mark(low):
+            if _MARK.search(r.text):
+                _plain_marks(r)
+            _plain_points(r)
+        more = _rewritten_spans(r, taken)
+        found += more
+        taken += more
+        if not bounds:
+            break
+        low = text.lower()
+    return found
+
+
+def _rewritten_spans(r: Rewritten, taken: list[Span]) -> list[Span]:
+    """Identifiers of the rewritten text that rest on a rewritten part and meet no span in ``taken``."""
     if not any(r.new):
         return []
-    taken = sorted((s, e) for _, s, e in base)
-    heads = [s for s, _ in taken]
+    places = sorted((s, e) for _, s, e in taken)
+    heads = [s for s, _ in places]
     found = []
     for kind, s, e in base_spans(r.text):
         if not any(r.new[s:e]):
             continue
         lo, hi = r.start[s], r.end[e - 1]
         k = bisect_left(heads, hi)
-        if not any(end > lo for _, end in taken[max(0, k - 8) : k]):
+        if not any(end > lo for _, end in places[max(0, k - 8) : k]):
             found.append((kind, lo, hi))
     return found
 

@@ -146,6 +146,33 @@ def test_pii_disguises_map_back(text, kind, span):
     assert [(k, text[s:e]) for k, s, e in every if (k, s, e) not in base] == [(kind, span)]
 
 
+@pytest.mark.parametrize("text", ["version 1 dot 2 dot 3", "two plus 2 is 4", "plus 12 more", "one, two, three"])
+def test_pii_leaves_plain_numbers_alone(text):
+    assert pii.detect(text) == ([], [])
+
+
+_CARD_NAMES = "four" + " one" * 15
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "spans"),
+    [
+        *[(f"host {x} up", "ip", [x]) for x in (
+            "192 dot 168 dot 1 dot 1", "192[.]168[.]1[.]1", "192.168.1[.]1", "192 (dot) 168 (dot) 1 (dot) 1", "10 dot 0 dot 0 dot one",
+            "one nine two [dot] one six eight [dot] one [dot] one", "192.168.1.one",
+        )],
+        *[(f"call {x} now", "phone", [x]) for x in ("plus 49 171 2345678", "[+]49 171 2345678", "plus 49 dot 171 dot 2345678")],
+        ("4111 1111 1111 111 one", "card", ["4111 1111 1111 111 one"]),
+        *[(f"{_CARD_NAMES}{sep}{_CARD_NAMES}", "card", [_CARD_NAMES] * 2) for sep in ("\n", ", ", " / ")],
+        ("one dot two dot three dot four, five dot six dot seven dot eight", "ip", ["one dot two dot three dot four", "five dot six dot seven dot eight"]),
+        ("four, " + _CARD_NAMES[5:], "card", ["four, " + _CARD_NAMES[5:]]),
+    ],
+)
+def test_pii_disguised_numbers_map_back(text, kind, spans):
+    base, every = pii.detect(text)
+    assert [(k, text[s:e]) for k, s, e in every if (k, s, e) not in base] == [(kind, x) for x in spans]
+
+
 @pytest.mark.parametrize("text", ["reach me at example.com", "he sat at home. dot com", "one two three four five", "un deux trois", ""])
 def test_pii_leaves_plain_text_alone(text):
     assert pii.detect(text) == ([], [])
