@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import normalize_ws, tokens
@@ -15,11 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def example_id(conv: Column, turn: Column) -> Column:
+    """An id of its own for every turn: conv_id * 100 + turn up to turn 99, as in the SQL twin; later turns count from
+    the least long on, by conversation, turn and the turn's number of bits. What a long cannot hold is an error."""
+    bits = F.length(F.bin(turn))
+    later = (conv * F.call_function("shiftleft", F.lit(1).cast("long"), bits) + turn) * 64 + bits
+    return F.when(turn >= 100, F.lit(-(2**63)) + later).otherwise(conv * 100 + turn)
+
+
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, source, target, context): a user's turn, the next turn, the one before (or empty); blanks evened."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").select(
-        "role", (F.col("conv_id") * 100 + F.col("turn")).alias("example_id"), normalize_ws(F.col("text")).alias("source"),
+        "role", example_id(F.col("conv_id"), F.col("turn")).alias("example_id"), normalize_ws(F.col("text")).alias("source"),
         normalize_ws(F.lead("text").over(w)).alias("target"), normalize_ws(F.coalesce(F.lag("text").over(w), F.lit(""))).alias("context"),
     )
     return rows.where((F.col("role") == "user") & F.col("target").isNotNull()).drop("role")
@@ -31,8 +39,8 @@ def candidates(pairs: DataFrame) -> DataFrame:
     kept = F.filter("t", lambda x, i: (i + F.col("example_id")) % (4 + F.col("beam_rank")) != 0)
     return ranked.select(
         "example_id", "beam_rank", F.array_join(kept, " ").alias("pred"),
-        ((F.col("example_id") * 31 + F.col("beam_rank") * 17) % 97 / 97.0).alias("base_score"),
-        ((F.col("example_id") * 13 + F.col("beam_rank") * 41) % 89 / 89.0).alias("second_score"),
+        ((F.pmod("example_id", F.lit(97)) * 31 + F.col("beam_rank") * 17) % 97 / 97.0).alias("base_score"),
+        ((F.pmod("example_id", F.lit(89)) * 13 + F.col("beam_rank") * 41) % 89 / 89.0).alias("second_score"),
     )
 
 

@@ -7,6 +7,7 @@ import oracle
 from palimpsest import catalog
 from palimpsest.functions import text as T
 from palimpsest.operators import corrupt, edits, metrics
+from palimpsest.sources import views as V
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -19,6 +20,18 @@ def test_query_matches_sql(spark, sf, name):
         assert df.count() > 0
 
 
+def test_long_conversation_keeps_apart_from_its_neighbours(spark, tmp_path):
+    sizes = {4: 8, 5: 150, 6: 60, 7: 8, 500_000_000_000: 1200}
+    rows = [(c, t, ("user", "assistant")[t % 2], f"words of turn {t} in talk {c}") for c, n in sizes.items() for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    pairs = {r.example_id: r.source for r in V.turn_pairs(spark, str(tmp_path)).collect()}
+    assert len(pairs) == sum(sizes.values()) // 2
+    assert all(pairs[c * 100 + t] == text for c, t, role, text in rows if role == "user" and t < 100)
+    for name in ("gleu", "rerank_best", "sari"):
+        got = [r.example_id for r in catalog.queries()[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(pairs), name
+
+
 def _one(spark, column, value):
     return spark.createDataFrame([(value,)], "c string").select(column.alias("v")).first().v
 
