@@ -251,23 +251,36 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str =
     Null and word-less texts have fingerprint zero and are linked like any other; repeated rows stay; an empty table
     gives an empty result; columns other than the two named are not looked at.
     """
-    base = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "fp").select("id", "fp"))
+    return _classed_rows(docs, id_col, text, budget, cap).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
+    )
+
+
+def _row_key(id_col: str, text: str) -> list[Column]:
+    """Two hashes of id and text, which tell apart all rows but repeated ones."""
+    return [F.xxhash64(id_col, text).alias("_key"), F.hash(id_col, text).alias("_check")]
+
+
+def _classed_rows(docs: DataFrame, id_col: str, text: str, budget: int, cap: int) -> DataFrame:
+    """(id, _key, _check, fp, root, component_id, n_links), a row per document; root names the class."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *_row_key(id_col, text))
+    base = cut(with_fingerprint(rows, "text", "fp").select("id", "_key", "_check", "fp"))
     prints = base.groupBy("fp").agg(F.min("id").alias("least_id"))
     known = components(link_forest(prints.select("fp"), budget, cap))
     classed = prints.join(known, prints["fp"] == known["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     classed = cut(classed)
     tops = classed.groupBy("root").agg(F.min("least_id").alias("component_id"), (F.count("*") - 1).alias("n_links"))
-    named = classed.select("fp", "root").join(tops, "root").select("fp", "component_id", "n_links")
-    return base.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
-    )
+    named = classed.select("fp", "root").join(tops, "root").select("fp", "root", "component_id", "n_links")
+    return base.join(named, "fp")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
     """Keeps one document of each class, the one with the smallest id, whole and with all its columns.
 
-    Documents with a null id cannot be told apart by id and are kept; rows that repeat the kept id all stay.
+    Rows are told apart by id and text: a repeated row stays once, and an id with two texts is two documents. Of the
+    documents of a class that have no id, one stays besides.
     """
-    classes = near_duplicate_classes(docs, id_col, text, budget)
-    gone = classes.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    rows = _classed_rows(docs, id_col, text, budget, CAP)
+    least = rows.groupBy("root", F.isnull("id").alias("no_id")).agg(F.min(F.struct("id", "_key", "_check")).alias("r"))
+    kept = docs.select("*", *_row_key(id_col, text)).join(least.select("r._key", "r._check"), ["_key", "_check"], "left_semi")
+    return kept.dropDuplicates(["_key", "_check"]).select(docs.columns)

@@ -102,6 +102,13 @@ def test_simhash_edge_rows(spark, edge):
     assert simhash.near_duplicate_classes(edge.limit(0)).count() == 0
 
 
+def test_simhash_drops_rows_not_ids(spark):
+    one, other, third = (" ".join(f"{w}{k}" for k in range(40)) for w in ("red", "green", "blue"))
+    rows = [(1, one), (5, one), (5, other), (6, other), (7, third), (7, third), (None, "no id here"), (None, "no id here"), (None, "no id here")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (5, other), (7, third), (0, "no id here")])
+
+
 def _slow_base(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
