@@ -16,6 +16,7 @@ import re
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +27,6 @@ from palimpsest.llm.common import small_batches, whole_text
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
-_LOCAL_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # A match can start inside a run of digits only where one starts at the run's head, so the look-behinds lose nothing
@@ -81,13 +81,27 @@ def in_order(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-# Letters of other scripts that look like ASCII letters and digits.
-_ALIKE = str.maketrans(
-    "АВЕКМНОРСТУХЅІЈаеорсухѕіјԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυχιɑɡıℓ․‧。∙•﹒＠﹫﹢⁺‐‑‒–—−",
-    "ABEKMHOPCTYXSIJaeopcyxsijdhqwABEZHIKMNOPTYXavopuxiagil......@@++------",
-)
-_INVISIBLE = frozenset("­​‌‍⁠﻿")
-_ODD = re.compile("[­Ā-\U0010ffff]")
+# Letters of other scripts that look like ASCII letters and signs, the signs of one kind together.
+_LETTERS_ALIKE = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухѕіјԁһԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορυχιɑɡıℓ", "ABEKMHOPCTYXSIJaeopcyxsijdhqwABEZHIKMNOPTYXavopuxiagil", strict=True))
+_SIGNS_ALIKE = {".": "․‧。∙•·﹒", "@": "＠﹫", "+": "﹢⁺", "-": "‐‑‒–—−"}
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+
+def _plain_forms() -> dict[str, str]:
+    """For each character with an ASCII form what that form is: looks first, then compatibility, then digits' values."""
+    forms = dict.fromkeys(_INVISIBLE, "") | _LETTERS_ALIKE | {c: sign for sign, alike in _SIGNS_ALIKE.items() for c in alike}
+    # The planes beyond the first two hold ideographs and the like, which have none.
+    for c in map(chr, range(0x80, 0x20000)):
+        if c not in forms and not 0xD800 <= ord(c) < 0xE000:
+            put = "".join(_LETTERS_ALIKE.get(x, x) for x in unicodedata.normalize("NFKC", c))
+            put = put if put.isascii() else str(unicodedata.decimal(c, ""))
+            if put and put != c:
+                forms[c] = put
+    return forms
+
+
+_PLAIN_FORM = _plain_forms()
+_ODD = re.compile("[" + "".join(map(re.escape, _PLAIN_FORM)) + "]")
 
 # The names of the digits in English, German, French and Spanish.
 _DIGIT_NAMES = {
@@ -104,8 +118,10 @@ _POINT = r"dot|point|punkt|punto"
 _DIGIT = rf"(?:\b(?:{_NAME})\b|[0-9])"
 _SEP = r"[ \t\n,/-]{1,3}"
 _AT_WORD = r"at|arroba|klammeraffe|arobase"
-_AT = rf"[ \t]*[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*|[ \t]+@[ \t]+|[ \t]*_at_[ \t]*"
-_DOT = rf"[ \t]*[\[({{<][ \t]*(?:{_POINT}|\.)[ \t]*[\])}}>][ \t]*|[ \t]+(?:{_POINT})[ \t]+|_dot_"
+# Blanks before a sign count from their run's head, so that long runs stay linear.
+_GAP = r"(?<![ \t])[ \t]+"
+_AT = rf"(?:{_GAP})?[\[({{<][ \t]*(?:{_AT_WORD}|@)[ \t]*[\])}}>][ \t]*|{_GAP}@[ \t]+|(?:{_GAP})?_at_[ \t]*"
+_DOT = rf"(?:{_GAP})?[\[({{<][ \t]*(?:{_POINT}|\.)[ \t]*[\])}}>][ \t]*|{_GAP}(?:{_POINT})[ \t]+|_dot_"
 # Written digits in a row: at least one name, two digits or more in all.
 _NUMBER = re.compile(rf"(?:(?:\bplus\b|\+)[ \t]?)?{_DIGIT}(?:(?:{_SEP}|{_DOT}|\.)?{_DIGIT})+", re.IGNORECASE)
 _NAMES_NEAR = re.compile(
@@ -116,15 +132,12 @@ _BOUNDS = frozenset("\n,/")
 _DOTTED = re.compile(rf"(?<=[0-9])(?:{_DOT})(?=[0-9])", re.IGNORECASE)
 _PLUS = re.compile(r"(?:\bplus\b[ \t]?|[\[({<][ \t]*(?:plus|\+)[ \t]*[\])}>][ \t]*)(?=[0-9])", re.IGNORECASE)
 
-_MAIL = re.compile(
-    rf"(?P<local>[A-Za-z0-9_%+-]++(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]++){{0,4}}?)(?P<at>@|{_AT}|[ \t]+(?:{_AT_WORD})[ \t]+)"
-    rf"(?P<domain>[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+)",
-    re.IGNORECASE,
-)
 _MARK = re.compile(rf"{_AT}|{_DOT}", re.IGNORECASE)
-_BARE_AT = re.compile(rf"[ \t]+(?:{_AT_WORD})[ \t]+", re.IGNORECASE)
+_BARE_AT = re.compile(rf"[ \t]+(?:{_AT_WORD})[ \t]+|_at_", re.IGNORECASE)
 _DOTS = re.compile(_DOT, re.IGNORECASE)
-_REACH = 120
+# Name parts, dots and at signs of an address, plain or disguised; "_at_" and "_dot_" end a name part.
+_SIGNS = re.compile(rf"(?P<at>{_AT}|{_GAP}(?:{_AT_WORD})[ \t]+|@)|(?P<dot>{_DOT}|\.)|(?P<name>(?:(?!_at_|_dot_)[A-Za-z0-9_%+-])+)", re.IGNORECASE)
+_HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 
 
 class Rewritten:
@@ -158,17 +171,9 @@ class Rewritten:
 
 
 def _plain_letters(r: Rewritten) -> None:
-    """Transducer 1: compatibility forms and look-alikes to ASCII, invisible characters to nothing."""
-    changes = []
-    for m in _ODD.finditer(r.text):
-        c = m[0]
-        put = "" if c in _INVISIBLE else c.translate(_ALIKE)
-        if put == c:
-            put = unicodedata.normalize("NFKC", c)
-            put = put.translate(_ALIKE) if put != c else c
-        if put != c and put.isascii() and len(put) <= 1:
-            changes.append((m.start(), m.end(), put))
-    r.replace(changes)
+    """Transducer 1: compatibility forms, look-alikes and digits of other scripts to ASCII, invisible characters to
+    nothing; a character can stand for several."""
+    r.replace([(m.start(), m.end(), _PLAIN_FORM[m[0]]) for m in _ODD.finditer(r.text)])
 
 
 def _plain_digits(r: Rewritten, fuse: bool) -> bool:
@@ -203,18 +208,37 @@ def _plain_points(r: Rewritten) -> None:
 
 
 def _plain_marks(r: Rewritten) -> None:
-    """Transducer 3: disguised at signs and dots between name parts to the signs."""
-    spots = [(max(0, m.start() - _REACH), m.end() + _REACH) for m in _MARK.finditer(r.text)]
+    """Transducer 3: disguised at signs and dots between name parts to the signs. A name's parts are gathered while the
+    text is read once, so an address can be of any length."""
     changes, done = [], 0
-    for lo, hi in spots:
-        for m in _MAIL.finditer(r.text, max(lo, done), min(hi, len(r.text))):
-            bare = _BARE_AT.fullmatch(m["at"])
-            dots = [*_DOTS.finditer(r.text, *m.span("local")), *_DOTS.finditer(r.text, *m.span("domain"))]
-            if (bare and not any(d.start() >= m.start("domain") for d in dots)) or (m["at"] == "@" and not dots):
+    parts: list[tuple[str, int, int]] = []  # name parts and dots without a gap, up to the present place
+    for m in _SIGNS.finditer(r.text):
+        lo, hi = m.span()
+        if lo < done:
+            continue
+        kind = m.lastgroup
+        joined = bool(parts) and parts[-1][2] == lo
+        if kind == "name":
+            if not (joined and parts[-1][0] == "dot"):
+                parts = []
+            parts.append((kind, lo, hi))
+        elif kind == "dot":
+            if joined and parts[-1][0] == "name":
+                parts.append((kind, lo, hi))
+            else:
+                parts = []
+        else:
+            local, parts = parts if joined and parts[-1][0] == "name" else [], []
+            host = _HOST.match(r.text, hi) if local else None
+            if host is None:
+                continue
+            hidden = [(s, e) for k, s, e in local if k == "dot" and r.text[s:e] != "."]
+            hidden_host = [d.span() for d in _DOTS.finditer(r.text, *host.span())]
+            # A bare "at" is a word like any other unless the dots behind it are disguised too.
+            if (_BARE_AT.fullmatch(m[0]) and not hidden_host) or (m[0] == "@" and not hidden and not hidden_host):
                 continue
-            inside = sorted([(d.start(), d.end(), ".") for d in dots] + [(*m.span("at"), "@")] * (m["at"] != "@"))
-            changes += inside
-            done = m.end()
+            changes += sorted([(s, e, ".") for s, e in hidden + hidden_host] + [(lo, hi, "@")] * (m[0] != "@"))
+            done = host.end()
     r.replace(changes)
 
 
@@ -273,14 +297,15 @@ def _rewritten_spans(r: Rewritten, taken: list[Span]) -> list[Span]:
     if not any(r.new):
         return []
     places = sorted((s, e) for _, s, e in taken)
-    heads = [s for s, _ in places]
+    heads, upto = [s for s, _ in places], list(accumulate((e for _, e in places), max))
     found = []
     for kind, s, e in base_spans(r.text):
         if not any(r.new[s:e]):
             continue
         lo, hi = r.start[s], r.end[e - 1]
         k = bisect_left(heads, hi)
-        if not any(end > lo for _, end in places[max(0, k - 8) : k]):
+        # Of the spans that begin before its end, the one that ends last.
+        if not k or upto[k - 1] <= lo:
             found.append((kind, lo, hi))
     return found
 
