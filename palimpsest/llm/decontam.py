@@ -6,12 +6,18 @@ distance becomes Hamming distance. Each of several walks samples a few steps as
 every word; an item's windows start at each of its words, so an edit spoils only the keys that lie across it, and a
 hit gives the place where the whole item would lie. A window is dropped as soon as the steps sampled so far lead to no
 item. Every hit is verified by the exact edit distance of the whole item to the best-fitting item-sized window there.
+
+How long walks are, how much they sample and how often they are repeated follows from a recall to be reached at the
+largest number of edits allowed: ``plan`` tries it on made-up items, for short and for long ones apart. Items with
+fewer than ten words are too short to walk over; a run of their words that the edits must leave whole is looked up.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -20,10 +26,15 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import small_batches, whole_text
 
-WALKS = 4
-#: Steps of a walk, and how many of them a key samples; the first step is always one of them.
+#: The least share of items at the limit of edits that the walks lead to, by trial.
+RECALL = 0.97
+#: The shortest items of each plan; shorter ones than the first are looked up by runs.
+CLASSES = (10, 20)
+#: Steps of a walk and how many of them a key samples, from the most selective on; repetitions that are tried.
+WAYS = ((16, 7), (12, 6), (10, 5), (8, 5), (6, 4), (4, 3))
+MOST_WALKS = 4
+#: The longest walk.
 STEPS = 16
-SAMPLES = 7
 SIMILARITY = 0.8
 #: Items of one pass over the documents, by count and characters; larger benchmarks take several passes.
 PASS_ITEMS = 20_000
@@ -46,16 +57,62 @@ def _bits(words: int, walk: int) -> np.ndarray:
     return (x * np.uint64(0x94D049BB133111EB)) >> np.uint64(32)
 
 
-def _samples(walk: int) -> list[int]:
+def _samples(walk: int, steps: int, samples: int) -> list[int]:
+    """The sampled steps of a walk; the first step is always one of them."""
     rng = np.random.default_rng(walk)
-    return [0, *sorted(int(x) for x in rng.choice(np.arange(2, STEPS), SAMPLES - 1, replace=False))]
+    low = 2 if steps > 8 else 1
+    return [0, *sorted(int(x) for x in rng.choice(np.arange(low, steps), samples - 1, replace=False))]
+
+
+def _edited(rng: np.random.Generator, item: np.ndarray, edits: int, even: bool, fresh: int) -> np.ndarray:
+    """The item after so many word edits, evenly spread, which spoils most keys, or at random places."""
+    n = len(item)
+    places = [(k + 1) * n // (edits + 1) for k in range(edits)] if even else rng.choice(n, edits, replace=False)
+    words = item.tolist()
+    for at in sorted(map(int, places), reverse=True):
+        kind = rng.integers(3)
+        words[at : at + (kind != 1)] = [] if kind == 2 else [fresh + at]
+    return np.array(words, dtype=np.int64)
+
+
+@lru_cache(maxsize=64)
+def plan(similarity: float = SIMILARITY, recall: float = RECALL, trials: int = 120) -> tuple[tuple[int, int, int, int], ...]:
+    """(shortest item, steps, samples, walks) for each class of lengths: the most selective way by which the class's
+    shortest items, with as many edits as they may have, share a key with their edited form at least that often."""
+    found = []
+    for shortest in CLASSES:
+        rng = np.random.default_rng(shortest)
+        edits = int(shortest * (1 - similarity) + 1e-9)
+        item, fresh = np.arange(2, shortest + 2), 2 * shortest
+        bits = [_bits(4 * shortest, k) for k in range(MOST_WALKS)]
+        pairs = [(rng.permutation(item), even) for even in (True, False) for _ in range(trials // 2)]
+        pairs = [(a, _edited(rng, a, edits, even, fresh)) for a, even in pairs]
+        for steps, samples in WAYS:
+            met = np.zeros((MOST_WALKS, trials), dtype=bool)
+            for k in range(MOST_WALKS):
+                for t, both in enumerate(pairs):
+                    keys = [set(zip(*(x.tolist() for x in outputs(np.append(w, np.zeros(STEPS + 1, dtype=np.int64)), np.arange(len(w)), bits[k], _samples(k, steps, samples))), strict=True)) for w in both]
+                    met[k, t] = any(0 not in key for key in keys[0] & keys[1])
+            reached = np.logical_or.accumulate(met).mean(axis=1) >= recall
+            if reached.any():
+                found.append((shortest, steps, samples, int(reached.argmax()) + 1))
+                break
+        else:
+            raise ValueError(f"no walk reaches a recall of {recall} at a similarity of {similarity}")
+    return tuple(found)
+
+
+def intact_run(size: int, edits: int) -> int:
+    """The length of the longest run of an item's words that so many edits cannot but leave whole."""
+    return -(-(size - edits) // (edits + 1))
 
 
 class Benchmark:
     """The items of one pass: their words as numbers, and the walks' keys."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, ways: tuple[tuple[int, int, int, int], ...] | None = None):
         self.items = [(i, w) for i, t in items if (w := words_of(t or ""))]
+        self.similarity = similarity
         self.number: dict[str, int] = {}
         for _, words in self.items:
             for w in words:
@@ -65,25 +122,33 @@ class Benchmark:
         gap = np.zeros(STEPS + 1, dtype=np.int64)
         self.flat = np.concatenate([x for s in self.sequences for x in (s, gap)]) if self.items else gap
         self.size = np.array([len(s) for s in self.sequences], dtype=np.int64)
+        #: The edits that each item allows.
+        self.most = (self.size * (1 - similarity) + 1e-9).astype(np.int64)
         size = self.size + len(gap)
         self.owner = np.repeat(np.arange(len(size)), size)
         self.head = np.cumsum(size) - size
-        self.walks = [self._keys(k) for k in range(WALKS)] if self.items else []
-        short = [k for k, s in enumerate(self.sequences) if len(s) < STEPS // 2 + 2]
-        #: Items that are too short for a walk: looked up by each of their words.
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        for k in short:
-            for at, w in enumerate(self.sequences[k]):
-                self.short.setdefault(int(w), []).append((k, at))
-
-    def most(self, similarity: float) -> np.ndarray:
-        """The edits that each item allows."""
-        return (self.size * (1 - similarity) + 1e-9).astype(np.int64)
-
-    def _keys(self, walk: int):
+        self.walks, self.runs = [], []
+        if not self.items:
+            return
+        ways = ways or plan(similarity)
+        bounds = [*(w[0] for w in ways), np.iinfo(np.int64).max]
+        for (shortest, steps, samples, walks), beyond in zip(ways, bounds[1:], strict=True):
+            own = (self.size >= shortest) & (self.size < beyond)
+            if own.any():
+                self.walks += [self._keys(k, _samples(k, steps, samples), own) for k in range(walks)]
+        short = self.size < bounds[0]
+        run = np.array([intact_run(n, e) if s else 0 for n, e, s in zip(self.size.tolist(), self.most.tolist(), short.tolist(), strict=True)])
+        for n in sorted(set(run[short].tolist())):
+            start = np.flatnonzero((self.flat > _OTHER) & (run == n)[self.owner])
+            key = _run_keys(self.flat, start, n)
+            start, key = start[key != 0], key[key != 0]
+            order = np.argsort(key, kind="stable")
+            self.runs.append((n, key[order], start[order]))
+
+    def _keys(self, walk: int, steps: list[int], own: np.ndarray):
         """Bits, sampled steps, and for each number of samples the sorted prefixes of the keys; last, the starts."""
-        bits, steps = _bits(len(self.number) + 2, walk), _samples(walk)
-        start = np.flatnonzero(self.flat > _OTHER)
+        bits = _bits(len(self.number) + 2, walk)
+        start = np.flatnonzero((self.flat > _OTHER) & own[self.owner])
         prefixes, prefix = [], None
         for code in outputs(self.flat, start, bits, steps):
             prefix = code if prefix is None else _mix(prefix, code)
@@ -111,6 +176,15 @@ def _mix(prefix: np.ndarray, word: np.ndarray) -> np.ndarray:
     return np.where((word > _OTHER) & (prefix != 0), mixed | np.uint64(1), np.uint64(0))
 
 
+def _run_keys(flat: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """The keys of the n words from each start on; 0 where one of them is no item word."""
+    end = len(flat) - 1
+    key = flat[start].astype(np.uint64)
+    for k in range(1, n):
+        key = _mix(key, flat[np.minimum(start + k, end)].astype(np.uint64))
+    return key
+
+
 def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
     return sorted_[at] == x
@@ -119,6 +193,14 @@ def _among(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
 def _hits(b: Benchmark, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, item indexes) where the item would begin at the start; the same place can come more than once."""
     start0 = np.flatnonzero(flat > _OTHER)
+
+    def places(start: np.ndarray, prefix: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = np.searchsorted(keys, prefix), np.searchsorted(keys, prefix, side="right")
+        n = hi - lo
+        which = starts[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        item = b.owner[which]
+        return np.repeat(start, n) - (which - b.head[item]), item
+
     for bits, steps, known, keys, starts in b.walks:
         if not len(keys):
             continue
@@ -132,16 +214,12 @@ def _hits(b: Benchmark, flat: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarr
                 start, at, prefix, word = start[keep], at[keep], prefix[keep], word[keep]
             at = at + ((bits[word] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
         if len(start):
-            lo, hi = np.searchsorted(keys, prefix), np.searchsorted(keys, prefix, side="right")
-            n = hi - lo
-            which = starts[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            item = b.owner[which]
-            yield np.repeat(start, n) - (which - b.head[item]), item
-    if b.short:
-        spots = np.flatnonzero(np.isin(flat, np.fromiter(b.short, dtype=np.int64)))
-        found = [(p - at, k) for p in spots for k, at in b.short[int(flat[p])]]
-        if found:
-            yield np.array([f[0] for f in found]), np.array([f[1] for f in found])
+            yield places(start, prefix, keys, starts)
+    for n, keys, starts in b.runs:
+        key = _run_keys(flat, start0, n)
+        keep = _among(keys, key) & (key != 0)
+        if keep.any():
+            yield places(start0[keep], key[keep], keys, starts)
 
 
 def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int]:
@@ -157,14 +235,14 @@ def edit_distance(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int,
     return int(row[end]), end
 
 
-def leaks(b: Benchmark, texts: list[str], similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+def leaks(b: Benchmark, texts: list[str]) -> list[tuple[int, int, int, int]]:
     """(text index, item index, edit distance, first word) of each item that a text holds, at its best place."""
-    get = b.number.get
+    get, other = b.number.get, repeat(_OTHER)
     gap = [_PAD] * (STEPS + 1)
     flat_list, heads = [], []
     for t in texts:
         heads.append(len(flat_list))
-        flat_list += [get(w, _OTHER) for w in words_of(t)]
+        flat_list += map(get, words_of(t), other)
         flat_list += gap
     if not flat_list or not b.items:
         return []
@@ -174,13 +252,13 @@ def leaks(b: Benchmark, texts: list[str], similarity: float = SIMILARITY) -> lis
         return []
     start, item = (np.concatenate(x) for x in zip(*hits, strict=True))
     # The item's place can be off by as much as the edits allow; a hit before a text's first word is that text's too.
-    most, size = b.most(similarity)[item], b.size[item]
+    most, size = b.most[item], b.size[item]
     tail = np.append(head[1:], len(flat)) - len(gap)
     of_hit = np.searchsorted(head, np.maximum(start, 0) + most, side="right") - 1
     before = np.searchsorted(head, np.maximum(start, 0), side="right") - 1
-    other = before != of_hit
-    text = np.concatenate([of_hit, before[other]])
-    start, item, most, size = (np.concatenate([x, x[other]]) for x in (start, item, most, size))
+    twice = before != of_hit
+    text = np.concatenate([of_hit, before[twice]])
+    start, item, most, size = (np.concatenate([x, x[twice]]) for x in (start, item, most, size))
     lo, hi = np.maximum(head[text], start - most), np.minimum(tail[text], start + size + most)
     # The item's words that its best part lacks are edits: too few item words, and no distance needs counting.
     among = np.concatenate([[0], np.cumsum(flat > _OTHER)])
@@ -221,9 +299,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     """(id, item_id, edit_distance, n_words, first_word): every document and item such that a part of the document
     equals the item up to 1 - similarity of the item's words, at its best place.
 
-    Words are lower-cased runs of letters, digits and underscores. Null and word-less texts hold and leak nothing;
-    repeated rows give repeated results; a null item id is kept as null. Documents are read once for every PASS_ITEMS
-    items.
+    Words are lower-cased runs of letters, digits and underscores. Null and word-less texts hold and leak nothing; an
+    empty table on either side gives no row. A repeated document gives its results again; a repeated item, of the same
+    id and text, counts once, and equal texts under several ids give a row for each. A null id is kept as null. Of
+    equally good places the first counts. Texts of any length are read whole; other columns are not looked at.
+    Documents are read once for every PASS_ITEMS items or PASS_CHARS of their characters; one item alone can be longer.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -231,12 +311,12 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text).alias("text"))
     result = None
     for group in _passes(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(group)
+        held = spark.sparkContext.broadcast((group, similarity, plan(similarity)))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            b = Benchmark(held.value)
+            b = Benchmark(*held.value)
             for batch in batches:
-                found = leaks(b, list(batch["text"]), similarity)
+                found = leaks(b, list(batch["text"]))
                 ids = batch["id"].tolist()
                 out = [(ids[d], b.items[k][0], e, len(b.sequences[k]), at) for d, k, e, at in found]
                 yield pd.DataFrame(out, columns=["id", "item_id", "edit_distance", "n_words", "first_word"]).rename(columns={"id": id_col})
@@ -248,20 +328,24 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text",
                       similarity: float = SIMILARITY) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item in the sense of find_leaks, with all their columns.
+
+    Rows are judged one by one: null and word-less texts stay, and so does everything if there are no items; repeated
+    rows stay or go together.
+    """
     spark = docs.sparkSession
     small_batches(spark)
 
     def clean(held):
         @F.pandas_udf("boolean")
         def column(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            b = Benchmark(held.value)
+            b = Benchmark(*held.value)
             for texts in parts:
-                bad = {d for d, *_ in leaks(b, list(texts), similarity)}
+                bad = {d for d, *_ in leaks(b, list(texts))}
                 yield pd.Series([k not in bad for k in range(len(texts))], dtype=bool)
 
         return column(whole_text(text))
 
     for group in _passes(items, item_id, item_text):
-        docs = docs.where(clean(spark.sparkContext.broadcast(group)))
+        docs = docs.where(clean(spark.sparkContext.broadcast((group, similarity, plan(similarity)))))
     return docs
