@@ -167,7 +167,8 @@ def with_tokens(docs: DataFrame, ranks_path: str, pattern: str, text: str = "tex
     """Adds a struct: n_tokens, ids_sha256, decoded_sha256, and ids unless keep_ids is off.
 
     The ranks' file is read once, on the driver, and broadcast: a vocabulary's size is fixed. Null and empty texts have
-    no ids. Repeated rows get equal results.
+    no ids. Repeated rows get equal results, an empty table stays empty, and texts are read whole. A column named as
+    ``out`` is replaced, all others stay.
     """
     held = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
     small_batches(docs.sparkSession)

@@ -16,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Documents are wide: keep Arrow batches small unless the session asks for still smaller ones."""
+    """Documents are wide: keep Arrow batches small unless the session asks for still smaller ones. Spark reads this when
+    a query runs, so the setting stays for the session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > BATCH_ROWS:
@@ -26,12 +27,15 @@ def small_batches(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder, so that a lost executor costs a reread only.
 
-    The folder is the one the session names in spark.checkpoint.dir; without that setting (tests on one machine)
-    a temporary folder is used.
+    The folder is the one the session names in spark.checkpoint.dir. Only a session on one machine may leave it unset;
+    a temporary folder then serves.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 

@@ -2,8 +2,9 @@
 
 Training counts hashed character trigrams for each language over every learning row. A document is read as a mixture:
 each of its words has a likelihood under each language (the product of its trigrams'), expectation-maximisation
-estimates the languages' proportions, and the set of languages is chosen by penalised likelihood among the nested sets
-of the most frequent ones. The prediction is the language with the largest proportion.
+estimates the languages' proportions until its likelihood is as good as the best, and the set of languages is chosen by
+penalised likelihood among the nested sets of the most frequent ones. The prediction is the language with the largest
+proportion.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from palimpsest.llm.common import small_batches, whole_text
 
 BUCKETS = 1 << 16
 SMOOTH = 0.5
-ITERATIONS = 8
-#: Languages that a document's set can hold.
-MOST_LANGUAGES = 4
+#: Estimation ends when the log likelihood is proven to be no further than this from the best.
+TOLERANCE = 0.1
+#: Languages that a model is made for; a column with more is an error, since the model's size goes with them.
+MAX_LANGUAGES = 512
 PENALTY = 1.0
 UNKNOWN = "und"
 
@@ -72,8 +74,11 @@ def count_trigrams(docs: DataFrame, lang: str = "lang", text: str = "text") -> D
     return rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihood of each bucket). Counts cover all rows; the model has BUCKETS figures a language."""
+    n = docs.where(F.col(lang).isNotNull()).select(lang).distinct().limit(max_languages + 1).count()
+    if n > max_languages:
+        raise ValueError(f"more than {max_languages} languages in column {lang}")
     counts = count_trigrams(docs, lang, text).toPandas()
     names = sorted(counts["lang"].unique())
     table = np.full((len(names), BUCKETS), SMOOTH)
@@ -81,23 +86,37 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[s
     return names, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
 
 
-def _mixture(like: np.ndarray, first: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log likelihood of each document; like: each word's likelihood under each language."""
-    n = np.diff(np.append(first, len(like)))
+def _mixture(like: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(proportions, log likelihood, how far it is from the best at most) of each document.
+
+    like: each word's likelihood under each language; n: each document's words; allowed: the languages of its set. The
+    likelihood is concave in the proportions, so its slope bounds what is still to gain. Documents leave as they are done.
+    """
     share = allowed / allowed.sum(axis=1, keepdims=True)
-    of = np.repeat(np.arange(len(first)), n)
-    for _ in range(ITERATIONS):
-        part = like * share[of]
-        part /= np.maximum(part.sum(axis=1, keepdims=True), 1e-300)
-        share = np.add.reduceat(part, first, axis=0) / n[:, None]
-    return share, np.add.reduceat(np.log(np.maximum((like * share[of]).sum(axis=1), 1e-300)), first)
+    value, gap = np.zeros(len(n)), np.zeros(len(n))
+    live, own, size, now, may = np.arange(len(n)), like, n, share.copy(), allowed
+    while len(live):
+        first, of = np.cumsum(size) - size, np.repeat(np.arange(len(size)), size)
+        mix = np.maximum((own * now[of]).sum(axis=1), 1e-300)
+        slope = np.add.reduceat(own / mix[:, None], first, axis=0) * may
+        left = np.maximum(slope.max(axis=1) - size, 0.0)
+        done = left <= TOLERANCE
+        if done.any():
+            at = live[done]
+            share[at], gap[at] = now[done], left[done]
+            value[at] = np.add.reduceat(np.log(mix), first)[done]
+            keep = ~done
+            own, live, size, now, may, slope = own[keep[of]], live[keep], size[keep], now[keep], may[keep], slope[keep]
+        now = now * slope / size[:, None]
+    return share, value, gap
 
 
 def infer(texts: list[str], log_table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(known, proportions): whether a text has a letter, and its languages' proportions after the set's choice.
 
-    One language is compared with the mixture of all first: the latter's likelihood bounds those of the sets between,
-    so these are estimated only where one language does not win already.
+    One language is compared with the mixture of all first: the best likelihood of the latter bounds those of the sets
+    between, so these are estimated only for documents and sizes by which they could still win. Of languages with equal
+    shares the first in alphabetical order counts.
     """
     langs = log_table.shape[1]
     known, out = np.zeros(len(texts), dtype=bool), np.zeros((len(texts), langs))
@@ -111,23 +130,22 @@ def infer(texts: list[str], log_table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of = text[heads]
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     n = np.diff(np.append(first, len(of)))
-    share, likely = _mixture(like, first, np.ones((len(first), langs)))
+    share, likely, gap = _mixture(like, n, np.ones((len(first), langs)))
     single = np.add.reduceat(np.maximum(logs, np.log(1e-300)), first, axis=0)
     top = single.argmax(axis=1)
     best, chosen = single[np.arange(len(first)), top], np.eye(langs)[top]
     cost = PENALTY * (1 + np.log(n) / 2)
-    open_ = np.flatnonzero(likely - cost > best)
-    if len(open_):
+    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+    for k in range(2, langs + 1):
+        open_ = np.flatnonzero(likely + gap - (k - 1) * cost > best)
+        if not len(open_):
+            break
         inside = np.repeat(np.isin(np.arange(len(first)), open_), n)
-        own_like, own_n = like[inside], n[open_]
-        own_first = np.cumsum(own_n) - own_n
-        rank = np.argsort(np.argsort(-share[open_], axis=1, kind="stable"), axis=1)
-        for k in range(2, min(langs, MOST_LANGUAGES) + 1):
-            own, value = _mixture(own_like, own_first, (rank < k).astype(float))
-            value = value - (k - 1) * cost[open_]
-            better = value > best[open_]
-            best[open_] = np.where(better, value, best[open_])
-            chosen[open_] = np.where(better[:, None], own, chosen[open_])
+        own, value, _ = _mixture(like[inside], n[open_], (rank[open_] < k).astype(float))
+        value = value - (k - 1) * cost[open_]
+        better = value > best[open_]
+        best[open_] = np.where(better, value, best[open_])
+        chosen[open_] = np.where(better[:, None], own, chosen[open_])
     known[of[first]] = True
     out[of[first]] = chosen
     return known, out
@@ -136,7 +154,9 @@ def infer(texts: list[str], log_table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """Adds lang_pred, score (its proportion) and lang_mix (the set's languages and proportions).
 
-    Null texts and texts without a letter get "und", 0 and no languages, as do all texts if nothing was learned.
+    Null texts and texts without a letter get "und", 0 and no languages, as do all texts if nothing was learned. Columns
+    of these three names are replaced, all others stay; repeated rows get equal results, an empty table stays empty.
+    Texts are read whole, in time in proportion to their length.
     """
     names, held = model[0], docs.sparkSession.sparkContext.broadcast(model[1])
     small_batches(docs.sparkSession)
@@ -153,9 +173,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             rows.append((mix[0]["lang"], min(1.0, mix[0]["share"]), mix))
         return pd.DataFrame(rows, columns=["lang_pred", "score", "lang_mix"])
 
-    return docs.withColumn("_language", column(whole_text(text))).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "lang_mix")], "_language.*"
-    )
+    # The rows' own columns travel as one, so that no name of theirs can clash.
+    rows = docs.select(F.struct("*").alias("row"), column(whole_text(text)).alias("found"))
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "lang_mix")]
+    return rows.select(*kept, "found.*")
 
 
 def identify(docs: DataFrame, learn: Column, lang: str = "lang", text: str = "text") -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import small_batches, whole_text
@@ -331,17 +331,12 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def with_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
-    """Adds a struct: base and spans (arrays of kind, start, end in code points, end exclusive), base_written,
-    base_sha256, spans_written, masked.
-
-    A null text is read as empty: no spans, masked text empty. All rows stay, repeated ones too.
-    """
-    small_batches(docs.sparkSession)
+def pii_column(text: Column) -> Column:
+    """A struct: base and spans (arrays of kind, start, end in code points, end exclusive), base_sha256, spans_written,
+    n_base, masked."""
     span = "array<struct<kind:string,start:int,end:int>>"
-    kind = f"base_sha256 string, spans_written string, spans {span}, n_base int, masked string"
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(f"base_sha256 string, spans_written string, spans {span}, n_base int, masked string")
     def column(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
@@ -349,10 +344,21 @@ def with_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
             rows.append((hashlib.sha256(written(base).encode()).hexdigest(), written(every), [{"kind": k, "start": s, "end": e} for k, s, e in every], len(base), masked(t, every)))
         return pd.DataFrame(rows, columns=["base_sha256", "spans_written", "spans", "n_base", "masked"])
 
-    return docs.withColumn(out, column(whole_text(text)))
+    return column(text)
+
+
+def with_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
+    """Adds pii_column of the text; a column named as ``out`` is replaced, all others stay.
+
+    A null text is read as empty: no spans, masked text empty. All rows stay, repeated ones too; an empty table stays
+    empty. Texts are read whole, in time in proportion to their length.
+    """
+    small_batches(docs.sparkSession)
+    return docs.withColumn(out, pii_column(whole_text(text)))
 
 
 def mask_pii(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Puts <EMAIL>, <IP>, <CARD> or <PHONE> in place of each span; the other columns stay, null texts stay null."""
-    held = with_pii(docs, text, "_pii")
-    return held.withColumn(text, F.when(F.col(text).isNotNull(), F.col("_pii.masked"))).drop("_pii")
+    """Puts <EMAIL>, <IP>, <CARD> or <PHONE> in place of each span; the other columns stay as they are, whatever their
+    names, null texts stay null, and all rows stay."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(text, F.when(F.col(text).isNotNull(), pii_column(whole_text(text))["masked"]))

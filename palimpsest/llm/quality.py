@@ -1,8 +1,8 @@
 """Quality classification: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-Features are hashed 1- and 2-grams of words, 1- to 3-grams of word shapes ("Ab9!" for "Abc99!!"), and how often a word
-repeats its predecessor. A score is a sparse dot product. Training runs in one executor task over a bounded sample;
-features are made and scores are given where the rows are.
+Words are runs of letters and digits and single other signs; a word that follows itself is read as one word for all
+repeats. Features are their hashed 1- and 2-grams. A score is a sparse dot product. Training runs in one executor task
+over a bounded sample; features are made and scores are given where the rows are.
 """
 
 from __future__ import annotations
@@ -24,26 +24,19 @@ MAX_TRAIN = 8000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 
-_SHAPE = bytes(120 if 97 <= c <= 122 or c >= 128 else 88 if 65 <= c <= 90 else 57 if 48 <= c <= 57 else c for c in range(256))
-_RUN = re.compile(rb"(\S)\1+")
-
-
-def _hashes(words: list[bytes], salt: int) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) * np.uint64(2 * salt + 0x9E3779B97F4A7C15)
+_WORD = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^\sA-Za-z0-9\x80-\xff]")
+#: Stands for a word that follows itself.
+_AGAIN = b"=="
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, values): distinct buckets in order, values of Euclidean length 1; both empty for an empty text."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    if not words:
+    """(buckets, values): distinct buckets in order, values of Euclidean length 1; both empty for a text without words."""
+    found = _WORD.findall(text.encode("utf-8", "surrogatepass"))
+    if not found:
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-    shapes = _RUN.sub(rb"\1", raw.translate(_SHAPE)).split()
-    w, s = _hashes(words, 1), _hashes(shapes, 2)
-    a, b = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-    grams = [w, w[:-1] * a + w[1:], s, s[:-1] * a + s[1:], s[:-2] * b + s[1:-1] * a + s[2:]]
-    again = np.count_nonzero(w[1:] == w[:-1]) + np.count_nonzero(w[2:] == w[:-2])
-    mixed = np.concatenate([*grams, np.full(again, 77, dtype=np.uint64)])
+    words = [_AGAIN if w == before else w for w, before in zip(found, [b"", *found], strict=False)]
+    w = np.fromiter(map(zlib.crc32, words), dtype=np.uint64, count=len(words)) * np.uint64(0x9E3779B97F4A7C15)
+    mixed = np.concatenate([w, w[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + w[1:]])
     mixed ^= mixed >> np.uint64(31)
     bucket, count = np.unique((mixed * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS), return_counts=True)
     value = np.log1p(count)
@@ -95,7 +88,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     rows = rows.select("id", "y", column("text").alias("f")).select("id", "y", "f.*")
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat([*batches], ignore_index=True)
+        parts = [*batches]
+        if not parts:
+            return
+        held = pd.concat(parts, ignore_index=True)
         key = [zlib.crc32(f"{i}".encode()) for i in held["id"]]
         held = held.assign(key=key).sort_values(["key", "id", "i"], ignore_index=True)
         own = [(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y) for i, v, y in zip(held["i"], held["v"], held["y"], strict=True)]
@@ -107,7 +103,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 
 def score(docs: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the probability of label 1; null and empty texts get the bias's."""
+    """Adds the probability of label 1; null, empty and blank texts get the bias's. A column named as ``out`` is replaced,
+    all others stay; all rows stay, repeated ones with equal scores; texts are read whole, in time in proportion to their
+    length."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
     small_batches(docs.sparkSession)
 

@@ -10,6 +10,7 @@ offset, hence its shard and its slot. Only digests, ids and sizes are shuffled,
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import count as count_from
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,8 +65,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
 
     Size is the text's UTF-8 bytes plus 1 (null text: 1). A record goes to the shard that holds its first byte's
     offset in key order, so shards differ from an even share by less than one record; slots count from 0 in each shard
-    in key order. Equal texts are neighbours. Null ids come first among equal texts; repeated rows are ordered by an
-    arbitrary row number, which their equal columns make invisible. Empty tables give an empty result.
+    in key order. Equal texts are neighbours, and a group of them that lies across a shard's end is cut there: the law is
+    on bytes, and at most one group is cut at each end. Null ids come first among equal texts; repeated rows are ordered by an
+    arbitrary row number, which their equal columns make invisible. Empty tables give an empty result. Texts are read
+    whole for their sizes and digests; other columns are not looked at.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -80,14 +83,15 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     n = max(ranges, -(-count // RANGE_ROWS), shards)
     even = max(1.0, total / n)
     splitters = _quantiles(_sampled(narrow, even / OVERSAMPLE, 1), n)
-    for seed in range(2, 12):
+    for seed in count_from(1):
         ranged = narrow.withColumn("range", _range_column(splitters))
-        sums = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("c")).collect()
-        over = {r["range"]: r["b"] for r in sums if r["c"] > 1 and r["b"] > OVERFULL * even}
+        sums = ranged.groupBy("range").agg(F.sum("size").alias("b"), F.max("size").alias("most"), F.count("*").alias("c")).collect()
+        # One record alone may be larger than a range; what lies beside it is bounded.
+        over = {r["range"]: r["b"] for r in sums if r["b"] - r["most"] > OVERFULL * even}
         if not over:
             break
-        # Denser every time; the bytes of the overfull ranges bound the sample.
-        found = _sampled(ranged.where(F.col("range").isin(list(over))), even / (4 * seed), seed)
+        # Twice as dense every time, until it holds every record of a range; the overfull ranges' bytes bound the sample.
+        found = _sampled(ranged.where(F.col("range").isin(list(over))), even / (4 << seed), seed)
         held = {k: [] for k in over}
         for key in found:
             held[bisect_right(splitters, (key[0], -(2**63) if key[1] is None else key[1], key[2]))].append(key)

@@ -3,8 +3,9 @@
 Fingerprints are the 64 majority bits over the XXH64 hashes of a text's 3-word shingles. Equal fingerprints are folded
 first, so a group of copies of any size is one leaf. Two fingerprints that differ in at most three bits agree on one of
 four 16-bit blocks; each block's value is the root of a trie over the other 48 bits, and the roots are the unit of
-distribution. A root with more leaves than ``cap`` is dealt out as a grid of node pairs, so no task holds more than two
-parts of it. Inside a task the trie is traversed with pairs of nodes: the differing bits are added up, a pair is left
+distribution. A root with more leaves than ``cap`` is split at its next bits: pairs of nodes there that differ in no more
+bits than the budget allows are dealt out, and where one such node alone has more leaves than ``cap`` its leaves are split
+by hash besides, so no task holds more than two parts of it. Inside a task the trie is traversed with pairs of nodes: the differing bits are added up, a pair is left
 when its budget is spent, and also when all leaves below it are linked already, so dense groups do not cost their square.
 What leaves a task is a forest (each leaf's smallest linked leaf), never the pairs. Components come from alternating
 large-star and small-star rounds.
@@ -28,6 +29,11 @@ BLOCK = 16
 REST = BITS - BLOCK
 #: Leaves of one trie that a task takes at most, times two for a pair of parts.
 CAP = 16384
+#: Bits by which a root is split at most.
+SPLIT_BITS = 16
+#: A fingerprint or class with more documents or fingerprints is joined on its own, by broadcast: there are at most
+#: rows / HOT of them.
+HOT = 1_000_000
 #: Node pairs with no more leaf pairs than this are compared leaf by leaf.
 LEAF_PAIRS = 64
 #: Node pairs that are expanded at a time; the rest waits on the stack.
@@ -144,12 +150,15 @@ def trie_forest(group: np.ndarray, rest: np.ndarray, budget: int) -> np.ndarray:
     return root
 
 
+#: What names the leaves that a task compares with each other.
+GROUP = ["block_no", "block", "lo", "hi", "i", "j"]
+
+
 def _forests(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFrame]:
     """The links of all tries of one partition, a bounded number of leaves at a time."""
     for held in _whole_groups(batches, 8 * CAP):
-        names = ["block_no", "block", "i", "j"]
-        held = held.sort_values([*names, "rest"], ignore_index=True)
-        group = np.concatenate([[0], np.cumsum((held[names].diff().iloc[1:] != 0).any(axis=1).to_numpy())])
+        held = held.sort_values([*GROUP, "rest"], ignore_index=True)
+        group = np.concatenate([[0], np.cumsum((held[GROUP].diff().iloc[1:] != 0).any(axis=1).to_numpy())])
         fp = held["fp"].to_numpy()
         for at in range(0, int(group[-1]) + 1, 1 << BLOCK):
             here = (group >= at) & (group < at + (1 << BLOCK))
@@ -162,7 +171,6 @@ def _forests(batches: Iterator[pd.DataFrame], budget: int) -> Iterator[pd.DataFr
 
 def _whole_groups(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
     """Frames of about ``rows`` rows of a partition sorted by group, none of which cuts a group."""
-    names = ["block_no", "block", "i", "j"]
     kept: list[pd.DataFrame] = []
     count = 0
     for batch in batches:
@@ -172,7 +180,7 @@ def _whole_groups(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.Dat
         count += len(batch)
         if count >= rows:
             frame = pd.concat(kept, ignore_index=True)
-            last = (frame[names] == frame[names].iloc[-1]).all(axis=1)
+            last = (frame[GROUP] == frame[GROUP].iloc[-1]).all(axis=1)
             if not last.all():
                 yield frame[~last]
                 kept, count = [frame[last]], int(last.sum())
@@ -200,22 +208,28 @@ def link_forest(prints: DataFrame, budget: int = 3, cap: int = CAP) -> DataFrame
         for k in range(BITS // BLOCK)
     ]
     leaves = prints.select("fp", F.explode(F.array(*tries)).alias("x")).select("fp", "x.*")
-    hot = leaves.groupBy("block_no", "block").count().where(F.col("count") > cap)
-    hot = hot.select("block_no", "block", F.ceil(F.col("count") / cap).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda x: F.struct(F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j")),
-    )
-    dealt = (
-        leaves.join(hot, ["block_no", "block"], "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
-        .withColumn("part", part)
-        .select("fp", "block_no", "block", "rest", F.explode(cells).alias("c"))
-        .select("fp", "block_no", "block", "rest", "c.i", "c.j")
-        .repartition("block_no", "block", "i", "j")
-        .sortWithinPartitions("block_no", "block", "i", "j")
-    )
+    names = ["block_no", "block"]
+    # At most four times 65,536 roots, so the table of hot ones can be sent to all tasks.
+    hot = cut(leaves.groupBy(*names).count().where(F.col("count") > cap))
+    cell = F.struct(*[F.lit(0).cast(t).alias(x) for x, t in (("lo", "long"), ("hi", "long"), ("i", "int"), ("j", "int"))])
+    if hot.isEmpty():
+        dealt = leaves.withColumn("c", cell)
+    else:
+        bits = F.least(F.ceil(F.log2(F.col("count") / cap)), F.lit(SPLIT_BITS)).cast("int")
+        split = leaves.join(F.broadcast(hot.select(*names, bits.alias("bits"))), names)
+        split = split.withColumn("node", F.expr(f"shiftrightunsigned(rest, {REST} - bits)"))
+        parts = split.groupBy(*names, "node").count().groupBy(*names).agg(F.ceil(F.max("count") / cap).cast("int").alias("parts"))
+        split = split.join(F.broadcast(parts), names).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+        other = F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), SPLIT_BITS) - 1), lambda m: F.bit_count(m) <= budget))
+        masks = prints.sparkSession.range(1).select(other.alias("mask"))  # some seven hundred
+        split = split.join(F.broadcast(masks), F.col("mask") < F.expr("shiftleft(1L, bits)"))
+        node = F.col("node").bitwiseXOR(F.col("mask"))
+        grid = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct(
+            F.least("node", node).alias("lo"), F.greatest("node", node).alias("hi"), F.least(x, F.col("part")).alias("i"), F.greatest(x, F.col("part")).alias("j"),
+        ))
+        rest = leaves.join(F.broadcast(hot), names, "left_anti").withColumn("c", cell)
+        dealt = rest.unionByName(split.select("fp", *names, "rest", F.explode(grid).alias("c")))
+    dealt = dealt.select("fp", *names, "rest", "c.*").repartition(*GROUP).sortWithinPartitions(*GROUP)
     return dealt.mapInPandas(lambda batches: _forests(batches, budget), "a long, b long")
 
 
@@ -223,7 +237,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches, by large-star and small-star rounds.
 
     Every round is checkpointed; nothing but a count and a hash sum comes to the driver. Self-links and repeated
-    links do no harm.
+    links do no harm. A star's centre is a hot key of the inner joins; its rows are short, and Spark's adaptive execution
+    splits them.
     """
     edges = cut(
         links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") > F.col("b")).distinct()
@@ -244,34 +259,43 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3, cap: int = CAP) -> DataFrame:
-    """One row per document: ``id_col``, fingerprint (16 hex digits), component_id, n_links.
+    """One row per document: ``id_col``, fingerprint (16 hex digits), component_id, class_size.
 
     component_id is the smallest id of all documents reachable over links (null ids are not counted; a class of
-    null ids only has null). n_links counts the distinct fingerprints of the class besides the document's own.
-    Null and word-less texts have fingerprint zero and are linked like any other; repeated rows stay; an empty table
-    gives an empty result; columns other than the two named are not looked at.
+    null ids only has null). class_size counts the class's documents. Null and word-less texts have fingerprint zero and
+    are linked like any other; repeated rows stay; an empty table gives an empty result; texts are read whole, and
+    columns other than the two named are not looked at.
     """
     return _classed_rows(docs, id_col, text, budget, cap).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size"
     )
 
 
+def _spread_join(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """The inner join of rows with ``few``, which has a row for each key and how many rows have it, n. Keys of more than
+    HOT rows do not gather in one task: they are at most rows / HOT, and are sent to the rows instead."""
+    hot = few.where(F.col("n") > HOT)
+    if hot.isEmpty():
+        return rows.join(few, key)
+    hot = F.broadcast(hot)
+    return rows.join(few.where(F.col("n") <= HOT), key).unionByName(rows.join(hot, key))
+
+
 def _row_key(id_col: str, text: str) -> list[Column]:
     """Two hashes of id and text, which tell apart all rows but repeated ones."""
     return [F.xxhash64(id_col, text).alias("_key"), F.hash(id_col, text).alias("_check")]
 
 
 def _classed_rows(docs: DataFrame, id_col: str, text: str, budget: int, cap: int) -> DataFrame:
-    """(id, _key, _check, fp, root, component_id, n_links), a row per document; root names the class."""
+    """(id, _key, _check, fp, root, component_id, class_size), a row per document; root names the class."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), *_row_key(id_col, text))
     base = cut(with_fingerprint(rows, "text", "fp").select("id", "_key", "_check", "fp"))
-    prints = base.groupBy("fp").agg(F.min("id").alias("least_id"))
+    prints = cut(base.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("documents")))
     known = components(link_forest(prints.select("fp"), budget, cap))
-    classed = prints.join(known, prints["fp"] == known["node"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    classed = cut(classed)
-    tops = classed.groupBy("root").agg(F.min("least_id").alias("component_id"), (F.count("*") - 1).alias("n_links"))
-    named = classed.select("fp", "root").join(tops, "root").select("fp", "root", "component_id", "n_links")
-    return base.join(named, "fp")
+    classed = cut(prints.join(known, prints["fp"] == known["node"], "left").select("fp", "least_id", "documents", F.coalesce("root", "fp").alias("root")))
+    tops = cut(classed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.sum("documents").alias("class_size"), F.count("*").alias("n")))
+    named = _spread_join(classed.select("fp", "root", "documents"), tops, "root").drop("n")
+    return _spread_join(base, named.withColumnRenamed("documents", "n"), "fp").drop("n")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:

@@ -10,6 +10,9 @@ enter the result, ties included.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
+from operator import mul
 
 import numpy as np
 import pandas as pd
@@ -23,16 +26,34 @@ CANDIDATE_BLOCK = 8192
 DIM_BLOCK = 16
 #: The first candidates are scored whole, for a first bound.
 SEED_CANDIDATES = 512
+#: Query blocks that meet a candidate block under one key of the join.
+CELL = 16
 #: Below this share of survivors they are scored one by one, above it block by block.
 SPARSE = 0.1
 
 
+def _wide(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """search_blocks for components whose products might not fit a long, by integers of any size. Only a result that
+    does not fit is an error."""
+    rows = []
+    held = [[int(x) for x in v] for v in c.tolist()]
+    for i, v in zip(q_id.tolist(), q.tolist(), strict=True):
+        own = [int(x) for x in v]
+        scores = sorted((-sum(map(mul, own, w)), j) for j, w in zip(c_id.tolist(), held, strict=True) if j != i)[:k]
+        rows += [(i, j, -s) for s, j in scores]
+    if any(abs(s) >= 2**63 for *_, s in rows):
+        raise ValueError("a score among the best does not fit a long")
+    return tuple(np.array(x, dtype=np.int64) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, dtype=np.int64),) * 3
+
+
 def search_blocks(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query ids, candidate ids, scores) of each query's k best candidates other than itself, exact."""
     nq, nc, dims = len(q), len(c), q.shape[1]
+    if object in (q.dtype, c.dtype):
+        return _wide(q_id, q, c_id, c, k)
     longest = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dims, 1)
     if longest >= 2**63:
-        raise ValueError("scores do not fit a long")
+        return _wide(q_id, q, c_id, c, k)
     exact = np.float32 if longest < 2**24 else np.float64 if longest < 2**53 else np.int64
     order = np.argsort(-np.abs(c).sum(axis=0), kind="stable")
     cuts = [order[at : at + DIM_BLOCK] for at in range(0, dims, DIM_BLOCK)]
@@ -71,28 +92,28 @@ def search_blocks(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarr
     return q_id[qi[first]], c_id[ci[first]], part[first].astype(np.int64)
 
 
-def _matrix(rows: pd.Series, dims: int) -> np.ndarray:
-    """Int64 rows, short vectors padded with zeros."""
-    out = np.zeros((len(rows), dims), dtype=np.int64)
+def _matrix(rows: list, dims: int, scale: int) -> np.ndarray:
+    """floor(scale * x) of the components, short vectors padded with zeros; integers of any size where some are wide."""
+    out = np.zeros((len(rows), dims))
     for i, v in enumerate(rows):
         out[i, : len(v)] = v
-    return out
+    if np.abs(out).max(initial=0) * scale < 2**62:
+        return np.floor(out * scale).astype(np.int64)
+    return np.array([[floor(Fraction(x) * scale) for x in v] for v in out.tolist()], dtype=object).reshape(len(rows), dims)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vector: str = "embedding",
           query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """(query_id, rank, id, score) for the queries, the rows whose id is divisible by ``every``, against all other rows.
 
-    Components x count as floor(scale * x). Rows with a null id, a null vector, or null or non-finite components take
-    no part; shorter vectors count as padded with zeros; ties go to the smaller id; a repeated id is one candidate for
-    each of its rows, and a query row never meets rows of its own id. An empty table gives an empty result.
+    Components x count as floor(scale * x), exactly at any size; a score among the best beyond a long is an error. Rows
+    with a null id, a null vector, or null or non-finite components take no part; shorter vectors count as padded with
+    zeros; ties go to the smaller id; a repeated id is one candidate for each of its rows, and a query row never meets
+    rows of its own id. An empty table gives an empty result; other columns are not looked at.
     """
     x = F.col(vector).cast("array<double>")
-    limit = F.lit(2.0**62)
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < limit))
-    whole = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).select(
-        F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * scale).cast("long")).alias("v")
-    )
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    whole = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
     whole = cut(whole.withColumn("row", F.monotonically_increasing_id()))
     is_query = F.pmod("id", F.lit(every)) == 0
     sizes = whole.agg(F.count("*"), F.sum(is_query.cast("int")), F.max(F.size("v"))).first()
@@ -103,14 +124,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     # A block holds query_block or candidate_block rows on average by construction, whatever the ids or vectors are.
     queries = pack(whole.where(is_query), q_blocks, 1).select(F.col("block").alias("qb"), F.col("rows").alias("q"))
     candidates = pack(whole, c_blocks, 2).select(F.col("block").alias("cb"), F.col("rows").alias("c"))
-    grid_q = queries.select("qb", "q", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
-    pairs = grid_q.join(candidates, "cb")
+    grid_q = queries.select((F.col("qb") % -(-q_blocks // CELL)).alias("salt"), "q", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
+    # Every candidate block is dealt to several keys, so that no key gathers more than CELL query blocks.
+    dealt = candidates.select("cb", "c", F.explode(F.sequence(F.lit(0), F.lit(-(-q_blocks // CELL) - 1))).alias("salt"))
+    pairs = grid_q.join(dealt, ["cb", "salt"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for q, c in zip(batch["q"], batch["c"], strict=True):
                 ids = [np.array([r["id"] for r in rows], dtype=np.int64) for rows in (q, c)]
-                vectors = [_matrix([r["v"] for r in rows], dims) for rows in (q, c)]
+                vectors = [_matrix([r["v"] for r in rows], dims, scale) for rows in (q, c)]
                 found = search_blocks(ids[0], vectors[0], ids[1], vectors[1], k)
                 yield pd.DataFrame(dict(zip(("query_id", "id", "score"), found, strict=True)))
 

@@ -4,7 +4,8 @@ A word's vector is the mean of its hashed character n-grams' vectors (with the w
 shares most of a known word's vectors. A window's vector is the mean of its words'; a linear softmax maps it to two
 classes, and a document's score is that of its most toxic window, so that neither long texts dilute a passage nor
 whole texts have to be cut. Labels are on documents, so training alternates between choosing each document's windows
-with the present model and fitting the model to them.
+with the present model and fitting the model to them; the first choice goes by how often the documents of either class
+hold the windows' n-grams. An n-gram that few documents hold has no vector.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ DIMS = 4
 WINDOW, STRIDE = 6, 3
 #: Expected sample rows of each class.
 MAX_TOXIC, MAX_CLEAN = 1000, 2500
-ROUNDS, STEPS, RATE, DECAY = 8, 30, 0.05, 1e-4
+#: Documents that hold an n-gram with a vector, at least; by how many documents a first odds ratio is drawn to none.
+LEAST_DOCS, SHRINK = 3, 3.0
+ROUNDS, STEPS, RATE, DECAY = 5, 30, 0.05, 1e-2
 
 _WORD = re.compile(r"\w+")
 
@@ -78,6 +81,19 @@ def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     return start, np.minimum(start + WINDOW, n)
 
 
+def _documents_with(counts: np.ndarray, token: np.ndarray, flat: np.ndarray, subs: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket how many documents hold it, and how many toxic ones."""
+    first, at = np.cumsum(subs) - subs, np.cumsum(counts) - counts
+    held = np.zeros((2, BUCKETS), dtype=np.int64)
+    for d, (lo, n) in enumerate(zip(at, counts, strict=True)):
+        own = np.unique(token[lo : lo + n])
+        m = subs[own]
+        inside = np.unique(flat[np.repeat(first[own] - (np.cumsum(m) - m), m) + np.arange(m.sum())])
+        held[0, inside] += 1
+        held[1, inside] += int(y[d] == 1)
+    return held[0], held[1]
+
+
 def train(texts: list[str], toxic: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
     """(a figure for each subword bucket, bias): the two classes' difference, to which the trained model reduces."""
     rng = np.random.default_rng(seed)
@@ -98,23 +114,25 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> tuple[np.ndarray
     first = np.cumsum(subs) - subs
     start, end, doc = np.concatenate(starts), np.concatenate(ends), np.concatenate(doc)
     size = end - start
-    table = rng.normal(0, 0.1, (BUCKETS, DIMS))
+    held, toxic_held = _documents_with(counts, token, flat, subs, y)
+    common = held >= LEAST_DOCS
+    table = rng.normal(0, 0.1, (BUCKETS, DIMS)) * common[:, None]
     soft = rng.normal(0, 0.1, (DIMS, 2))
     bias = np.zeros(2)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft, bias)]
     step = 0
 
-    def window_scores() -> np.ndarray:
-        figure = table @ (soft[:, 1] - soft[:, 0])
+    def window_scores(figure: np.ndarray) -> np.ndarray:
         word = np.add.reduceat(figure[flat], first) / subs
         total = np.concatenate([[0], np.cumsum(word[token])])
         return (total[end] - total[start]) / size
 
+    odds = np.log((toxic_held + 0.5) / ((y == 1).sum() + 1)) - np.log((held - toxic_held + 0.5) / ((y == 0).sum() + 1))
     for turn in range(ROUNDS):
-        value = window_scores() if turn else rng.random(len(doc))
+        value = window_scores(table @ (soft[:, 1] - soft[:, 0]) if turn else odds * common * held / (held + SHRINK))
         order = np.lexsort((-value, doc))
         nth = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-        most = np.where(y[doc[order]] == 1, 8 if turn == 0 else 3 if turn < 3 else 1, 8 if turn == 0 else 4)
+        most = np.where(y[doc[order]] == 1, 3 if turn < 2 else 1, 4)
         pick = order[nth < most]
         extra = rng.choice(len(doc), min(len(doc), 2000), replace=False)
         pick = np.unique(np.concatenate([pick, extra[y[doc[extra]] == 0]]))
@@ -139,7 +157,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 1) -> tuple[np.ndarray
             p *= balance[:, None] * 1000
             d_mean = (p @ soft.T) / n[:, None]
             d_word = np.stack([np.bincount(local, d_mean[of_n, k], len(used)) for k in range(DIMS)], axis=1) / m[:, None]
-            d_rows = np.stack([np.bincount(sub, d_word[of_m, k], len(rows)) for k in range(DIMS)], axis=1)
+            d_rows = np.stack([np.bincount(sub, d_word[of_m, k], len(rows)) for k in range(DIMS)], axis=1) * common[rows][:, None]
             for p_, g, (a, b), own in ((table, d_rows, state[0], rows), (soft, mean.T @ p, state[1], slice(None)), (bias, p.sum(axis=0), state[2], slice(None))):
                 g = g / 1000 + DECAY * p_[own] * (p_ is not bias) / 1000
                 a[own] = 0.9 * a[own] + 0.1 * g
@@ -157,7 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_toxic: int
     rows = docs.select(F.col(id_col).alias("id"), whole_text(text).alias("text")).join(sample, "id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = pd.concat([*batches], ignore_index=True).sort_values(["id", "text"], ignore_index=True)
+        own = [*batches]
+        if not own:
+            return
+        held = pd.concat(own, ignore_index=True).sort_values(["id", "text"], ignore_index=True)
         figure, bias = train(list(held["text"]), list(held["y"]))
         yield pd.DataFrame({"w": [figure.tobytes()], "b": [bias]})
 
@@ -180,7 +201,9 @@ def probabilities(texts: list[str], figure: np.ndarray, bias: float) -> np.ndarr
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the probability that the text is toxic; null, empty and word-less texts get the bias's."""
+    """Adds the probability that the text is toxic; null, empty and word-less texts get the bias's. A column named as
+    ``out`` is replaced, all others stay; all rows stay, repeated ones with equal scores; texts are read whole, in time in
+    proportion to their length."""
     held, bias = docs.sparkSession.sparkContext.broadcast(model[0]), model[1]
     small_batches(docs.sparkSession)
 
