@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from palimpsest.plans import more
 from palimpsest.plans.queries import QUERIES
 
 
 def queries() -> dict:
-    return {name: query for name, (query, _) in QUERIES.items()}
+    return {name: query for name, (query, _) in (QUERIES | more.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
+    return {name: sql for name, (_, sql) in (QUERIES | more.QUERIES).items() if sql} | more.TWINS

@@ -13,6 +13,13 @@ JAVA_KEYWORDS = tuple(
     "implements import instanceof int interface long native new package private protected public return short static strictfp super switch "
     "synchronized this throw throws transient try void volatile while".split()
 )
+CSHARP_KEYWORDS = tuple(
+    "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false "
+    "finally fixed float for foreach goto if implicit in int interface internal is lock long namespace new null object operator out override params private "
+    "protected public readonly ref return sbyte sealed short sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked "
+    "unsafe ushort using virtual void volatile while add alias ascending async await by descending dynamic equals from get global group into join let nameof "
+    "notnull on orderby partial remove select set unmanaged value var when where yield".split()
+)
 BASIC_TYPES = ("boolean", "byte", "char", "double", "float", "int", "long", "short")
 MODIFIERS = ("abstract", "default", "final", "native", "private", "protected", "public", "static", "strictfp", "synchronized", "transient", "volatile")
 PREFIX, POSTFIX = ("++", "--", "!", "~", "+", "-"), ("++", "--")
@@ -71,9 +78,22 @@ def operator_role(token: Column) -> Column:
 C_PIECES = r"""//[^\n]*|/\*(?s:.*?)\*/|'[^\\']*(?:\\(?s:.)[^\\']*)*'|"[^\\"]*(?:\\(?s:.)[^\\"]*)*"|[^/'"]+|[/'"]"""
 
 
-def remove_comments(c: Column) -> Column:
-    """A C-like text with a space for each comment and without blank lines; literals stay whole."""
-    pieces = F.transform(F.regexp_extract_all(c, F.lit(f"({C_PIECES})"), 1), lambda p: F.when(p.rlike("^/[/*]"), " ").otherwise(p))
+#: The same of a Python text.
+PYTHON_PIECES = r"""#[^\n]*|'{3}(?s:.*?)'{3}|"{3}(?s:.*?)"{3}|'[^\\'\n]*(?:\\[^\n][^\\'\n]*)*'|"[^\\"\n]*(?:\\[^\n][^\\"\n]*)*"|[^#'"]+|['"]"""
+
+
+def remove_comments(c: Column, language: str = "java") -> Column:
+    """A text without comments and blank lines; literals stay whole. In a C-like one a space stands for each comment; in
+    "python" strings that stand alone at a line's start go too; "ruby" stays as it is."""
+    if language == "ruby":
+        return c
+    found = F.regexp_extract_all(c, F.lit(f"({PYTHON_PIECES if language == 'python' else C_PIECES})"), 1)
+    if language == "python":
+        before = lambda i: F.when(i > 0, F.get(found, F.greatest(i - 1, F.lit(0)))).otherwise("\n")
+        gone = lambda p, i: p.startswith("#") | (p.rlike("""^["']""") & before(i).rlike(r"\n[ \t]*$"))
+        pieces = F.transform(found, lambda p, i: F.when(gone(p, i), "").otherwise(p))
+    else:
+        pieces = F.transform(found, lambda p: F.when(p.rlike("^/[/*]"), " ").otherwise(p))
     return F.array_join(F.filter(F.split(F.array_join(pieces, ""), "\n"), lambda line: line.rlike(r"[^ \t\r\f]")), "\n")
 
 

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The blanks that separate tokens, the same in every engine.
-BLANKS = r"[ \t\n\r\f]+"
+# The blanks that separate tokens, as the inside of a character class; the same in every engine.
+BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+BLANKS = f"[{BLANK}]+"
 
 # The edit plan's markers.
-_SPANS = ("KEEP", "INSERT", "DELETE", "REPLACE")
 EDIT_TOKENS = (
-    "<KEEP>", "<KEEP_END>", "<INSERT>", "<INSERT_END>", "<DELETE>", "<DELETE_END>", "<REPLACE_OLD>", "<REPLACE_NEW>", "<REPLACE_END>",
+    "<REPLACE>", "<REPLACE_OLD>", "<REPLACE_NEW>", "<REPLACE_END>",
     "<REPLACE_OLD_KEEP_BEFORE>", "<REPLACE_NEW_KEEP_BEFORE>", "<REPLACE_OLD_KEEP_AFTER>", "<REPLACE_NEW_KEEP_AFTER>",
-    "<REPLACE_OLD_DELETE_KEEP_BEFORE>", "<REPLACE_NEW_DELETE_KEEP_BEFORE>", "<REPLACE_OLD_DELETE_KEEP_AFTER>",
-    "<REPLACE_NEW_DELETE_KEEP_AFTER>", "<INSERT_OLD_KEEP_BEFORE>", "<INSERT_NEW_KEEP_BEFORE>", "<INSERT_OLD_KEEP_AFTER>",
-    "<INSERT_NEW_KEEP_AFTER>", "<REPLACE>",
+    "<REPLACE_OLD_DELETE_KEEP_BEFORE>", "<REPLACE_NEW_DELETE_KEEP_BEFORE>", "<REPLACE_OLD_DELETE_KEEP_AFTER>", "<REPLACE_NEW_DELETE_KEEP_AFTER>",
+    "<INSERT>", "<INSERT_OLD>", "<INSERT_NEW>", "<INSERT_END>",
+    "<INSERT_OLD_KEEP_BEFORE>", "<INSERT_NEW_KEEP_BEFORE>", "<INSERT_OLD_KEEP_AFTER>", "<INSERT_NEW_KEEP_AFTER>",
+    "<DELETE>", "<DELETE_END>", "<KEEP>", "<KEEP_END>",
 )
 
 
@@ -37,6 +38,19 @@ def split_raw_input(c: Column) -> tuple[Column, Column]:
     return F.trim(parts[0]), F.trim(F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "</s>"))
 
 
+def split_model_input(c: Column, strip_context: bool = False) -> tuple[Column, Column]:
+    """(source, context) of a rendered input: what stands before the first </s>, and the other parts joined by </s>. The
+    text's ends and the source's right end lose their blanks, the context's left end only with strip_context."""
+    parts = F.split(F.regexp_replace(c, f"^{BLANKS}|{BLANKS}$", ""), "</s>")
+    rest = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "</s>")
+    return F.regexp_replace(parts[0], f"{BLANKS}$", ""), F.regexp_replace(rest, f"^{BLANKS}", "") if strip_context else rest
+
+
+def truncate_tokens(c: Column, most: int = 512) -> Column:
+    """The first tokens of a text, joined by single spaces."""
+    return F.array_join(F.slice(tokens(c), 1, most), " ")
+
+
 def render_model_input(source: Column, context: Column) -> Column:
     return F.concat_ws(" </s> ", source, context)
 
@@ -65,6 +79,11 @@ def remove_edits(c: Column) -> Column:
     return F.when(at == 0, F.lit("")).otherwise(F.array_join(F.slice(words, at + 1, F.greatest(F.size(words) - at, F.lit(0))), " "))
 
 
+def strip_generation_edits(rows: DataFrame, column: str = "pred") -> DataFrame:
+    """A table of generations without their plans; a row whose text has no marker stays, with an empty text."""
+    return rows.withColumn(column, remove_edits(F.col(column)))
+
+
 def separate_gen_edit(c: Column) -> tuple[Column, Column]:
     """(what follows the last edit marker, what goes up to it); without a marker all is the former."""
     words = tokens(c)
@@ -100,7 +119,7 @@ def subtokenize_comment(c: Column, remove_tag: bool = True) -> Column:
         c = F.replace(c, F.lit(mark), F.lit(""))
     if remove_tag:
         c = remove_html_tag(F.trim(c))
-    found = F.regexp_extract_all(c, F.lit("([a-zA-Z0-9]+|[^ \\t\\n\\r\\fa-zA-Z0-9])"), 1)
+    found = F.regexp_extract_all(c, F.lit(f"([a-zA-Z0-9]+|[^{BLANK}a-zA-Z0-9])"), 1)
     split = F.flatten(F.transform(found, lambda t: F.split(F.regexp_replace(t, "([a-z0-9])([A-Z])", "$1 $2"), " ")))
     return F.array_join(F.transform(split, F.lower), " ")
 

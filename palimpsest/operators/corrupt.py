@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.code import tokenize_java
 from palimpsest.functions.text import tokens
 
 # Mean noise spans and their length, and the actions' thresholds (delete, delete or insert).
@@ -18,40 +19,86 @@ def draw(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-def corrupt(lines: DataFrame, modality: str = "nl", seed: int = 20, most: int = 512) -> DataFrame:
-    """(id, noisy, clean, n_noise): lines of 2 to ``most`` tokens whose noise fits, with their spans deleted, replaced
-    by a sentinel, or left out; the other lines go. Noise and other tokens alternate, and noise comes last.
+def tokenize_by_modality(c: Column, modality: str) -> Column:
+    """Tokens of source code, none of a malformed one, or words between blanks."""
+    return tokenize_java(c) if modality == "code" else tokens(c)
 
-    lines: id and text.
+
+def composition(total: Column, parts: Column, seed: int, key: Column, what: str) -> Column:
+    """array of ``parts`` positive lengths that sum to the total, every way to cut it equally likely: cuts are drawn one
+    by one among the places that are left."""
+    none = F.array().cast("array<int>")
+    turns = F.when(parts > 1, F.sequence(F.lit(1), parts - 1)).otherwise(none)
+
+    def one(cuts: Column, j: Column) -> Column:
+        name = F.when(j > 1, F.concat_ws(":", F.lit(what), j.cast("string"))).otherwise(what)
+        nth = F.floor(draw(F.lit(seed), key, name) * (total - j)).cast("int") + 1
+        return F.array_sort(F.concat(cuts, F.array(F.aggregate(cuts, nth, lambda x, cut: F.when(cut <= x, x + 1).otherwise(x)))))
+
+    cuts = F.aggregate(turns, none, one)
+    return F.zip_with(F.concat(cuts, F.array(total)), F.concat(F.array(F.lit(0)), cuts), lambda hi, lo: hi - lo)
+
+
+def segment_ids(lengths: Column) -> Column:
+    """array of the number of its segment for each element of segments of these lengths."""
+    return F.flatten(F.transform(lengths, lambda n, i: F.array_repeat(i, n)))
+
+
+def noise_lengths(lines: DataFrame, mean_count: float, mean_length: float, seed: int = 20) -> DataFrame:
+    """Adds noise (noise tokens in all), plain_runs and noise_runs (lengths; runs alternate, a plain one first). Rows that
+    cannot be cut into that many runs go. lines: id, size."""
+    t = lines.withColumn("noise", F.least(F.greatest(F.lit(round(mean_count * mean_length)), F.lit(1)), F.col("size") - 1)).where("size >= 2")
+    t = t.withColumn("spans", F.greatest(F.lit(1), F.rint(F.col("noise") / mean_length)).cast("int"))
+    t = t.where((F.col("noise") >= F.col("spans")) & (F.col("size") - F.col("noise") >= F.col("spans")))
+    runs = lambda what, total: composition(total, F.col("spans"), seed, F.col("id"), what)
+    return t.withColumn("plain_runs", runs("plain", F.col("size") - F.col("noise"))).withColumn("noise_runs", runs("noise", F.col("noise")))
+
+
+def noise_mask(plain_runs: Column, noise_runs: Column) -> Column:
+    """0/1 for each token: 1 for noise."""
+    both = F.flatten(F.zip_with(plain_runs, noise_runs, lambda p, q: F.array(p, q)))
+    return F.transform(segment_ids(both), lambda i: i % 2)
+
+
+def corrupt(lines: DataFrame, modality: str = "nl", seed: int = 20, most: int = 512, spans: tuple[float, float] | None = None, words=tokens) -> DataFrame:
+    """(id, noisy, clean, n_noise, mask, labels): lines of 2 to ``most`` tokens whose noise fits, with their spans
+    deleted, replaced by a sentinel, or left out; the other lines go. Noise and other tokens alternate, noise comes last.
+
+    lines: id and text. spans: mean number and length of noise spans, the modality's by default. words: the tokens of a
+    text. A deleted span shows its tokens behind the sentinel, if it has more than one; an inserted one leaves nothing,
+    and the token before it is labelled. labels: <KEEP>, <DELETE>, <REPLACE> or <INSERT> for each token of noisy.
     """
-    count, length = SPANS[modality]
-    n_noise = round(count * length)
-    most_spans = max(1, round(n_noise / length))
-    if most_spans > 2:
-        raise ValueError("one or two spans")
-    t = lines.select("id", tokens(F.col("text")).alias("t")).withColumn("size", F.size("t"))
-    t = t.where((F.col("size") <= most) & (F.col("size") >= 2)).withColumn("noise", F.least(F.lit(n_noise), F.col("size") - 1))
-    t = t.withColumn("spans", F.greatest(F.lit(1), F.round(F.col("noise") / length)).cast("int")).withColumn("plain", F.col("size") - F.col("noise"))
-    t = t.where((F.col("noise") >= F.col("spans")) & (F.col("plain") >= F.col("spans")))
-
-    def first(what: str, total: Column) -> Column:
-        """The first segment's length: all of it, or an even chance over the ways to make two of it."""
-        cut = F.floor(draw(F.lit(seed), F.col("id"), F.lit(what)) * (total - 1)).cast("int") + 1
-        return F.when(F.col("spans") == 1, total).otherwise(cut)
-
-    t = t.withColumn("p1", first("plain", F.col("plain"))).withColumn("q1", first("noise", F.col("noise")))
-    lengths = [(F.col("p1"), F.col("q1")), (F.col("plain") - F.col("p1"), F.col("noise") - F.col("q1"))][:most_spans]
-    none = F.array().cast("array<string>")
+    t = lines.select("id", words(F.col("text")).alias("t")).withColumn("size", F.size("t")).where(F.col("size") <= most)
+    t = noise_lengths(t, *(spans or SPANS[modality]), seed)
     low, high = ACTIONS[modality]
-    out, at = [], F.lit(0)
-    for k, (p, q) in enumerate(lengths):
-        own, mark = F.slice(F.col("t"), at + p + 1, q), F.array(F.lit(f"<extra_id_{k}>"))
-        u = draw(F.lit(seed), F.col("id"), F.lit("action"), F.lit(k))
-        # A deleted span shows its tokens behind the sentinel, if it has more than one; an inserted one leaves nothing.
-        noisy = F.when(q == 0, none).when(u < low, F.concat(mark, F.when(q > 1, own).otherwise(none))).when(u < high, none).otherwise(mark)
-        out += [F.slice("t", at + 1, p), noisy]
-        at = at + p + q
-    return t.select("id", F.array_join(F.concat(*out), " ").alias("noisy"), F.array_join("t", " ").alias("clean"), F.col("noise").alias("n_noise"))
+    before = lambda runs, k: F.aggregate(F.slice(runs, 1, k), F.lit(0), lambda a, n: a + n)
+    keep = lambda n: F.array_repeat(F.lit("<KEEP>"), n)
+    label = lambda x: F.array(F.lit(f"<{x}>"))
+
+    def span(k: Column) -> Column:
+        p, q = F.get("plain_runs", k), F.get("noise_runs", k)
+        at = before(F.col("plain_runs"), k) + before(F.col("noise_runs"), k)
+        plain, own = F.slice("t", at + 1, p), F.slice("t", at + p + 1, q)
+        mark = F.array(F.concat(F.lit("<extra_id_"), k.cast("string"), F.lit(">")))
+        u = draw(F.lit(seed), F.col("id"), F.lit("action"), k)
+        shown = F.when(q > 1, own).otherwise(F.array().cast("array<string>"))
+        out = F.when(u < low, F.concat(plain, mark, shown)).when(u < high, plain).otherwise(F.concat(plain, mark))
+        labels = (
+            F.when(u < low, F.concat(keep(p), label("DELETE"), keep(F.size(shown)))).when(u < high, F.concat(keep(p - 1), label("INSERT")))
+            .otherwise(F.concat(keep(p), label("REPLACE")))
+        )
+        return F.struct(out.alias("out"), labels.alias("labels"))
+
+    t = t.withColumn("x", F.transform(F.sequence(F.lit(0), F.col("spans") - 1), span))
+    return t.select(
+        "id", F.array_join(F.flatten("x.out"), " ").alias("noisy"), F.array_join("t", " ").alias("clean"), F.col("noise").alias("n_noise"),
+        noise_mask(F.col("plain_runs"), F.col("noise_runs")).alias("mask"), F.flatten("x.labels").alias("labels"),
+    )
+
+
+def corrupt_code(lines: DataFrame, seed: int = 20, most: int = 512) -> DataFrame:
+    """corrupt over the tokens of source code; malformed lines go."""
+    return corrupt(lines, "code", seed, most, words=tokenize_java)
 
 
 def noise_spans(mask: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPCODES = "array<struct<tag:string,o_start:int,o_end:int,n_start:int,n_end:int>>"
@@ -75,3 +75,22 @@ def replay_opcodes(ops: Column, old: Column, new: Column) -> Column:
 
 def full_replace_plan(old: Column, new: Column) -> Column:
     return F.concat(F.array(F.lit("<REPLACE_OLD>")), old, F.array(F.lit("<REPLACE_NEW>")), new, F.array(F.lit("<REPLACE_END>")))
+
+
+def coarse_diff(ops: Column, old: Column, new: Column) -> Column:
+    """array of (kind, children) for the opcodes: a replacement's children are its old tokens, <REPLACE_NEW>, its new ones."""
+    mark = lambda m: F.lit(f"<{m}>")
+
+    def one(op: Column) -> Column:
+        o, n = _part(old, op["o_start"], op["o_end"]), _part(new, op["n_start"], op["n_end"])
+        kind = F.when(op["tag"] == "equal", mark("KEEP")).otherwise(F.concat(F.lit("<"), F.upper(op["tag"]), F.lit(">")))
+        children = F.when(op["tag"] == "insert", n).when(op["tag"] == "replace", F.concat(o, F.array(mark("REPLACE_NEW")), n)).otherwise(o)
+        return F.struct(kind.alias("kind"), children.alias("children"))
+
+    return F.transform(ops, one)
+
+
+def edit_neighbours(nodes: DataFrame, by: str = "example_id", order: str = "op_idx", kind: str = "kind") -> DataFrame:
+    """Adds prev_kind and next_kind, the kinds of the nodes before and behind in the same example; null at its ends."""
+    w = Window.partitionBy(by).orderBy(order)
+    return nodes.withColumn("prev_kind", F.lag(kind).over(w)).withColumn("next_kind", F.lead(kind).over(w))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import drop_punctuation, subtokenize_comment, tokens
+from palimpsest.functions.text import drop_punctuation, empty_placeholder, subtokenize_comment, tokens
 from palimpsest.operators.ngrams import ORDERS, ngram_table, total
 
 N = range(1, ORDERS + 1)
@@ -20,19 +21,15 @@ OFF_TIE = 1e-9
 
 
 def overlap_stats(rows: DataFrame, orders: int = ORDERS) -> DataFrame:
-    """For each example: lengths hlen, rlen, and for each order num (clipped matches), den, pen (matches with the
-    source only). rows: example_id, src, ref, pred. The smoothing methods 5 and 7 need five orders."""
+    """For each example: lengths hlen, rlen, and for each order num (clipped matches), pen (matches with the source
+    only). rows: example_id, src, ref, pred. The smoothing methods 5 and 7 need five orders."""
     sides = {"src": tokens(F.col("src")), "ref": tokens(F.col("ref")), "hyp": tokens(F.col("pred"))}
-    lengths = rows.select("example_id", F.size(sides["hyp"]).alias("hlen"), F.size(sides["ref"]).alias("rlen"))
     h, r, s = F.col("c_hyp"), F.col("c_ref"), F.col("c_src")
     ns = range(1, orders + 1)
-    sums = ngram_table(rows, ["example_id"], sides, orders).groupBy("example_id").agg(
-        *[total(F.least(h, r), n).alias(f"num{n}") for n in ns],
+    return ngram_table(rows, ["example_id"], sides, orders, whole=True).groupBy("example_id").agg(
+        total(h, 1).cast("int").alias("hlen"), total(r, 1).cast("int").alias("rlen"), *[total(F.least(h, r), n).alias(f"num{n}") for n in ns],
         *[total(F.when(r == 0, F.least(h, s)).otherwise(0), n).alias(f"pen{n}") for n in ns],
     )
-    # An example without any token on any side has no gram.
-    zero = {f"{k}{n}": 0 for k in ("num", "pen") for n in ns}
-    return lengths.join(sums, "example_id", "left").na.fill(zero)
 
 
 def _mean(values: list[Column], weights: list[Column] | None = None) -> Column:
@@ -112,19 +109,36 @@ def original_gleu_stats(rows: DataFrame, refs: DataFrame) -> DataFrame:
     """For each example: hlen, the closest reference's length rlen, and by order own (matches with what only the
     references hold), num (all matches), pen (matches with what only the source holds). Of a gram the references count
     their largest. rows: example_id, src, pred; refs: example_id, ref_idx, ref."""
-    own = ngram_table(rows, ["example_id"], {"src": tokens(F.col("src")), "hyp": tokens(F.col("pred"))}).where(F.col("c_hyp") > 0)
-    r = ngram_table(refs, ["example_id", "ref_idx"], {"ref": tokens(F.col("ref"))}).groupBy("example_id", "n", "gram").agg(F.max("c_ref").alias("r"))
-    both = own.join(r, ["example_id", "n", "gram"], "left").withColumn("r", F.coalesce("r", F.lit(0)))
-    h, c, s = F.col("c_hyp"), F.col("r"), F.col("c_src")
-    sums = both.groupBy("example_id").agg(
+    t = several_table(rows, refs, {"src": "src", "hyp": "pred"})
+    h, c, s = F.col("c_hyp"), F.col("most"), F.col("c_src")
+    sums = t.groupBy("example_id").agg(
+        total(h, 1).alias("hlen"), F.max("lengths").alias("lengths"),
         *[total(F.when(s == 0, F.least(h, c)).otherwise(0), n).alias(f"own{n}") for n in N], *[total(F.least(h, c), n).alias(f"num{n}") for n in N],
         *[total(F.when(c == 0, F.least(h, s)).otherwise(0), n).alias(f"pen{n}") for n in N],
     )
-    lengths = rows.select("example_id", F.size(tokens(F.col("pred"))).alias("hlen"))
-    near = refs.select("example_id", "ref_idx", F.size(tokens(F.col("ref"))).alias("r")).join(lengths, "example_id")
     # Of references equally near, the first counts.
-    near = near.groupBy("example_id", "hlen").agg(F.min_by("r", F.struct(F.abs(F.col("r") - F.col("hlen")), "ref_idx")).alias("rlen"))
-    return near.join(sums, "example_id", "left").na.fill({f"{k}{n}": 0 for k in ("own", "num", "pen") for n in N})
+    near = F.array_min(F.transform("lengths", lambda x: F.struct(F.abs(x["len"] - F.col("hlen")), x["ref_idx"], x["len"].alias("len"))))["len"]
+    return sums.withColumn("rlen", near).drop("lengths")
+
+
+def several_table(rows: DataFrame, refs: DataFrame, sides: dict[str, str]) -> DataFrame:
+    """(example_id, n, gram, c_<side> for each side, most, lengths) for the examples that have references: of a gram the
+    largest count over the references; at order 0 their lengths, (ref_idx, len), in order.
+
+    rows: example_id and the sides' columns; refs: example_id, ref_idx, ref. Both are put below each other and dealt by
+    example once, so that one shuffle and two groupings serve all.
+    """
+    own = [rows.select("example_id", F.lit(-1 - k).alias("ref_idx"), F.col(c).alias("text")) for k, c in enumerate(sides.values())]
+    long = reduce(DataFrame.unionByName, [*own, refs.select("example_id", F.col("ref_idx").cast("int").alias("ref_idx"), F.col("ref").alias("text"))])
+    t = ngram_table(long, ["example_id", "ref_idx"], {"x": tokens(F.col("text"))}, whole=True)
+    length = F.sum(F.when(F.col("n") == 1, F.col("c_x")).otherwise(0)).over(Window.partitionBy("example_id", "ref_idx"))
+    t = t.withColumn("len", length)
+    of = lambda k: F.coalesce(F.max(F.when(F.col("ref_idx") == -1 - k, F.col("c_x"))), F.lit(0))
+    lengths = F.array_sort(F.collect_list(F.when((F.col("n") == 0) & (F.col("ref_idx") >= 0), F.struct("ref_idx", "len"))))
+    whole = t.groupBy("example_id", "n", "gram").agg(
+        *[of(k).alias(f"c_{s}") for k, s in enumerate(sides)], F.coalesce(F.max(F.when(F.col("ref_idx") >= 0, F.col("c_x"))), F.lit(0)).alias("most"), lengths.alias("lengths")
+    )
+    return whole.withColumn("lengths", F.when(F.size("lengths") > 0, F.col("lengths")))
 
 
 def original_gleu(stats: DataFrame, lambdas: tuple[float, ...] = (0.0, 0.5, 1.0)) -> DataFrame:
@@ -203,97 +217,195 @@ def evaluation_summary(rows: DataFrame, comment: bool, code: DataFrame | None =
 
     rows: example_id, src, ref, pred. comment: whether the texts are comments, which are compared by their sub-tokens,
     have no code metric and may have a supplied one (meteor: example_id, meteor, out of 1). code: example_id,
-    code_bleu, for other texts.
+    code_bleu, for other texts. All built-in metrics are sums over one n-gram table, in which the lower-cased tokens of
+    SARI are sides of their own.
     """
     view = (lambda c: subtokenize_comment(F.col(c))) if comment else F.col
     texts = rows.select("example_id", *[view(c).alias(c) for c in ("src", "ref", "pred")])
-    filled = texts.withColumn("pred", F.when(F.col("pred") == "", "<EMPTY>").otherwise(F.col("pred")))
-    stats = overlap_stats(filled)
-    per = sentence_bleu(stats).join(sentence_gleu(stats), "example_id").join(sari(filled.withColumn("refs", F.array("ref"))).select("example_id", "sari"), "example_id")
-    flag = lambda a, b: (F.col(a) == F.col(b)).cast("int")
-    per = per.join(texts.select("example_id", flag("ref", "pred").alias("hit"), flag("src", "pred").alias("copy")), "example_id")
+    flag = lambda a, b: F.coalesce((F.col(a) == F.col(b)).cast("int"), F.lit(0))
+    texts = texts.select("example_id", flag("ref", "pred").alias("hit"), flag("src", "pred").alias("copy"), "src", "ref", empty_placeholder(F.col("pred")).alias("pred"))
+    names = {"src": "src", "ref": "ref", "hyp": "pred"}
+    sides = {s: tokens(F.col(c)) for s, c in names.items()} | {f"low_{s}": tokens(F.lower(F.col(c))) for s, c in names.items()}
+    keys = ["example_id", "hit", "copy"]
+    h, r, s = F.col("c_hyp"), F.col("c_ref"), F.col("c_src")
+    of_order = ngram_table(texts, keys, sides, whole=True).groupBy(*keys, "n").agg(
+        F.sum(F.least(h, r)).alias("num"), F.sum(F.when(r == 0, F.least(h, s)).otherwise(0)).alias("pen"), F.sum(h).alias("h"), F.sum(r).alias("r"),
+        *sari_sums(F.col("c_low_src"), F.col("c_low_hyp"), F.col("c_low_ref")),
+    )
+    scored = of_order.select("*", *sari_parts())
+    of = lambda c, n: F.coalesce(F.max(F.when(F.col("n") == n, F.col(c))), F.lit(0))
+    stats = scored.groupBy(*keys).agg(
+        of("h", 1).cast("int").alias("hlen"), of("r", 1).cast("int").alias("rlen"), *[of(c, n).alias(f"{c}{n}") for c in ("num", "pen") for n in N],
+        (F.sum(F.when(F.col("n") > 0, F.col("keep") + F.col("del") + F.col("add"))) / ORDERS / 3 * 100).alias("sari"),
+    )
+    num, den = gleu_parts()
+    bleus = bleu("method2_higher_orders", _cols("num"), _dens(), F.col("hlen"), F.col("rlen"), True)
+    per = stats.select("example_id", "hit", "copy", F.round(100 * bleus, 6).alias("bleu"), F.round(_gleu(num, den, F.col("hlen"), F.col("rlen"), True), 6).alias("gleu"), F.round(F.coalesce("sari", F.lit(0.0)) + OFF_TIE, 6).alias("sari"))
     supplied, name, scale = (meteor, "meteor", 100) if comment else (code, "code_bleu", 1)
     if supplied is not None:
         per = per.join(supplied.select("example_id", name), "example_id", "left")
     extra = {c: F.round(F.avg(c) * scale, 6) if supplied is not None and c == name else F.lit(-1.0) for c in ("code_bleu", "meteor")}
     mean = lambda c, k: F.round(F.avg(c) * k, 6)
     return per.agg(
-        F.count("*").alias("examples"), mean("bleu_method2_higher_orders", 1).alias("bleu"), mean("hit", 100).alias("acc_top_1"), mean("sari", 1).alias("sari"),
+        F.count("*").alias("examples"), mean("bleu", 1).alias("bleu"), mean("hit", 100).alias("acc_top_1"), mean("sari", 1).alias("sari"),
         mean("gleu", 100).alias("gleu"), *[F.coalesce(v, F.lit(-1.0)).alias(k) for k, v in extra.items()], mean("copy", 100).alias("copy_pct"),
     )
 
 
-def sari(rows: DataFrame, words=tokens) -> DataFrame:
-    """(example_id, sari, sari_keep, sari_del, sari_add). rows: example_id, src, pred, refs (array of texts)."""
-    low = lambda c: words(F.lower(c))
-    refs = F.flatten(F.transform(F.col("refs"), lambda r: F.concat(low(r), F.array(F.lit("\u0002")))))
-    n_refs = rows.select("example_id", F.size("refs").alias("R"))
-    table = ngram_table(rows, ["example_id"], {"src": low(F.col("src")), "hyp": low(F.col("pred")), "ref": refs}).where(~F.contains("gram", F.lit("\u0002")))
-    t = table.join(n_refs, "example_id")
-    s, c, r = F.col("R") * F.col("c_src"), F.col("R") * F.col("c_hyp"), F.col("c_ref")
+def sari_sums(s: Column, c: Column, r: Column) -> list[Column]:
+    """Sums over the grams of one order: means kp, kr, dp and counts a, ag, aa. s, c, r: a gram's counts in source,
+    candidate and references, the first two times the number of references."""
     k, every, d = F.least(s, c), F.least(s, r), F.greatest(s - c, F.lit(0))
     good, gone = F.least(k, r), F.greatest(d - r, F.lit(0))
-    part = lambda a, b: F.when(b > 0, a / b)
+    mean = lambda a, b: F.coalesce(F.avg(F.when(b > 0, a / b)), F.lit(0.0))
     flag = lambda x: F.sum(x.cast("int"))
-    per = t.groupBy("example_id", "n").agg(
-        F.coalesce(F.avg(part(good, k)), F.lit(0.0)).alias("kp"), F.coalesce(F.avg(part(good, every)), F.lit(0.0)).alias("kr"),
-        F.coalesce(F.avg(part(gone, d)), F.lit(0.0)).alias("dp"),
+    return [
+        mean(good, k).alias("kp"), mean(good, every).alias("kr"), mean(gone, d).alias("dp"),
         flag((c > 0) & (s == 0)).alias("a"), flag((c > 0) & (s == 0) & (r > 0)).alias("ag"), flag((r > 0) & (s == 0)).alias("aa"),
-    )
+    ]
+
+
+def sari_parts() -> list[Column]:
+    """keep, del and add of one order."""
     f1 = lambda p, q: F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0)
-    zero = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    scores = per.select("example_id", f1(F.col("kp"), F.col("kr")).alias("keep"), F.col("dp").alias("del"), f1(zero(F.col("ag"), F.col("a")), zero(F.col("ag"), F.col("aa"))).alias("add"))
-    sums = scores.groupBy("example_id").agg(*[(F.sum(x) / ORDERS).alias(x) for x in ("keep", "del", "add")])
-    kept = rows.select("example_id").join(sums, "example_id", "left").na.fill(0.0, ["keep", "del", "add"])
-    return kept.select("example_id", F.round((F.col("keep") + F.col("del") + F.col("add")) / 3 * 100 + OFF_TIE, 6).alias("sari"), *[F.round(F.col(x) + OFF_TIE, 6).alias(f"sari_{x}") for x in ("keep", "del", "add")])
+    zero = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return [f1(F.col("kp"), F.col("kr")).alias("keep"), F.col("dp").alias("del"), f1(zero("ag", "a"), zero("ag", "aa")).alias("add")]
+
+
+def sari(rows: DataFrame, words=tokens) -> DataFrame:
+    """(example_id, sari, sari_keep, sari_del, sari_add). rows: example_id, src, pred, refs (array of texts)."""
+    low = lambda c: words(F.lower(c))
+    # A sign between the references keeps grams from running over their ends; grams with it go.
+    refs = F.flatten(F.transform(F.col("refs"), lambda r: F.concat(low(r), F.array(F.lit("\u0002")))))
+    sides = {"src": low(F.col("src")), "hyp": low(F.col("pred")), "ref": refs}
+    keys = ["example_id", "n_refs"]
+    t = ngram_table(rows.withColumn("n_refs", F.size("refs")), keys, sides, whole=True).where(~F.contains("gram", F.lit("\u0002")))
+    per = t.groupBy(*keys, "n").agg(*sari_sums(F.col("n_refs") * F.col("c_src"), F.col("n_refs") * F.col("c_hyp"), F.col("c_ref")))
+    scores = per.select("example_id", "n", *sari_parts())
+    part = {x: F.coalesce(F.sum(F.when(F.col("n") > 0, F.col(x))) / ORDERS, F.lit(0.0)) for x in ("keep", "del", "add")}
+    kept = scores.groupBy("example_id").agg(*[v.alias(k) for k, v in part.items()])
+    return kept.select("example_id", F.round((F.col("keep") + F.col("del") + F.col("add")) / 3 * 100 + OFF_TIE, 6).alias("sari"), *[F.round(F.col(x) + OFF_TIE, 6).alias(f"sari_{x}") for x in part])
+
+
+#: A gram with more examples is joined on its own, by broadcast: there are at most grams / HOT_GRAM of them.
+HOT_GRAM = 100_000
+#: Document frequencies of so many grams are sent to all tasks: some 100 MB.
+SMALL_GRAMS = 1_000_000
+
+
+def attach_frequency(table: DataFrame, df: DataFrame) -> DataFrame:
+    """The gram table with df, the examples whose references hold the gram (null: none). A small table of frequencies is
+    sent to the grams; of a large one the frequent grams are, and the others are joined by gram, so that no common word
+    gathers its rows in one task."""
+    if df.count() <= SMALL_GRAMS:
+        return table.join(F.broadcast(df), "gram", "left")
+    hot = df.where(F.col("df") > HOT_GRAM)
+    first = table.join(F.broadcast(hot.withColumnRenamed("df", "hot")), "gram", "left")
+    rest = first.where("hot is null").drop("hot").join(df.where(F.col("df") <= HOT_GRAM), "gram", "left")
+    return first.where("hot is not null").withColumnRenamed("hot", "df").unionByName(rest)
 
 
 def cider(hyps: DataFrame, refs: DataFrame, sigma: float = 6.0) -> DataFrame:
     """(example_id, cider): TF-IDF cosine over 1- to 4-grams, clipped, with a Gaussian penalty on the difference in
-    bigrams. hyps: example_id, pred; refs: example_id, ref_idx, ref. The document frequency is the only global
-    grouping; it is by gram, with partial sums first."""
-    pairs = refs.join(hyps, "example_id")
-    table = ngram_table(pairs, ["example_id", "ref_idx"], {"hyp": tokens(F.col("pred")), "ref": tokens(F.col("ref"))})
-    df = table.where(F.col("c_ref") > 0).select("example_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("df"))
-    every = refs.agg(F.countDistinct("example_id").alias("docs"))  # one row
-    idf = F.log("docs") - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
-    h, r = F.col("c_hyp") * idf, F.col("c_ref") * idf
-    sums = table.join(df, "gram", "left").crossJoin(F.broadcast(every)).groupBy("example_id", "ref_idx", "n").agg(
-        F.sum(F.least(h, r) * r).alias("dot"), F.sqrt(F.sum(h * h)).alias("hn"), F.sqrt(F.sum(r * r)).alias("rn")
+    bigrams. hyps: example_id, pred; refs: example_id, ref_idx, ref. Examples without a reference go.
+
+    The grams of each text are made once, kept in storage, and serve frequencies and scores. The document frequency is
+    the only global grouping; it is by gram, with partial sums first.
+    """
+    long = hyps.select("example_id", F.lit(-1).alias("ref_idx"), F.col("pred").alias("text")).unionByName(
+        refs.select("example_id", F.col("ref_idx").cast("int").alias("ref_idx"), F.col("ref").alias("text"))
+    )
+    t = ngram_table(long, ["example_id", "ref_idx"], {"x": tokens(F.col("text"))}, whole=True).persist()
+    is_ref = F.col("ref_idx") >= 0
+    held = t.where(is_ref & (F.col("n") > 0)).groupBy("example_id", "gram").count()
+    df = held.groupBy("gram").agg(F.count("*").alias("df")).persist()
+    docs = refs.agg(F.countDistinct("example_id")).first()[0]
+    idf = F.lit(math.log(max(docs, 1))) - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
+    weighted = attach_frequency(t, df).withColumn("w", F.col("c_x") * idf)
+    # A reference's grams meet the hypothesis's of the same example in a window.
+    own = F.coalesce(F.max(F.when(~is_ref, F.col("w"))).over(Window.partitionBy("example_id", "n", "gram")), F.lit(0.0))
+    met = weighted.withColumn("h", own)
+    sums = met.groupBy("example_id", "ref_idx", "n").agg(
+        F.sum(F.least("h", "w") * F.col("w")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("c_x").alias("count")
     )
-    bigrams = lambda t: F.greatest(F.size(tokens(t)) - 1, F.lit(0))
-    cosine = sums.select(
-        "example_id", "ref_idx", F.when((F.col("hn") > 0) & (F.col("rn") > 0), F.col("dot") / (F.col("hn") * F.col("rn"))).otherwise(F.col("dot")).alias("v")
+    of_hyp = lambda c: F.coalesce(F.max(F.when(~is_ref, F.col(c))).over(Window.partitionBy("example_id", "n")), F.lit(0.0))
+    both = sums.withColumn("hn", of_hyp("norm")).withColumn("hc", of_hyp("count"))
+    value = F.when((F.col("hn") > 0) & (F.col("norm") > 0), F.col("dot") / (F.col("hn") * F.col("norm"))).otherwise(F.col("dot"))
+    bigrams = lambda c: F.coalesce(F.max(F.when(F.col("n") == 2, F.col(c))), F.lit(0.0))
+    # The hypothesis may have bigrams where the reference has none, and so no row of that order.
+    hyp_bigrams = F.coalesce(F.max(F.when(~is_ref & (F.col("n") == 2), F.col("count"))).over(Window.partitionBy("example_id")), F.lit(0))
+    per_ref = both.withColumn("h2", hyp_bigrams).where(is_ref).groupBy("example_id", "ref_idx").agg(
+        F.coalesce(F.sum(F.when(F.col("n") > 0, value)) / ORDERS, F.lit(0.0)).alias("v"), (F.max("h2") - bigrams("count")).alias("delta")
     )
-    per_ref = cosine.groupBy("example_id", "ref_idx").agg((F.sum("v") / ORDERS).alias("v"))
-    deltas = pairs.select("example_id", "ref_idx", (bigrams(F.col("pred")) - bigrams(F.col("ref"))).alias("delta"))
-    scored = deltas.join(per_ref, ["example_id", "ref_idx"], "left").na.fill(0.0, ["v"])
-    value = F.col("v") * F.exp(-F.col("delta") * F.col("delta") / (2 * sigma * sigma))
-    return scored.groupBy("example_id").agg(F.round(F.avg(value) * 10, 6).alias("cider"))
-
-
-def multi_ref_stats(hyps: DataFrame, refs: DataFrame) -> DataFrame:
-    """For each example: hlen, the closest reference's length rlen, and for each order num (matches clipped by the
-    largest count over the references). hyps: example_id, pred; refs: example_id, ref_idx, ref."""
-    h = ngram_table(hyps, ["example_id"], {"hyp": tokens(F.col("pred"))})
-    r = ngram_table(refs, ["example_id", "ref_idx"], {"ref": tokens(F.col("ref"))})
-    most = r.groupBy("example_id", "n", "gram").agg(F.max("c_ref").alias("c_ref"))
-    sums = h.join(most, ["example_id", "n", "gram"]).groupBy("example_id").agg(*[total(F.least("c_hyp", "c_ref"), n).alias(f"num{n}") for n in N])
-    lengths = hyps.select("example_id", F.size(tokens(F.col("pred"))).alias("hlen"))
-    near = refs.select("example_id", F.size(tokens(F.col("ref"))).alias("r")).join(lengths, "example_id")
-    near = near.groupBy("example_id", "hlen").agg(F.min(F.struct(F.abs(F.col("r") - F.col("hlen")).alias("off"), "r"))["r"].alias("rlen"))
-    return near.join(sums, "example_id", "left").na.fill({f"num{n}": 0 for n in N})
+    score = F.col("v") * F.exp(-F.col("delta") * F.col("delta") / (2 * sigma * sigma))
+    return per_ref.groupBy("example_id").agg(F.round(F.avg(score) * 10, 6).alias("cider"))
 
 
-def multi_bleu(stats: DataFrame) -> DataFrame:
-    """(example_id, bleu_1 to bleu_4, length_ratio): running products of the precisions, a penalty on short texts."""
+REF_LENGTHS = ("closest", "shortest", "average")
+
+
+def multi_ref_stats(hyps: DataFrame, refs: DataFrame, ref_len: str = "closest") -> DataFrame:
+    """For each example: hlen, the reference length rlen, and for each order num (matches clipped by the largest count
+    over the references). hyps: example_id, pred; refs: example_id, ref_idx, ref. ref_len: the length closest to the
+    hypothesis's, the shortest, or the average."""
+    if ref_len not in REF_LENGTHS:
+        raise ValueError(ref_len)
+    t = several_table(hyps, refs, {"hyp": "pred"})
+    sums = t.groupBy("example_id").agg(
+        total(F.col("c_hyp"), 1).alias("hlen"), F.max("lengths").alias("lengths"), *[total(F.least("c_hyp", "most"), n).alias(f"num{n}") for n in N]
+    )
+    lens = F.transform("lengths", lambda x: x["len"])
+    near = F.array_min(F.transform(lens, lambda x: F.struct(F.abs(x - F.col("hlen")), x.alias("len"))))["len"]
+    rlen = {"closest": near, "shortest": F.array_min(lens), "average": F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lens)}[ref_len]
+    return sums.where(F.size("lengths") > 0).withColumn("rlen", rlen).drop("lengths")
+
+
+def rescore(refs: DataFrame, hyps: DataFrame, ref_len: str = "closest") -> DataFrame:
+    """Statistics of other hypotheses for the same references, which must have the same examples."""
+    assert_same_keys(refs, hyps)
+    return multi_ref_stats(hyps, refs, ref_len)
+
+
+def append_stats(*stats: DataFrame) -> DataFrame:
+    """More examples: statistics are rows, and corpus forms sum them."""
+    return reduce(DataFrame.unionByName, stats)
+
+
+def assert_same_keys(a: DataFrame, b: DataFrame, key: str = "example_id") -> None:
+    """An error unless both tables have the same keys."""
+    only = [x.select(key).join(y.select(key), key, "left_anti").limit(5).collect() for x, y in ((a, b), (b, a))]
+    if any(only):
+        raise ValueError(f"keys on one side only, such as {[r[0] for r in [*only[0], *only[1]]]}")
+
+
+def multi_bleu_corpus(stats: DataFrame) -> DataFrame:
+    """One row: bleu_1 to bleu_4 and length_ratio of the sums, and the lengths hlen and rlen."""
+    sums = stats.agg(*[F.sum(f"num{n}").alias(f"num{n}") for n in N], *[F.sum(d).alias(f"den{n}") for n, d in zip(N, _dens(), strict=True)], F.sum("hlen").alias("hlen"), F.sum("rlen").alias("rlen"))
+    return sums.select("hlen", F.col("rlen").cast("double").alias("rlen"), *_running(_cols("den")))
+
+
+def ngram_reference_frequency(refs: DataFrame) -> DataFrame:
+    """(n, gram, examples, share): in how many examples the first reference holds the gram, and that number over the
+    references of an example, the least example's."""
+    first = ngram_table(refs.where(F.col("ref_idx") == 0), ["example_id"], {"ref": tokens(F.col("ref"))})
+    of = refs.groupBy("example_id").agg(F.count("*").alias("k")).agg(F.min_by("k", "example_id").alias("k"))  # one row
+    return first.groupBy("n", "gram").agg(F.count("*").alias("examples")).crossJoin(F.broadcast(of)).select("n", "gram", "examples", (F.col("examples") / F.col("k")).alias("share"))
+
+
+def _running(dens: list[Column]) -> list[Column]:
+    """bleu_1 to bleu_4 and length_ratio: running products of the precisions, a penalty on short texts."""
     product, found = F.lit(1.0), []
     ratio = (F.col("hlen") + 1e-15) / (F.col("rlen") + 1e-9)
     penalty = F.when(ratio < 1, F.exp(1 - 1 / ratio)).otherwise(1.0)
-    for n, den in zip(N, _dens(), strict=True):
+    for n, den in zip(N, dens, strict=True):
         product = product * ((F.col(f"num{n}") + 1e-15) / (den + 1e-9))
         found.append(F.round(F.pow(product, F.lit(1.0 / n)) * penalty, 6).alias(f"bleu_{n}"))
-    return stats.select("example_id", *found, F.round(ratio, 6).alias("length_ratio"))
+    return [*found, F.round(ratio, 6).alias("length_ratio")]
+
+
+def multi_bleu(stats: DataFrame) -> DataFrame:
+    """(example_id, bleu_1 to bleu_4, length_ratio)."""
+    return stats.select("example_id", *_running(_dens()))
 
 
 def multi_ref_gleu_stats(rows: DataFrame, refs: DataFrame) -> DataFrame:

@@ -10,24 +10,29 @@ GLUE = "\u0001"
 ORDERS = 4
 
 
-def grams(words: Column, orders: int = ORDERS) -> Column:
-    """array<struct<n, gram>> of all orders."""
-    def of(n: int) -> Column:
-        last = F.size(words) - n
-        starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(words, i + 1, n), GLUE).alias("gram")))
+def pad_sequence(words: Column, n: int, left: str | None = None, right: str | None = None) -> Column:
+    """The tokens with n - 1 of the given symbols at either end; null pads nothing."""
+    ends = [F.array_repeat(F.lit(s), n - 1) if s is not None and n > 1 else F.array().cast("array<string>") for s in (left, right)]
+    return F.concat(ends[0], words, ends[1])
 
-    return F.concat(*[of(n) for n in range(1, orders + 1)])
 
-
-def ngram_table(rows: DataFrame, keys: list[str], sides: dict[str, Column], orders: int = ORDERS) -> DataFrame:
+def ngram_table(rows: DataFrame, keys: list[str], sides: dict[str, Column], orders: int = ORDERS, whole: bool = False) -> DataFrame:
     """(keys, n, gram, c_<side> for each side): counts of every gram that any side holds.
 
-    sides: a token array for each side. Rows are dealt by the first key once; every later grouping by keys that
-    contain it keeps that partitioning.
+    sides: a token array for each side. With whole, every row has a gram of order 0 besides, so that rows without any
+    token are there too. Rows are dealt by the first key once; every later grouping by keys that contain it keeps that
+    partitioning. The grams that start at a token are made from it and the next ones, side by side.
     """
     held = F.array(*[F.struct(F.lit(s).alias("side"), w.alias("t")) for s, w in sides.items()])
-    long = rows.repartition(keys[0]).select(*keys, F.explode(held).alias("x")).select(*keys, "x.side", F.explode(grams(F.col("x.t"), orders)).alias("g"))
+    texts = rows.repartition(keys[0]).select(*keys, F.explode(held).alias("x")).select(*keys, "x.side", F.col("x.t").alias("t"))
+    parts = [F.col("t"), *[F.slice("t", k, F.greatest(F.size("t") - k + 1, F.lit(0))) for k in range(2, orders + 1)]]
+    starts = F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts, 1)])
+    made = [F.struct(F.lit(k).alias("n"), F.when(F.col(f"z.w{k}").isNotNull(), F.concat_ws(GLUE, *[F.col(f"z.w{i}") for i in range(1, k + 1)])).alias("gram")) for k in range(1, orders + 1)]
+    if whole:
+        end = F.struct(*[F.lit(None).cast("string").alias(f"w{k}") for k in range(1, orders + 1)])
+        starts = F.concat(starts, F.array(end))
+        made.append(F.struct(F.lit(0).alias("n"), F.when(F.col("z.w1").isNull(), F.lit("")).alias("gram")))
+    long = texts.select(*keys, "side", F.explode(starts).alias("z")).select(*keys, "side", F.explode(F.array(*made)).alias("g")).where(F.col("g.gram").isNotNull())
     counts = [F.count(F.when(F.col("side") == s, 1)).alias(f"c_{s}") for s in sides]
     return long.groupBy(*keys, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(*counts)
 
@@ -35,3 +40,4 @@ def ngram_table(rows: DataFrame, keys: list[str], sides: dict[str, Column], orde
 def total(value: Column, n: int) -> Column:
     """Sum of a value over the grams of one order; 0 without any."""
     return F.coalesce(F.sum(F.when(F.col("n") == n, value)), F.lit(0))
+

@@ -6,6 +6,11 @@ as Arrow functions over the token arrays and the opcode table's rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +33,8 @@ class Places:
             self.at.setdefault(w, []).append(i)
 
     def of(self, phrase: list[str], start: int = 0) -> list[int]:
-        if not phrase:
-            return []
-        return [i for i in self.at.get(phrase[0], ()) if i >= start and self.words[i : i + len(phrase)] == phrase]
+        at = self.at.get(phrase[0], []) if phrase else []
+        return [i for i in at[bisect_left(at, start) :] if self.words[i : i + len(phrase)] == phrase]
 
     def widths(self, lo: int, hi: int, bound: int) -> int | None:
         """How far old[lo:hi] must grow towards the bound, in its direction, until it occurs once; None if it never does."""
@@ -106,135 +110,136 @@ def edit_token_labels(ops: Column, old: Column, new: Column) -> Column:
     return F.flatten(F.transform(ops, one))
 
 
-def _until(plan: list[str], start: int, stop) -> int:
-    """The first place from start on whose token the test accepts, or the end."""
-    return next((i for i in range(start, len(plan)) if stop(plan[i])), len(plan))
+class Step(NamedTuple):
+    """One step of a plan: its first marker, the token runs behind its markers, and where the last run begins."""
 
+    kind: str
+    runs: list[list[str]]
+    start: int
 
-def _find(words: list[str], word: str, start: int) -> int | None:
-    try:
-        return words.index(word, start)
-    except ValueError:
-        return None
 
+#: What closes each run of a step, by the step's first marker: in code plans, and in minimal ones.
+CODE_STEPS = {
+    "<KEEP>": [{"<KEEP_END>"}], "<DELETE>": [{"<DELETE_END>"}], "<INSERT>": [{"<INSERT_END>"}], "<REPLACE_OLD>": [{"<REPLACE_NEW>"}, {"<REPLACE_END>"}],
+}
+MINIMAL_STEPS = {"<DELETE>": [{"<DELETE_END>"}]} | {
+    m: [{x for x in MARKS if stem in x and "NEW" in x}, {f"<{stem}_END>"}] for stem in ("INSERT", "REPLACE") for m in MARKS if m.startswith(f"<{stem}_OLD")
+}
 
-def replay_code(old: list[str], plan: list[str]) -> str:
-    """The new text: insertions go before the next kept token of the plan, deletions take the nearest equal token from
-    just before the cursor on. Empty if a marker is left in the result."""
-    out, at = list(old), 0
-
-    def drop(phrase: list[str]) -> None:
-        nonlocal at
-        for w in phrase:
-            found = _find(out, w, max(0, at - 1))
-            if found is None:
-                at += 1
-            else:
-                del out[found]
-                at = found
-
-    def put(phrase: list[str], rest: int) -> None:
-        nonlocal at
-        keep = _until(plan, rest, lambda t: t == "<KEEP>") + 1
-        if keep < len(plan) and plan[keep]:
-            found = _find(out, plan[keep], at)
-            at = at if found is None else found
-        else:
-            at = max(at, len(out))
-        out[at:at] = phrase
-        at += len(phrase)
 
+def steps(plan: list[str], kinds: dict[str, list[set[str]]]) -> Iterator[Step]:
+    """The steps of a plan in order; a run that nothing closes goes to the end, tokens between steps are passed over."""
     i = 0
     while i < len(plan):
-        kind = plan[i]
-        i += 1
-        if kind == "<INSERT>":
-            end = _until(plan, i, lambda t: t == "<INSERT_END>")
-            put(plan[i:end], i)
-        elif kind == "<DELETE>":
-            end = _until(plan, i, lambda t: t == "<DELETE_END>")
-            drop(plan[i:end])
-        elif kind == "<KEEP>":
-            end = _until(plan, i, lambda t: t == "<KEEP_END>")
-            for w in plan[i:end]:
-                at += at < len(out) and out[at] == w
-        elif kind == "<REPLACE_OLD>":
-            turn = _until(plan, i, lambda t: t == "<REPLACE_NEW>")
-            drop(plan[i:turn])
-            end = _until(plan, turn + 1, lambda t: t == "<REPLACE_END>")
-            put(plan[turn + 1 : end], turn + 1)
-        else:
-            continue
-        i = end + 1
-    text = " ".join(out)
+        kind, i = plan[i], i + 1
+        if kind in kinds:
+            runs, start = [], i
+            for closers in kinds[kind]:
+                start = i
+                stop = next((k for k in range(i, len(plan)) if plan[k] in closers), len(plan))
+                runs.append(plan[start:stop])
+                i = stop + 1
+            yield Step(kind, runs, start)
+
+
+class Draft:
+    """Words that are edited from a cursor on."""
+
+    def __init__(self, words: list[str]):
+        self.words, self.at = list(words), 0
+
+    def _next(self, word: str, start: int) -> int | None:
+        return next((i for i in range(start, len(self.words)) if self.words[i] == word), None)
+
+    def keep(self, run: list[str]) -> None:
+        """Moves over the run's words as far as they stand at the cursor."""
+        for w in run:
+            self.at += self.words[self.at : self.at + 1] == [w]
+
+    def drop(self, run: list[str]) -> None:
+        """Takes each word out where it stands next, from one place before the cursor on."""
+        for w in run:
+            place = self._next(w, max(0, self.at - 1))
+            if place is None:
+                self.at += 1
+            else:
+                del self.words[place]
+                self.at = place
+
+    def put(self, run: list[str], before: str | None) -> None:
+        """Writes the run before the next such word, at the cursor if there is none, or at the end if none is given."""
+        place = self._next(before, self.at) if before is not None else max(self.at, len(self.words))
+        self.at = self.at if place is None else place
+        self.words[self.at : self.at] = run
+        self.at += len(run)
+
+
+def replay_code(old: list[str], plan: list[str]) -> str:
+    """The new text of a code plan: insertions go before the first word that the plan keeps next. Empty if a marker is
+    left in the result."""
+    draft = Draft(old)
+    # The word behind the next <KEEP>, for each place of the plan.
+    kept: list[str | None] = [None] * (len(plan) + 2)
+    for i in range(len(plan) - 1, -1, -1):
+        kept[i] = (plan[i + 1] if i + 1 < len(plan) else None) if plan[i] == "<KEEP>" else kept[i + 1]
+    for kind, runs, start in steps(plan, CODE_STEPS):
+        if kind == "<KEEP>":
+            draft.keep(runs[0])
+        if kind in ("<DELETE>", "<REPLACE_OLD>"):
+            draft.drop(runs[0])
+        if kind in ("<INSERT>", "<REPLACE_OLD>"):
+            draft.put(runs[-1], kept[min(start, len(plan))])
+    text = " ".join(draft.words)
     return "" if any(m in text for m in MARKS) else text
 
 
 def locate_longest(phrase: list[str], places: Places, start: int) -> tuple[int, int, bool] | None:
     """(place, tokens left out before it, whether it is ambiguous) of the phrase's first longest part that occurs."""
-    for i in range(len(phrase)):
-        for j in range(len(phrase), i, -1):
-            if found := places.of(phrase[i:j], start):
-                return found[0], i, len(found) > 1
-    return None
+    parts = ((i, j) for i in range(len(phrase)) for j in range(len(phrase), i, -1))
+    found = ((places.of(phrase[i:j], start), i) for i, j in parts)
+    return next(((at[0], i, len(at) > 1) for at, i in found if at), None)
 
 
-def replay_minimal(old: list[str], plan: list[str]) -> str:
-    """The new text: every old phrase is looked for behind the last one, by its longest part; phrases that had several
-    places are then deleted or replaced wherever they are left."""
-    places, out, at = Places(old), [], 0
-    again_gone: list[list[str]] = []
-    again_new: list[tuple[list[str], list[str]]] = []
-
-    def take(phrase: list[str]) -> tuple[bool, bool]:
-        """Copies the old text up to the phrase and leaves the phrase out; (found, ambiguous)."""
-        nonlocal at
+def anchored(old: list[str], plan: list[str]) -> tuple[set[int], dict[int, list[str]], list[tuple[list[str], list[str] | None]]]:
+    """(places that go, new tokens before places, ambiguous steps) of a minimal plan on the old text.
+
+    Each step is anchored behind the one before: by the longest part of its old phrase, whose other tokens are looked
+    for before it, singly, or behind it, in order. A step without an anchor has no effect.
+    """
+    places, gone, new, again, at = Places(old), set(), {}, [], 0
+    for _, runs, _ in steps(plan, MINIMAL_STEPS):
+        phrase, fresh = runs[0], runs[1] if len(runs) > 1 else None
         spot = locate_longest(phrase, places, at)
         if spot is None:
-            return False, False
+            continue
         place, skipped, several = spot
-        missed = list(phrase[:skipped])
-        for w in old[at:place]:
-            if w in missed:
-                missed.remove(w)
-            else:
-                out.append(w)
+        missed = Counter(phrase[:skipped])
+        for i in range(at, place):
+            if missed[old[i]] > 0:
+                missed[old[i]] -= 1
+                gone.add(i)
         at = place
         for w in phrase[skipped:]:
-            found = _find(old, w, at)
-            if found is not None:
-                out.extend(old[at:found])
-                at = found + 1
-        return True, several
+            if found := places.of([w], at):
+                gone.add(found[0])
+                at = found[0] + 1
+        new.setdefault(at, []).extend(fresh or [])
+        if several:
+            again.append((phrase, fresh))
+    return gone, new, again
 
-    i = 0
-    while i < len(plan):
-        kind = plan[i]
-        i += 1
-        if kind not in MARKS or "NEW" in kind or "END" in kind or not ("DELETE>" in kind or "_OLD" in kind):
-            continue
-        if kind == "<DELETE>":
-            end = _until(plan, i, lambda t: t == "<DELETE_END>")
-            phrase = plan[i:end]
-            if take(phrase)[1]:
-                again_gone.append(phrase)
-        else:
-            stem = "INSERT" if "INSERT" in kind else "REPLACE"
-            turn = _until(plan, i, lambda t: t in MARKS and stem in t and "NEW" in t)  # noqa: B023
-            end = _until(plan, turn + 1, lambda t: t == f"<{stem}_END>")  # noqa: B023
-            phrase, fresh = plan[i:turn], plan[turn + 1 : end]
-            found, several = take(phrase)
-            out += fresh if found else []
-            if several:
-                again_new.append((phrase, fresh))
-        i = end + 1
-    out += old[at:]
+
+def replay_minimal(old: list[str], plan: list[str]) -> str:
+    """The new text of a minimal plan: the old one rebuilt from its anchored steps. Phrases that had several places are
+    then deleted, and after that replaced, wherever they are left and their new tokens do not stand there already."""
+    gone, new, again = anchored(old, plan)
+    out = [w for i in range(len(old) + 1) for w in [*new.get(i, []), *([old[i]] if i < len(old) and i not in gone else [])]]
     left = Places(out)
-    gone = {i for p in again_gone for s in left.of(p) for i in range(s, s + len(p))}
-    out = [w for i, w in enumerate(out) if i not in gone]
-    for phrase, fresh in again_new:
-        for s in Places(out).of(phrase):
-            if s + len(fresh) >= len(out) or out[s : s + len(fresh)] != fresh:
+    cut = {i for phrase, fresh in again if fresh is None for s in left.of(phrase) for i in range(s, s + len(phrase))}
+    out = [w for i, w in enumerate(out) if i not in cut]
+    for phrase, fresh in again:
+        for s in reversed(Places(out).of(phrase)) if fresh is not None else ():
+            if out[s : s + len(fresh)] != fresh or s + len(fresh) >= len(out):
                 out[s : s + len(phrase)] = fresh
     return " ".join(out)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import normalize_ws, remove_keep_span, remove_tag_string, render_edit_target, render_model_input, replace_unknown, tokens
 from palimpsest.operators.plans import edit_plan
+from palimpsest.sources.lines import merge_gap_check
 
 
 def rerank_best(beams: DataFrame, scores: DataFrame) -> DataFrame:
@@ -45,8 +46,21 @@ def collect_beams(beams: DataFrame) -> DataFrame:
     )
 
 
-def merge_prediction_shards(shards: DataFrame) -> DataFrame:
-    """(id, data): of each id the data of the latest shard. shards: id, data, rank."""
+def keep_beams(beams: DataFrame, k: int = 20, exact: bool = True) -> DataFrame:
+    """The first k candidates of each example; with exact, an example with fewer, or a rank twice, is an error."""
+    kept = beams.where(F.col("beam_rank") < k)
+    if exact:
+        bad = kept.groupBy("example_id").agg(F.count("*").alias("n"), F.countDistinct("beam_rank").alias("d")).where((F.col("n") != k) | (F.col("d") != k))
+        if rows := bad.limit(5).collect():
+            raise ValueError(f"not {k} candidates: {[(r.example_id, r.n) for r in rows]}")
+    return kept
+
+
+def merge_prediction_shards(shards: DataFrame, gapless: bool = False) -> DataFrame:
+    """(id, data): of each id the data of the latest shard. shards: id, data, rank. With gapless, ids that are not 0 to
+    n - 1 are an error."""
+    if gapless and not (row := merge_gap_check(shards).first()).gapless:
+        raise ValueError(f"{row.ids} ids with gaps")
     return shards.groupBy("id").agg(F.max_by("data", "rank").alias("data"))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import code
 from palimpsest.functions import text as T
-from palimpsest.operators import corrupt, edits, metrics, ngrams, plans, rerank, structure
+from palimpsest.operators import corrupt, edits, metrics, ngrams, pipelines, plans, rerank, structure
 from palimpsest.sources import views as V
 
 _GRAMS = """
@@ -139,35 +142,55 @@ def q_collect_beams(spark, d):
 
 
 def q_merge_shards(spark, d):
-    c = V.candidates(pairs(spark, d)).where((F.col("beam_rank") == 0) | ((F.col("beam_rank") == 1) & (F.col("example_id") % 2 == 0)))
+    """All ranks as shards: of each example the last one counts."""
+    c = V.candidates(pairs(spark, d))
     return rerank.merge_prediction_shards(c.select(F.col("example_id").alias("id"), F.col("pred").alias("data"), F.col("beam_rank").alias("rank")))
 
 
+def _corrupted(rows):
+    joined = lambda c, sep: F.array_join(F.transform(c, lambda x: x.cast("string")), sep).alias(c)
+    return rows.select("id", "noisy", "clean", "n_noise", joined("mask", ""), joined("labels", " "))
+
+
 def q_corrupt_prose(spark, d):
-    return corrupt.corrupt(V.clean_lines(spark, d), "nl")
+    return _corrupted(corrupt.corrupt(V.clean_lines(spark, d), "nl"))
 
 
 def q_corrupt_code(spark, d):
-    return corrupt.corrupt(V.clean_lines(spark, d), "code")
+    return _corrupted(corrupt.corrupt(V.clean_lines(spark, d), "code"))
 
 
 def q_apply_edit_plan(spark, d):
+    """Code plans, rendered as text, taken apart again and replayed."""
     old, new = T.tokens(F.col("source")), T.tokens(F.col("target"))
-    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new))
-    return p.select("example_id", F.array_join(edits.replay_opcodes(F.col("ops"), old, new), " ").alias("text"))
+    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new)).withColumn("plan", F.array_join(edits.code_edit_plan(F.col("ops"), old, new), " "))
+    return p.select("example_id", plans.apply_edit_plan("code", old, T.tokens(F.col("plan"))).alias("text"))
 
 
 def q_code_edit_plan(spark, d):
+    """What a plan has on either side, and how many markers its commands have for old and new tokens."""
     old, new = T.tokens(F.col("source")), T.tokens(F.col("target"))
     p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new))
-    return p.select("example_id", F.array_join(edits.code_edit_plan(F.col("ops"), old, new), " ").alias("plan"), F.array_join(edits.edit_commands(F.col("ops"), old, new), " ").alias("commands"))
+    p = p.select("example_id", edits.code_edit_plan(F.col("ops"), old, new).alias("plan"), edits.edit_commands(F.col("ops"), old, new).alias("c"))
+    side = lambda name: F.array_join(pipelines.plan_side(F.col("plan"), name), " ")
+    count = lambda *marks: F.size(F.filter("c", lambda x: x.isin(*marks)))
+    return p.select("example_id", side("old").alias("old_side"), side("new").alias("new_side"), count("<KEEP>", "<DELETE>", "<REPLACE_OLD>").alias("old_commands"), count("<KEEP>", "<INSERT>", "<REPLACE_NEW>").alias("new_commands"))
+
+
+def _dataset_sides(rows, source):
+    """What must hold for built examples: input and target; the plan without kept runs, so that its old tokens are
+    fewer than the source's by as much as its new ones are than the target's; and the target behind it."""
+    built = pipelines.build_edit_dataset(rows).join(rows.select("example_id", F.size(T.tokens(F.col(source))).alias("n")), "example_id")
+    head = T.tokens(F.substring_index("model_output", " <s> ", 1))
+    size = lambda side: F.size(pipelines.plan_side(head, side))
+    return built.select(
+        "example_id", "model_input", "target", F.expr("substr(model_output, instr(model_output, ' <s> ') + 5)").alias("behind_plan"),
+        (F.col("n") - size("old") + size("new")).alias("new_size"), F.contains(F.col("model_output"), F.lit("<KEEP>")).alias("keeps"),
+    )
 
 
 def q_build_edit_dataset(spark, d):
-    old, new = T.tokens(F.col("source")), T.tokens(F.col("target"))
-    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new))
-    plan = T.remove_keep_span(F.array_join(edits.code_edit_plan(F.col("ops"), old, new), " "))
-    return p.select("example_id", T.render_model_input(F.col("source"), F.col("context")).alias("model_input"), T.render_edit_target(plan, F.col("target")).alias("model_output"), "target")
+    return _dataset_sides(pairs(spark, d), "source")
 
 
 def q_phrase_positions(spark, d):
@@ -202,40 +225,67 @@ def q_rouge_l(spark, d):
 
 
 def q_example_report(spark, d):
-    rows = V.eval_rows(spark, d)
-    stats = metrics.overlap_stats(rows)
-    scores = metrics.sentence_gleu(stats).join(metrics.sentence_bleu(stats), "example_id")
     best = rerank.rerank_best(*_split(spark, d)).select("example_id", "rerank_pred", "rerank_rank")
-    flags = rows.select("example_id", "src", "ref", "pred", (F.col("pred") == F.col("src")).alias("no_changes"))
-    return flags.join(scores, "example_id").join(best, "example_id")
+    return pipelines.inspect_outputs(V.eval_rows(spark, d)).join(best, "example_id")
 
 
 def q_edit_opcodes(spark, d):
-    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(T.tokens(F.col("source")), T.tokens(F.col("target"))))
-    return p.select("example_id", F.posexplode("ops").alias("op_idx", "op")).select("example_id", "op_idx", "op.*")
-
-
-def _minimal(mode: str):
+    """Opcodes as a table and what they must give together: either side in order, kept runs equal on both, and no two
+    neighbours of the same kind."""
+    p = pairs(spark, d).withColumn("o", T.tokens(F.col("source"))).withColumn("n", T.tokens(F.col("target"))).withColumn("ops", edits.edit_opcodes("o", "n"))
+    t = p.select("example_id", "o", "n", F.posexplode_outer("ops").alias("op_idx", "op")).select("example_id", "o", "n", "op_idx", "op.*")
+    cut = lambda c, a, b: F.array_join(F.slice(c, F.col(a) + 1, F.col(b) - F.col(a)), " ")
+    t = edits.edit_neighbours(t.withColumn("old", cut("o", "o_start", "o_end")).withColumn("new", cut("n", "n_start", "n_end")), kind="tag")
+    side = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("op_idx", c)))), lambda x: x[c]), " ")
+    good = ((F.col("tag") != "equal") | (F.col("old") == F.col("new"))) & ~F.col("tag").eqNullSafe(F.col("next_kind"))
+    return t.groupBy("example_id").agg(side("old").alias("old_side"), side("new").alias("new_side"), F.bool_and(F.coalesce(good, F.lit(True))).alias("well_formed"))
+
+
+def _minimal(mode: str, view=pairs):
+    """Plans of a mode, replayed, and whether the phrases that a minimal one names are unique in the old text."""
     def query(spark, d):
         old = T.tokens(F.col("source"))
-        p = pairs(spark, d).withColumn("plan", plans.edit_plan(mode, old, T.tokens(F.col("target"))))
-        return p.select("example_id", F.array_join("plan", " ").alias("plan"), plans.apply_edit_plan("minimal" if mode == "other" else mode, old, F.col("plan")).alias("text"))
+        p = view(spark, d).withColumn("plan", plans.edit_plan(mode, old, T.tokens(F.col("target"))))
+        text = plans.apply_edit_plan("minimal" if mode == "other" else mode, old, F.col("plan")).alias("text")
+        if mode == "code":
+            return p.select("example_id", text)
+        spans = F.filter(F.split(F.array_join("plan", " "), r" ?<(?:INSERT|REPLACE)_NEW[A-Z_]*>[^<]*<(?:INSERT|REPLACE)_END> ?| ?<DELETE_END> ?"), lambda x: x != "")
+        phrases = F.transform(spans, lambda x: T.tokens(F.regexp_replace(x, "^<[A-Z_]*>", "")))
+        unique = F.forall(phrases, lambda x: (F.size(x) == 0) | (F.size(T.phrase_positions(old, x)) == 1))
+        return p.select("example_id", text, unique.alias("unique_phrases"))
 
     return query
 
 
+def q_coarse_diff(spark, d):
+    """Nodes of the coarse diff by kind, and how many children they have."""
+    old, new = T.tokens(F.col("source")), T.tokens(F.col("target"))
+    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new)).select("example_id", F.explode_outer(edits.coarse_diff(F.col("ops"), old, new)).alias("x")).select("example_id", "x.*")
+    n = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.size("children"))), F.lit(0))
+    # A replacement's children are both sides and a marker.
+    marks = F.coalesce(F.sum((F.col("kind") == "<REPLACE>").cast("int")), F.lit(0))
+    both = 2 * n("<KEEP>") + n("<INSERT>", "<DELETE>", "<REPLACE>") - marks
+    return p.groupBy("example_id").agg(both.alias("tokens"), F.coalesce(F.bool_and(F.col("kind").isin("<KEEP>", "<INSERT>", "<DELETE>", "<REPLACE>")), F.lit(True)).alias("known_kinds"))
+
+
 def q_edit_token_labels(spark, d):
+    """The labelled tokens of either side, in order."""
     old, new = T.tokens(F.col("source")), T.tokens(F.col("target"))
-    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new))
-    return p.select("example_id", F.array_join(plans.edit_token_labels(F.col("ops"), old, new), " ").alias("labels"))
+    p = pairs(spark, d).withColumn("ops", edits.edit_opcodes(old, new)).select("example_id", plans.edit_token_labels(F.col("ops"), old, new).alias("l"))
+    places = F.when(F.size("l") > 0, F.sequence(F.lit(0), F.size("l") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    side = lambda *marks: F.array_join(F.transform(F.filter(places, lambda i: F.get("l", i).isin(*marks)), lambda i: F.get("l", i + 1)), " ")
+    return p.select("example_id", side("<KEEP>", "<DELETE>", "<REPLACE_OLD>").alias("old_side"), side("<KEEP>", "<INSERT>", "<REPLACE_NEW>").alias("new_side"))
 
 
 def q_reconstruct_predictions(spark, d):
     """Candidates' plans against their sources, replayed and scored: the k-best form of edit predictions."""
-    old = T.tokens(F.col("source"))
     both = V.candidates(pairs(spark, d)).join(pairs(spark, d), "example_id")
-    made = both.withColumn("plan", plans.edit_plan("other", old, T.tokens(F.col("pred")))).withColumn("text", T.empty_placeholder(plans.apply_edit_plan("minimal", old, F.col("plan"))))
-    return made.groupBy("beam_rank").agg(F.count("*").alias("examples"), F.sum((F.col("text") == F.col("pred")).cast("int")).alias("restored"), F.sum((F.col("text") == F.col("target")).cast("int")).alias("hits"))
+    made = both.withColumn("plan", F.array_join(plans.edit_plan("other", T.tokens(F.col("source")), T.tokens(F.col("pred"))), " "))
+    examples = pairs(spark, d).select("example_id", T.render_model_input(F.col("source"), F.col("context")).alias("model_input"))
+    back = pipelines.reconstruct_from_edit_predictions(examples, made.select("example_id", "beam_rank", F.col("plan").alias("pred")), "minimal")
+    rows = made.select("example_id", "beam_rank", "target", F.col("pred").alias("want")).join(back, ["example_id", "beam_rank"])
+    same = lambda a, b: F.sum((F.col(a) == F.col(b)).cast("int"))
+    return rows.withColumn("want", T.empty_placeholder(F.col("want"))).groupBy("beam_rank").agg(F.count("*").alias("examples"), same("pred", "want").alias("restored"), same("pred", "target").alias("hits"))
 
 
 def q_smoothed_bleu(spark, d):
@@ -278,7 +328,38 @@ def q_code_bleu_corpus(spark, d):
 
 
 def q_evaluation_summary(spark, d):
-    return metrics.evaluation_summary(V.eval_rows(spark, d), comment=False)
+    """All metrics of a code data set, the code metric of every example joined in."""
+    rows = V.eval_rows(spark, d)
+    return metrics.evaluation_summary(rows, comment=False, code=q_code_bleu(spark, d))
+
+
+def q_evaluation_summary_comment(spark, d):
+    """The same of a comment data set, by sub-tokens; the metric of an outside program is supplied."""
+    rows = V.eval_rows(spark, d)
+    return metrics.evaluation_summary(rows, comment=True, meteor=rows.select("example_id", (F.length("pred") / F.greatest(F.length("ref"), F.lit(1))).alias("meteor")))
+
+
+def q_evaluate_after_rerank(spark, d):
+    best = rerank.rerank_best(*_split(spark, d))
+    return pipelines.evaluate_after_rerank(best, V.eval_rows(spark, d))
+
+
+def q_merge_and_evaluate(spark, d):
+    """All ranks as shards: of each example the last one counts."""
+    c = V.candidates(pairs(spark, d)).select(F.col("example_id").alias("id"), F.col("pred").alias("data"), F.col("beam_rank").alias("rank"))
+    return pipelines.merge_and_evaluate(c, V.eval_rows(spark, d))
+
+
+def q_inspect_rerank(spark, d):
+    beams, scores = _split(spark, d)
+    refs = pairs(spark, d).select("example_id", F.col("target").alias("ref"))
+    return pipelines.inspect_rerank(beams, rerank.rerank_best(beams, scores), refs)
+
+
+def q_keep_beams(spark, d):
+    """The first three candidates of each example, none of which lacks one."""
+    kept = rerank.keep_beams(V.candidates(pairs(spark, d)), 3)
+    return kept.groupBy("example_id").agg(F.count("*").alias("n"), F.max("beam_rank").alias("last"), F.min_by("pred", "beam_rank").alias("first"))
 
 
 def q_metric_pivot(spark, d):
@@ -289,20 +370,36 @@ def q_metric_pivot(spark, d):
     return metrics.metric_pivot(long.unionByName(bleus), ("bleu", "gleu"))
 
 
-def _prepared(spark, d):
+def _prepared(spark, d, with_plan: bool, comment: bool = False):
     examples = V.eval_rows(spark, d).select("example_id", "src", "ref", "ctx")
-    return rerank.prepare_rerank(V.candidates(pairs(spark, d)).drop("second_score"), examples, with_plan=True)
+    return rerank.prepare_rerank(V.candidates(pairs(spark, d)).drop("second_score"), examples, with_plan, comment)
 
 
 def q_prepare_rerank(spark, d):
-    return _prepared(spark, d).select("example_id", "beam_rank", "full_src", "seq_to_score", "base_score")
+    """What the scorer sees: the input, the candidate behind its plan, and the sizes that the plan must bridge."""
+    rows = _prepared(spark, d, True)
+    head = T.tokens(F.substring_index("seq_to_score", " <s> ", 1))
+    size = lambda side: F.size(pipelines.plan_side(head, side))
+    return rows.select(
+        "example_id", "beam_rank", "full_src", F.expr("substr(seq_to_score, instr(seq_to_score, ' <s> ') + 5)").alias("scored"), "base_score",
+        (F.size(T.tokens(F.col("src"))) - size("old") + size("new")).alias("new_size"),
+    )
+
+
+def q_prepare_rerank_comment(spark, d):
+    """Comments lose their tags in source, reference and candidate first; here every text gets one in front."""
+    tagged = lambda c: F.concat(F.lit("@return "), c).alias(c)
+    examples = V.eval_rows(spark, d).select("example_id", tagged("src"), tagged("ref"), "ctx")
+    beams = V.candidates(pairs(spark, d)).drop("second_score").withColumn("pred", F.concat(F.lit(" @param"), "pred"))
+    return rerank.prepare_rerank(beams, examples, False, True).select("example_id", "beam_rank", "full_src", "seq_to_score", "ref")
 
 
 def q_rerank_scored(spark, d):
-    """Reranking by a supplied scorer, here one that likes outputs as long as their inputs."""
-    rows = _prepared(spark, d)
+    """Reranking by a supplied scorer, here one that likes outputs as long as their inputs; every score has its text."""
+    rows = _prepared(spark, d, False)
     scores = rerank.score_candidates(rows, lambda: lambda a, b: -(a.str.len() - b.str.len()).abs() / (a.str.len() + 1.0))
-    return rerank.rerank(rows, scores)
+    lost = rerank.unmatched_scores(rows, scores).select((F.col("unscored") + F.col("unknown") + F.col("other_text")).alias("unmatched"))  # one row
+    return rerank.rerank(rows, scores).crossJoin(F.broadcast(lost))
 
 
 def q_caption_suite(spark, d):
@@ -310,10 +407,11 @@ def q_caption_suite(spark, d):
 
 
 def q_marker_classes(spark, d):
-    old = T.tokens(F.col("source"))
-    plan = plans.edit_plan("comment", old, T.tokens(F.col("target")))
-    marks = pairs(spark, d).select(F.explode(plan).alias("t")).select("t", T.marker_class(F.col("t")).alias("m")).where(F.col("m.start") | F.col("m.new") | F.col("m.end"))
-    return marks.groupBy(F.col("t").alias("marker"), F.col("m.start").alias("is_start"), F.col("m.end").alias("is_end")).agg(F.count("*").alias("n"))
+    """Every turn pair has one of the markers in front, by its id: their classes and numbers."""
+    marks = F.array(*[F.lit(m) for m in sorted(T.EDIT_TOKENS)])
+    rows = pairs(spark, d).select(F.explode(F.array(F.get(marks, F.pmod("example_id", F.lit(24)).cast("int")), F.lit("KEEPER"))).alias("t"))
+    flags = ("insert", "keep", "replace", "delete", "start", "old", "new", "end")
+    return rows.groupBy(F.col("t").alias("marker")).agg(F.count("*").alias("n"), *[F.max(T.marker_class(F.col("t"))[f].cast("int")).alias(f"is_{f}") for f in flags])
 
 
 def q_java_token_table(spark, d):
@@ -325,49 +423,69 @@ def q_remove_comments(spark, d):
     return V.table(spark, d, "pages").select("page_id", code.remove_comments(F.col("html")).alias("text"))
 
 
-def _strip(c: str) -> str:
-    for tag in T._TAGS:
+def _strip_tags(c: str) -> str:
+    for tag in ("@return", "@ return", "@param", "@ param", "@throws", "@ throws"):
         c = f"trim(replace({c}, '{tag}', ''))"
-    for mark in T._COMMENT_MARKS:
+    return c
+
+
+def _strip(c: str) -> str:
+    c = _strip_tags(c)
+    for mark in ("/**", "**/", "/*", "*/", "*"):
         c = f"replace({c}, '{mark}', '')"
     c = f"regexp_replace(trim({c}), '<.*?>', '', 'g')"
-    for mark in T._HTML_MARKS:
+    for mark in ("{", "}", "@code", "@docRoot", "@inheritDoc", "@link", "@linkplain", "@value"):
         c = f"replace({c}, '{mark}', '')"
     return c
 
 
 def _sql_subtokens(c: str) -> str:
-    found = rf"regexp_extract_all({_strip(c)}, '[a-zA-Z0-9]+|[^ \t\n\r\fa-zA-Z0-9]')"
+    found = rf"regexp_extract_all({_strip(c)}, '[a-zA-Z0-9]+|[^{V.SQL_BLANK}a-zA-Z0-9]')"
     return rf"array_to_string(list_transform(flatten(list_transform({found}, lambda x: string_split(regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g'), ' '))), lambda x: lower(x)), ' ')"
 
 
-_MARKERS = ", ".join(f"'{t}'" for t in (*T.EDIT_TOKENS, "<s>"))
+#: The twins' own list of markers, with what each is: insert, keep, replace, delete, start, old, new, end.
+_MARKER_TABLE = """('<REPLACE>', 0,0,1,0, 1,0,0,0), ('<REPLACE_OLD>', 0,0,1,0, 1,1,0,0), ('<REPLACE_NEW>', 0,0,1,0, 0,0,1,0), ('<REPLACE_END>', 0,0,1,0, 0,0,0,1),
+('<REPLACE_OLD_KEEP_BEFORE>', 0,1,1,0, 1,1,0,0), ('<REPLACE_NEW_KEEP_BEFORE>', 0,1,1,0, 0,0,1,0), ('<REPLACE_OLD_KEEP_AFTER>', 0,1,1,0, 1,1,0,0), ('<REPLACE_NEW_KEEP_AFTER>', 0,1,1,0, 0,0,1,0),
+('<REPLACE_OLD_DELETE_KEEP_BEFORE>', 0,1,1,1, 1,1,0,0), ('<REPLACE_NEW_DELETE_KEEP_BEFORE>', 0,1,1,1, 0,0,1,0), ('<REPLACE_OLD_DELETE_KEEP_AFTER>', 0,1,1,1, 1,1,0,0), ('<REPLACE_NEW_DELETE_KEEP_AFTER>', 0,1,1,1, 0,0,1,0),
+('<INSERT>', 1,0,0,0, 1,0,0,0), ('<INSERT_OLD>', 1,0,0,0, 1,1,0,0), ('<INSERT_NEW>', 1,0,0,0, 0,0,1,0), ('<INSERT_END>', 1,0,0,0, 0,0,0,1),
+('<INSERT_OLD_KEEP_BEFORE>', 1,1,0,0, 1,1,0,0), ('<INSERT_NEW_KEEP_BEFORE>', 1,1,0,0, 0,0,1,0), ('<INSERT_OLD_KEEP_AFTER>', 1,1,0,0, 1,1,0,0), ('<INSERT_NEW_KEEP_AFTER>', 1,1,0,0, 0,0,1,0),
+('<DELETE>', 0,0,0,1, 1,0,0,0), ('<DELETE_END>', 0,0,0,1, 0,0,0,1), ('<KEEP>', 0,1,0,0, 1,0,0,0), ('<KEEP_END>', 0,1,0,0, 0,0,0,1)"""
+_MARKERS = f"select m from (values {_MARKER_TABLE}) x(m, a, b, c, d, e, f, g, h) union all select '<s>'"
+_MARKER_LIST = ", ".join(re.findall("'<[A-Z_]+>'", _MARKER_TABLE)) + ", '<s>'"
 _DRAW = "(('0x' || substr(md5({}), 1, 8))::bigint / 4294967296.0::double)"
 
 
 def _sql_corrupt(modality: str) -> str:
-    count, length = corrupt.SPANS[modality]
-    noise = round(count * length)
+    noise, length = {"nl": (4, 3.0), "code": (12, 6.5)}[modality]
     spans = max(1, round(noise / length))
-    low, high = corrupt.ACTIONS[modality]
+    low, high = {"nl": (0.07, 0.18), "code": (0.495, 0.71)}[modality]
     action = lambda k: _DRAW.format(f"'20:' || id || ':action:{k}'")
     cut = lambda what, total: f"(floor({_DRAW.format(f"'20:' || id || ':{what}'")} * ({total} - 1))::int + 1)"
     plain, noisy = ["p1", "(size - noise - p1)"][:spans], ["q1", "(noise - q1)"][:spans]
-    parts, at = [], "0"
+    parts, labels, mask, at = [], [], [], "0"
+    run = lambda x, n: f"list_transform(range(0, {n}), lambda z: {x})"
     for k in range(spans):
         own = f"t[{at} + {plain[k]} + 1:{at} + {plain[k]} + {noisy[k]}]"
+        shown = f"case when {noisy[k]} > 1 then {own} else [] end"
         parts.append(f"t[{at} + 1:{at} + {plain[k]}]")
-        parts.append(f"case when {noisy[k]} = 0 then [] when {action(k)} < {low} then list_concat(['<extra_id_{k}>'], case when {noisy[k]} > 1 then {own} else [] end) when {action(k)} < {high} then [] else ['<extra_id_{k}>'] end")
+        # A span that the line has no room for is empty.
+        pick = lambda a, b, c, k=k: f"case when {noisy[k]} = 0 then [] when {action(k)} < {low} then {a} when {action(k)} < {high} then {b} else {c} end"
+        parts.append(pick(f"list_concat(['<extra_id_{k}>'], {shown})", "[]", f"['<extra_id_{k}>']"))
+        kept = run("'<KEEP>'", plain[k])
+        fewer = run("'<KEEP>'", f"{plain[k]} - 1")
+        none = "[]::varchar[]"
+        labels.append(f"case when {noisy[k]} = 0 then {none} when {action(k)} < {low} then list_concat(list_concat({kept}, ['<DELETE>']), {run("'<KEEP>'", f'len({shown})')}) when {action(k)} < {high} then list_concat({fewer}, ['<INSERT>']) else list_concat({kept}, ['<REPLACE>']) end")
+        mask += [f"repeat('0', ({plain[k]})::int)", f"repeat('1', ({noisy[k]})::int)"]
         at = f"{at} + {plain[k]} + {noisy[k]}"
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = f"list_concat({whole}, {p})"
-    return f"""with l as (select doc_id as id, {V._TOK.format(V._WS.format('text'))} as t from documents),
+    whole = reduce(lambda a, b: f"list_concat({a}, {b})", parts)
+    lines = f"select doc_id as id, {V._ws('text')} as text from documents union all select -1 - item_id, {V._ws('text')} from benchmark"
+    return f"""with l as (select id, {V._TOK.format('text')} as t from ({lines})),
 s as (select id, t, len(t) as size, least({noise}, len(t) - 1) as noise from l where len(t) between 2 and 512),
-k as (select *, greatest(1, round(noise / {length}::double)) as spans from s),
+k as (select *, greatest(1, round_even(noise / {length}::double, 0)) as spans from s),
 c as (select *, case when spans = 1 then size - noise else {cut('plain', '(size - noise)')} end as p1, case when spans = 1 then noise else {cut('noise', 'noise')} end as q1
   from k where noise >= spans and size - noise >= spans)
-select id, array_to_string({whole}, ' ') as noisy, array_to_string(t, ' ') as clean, noise::int as n_noise from c"""
+select id, array_to_string({whole}, ' ') as noisy, array_to_string(t, ' ') as clean, noise::int as n_noise, {' || '.join(mask)} as mask, array_to_string({reduce(lambda a, b: f"list_concat({a}, {b})", labels)}, ' ') as labels from c"""
 
 
 _CIDER = V.SQL_REFS + f""", long as (
@@ -462,7 +580,9 @@ l as (select e.example_id, len({_TOKENS['hyp']}) as hlen, arg_min(len({V._TOK.fo
 s as (select lam, k.n, sum(coalesce(own, 0) + greatest(coalesce(num, 0) - lam * coalesce(pen, 0), 0))::double as num, sum(coalesce(own, 0) + greatest(hlen + 1 - k.n, 0))::double as den, sum(hlen)::double as hlen, sum(rlen)::double as rlen
   from l cross join (values (1), (2), (3), (4)) k(n) cross join (values (0.0::double), (0.5::double), (1.0::double)) x(lam) left join p on p.example_id = l.example_id and p.n = k.n group by lam, k.n)
 select lam as lambda, round(case when min(least(num, den, hlen, rlen)) = 0 then 0.0 else exp(least(0.0, 1 - any_value(hlen) / any_value(rlen)) + avg(ln(num / den))) end, 6) as gleu_original from s group by lam"""
-_KEYWORD_LIST = ", ".join(f"'{w}'" for w in code.JAVA_KEYWORDS)
+_KEYWORD_LIST = ", ".join(
+    f"'{w}'" for w in "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while".split()
+)
 _CODE_STATS = SQL_STATS + f""", rec as (
   select example_id, n, sum(least(c_ref, c_hyp) * w)::double as rnum, sum(c_ref * w)::double as rden
   from (select *, case when n > 1 or gram in ({_KEYWORD_LIST}) then 1.0::double else 0.2::double end as w from grams) group by example_id, n
@@ -544,14 +664,14 @@ QUERIES = {
     "gleu_resample": (q_gleu_resample, f"with {_RESAMPLE}"),
     "rouge_l": (q_rouge_l, None),
     "example_report": (q_example_report, f"with {SQL_STATS}, g as ({_SENT_GLEU}), b as ({_SENT_BLEU.format(_sql_bleu('method2_higher_orders'))}), k as (select example_id, arg_max(pred, (base_score + second_score, -beam_rank)) as rerank_pred, arg_max(beam_rank, (base_score + second_score, -beam_rank)) as rerank_rank from candidates group by example_id) select example_id, src, ref, pred, pred = src as no_changes, gleu, bleu_method2_higher_orders, rerank_pred, rerank_rank from evals join g using (example_id) join b using (example_id) join k using (example_id)"),
-    "normalize_ws": (q_normalize_ws, f"select doc_id, {V._WS.format('text')} as text from documents"),
+    "normalize_ws": (q_normalize_ws, f"select doc_id, {V._ws('text')} as text from documents"),
     "subtokenize_comment": (q_subtokenize_comment, f"select doc_id, {_sql_subtokens('text')} as text from documents"),
     "split_render_input": (q_split_render_input, f"with {V.SQL_PAIRS} select example_id, trim(source) || ' </s> ' || trim(context || '</s>' || target) as model_input from pairs"),
-    "remove_keep_span": (q_remove_keep_span, f"with {_SQL_MARKED} select example_id, {V._WS.format("regexp_replace(t, '<KEEP>(.|\n)*?<KEEP_END>', '', 'g')")} as text from marked"),
-    "remove_edits": (q_remove_edits, f"with {_SQL_MARKED}, w as (select *, {V._TOK.format(V._WS.format('t'))} as w from marked), p as (select *, list_max(list_transform(range(1, len(w) + 1), lambda i: case when w[i] in ({_MARKERS}) then i else 0 end)) as place from w) select example_id, array_to_string(w[place + 1:], ' ') as text, array_to_string(w[place + 1:], ' ') as gen, length(array_to_string(w[:place], ' '))::bigint as edit_chars from p"),
+    "remove_keep_span": (q_remove_keep_span, f"with {_SQL_MARKED} select example_id, {V._ws("regexp_replace(t, '<KEEP>(.|\n)*?<KEEP_END>', '', 'g')")} as text from marked"),
+    "remove_edits": (q_remove_edits, f"with {_SQL_MARKED}, w as (select *, {V._TOK.format(V._ws('t'))} as w from marked), p as (select *, list_max(list_transform(range(1, len(w) + 1), lambda i: case when w[i] in ({_MARKER_LIST}) then i else 0 end)) as place from w) select example_id, array_to_string(w[place + 1:], ' ') as text, array_to_string(w[place + 1:], ' ') as gen, length(array_to_string(w[:place], ' '))::bigint as edit_chars from p"),
     "exact_match": (q_exact_match, f"with {V.SQL_CANDIDATES} select beam_rank, round(avg((pred = target)::int) * 100, 6) as exact_match from candidates join pairs using (example_id) group by beam_rank"),
     "copy_pct": (q_copy_pct, f"with {V.SQL_EVAL} select count(*) as examples, round(avg(({_sql_subtokens('src')} = {_sql_subtokens('pred')})::int) * 100, 6) as copy_pct, round(avg((ctx = pred)::int) * 100, 6) as context_pct from evals"),
-    "ngram_counts": (q_ngram_counts, f"with l as (select doc_id, {V._TOK.format(V._WS.format('text'))} as t from documents), g as (select doc_id, n, array_to_string(t[i:i + n - 1], chr(1)) as gram, count(*) as c from (select *, unnest(range(1, len(t) - n + 2)) as i from l, (values (1), (2), (3), (4)) k(n)) group by all) select doc_id, n::int as n, count(*) as grams, sum(c)::bigint as total, max(c) as most from g group by doc_id, n"),
+    "ngram_counts": (q_ngram_counts, f"with l as (select doc_id, {V._TOK.format(V._ws('text'))} as t from documents), g as (select doc_id, n, array_to_string(t[i:i + n - 1], chr(1)) as gram, count(*) as c from (select *, unnest(range(1, len(t) - n + 2)) as i from l, (values (1), (2), (3), (4)) k(n)) group by all) select doc_id, n::int as n, count(*) as grams, sum(c)::bigint as total, max(c) as most from g group by doc_id, n"),
     "sentence_bleu": (q_sentence_bleu, f"with {SQL_STATS} " + _SENT_BLEU.format(", ".join(_sql_bleu(m) for m in ("method0", "method1", "method2", "method2_higher_orders")))),
     "corpus_bleu": (q_corpus_bleu, f"with {SQL_STATS}, s as (select n, sum(num) as num, sum(greatest(den, 1)) as den, sum(hlen) as hlen, sum(rlen) as rlen, count(*) as examples from per group by n) select any_value(examples) as examples, round(case when max(case when n = 1 then num end) = 0 then 0.0 else any_value({_BP}) * exp(avg(ln(case when num = 0 then 0.1 / den else num / den end))) end, 6) as corpus_bleu from s"),
     "gleu": (q_gleu, f"with {SQL_STATS}, g as ({_SENT_GLEU}) select example_id, gleu, (ref = pred)::int as exact from g join evals using (example_id)"),

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """(line_no, column): the lines of a text file, numbered from 0 in file order."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(numbered, f"line_no long, `{column}` string")
+    """(line_no, column): the lines of a text file, or of a folder's files in the order of their names, numbered from 0.
+
+    Spark reads files in an order of its own and long ones in parts, so a line is placed by its file's name and its
+    part's start, both of which the scan gives, and by its place in the part. The parts' line counts, a row for each
+    part, are summed up and sent to the lines; no line is shuffled.
+    """
+    raw = spark.read.text(path).select(
+        F.col("value").alias(column), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"),
+    )
+    # Spark's own parts are in the order of their numbers, which outgrow their five digits.
+    number = F.regexp_extract("_file", r"/part-([0-9]+)[^/]*$", 1)
+    order = Window.orderBy(F.when(number != "", number.cast("long")), "_file", "_start")
+    parts = raw.groupBy("_file", "_start").agg(F.count("*").alias("_lines"), F.min("_row").alias("_first"))
+    parts = parts.withColumn("_before", F.sum("_lines").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    parts = parts.select("_file", "_start", "_first", F.coalesce("_before", F.lit(0)).alias("_before"))
+    return raw.join(F.broadcast(parts), ["_file", "_start"]).select((F.col("_before") + F.col("_row") - F.col("_first")).alias("line_no"), column)
 
 
 def read_parallel_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -18,17 +33,27 @@ def read_parallel_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame
     counts = [p.count() for p in parts]
     if len(set(counts)) > 1:
         raise ValueError(f"files of different lengths: {dict(zip(paths, counts, strict=True))}")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.join(p, "line_no")
-    return whole
+    return reduce(lambda a, b: a.join(b, "line_no"), parts)
+
+
+def align_eval(spark: SparkSession, paths: dict[str, str], preds: str, nbest: int = 1) -> DataFrame:
+    """(example_id, beam_rank, pred, one column for each of paths): nbest lines of preds for each line of the others;
+    any other relation of their lengths is an error."""
+    rows = read_parallel_lines(spark, paths).withColumnRenamed("line_no", "example_id")
+    beams = read_beam_lines(spark, preds, nbest)
+    if (lines := rows.count()) * nbest != (candidates := beams.count()):
+        raise ValueError(f"{candidates} candidates are not {nbest} for each of {lines} lines")
+    return rows.join(beams, "example_id")
 
 
 def write_parallel_lines(rows: DataFrame, paths: dict[str, str]) -> None:
-    """A text folder for each column, in the order of line_no; line breaks inside a value become spaces."""
+    """A text folder for each column, in the order of line_no; line breaks inside a value become spaces. The rows are
+    dealt into ranges of line_no and sorted once, and kept while the columns are written."""
+    line = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\r\n]+", " ").alias(c)
+    placed = rows.select("line_no", *[line(c) for c in paths]).orderBy("line_no").persist()
     for column, path in paths.items():
-        line = F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), "[\r\n]+", " ").alias("value")
-        rows.orderBy("line_no").select(line).write.text(path)
+        placed.select(F.col(column).alias("value")).write.text(path)
+    placed.unpersist()
 
 
 def read_beam_lines(spark: SparkSession, path: str, k: int) -> DataFrame:

@@ -11,6 +11,14 @@ from palimpsest.functions.text import normalize_ws, tokens
 BEAMS = 5
 
 
+# The twins state their constants themselves.
+SQL_BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
+def _ws(c: str) -> str:
+    return f"trim(regexp_replace({c}, '[{SQL_BLANK}]+', ' ', 'g'))"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -60,11 +68,29 @@ def refs_multi(pairs: DataFrame) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, sf_dir: str, most: int = 512) -> DataFrame:
-    """(id, text): documents of at most ``most`` tokens."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), normalize_ws(F.col("text")).alias("text"))
+    """(id, text): documents and benchmark items, whose ids are counted down from -1, of at most ``most`` tokens."""
+    line = lambda name, key: table(spark, sf_dir, name).select(key.alias("id"), normalize_ws(F.col("text")).alias("text"))
+    docs = line("documents", F.col("doc_id")).unionByName(line("benchmark", -1 - F.col("item_id")))
     return docs.where(F.size(tokens(F.col("text"))) <= most)
 
 
+def edit_pairs(spark: SparkSession, sf_dir: str, most: int = 512) -> DataFrame:
+    """(example_id, source_id, source, target): documents of more than 200 characters and at most ``most`` tokens that
+    begin with the same 60 characters as the least such document but differ from it; blanks evened. One pair for each
+    document, so a group of copies gives no more pairs than it has rows."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") > 200).select("doc_id", normalize_ws(F.col("text")).alias("text"))
+    docs = docs.where(F.size(tokens(F.col("text"))) <= most).withColumn("head", F.substring("text", 1, 60))
+    least = docs.groupBy("head").agg(F.min_by(F.struct(F.col("doc_id").alias("source_id"), F.col("text").alias("source")), "doc_id").alias("s")).select("head", "s.*")
+    return docs.join(least, "head").where(F.col("text") != F.col("source")).select(F.col("doc_id").alias("example_id"), "source_id", "source", F.col("text").alias("target"))
+
+
+SQL_EDIT_PAIRS = f"""
+eligible as (select doc_id, {_ws("text")} as text from documents where length(text) > 200),
+short as (select *, substr(text, 1, 60) as head from eligible where len(list_filter(string_split(text, ' '), lambda x: x <> '')) <= 512),
+least as (select head, min(doc_id) as source_id, arg_min(text, doc_id) as source from short group by head),
+edits as (select doc_id as example_id, source_id, source, text as target from short join least using (head) where text <> source)"""
+
+
 def _sides(rows: DataFrame) -> DataFrame:
     both = F.array(*[F.struct(F.lit(s).alias("side"), tokens(F.col(c)).alias("t")) for s, c in (("ref", "ref"), ("hyp", "pred"))])
     return rows.select("example_id", F.explode(both).alias("x")).select("example_id", "x.side", "x.t")
@@ -92,14 +118,13 @@ def dataflow_edges(rows: DataFrame) -> DataFrame:
     return _sides(rows).select("example_id", "side", F.explode(F.concat(first, second)).alias("e")).select("example_id", "side", "e.*")
 
 
-_WS = r"trim(regexp_replace({}, '[ \t\n\r\f]+', ' ', 'g'))"
 _TOK = "list_filter(string_split({}, ' '), lambda x: x <> '')"
 SQL_PAIRS = f"""
 turns as (
   select role, conv_id * 100 + turn as example_id, text, lead(text) over w as nxt, coalesce(lag(text) over w, '') as prv
   from conversations window w as (partition by conv_id order by turn)
 ), pairs as (
-  select example_id, {_WS.format("text")} as source, {_WS.format("nxt")} as target, {_WS.format("prv")} as context
+  select example_id, {_ws("text")} as source, {_ws("nxt")} as target, {_ws("prv")} as context
   from turns where role = 'user' and nxt is not null
 )"""
 SQL_CANDIDATES = f"""{SQL_PAIRS}, candidates as (
