@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # The blanks that separate tokens, as the inside of a character class; the same in every engine.
 BLANK = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-BLANKS = f"[{BLANK}]+"
+#: A run of them; the intersection's first part turns letters down at once.
+BLANKS = rf"[\x{{9}}-\x{{20}}\x{{85}}-\x{{3000}}&&[{BLANK}]]+"
 
 # The edit plan's markers.
 EDIT_TOKENS = (

@@ -52,6 +52,13 @@ def q_pad_sequence(spark, d):
     return Q.pairs(spark, d).select("example_id", both(3, "<s>", "</s>").alias("both"), both(2, "<s>", None).alias("left"), both(1, "<s>", "</s>").alias("none"))
 
 
+def q_full_replace_plan(spark, d):
+    from palimpsest.operators.edits import full_replace_plan
+
+    plan = full_replace_plan(T.tokens(F.col("source")), T.tokens(F.col("target")))
+    return Q.pairs(spark, d).select("example_id", F.array_join(plan, " ").alias("plan"))
+
+
 # Words of a turn, which no language has as its own.
 def _words(spark, d):
     words = F.regexp_extract_all(F.lower("source"), F.lit("([a-z]+)"), 1)
@@ -330,6 +337,7 @@ QUERIES = {
     "split_model_input": (q_split_model_input, f"with {V.SQL_PAIRS} select example_id, rtrim(source) as source, '  ' || context || ' </s> ' || target as context, ltrim(context || ' </s> ' || target) as stripped from pairs"),
     "strip_generations": (q_strip_generations, f"with {V.SQL_PAIRS} select example_id, target as t from pairs"),
     "pad_sequence": (q_pad_sequence, f"with {V.SQL_PAIRS} select example_id, '<s> <s> ' || target || ' </s> </s>' as both, '<s> ' || target as left, target as none from pairs"),
+    "full_replace_plan": (q_full_replace_plan, f"with {V.SQL_PAIRS} select example_id, array_to_string(list_concat(list_concat(list_concat(list_concat(['<REPLACE_OLD>'], {V._TOK.format('source')}), ['<REPLACE_NEW>']), {V._TOK.format('target')}), ['<REPLACE_END>']), ' ') as plan from pairs"),
     "coarse_diff": (Q.q_coarse_diff, f"with {V.SQL_PAIRS} select example_id, (len({V._TOK.format('source')}) + len({V._TOK.format('target')}))::bigint as tokens, true as known_kinds from pairs"),
     "near_copy_minimal_plan": (Q._minimal("other", V.edit_pairs), f"with {V.SQL_EDIT_PAIRS} select example_id, target as text, true as unique_phrases from edits"),
     "near_copy_comment_plan": (Q._minimal("comment", V.edit_pairs), f"with {V.SQL_EDIT_PAIRS} select example_id, target as text, true as unique_phrases from edits"),

@@ -619,19 +619,28 @@ _PARTS = "round(ngram, 6) as ngram, round(weighted, 6) as weighted, round(syntax
 _SHARES = "case when s_all > 0 then s_match::double / s_all end as syntax, case when d_all > 0 then d_match::double / d_all end as dataflow"
 
 
+# The twins' own patterns of the language, and words by kind.
+_JAVA_WORD, _JAVA_SIGN = r"[\p{L}_$][\p{L}\p{Nd}_$]*", r">>>=|>>=|<<=|\+\+|--|->|::|==|!=|<=|>=|&&|\|\||<<|\+=|-=|\*=|/=|&=|\|=|\^=|%=|[-+*/%&|^<>=!~?:]"
+_JAVA_TOKEN = (
+    r"""//[^\n]*|/\*(?s:.*?)\*/|"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*"|'[^'\\\n]*(?:\\[^\n][^'\\\n]*)*'|0[xX][0-9a-fA-F_]+[lL]?|0[bB][01_]+[lL]?"""
+    r"""|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9]+)?[fFdDlL]?|""" + _JAVA_WORD + r"""|\.\.\.|[(){}\[\];,.@]|""" + _JAVA_SIGN + r"""|[^ \t\n\r\f]"""
+)
+_JAVA_BASIC = "'boolean', 'byte', 'char', 'double', 'float', 'int', 'long', 'short'"
+_JAVA_MODIFIERS = "'abstract', 'default', 'final', 'native', 'private', 'protected', 'public', 'static', 'strictfp', 'synchronized', 'transient', 'volatile'"
+_C_PIECES = r"""//[^\n]*|/\*(?s:.*?)\*/|'[^\\']*(?:\\(?s:.)[^\\']*)*'|"[^\\"]*(?:\\(?s:.)[^\\"]*)*"|[^/'"]+|[/'"]"""
+
+
 def _sql_kind(t: str) -> str:
-    rules = []
-    for kind, rule in code.JAVA_KINDS:
-        quoted = rule.replace("'", "''") if isinstance(rule, str) else None
-        test = f"regexp_matches({t}, '{quoted}')" if quoted else f"{t} in ({', '.join(repr(w) for w in rule)})"
-        rules.append(f"when {test} then '{kind}'")
-    return f"case {' '.join(rules)} else 'stray' end"
+    return rf"""case when regexp_matches({t}, '^/[/*]') then 'comment' when regexp_matches({t}, '^("[^\n]*"|''[^\n]*'')$') then 'string' when regexp_matches({t}, '^\.?[0-9]') then 'number'
+  when {t} in ('true', 'false') then 'boolean' when {t} = 'null' then 'null' when {t} in ({_JAVA_BASIC}) then 'basic_type' when {t} in ({_JAVA_MODIFIERS}) then 'modifier' when {t} in ({_KEYWORD_LIST}) then 'keyword'
+  when regexp_matches({t}, '^{_JAVA_WORD}$') then 'identifier' when {t} = '@' then 'annotation' when {t} in ('(', ')', '{{', '}}', '[', ']', ';', ',', '.', '...') then 'separator'
+  when regexp_matches({t}, '^({_JAVA_SIGN})$') then 'operator' else 'stray' end"""
 
 
-_JAVA_TABLE = f"""with l as (select page_id, list_filter(regexp_extract_all(html, '{code.JAVA_TOKEN.replace("'", "''")}'), lambda x: not regexp_matches(x, '^/[/*]')) as t from pages),
+_JAVA_TABLE = f"""with l as (select page_id, list_filter(regexp_extract_all(html, '{_JAVA_TOKEN.replace("'", "''")}'), lambda x: not regexp_matches(x, '^/[/*]')) as t from pages),
 x as (select page_id, unnest(t) as token, unnest(range(0, len(t))) as pos from l)
 select page_id, {_sql_kind('token')} as kind, count(*) as n, max(pos)::int as last, sum(length(token))::bigint as chars, min(token) as least, max(token) as greatest from x group by 1, 2"""
-_COMMENTS = f"""select page_id, array_to_string(list_filter(string_split(array_to_string(list_transform(regexp_extract_all(html, '{code.C_PIECES.replace("'", "''")}'),
+_COMMENTS = f"""select page_id, array_to_string(list_filter(string_split(array_to_string(list_transform(regexp_extract_all(html, '{_C_PIECES.replace("'", "''")}'),
   lambda p: case when regexp_matches(p, '^/[/*]') then ' ' else p end), ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]')), chr(10)) as text from pages"""
 _SUMMARY = f"""with {SQL_STATS}, g as ({_SENT_GLEU}), b as ({_SENT_BLEU.format(_sql_bleu('method2_higher_orders'))}), s as (with {_SARI})
 select count(*) as examples, round(avg(bleu_method2_higher_orders), 6) as bleu, round(avg((ref = pred)::int) * 100, 6) as acc_top_1, round(avg(sari), 6) as sari, round(avg(gleu) * 100, 6) as gleu,
