@@ -21,17 +21,14 @@ def recall_stats(rows: DataFrame, keywords: tuple[str, ...] = JAVA_KEYWORDS) ->
     """For each example: hlen, rlen, num and den by order for precision, and rnum and rden for recall, whose first
     order weighs keywords above other tokens. rows: example_id, ref, pred."""
     sides = {"ref": tokens(F.col("ref")), "hyp": tokens(F.col("pred"))}
-    lengths = rows.select("example_id", F.size(sides["hyp"]).alias("hlen"), F.size(sides["ref"]).alias("rlen"))
     h, r = F.col("c_hyp"), F.col("c_ref")
     weight = F.when(F.col("gram").isin(*keywords), 1.0).otherwise(PLAIN_WEIGHT)
     w = lambda c, n: c * weight if n == 1 else c.cast("double")
-    sums = ngram_table(rows, ["example_id"], sides).groupBy("example_id").agg(
-        *[total(F.least(h, r), n).alias(f"num{n}") for n in metrics.N],
+    return ngram_table(rows, ["example_id"], sides, whole=True).groupBy("example_id").agg(
+        total(h, 1).cast("int").alias("hlen"), total(r, 1).cast("int").alias("rlen"), *[total(F.least(h, r), n).alias(f"num{n}") for n in metrics.N],
         *[total(w(F.least(h, r), n), n).cast("double").alias(f"rnum{n}") for n in metrics.N],
         *[total(w(r, n), n).cast("double").alias(f"rden{n}") for n in metrics.N],
     )
-    zero = {f"{k}{n}": 0 for k in ("num", "rnum", "rden") for n in metrics.N}
-    return lengths.join(sums, "example_id", "left").na.fill(zero)
 
 
 def corpus_sums(stats: DataFrame) -> DataFrame:
