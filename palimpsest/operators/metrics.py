@@ -409,9 +409,25 @@ def multi_bleu(stats: DataFrame) -> DataFrame:
 
 
 def multi_ref_gleu_stats(rows: DataFrame, refs: DataFrame) -> DataFrame:
-    """overlap_stats for every (example, reference). rows: example_id, src, pred; refs: example_id, ref_idx, ref."""
-    both = refs.join(rows, "example_id").select("src", "ref", "pred", F.struct("example_id", "ref_idx").alias("example_id"))
-    return overlap_stats(both).select("example_id.*", *[F.col(x) for x in ("hlen", "rlen", *[f"{k}{n}" for k in ("num", "pen") for n in N])])
+    """overlap_stats for every (example, reference). rows: example_id, src, pred; refs: example_id, ref_idx, ref.
+
+    The grams of each text are made once. What a hypothesis shares with its source only is what it shares with the source
+    in all, less what it shares with it where the reference has the gram too.
+    """
+    side = lambda df, k, c: df.select("example_id", F.lit(k).alias("ref_idx"), F.col(c).alias("text"))
+    long = side(rows, -1, "pred").unionByName(side(rows, -2, "src")).unionByName(refs.select("example_id", F.col("ref_idx").cast("int").alias("ref_idx"), F.col("ref").alias("text")))
+    t = ngram_table(long, ["example_id", "ref_idx"], {"x": tokens(F.col("text"))}, whole=True)
+    gram, example = Window.partitionBy("example_id", "n", "gram"), Window.partitionBy("example_id")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("ref_idx") == k, F.col("c_x"))).over(gram), F.lit(0))
+    sums = t.withColumn("h", of(-1)).withColumn("s", of(-2)).groupBy("example_id", "ref_idx", "n").agg(
+        F.sum(F.least("h", "c_x")).alias("num"), F.sum(F.least("h", "s")).alias("both"), F.sum("c_x").alias("count")
+    )
+    hyp = lambda c, n: F.coalesce(F.max(F.when((F.col("ref_idx") == -1) & (F.col("n") == n), F.col(c))).over(example), F.lit(0))
+    sums = sums.select("*", hyp("count", 1).alias("hyp_len"), *[hyp("both", n).alias(f"all{n}") for n in N]).where("ref_idx >= 0")
+    return sums.groupBy("example_id", "ref_idx").agg(
+        F.max("hyp_len").cast("int").alias("hlen"), total(F.col("count"), 1).cast("int").alias("rlen"), *[total(F.col("num"), n).alias(f"num{n}") for n in N],
+        *[(F.max(f"all{n}") - total(F.col("both"), n)).alias(f"pen{n}") for n in N],
+    )
 
 
 def gleu_resample(stats: DataFrame, iterations: int = 500, seed: int = 0) -> DataFrame:
