@@ -30,7 +30,7 @@ def normalize_ws(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Tokens between blanks; an empty text has none."""
-    return F.filter(F.split(normalize_ws(c), " "), lambda t: t != "")
+    return F.array_remove(F.split(c, BLANKS), "")
 
 
 def split_raw_input(c: Column) -> tuple[Column, Column]:

@@ -68,7 +68,8 @@ def corrupt(lines: DataFrame, modality: str = "nl", seed: int = 20, most: int =
     text. A deleted span shows its tokens behind the sentinel, if it has more than one; an inserted one leaves nothing,
     and the token before it is labelled. labels: <KEEP>, <DELETE>, <REPLACE> or <INSERT> for each token of noisy.
     """
-    t = lines.select("id", words(F.col("text")).alias("t")).withColumn("size", F.size("t")).where(F.col("size") <= most)
+    # As a generator, so that the filter on the size does not make Spark split every text twice.
+    t = lines.select("id", F.inline(F.array(F.struct(words(F.col("text")).alias("t"))))).withColumn("size", F.size("t")).where(F.col("size") <= most)
     t = noise_lengths(t, *(spans or SPANS[modality]), seed)
     low, high = ACTIONS[modality]
     before = lambda runs, k: F.aggregate(F.slice(runs, 1, k), F.lit(0), lambda a, n: a + n)

@@ -193,7 +193,7 @@ def q_caption_summary(spark, d):
 
 def q_noise_mask(spark, d):
     """Three noise spans of two tokens on average in every line of twelve tokens or more."""
-    lines = V.clean_lines(spark, d).withColumn("t", T.tokens(F.col("text"))).where(F.size("t") >= 12).select("id", F.size("t").alias("size"))
+    lines = V.clean_lines(spark, d).withColumn("t", T.tokens(F.col("text"))).select("id", F.size("t").alias("size")).where("size between 12 and 512")
     t = corrupt.noise_lengths(lines, 3.0, 2.0)
     mask = corrupt.noise_mask(F.col("plain_runs"), F.col("noise_runs"))
     spans = F.transform(corrupt.noise_spans(mask), lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string")))
