@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import code, layout, literals
 from palimpsest.functions import text as T
-from palimpsest.operators import code_tables, corrupt, metrics
+from palimpsest.operators import code_tables, corrupt, metrics, pipelines
 from palimpsest.plans import queries as Q
 from palimpsest.sources import views as V
 
@@ -203,7 +203,7 @@ def q_noise_mask(spark, d):
 def q_corrupt_java(spark, d):
     """Prose with a ; for everything that is no letter, as source code."""
     lines = V.clean_lines(spark, d).select("id", F.regexp_replace("text", "[^A-Za-z ]+", " ; ").alias("text"))
-    return Q._corrupted(corrupt.corrupt_code(lines))
+    return Q._corrupted(pipelines.build_pretraining_pairs(lines, "code"))
 
 
 _DRAW3 = lambda what: f"(('0x' || substr(md5('20:' || id || ':{what}'), 1, 8))::bigint / 4294967296.0::double)"

@@ -153,7 +153,7 @@ def _corrupted(rows):
 
 
 def q_corrupt_prose(spark, d):
-    return _corrupted(corrupt.corrupt(V.clean_lines(spark, d), "nl"))
+    return _corrupted(pipelines.build_pretraining_pairs(V.clean_lines(spark, d), "nl"))
 
 
 def q_corrupt_code(spark, d):
