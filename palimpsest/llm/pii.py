@@ -29,6 +29,7 @@ Span = tuple[str, int, int]
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_PART_CHARS = _LOCAL_CHARS - {"."}
 # A match can start inside a run of digits only where one starts at the run's head, so the look-behinds lose nothing
 # and keep long runs linear.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -101,7 +102,6 @@ def _plain_forms() -> dict[str, str]:
 
 
 _PLAIN_FORM = _plain_forms()
-_ODD = re.compile("[" + "".join(map(re.escape, _PLAIN_FORM)) + "]")
 
 # The names of the digits in English, German, French and Spanish.
 _DIGIT_NAMES = {
@@ -135,8 +135,8 @@ _PLUS = re.compile(r"(?:\bplus\b[ \t]?|[\[({<][ \t]*(?:plus|\+)[ \t]*[\])}>][ \t
 _MARK = re.compile(rf"{_AT}|{_DOT}", re.IGNORECASE)
 _BARE_AT = re.compile(rf"[ \t]+(?:{_AT_WORD})[ \t]+|_at_", re.IGNORECASE)
 _DOTS = re.compile(_DOT, re.IGNORECASE)
-# Name parts, dots and at signs of an address, plain or disguised; "_at_" and "_dot_" end a name part.
-_SIGNS = re.compile(rf"(?P<at>{_AT}|{_GAP}(?:{_AT_WORD})[ \t]+|@)|(?P<dot>{_DOT}|\.)|(?P<name>(?:(?!_at_|_dot_)[A-Za-z0-9_%+-])+)", re.IGNORECASE)
+_AT_SIGN = re.compile(rf"{_AT}|{_GAP}(?:{_AT_WORD})[ \t]+|@", re.IGNORECASE)
+_DOT_SIGN = re.compile(rf"{_DOT}|\.", re.IGNORECASE)
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)+", re.IGNORECASE)
 
 
@@ -173,7 +173,8 @@ class Rewritten:
 def _plain_letters(r: Rewritten) -> None:
     """Transducer 1: compatibility forms, look-alikes and digits of other scripts to ASCII, invisible characters to
     nothing; a character can stand for several."""
-    r.replace([(m.start(), m.end(), _PLAIN_FORM[m[0]]) for m in _ODD.finditer(r.text)])
+    if odd := sorted(_PLAIN_FORM.keys() & set(r.text)):
+        r.replace([(m.start(), m.end(), _PLAIN_FORM[m[0]]) for m in re.finditer(f"[{re.escape(''.join(odd))}]", r.text)])
 
 
 def _plain_digits(r: Rewritten, fuse: bool) -> bool:
@@ -208,40 +209,45 @@ def _plain_points(r: Rewritten) -> None:
 
 
 def _plain_marks(r: Rewritten) -> None:
-    """Transducer 3: disguised at signs and dots between name parts to the signs. A name's parts are gathered while the
-    text is read once, so an address can be of any length."""
-    changes, done = [], 0
-    parts: list[tuple[str, int, int]] = []  # name parts and dots without a gap, up to the present place
-    for m in _SIGNS.finditer(r.text):
+    """Transducer 3: disguised at signs and dots between name parts to the signs. At each sign with a host's name behind
+    it, the parts before it are walked back over, so an address can be of any length."""
+    changes, done, text = [], 0, r.text
+    dots: dict[int, int] | None = None
+    for m in _AT_SIGN.finditer(text):
         lo, hi = m.span()
-        if lo < done:
+        host = _HOST.match(text, hi) if lo >= done else None
+        if host is None:
             continue
-        kind = m.lastgroup
-        joined = bool(parts) and parts[-1][2] == lo
-        if kind == "name":
-            if not (joined and parts[-1][0] == "dot"):
-                parts = []
-            parts.append((kind, lo, hi))
-        elif kind == "dot":
-            if joined and parts[-1][0] == "name":
-                parts.append((kind, lo, hi))
-            else:
-                parts = []
-        else:
-            local, parts = parts if joined and parts[-1][0] == "name" else [], []
-            host = _HOST.match(r.text, hi) if local else None
-            if host is None:
-                continue
-            hidden = [(s, e) for k, s, e in local if k == "dot" and r.text[s:e] != "."]
-            hidden_host = [d.span() for d in _DOTS.finditer(r.text, *host.span())]
-            # A bare "at" is a word like any other unless the dots behind it are disguised too.
-            if (_BARE_AT.fullmatch(m[0]) and not hidden_host) or (m[0] == "@" and not hidden and not hidden_host):
-                continue
-            changes += sorted([(s, e, ".") for s, e in hidden + hidden_host] + [(lo, hi, "@")] * (m[0] != "@"))
-            done = host.end()
+        hidden_host = [d.span() for d in _DOTS.finditer(text, *host.span())]
+        # A bare "at" is a word like any other unless the dots behind it are disguised too.
+        if _BARE_AT.fullmatch(m[0]) and not hidden_host:
+            continue
+        if dots is None:
+            dots = {d.end(): d.start() for d in _DOT_SIGN.finditer(text)}
+        hidden, at = [], _name_start(text, lo, done)
+        if at == lo:
+            continue
+        while at in dots and (start := _name_start(text, dots[at], done)) < dots[at]:
+            if text[dots[at] : at] != ".":
+                hidden.append((dots[at], at))
+            at = start
+        if m[0] == "@" and not hidden and not hidden_host:
+            continue
+        changes += sorted([(s, e, ".") for s, e in hidden + hidden_host] + [(lo, hi, "@")] * (m[0] != "@"))
+        done = host.end()
     r.replace(changes)
 
 
+def _name_start(text: str, end: int, least: int) -> int:
+    """Where the run of name signs before ``end`` begins, not before ``least``; "_at_" and "_dot_" end it."""
+    at = end
+    while at > least and text[at - 1] in _PART_CHARS:
+        if text[at - 1] == "_" and text[max(0, at - 5) : at].lower().endswith(("_at_", "_dot_")):
+            break
+        at -= 1
+    return at
+
+
 _NAME_SET, _POINT_SET = frozenset(_DIGIT_NAMES), frozenset(_POINT.split("|"))
 _BRACKETS = tuple(b + gap for b in "[({<" for gap in ("a", " a", "k", " k", "d", " d", "p", " p", "@", " @", ".", " ."))
 _MARK_WORDS = (*_POINT_SET, " @", "_at_")
@@ -268,7 +274,7 @@ def _may_mark(low: str) -> bool:
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
     """Identifiers that show only in the rewritten text and meet no plain one."""
-    odd, low = not text.isascii() and _ODD.search(text), text.lower()
+    odd, low = not text.isascii() and not _PLAIN_FORM.keys().isdisjoint(set(text)), text.lower()
     if not odd and not _may_spell(low) and not _may_mark(low):
         return []
     taken, found = list(base), []
