@@ -399,7 +399,7 @@ def _choices(key: tuple, skeleton: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([] if found is None else [(key[0], *found)], columns=["host", "article", "core", "semantic", "rejected", "spared"])
 
 
-def templates(pages: DataFrame) -> DataFrame:
+def templates(pages: DataFrame, small_hosts: int = SMALL_HOSTS) -> DataFrame:
     """(host, article, core, semantic, rejected, spared, constants): the choice for each host, null without a skeleton,
     and the numbers of the template's texts, which are at most 1 / CONSTANT times as many as a page has on average.
 
@@ -414,7 +414,10 @@ def templates(pages: DataFrame) -> DataFrame:
     vectors = cut(
         bodies.groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("pages").alias("pages"), F.count("*").alias("bodies"), *most("n"), *own)
     )
-    sizes = vectors.where(F.col("token") == _WHOLE).select("host", F.col("pages").alias("all_pages"), F.col("bodies").alias("all_bodies"))
+    sizes = cut(vectors.where(F.col("token") == _WHOLE).select("host", F.col("pages").alias("all_pages"), F.col("bodies").alias("all_bodies")))
+    # A row for each host: sent to the tokens while it is small, so that a large host's tokens stay spread.
+    if sizes.count() <= small_hosts:
+        sizes = F.broadcast(sizes)
     # Rare tokens cannot be in a valid class, and they are the many: they go before the classes are formed.
     frequent = cut(
         vectors.where(F.col("parent").isNotNull()).join(sizes, "host").where((F.col("pages") >= 2) & (F.col("pages") >= SUPPORT * F.col("all_pages")))
@@ -451,7 +454,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
         return urls.map(host_of)
 
     named = host(F.coalesce(F.col(url).cast("string"), F.lit(""))).alias("host")
-    found = cut(templates(pages.select(named, F.xxhash64(url, html).alias("page"), whole_text(html).alias("html"))))
+    found = cut(templates(pages.select(named, F.xxhash64(url, html).alias("page"), whole_text(html).alias("html")), small_hosts))
 
     @F.pandas_udf("string")
     def column(texts: pd.Series, article: pd.Series, core: pd.Series, semantic: pd.Series, rejected: pd.Series, spared: pd.Series, constants: pd.Series) -> pd.Series:
