@@ -115,7 +115,7 @@ def q_tokenize_python(spark, d):
 
 def q_literals(spark, d):
     one = lambda s, comment=False, lang="java": literals.escape_literal(_filled(s), lang, comment)
-    pair, python = literals.java_doc_pair(_filled("/* says %1 %2 */ int f ( ) { // see %3 ENDCOM }")), literals.python_doc_pair(_filled("def f ( ) : NEW_LINE INDENT ''' %1 %2 ''' NEW_LINE return %3 NEW_LINE DEDENT"))
+    pair, python = literals.java_doc_pair(_filled("/* says %1 %2 */ int f ( ) { // see %3 ENDCOM }")), literals.python_doc_pair(_filled("def f ( ) : NEW_LINE INDENT ''' says %1 %2 ''' NEW_LINE return %3 NEW_LINE DEDENT"))
     return _words(spark, d).select(
         "example_id", one('"%1  %2"').alias("literal"), one("// %1 -------\n", True).alias("comment"), one("// x", True).alias("short"), one("'%1\t%2'", False, "python").alias("python"),
         pair["text"].alias("text"), pair["doc"].alias("doc"), python["text"].alias("python_text"), python["doc"].alias("python_doc"), literals.java_doc_pair(_filled("/* x */ int %1 ( )"))["doc"].alias("no_doc"),
@@ -155,7 +155,7 @@ _CLASS_LIT = {k: v for k, v in {
         a=_sql_filled("def|f%i|(|%1|,|%2|)|:|NEW_LINE|INDENT|return|%1|+|%2|NEW_LINE|DEDENT|class|B|:|NEW_LINE|INDENT|def|g%i|(|self|)|:|NEW_LINE|INDENT|return|' %3 ▁ %4 '|NEW_LINE|DEDENT|DEDENT")),
     "literals": "select example_id, {a} as literal, {b} as comment, '' as short, {c} as python, {d} as text, {e} as doc, {f} as python_text, {g} as python_doc, '' as no_doc from words".format(
         a=_sql_filled('" %1 ▁ ▁ %2 "'), b=_sql_filled("// ▁ %1 ▁ - - - - - ENDCOM"), c=_sql_filled("' %1 TABSYMBOL %2 '"), d="'int f ( ) { }'", e=_sql_filled("/* says %1 %2 */ <INLINE> // see %3 ENDCOM"),
-        f=_sql_filled("def f ( ) : NEW_LINE INDENT NEW_LINE return %3 NEW_LINE DEDENT"), g=_sql_filled("''' %1 %2 '''")),
+        f=_sql_filled("def f ( ) : NEW_LINE INDENT NEW_LINE return %3 NEW_LINE DEDENT"), g=_sql_filled("''' says %1 %2 '''")),
     "code_columns": "select example_id, {a} as java_name, {b} as python_name, {c} as types, {d} as names, 'None' as no_names, {e} as bare, true as three, false as two, '1100011000010000' as roles, {f} as python, {g} as ruby from words".format(
         a=_sql_filled("%1"), b=_sql_filled("%2"), c=_sql_filled("final int [ ]|%3"), d=_sql_filled("%2|%4"), e=_sql_filled("void %2 ( )"), f=_sql_filled("x = '%1 # y' \ny = 1"), g=_sql_filled("# %1")),
     "layout": "select example_id, {a} as java, {b} as python, {c} as text from words".format(
