@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontam, html_extract, langid, pii, quality, sharding, simhash, topk, toxicity
+from palimpsest.llm import bpe, decontam, html_extract, langid, lexical, pii, quality, sharding, simhash, topk, toxicity
 from palimpsest.llm.common import key_remainder, table, whole_text
 
 #: Folds that the contracts name: modulus and held-out remainder.
@@ -80,14 +80,45 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length(whole_text()).cast("long").alias("n_chars"))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_pii, op3_sharding, op4_quality, op5_langid, op6_topk, op7_toxicity, op8_decontamination, op9_bpe, op10_html,
+        op12_lexical,
     )
 }
 
 ORACLE_SQL = {
+    "op12_lexical": r"""
+with words as (
+  select row_number() over () as row, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from documents
+), wanted as (
+  select distinct item_id, term from (
+    select item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from benchmark)
+), sizes as (select row, any_value(doc_id) as doc_id, count(*) as n from words group by row
+), whole as (select count(*) as docs, sum(n)::bigint as terms from sizes
+), tfs as (select row, term, count(*) as tf from words where term in (select term from wanted) group by row, term
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from tfs, whole group by term, docs
+), impacts as (
+  select t.row, s.doc_id, t.term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) as impact
+  from tfs t join sizes s using (row), whole
+), scores as (
+  select item_id, row, any_value(doc_id) as doc_id, sum(w * impact)::bigint as score
+  from wanted join weights using (term) join impacts using (term) group by item_id, row
+), ranked as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank from scores where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 10
+""",
     "op6_topk": """
 with v as (
   select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
