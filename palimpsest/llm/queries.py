@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, decontam, html_extract, langid, lexical, pii, quality, sharding, simhash, topk, toxicity
+from palimpsest.llm import bpe, conversations, decontam, html_extract, langid, lexical, pii, quality, sharding, simhash, topk, toxicity
 from palimpsest.llm.common import key_remainder, table, whole_text
 
 #: Folds that the contracts name: modulus and held-out remainder.
@@ -84,15 +84,92 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_pii, op3_sharding, op4_quality, op5_langid, op6_topk, op7_toxicity, op8_decontamination, op9_bpe, op10_html,
-        op12_lexical,
+        op12_lexical, op13_conversations,
     )
 }
 
+#: crc32 of a string of ASCII signs, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split(key, ''), lambda c: ascii(c)::bigint), lambda a, b:
+  list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)) + y), 4294967295::bigint), 4294967295)"""
+
+
+def _least(*options: str) -> str:
+    return f"list_min(list_filter([{', '.join(options)}], lambda x: x is not null))"
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''") -> str:
+    """A state's path with one more edit: cost and letters, by which paths are compared, and the text that they leave."""
+    return f"case when {state} is not null then {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}} end"
+
+
+def _repair_step() -> str:
+    """The paths to each state when a row has been edited, from those before it; n, s, u, a: nothing, system, user, assistant."""
+    writes = lambda line: f"(chr(10) || {line})"
+    to_u, to_a = ("n", "s", "a"), ("u",)
+    kept = lambda froms, initial: [f"case when left(role, 1) = '{initial}' and not must_go then {_edit(q, 'late', 'K', writes("role || ':' || text"))} end" for q in froms]
+    reroled = lambda froms, name: [f"case when not must_go then {_edit(q, '2 + late', 'R', writes(f"'{name}:' || text"))} end" for q in froms]
+    return f"""{_least(_edit("n", "3", "D"))} as n, {_least(_edit("s", "3", "D"), *kept(("n",), "s"))} as s,
+      {_least(_edit("u", "3", "D"), *kept(to_u, "u"), *reroled(to_u, "user"))} as u,
+      {_least(_edit("a", "3", "D"), *kept(to_a, "a"), *reroled(to_a, "assistant"))} as a"""
+
+
+_INSERT_U, _INSERT_A = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+_BOTH = f"{_INSERT_U} || {_INSERT_A}"
+_INSERTED = f"""n, s, {_least("u", *(_edit(q, "2", "I", _INSERT_U) for q in "nsa"))} as u,
+      {_least("a", _edit("u", "2", "I", _INSERT_A), *(_edit(q, "4", "II", _BOTH) for q in "ns"))} as a"""
+
 ORACLE_SQL = {
+    "op13_conversations": rf"""
+with recursive keyed as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key
+  from conversations
+), hashed as (select *, {_CRC32} % 20 as h from keyed
+), harmed as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+    case h when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+    unnest(case h when 0 then [] when 3 then [0, 1] else [0] end) as copy
+  from hashed
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body
+  from harmed
+), judged as (
+  select *, case when body = '' then 'blank' when nth > 1 then 'duplicate' when right(body, 1) in ('.', '!', '?') then '' else 'truncated' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by i) || '>' || left(role, 1) as pair
+  from placed
+), counted as (
+  select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (pair is not null and pair not in ('s>u', 'u>a', 'a>u')) as illegal
+  from judged group by conv_id
+), edits as (select conv_id, i, role, text, fault in ('blank', 'duplicate') as must_go, (fault = 'truncated')::bigint as late from judged
+), started as (
+  select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': '', 't': ''}} as n, null::struct(c bigint, a varchar, t varchar) as s,
+    {{'c': 2::bigint, 'a': 'I', 't': {_INSERT_U}}} as u, {{'c': 4::bigint, 'a': 'II', 't': {_BOTH}}} as a
+  from counted
+), paths as (
+  select * from started
+  union all
+  select conv_id, i, {_INSERTED} from (
+    select p.conv_id, e.i, {_repair_step()} from paths p join edits e on p.conv_id is not distinct from e.conv_id and e.i = p.i + 1)
+), ended as (
+  select c.*, {_least("p.n", "p.a")} as best from counted c join paths p on p.conv_id is not distinct from c.conv_id and p.i = c.n
+)
+select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+  coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(best.c, 0)::bigint as cost, coalesce(best.a, '') as audit,
+  sha256(coalesce(best.t[2:], '')) as repaired_sha256
+from (select distinct conv_id from conversations) k left join ended e on k.conv_id is not distinct from e.conv_id
+""",
     "op12_lexical": r"""
 with words as (
   select row_number() over () as row, doc_id, unnest(regexp_extract_all(
