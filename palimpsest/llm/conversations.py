@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -183,8 +184,8 @@ def _mapped(df: DataFrame, work, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(lambda batches: _batches(work(_rows(batches)), arrow), kind)
 
 
-def _pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Sorted rows to pieces of one conversation: (conv, part, run, whole, turns, roles, texts)."""
+def _pieces(rows: Iterator[tuple], most: int) -> Iterator[tuple]:
+    """Sorted rows to pieces of one conversation, of so many rows at most: (conv, part, run, whole, turns, roles, texts)."""
     part = TaskContext.get().partitionId()
     run, first, own, size, pieces = 0, True, [], 0, []
     now: object = _pieces  # no conversation is this
@@ -210,7 +211,7 @@ def _pieces(rows: Iterator[tuple]) -> Iterator[tuple]:
                 first, pieces = False, []
             now = conv
         if not gone:
-            if len(own) >= PIECE or size >= PIECE_BYTES:
+            if len(own) >= most or size >= PIECE_BYTES:
                 pack()
                 if len(pieces) > 1:  # of a long conversation, what is packed can go
                     yield from ((now, part, run + k, False, *p) for k, p in enumerate(pieces[:-1]))
@@ -293,7 +294,7 @@ def _hashed(rows: Iterator[tuple]) -> Iterator[tuple]:
         yield conv, part, run, lines, found
 
 
-def _repaired(rows: DataFrame, conv: str, turn: str, role: str, text: str, gone: str | None) -> DataFrame:
+def _repaired(rows: DataFrame, conv: str, turn: str, role: str, text: str, gone: str | None, piece: int) -> DataFrame:
     """Pieces of repaired conversations: (conv, part, run, lines, found)."""
     space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     away = F.coalesce(F.col(gone), F.lit(False)) if gone else F.lit(False)
@@ -303,7 +304,7 @@ def _repaired(rows: DataFrame, conv: str, turn: str, role: str, text: str, gone:
     kind = plain.schema["conv"].dataType.simpleString()
     id_ = f"conv {kind}, part long, run long"
     solved = f"{id_}, lines {LINES}, found struct<{FOUND.replace(' ', ':').replace(',:', ',')}>"
-    pieces = cut(_mapped(dealt, _pieces, f"{id_}, whole boolean, turns array<long>, roles array<string>, texts array<string>"))
+    pieces = cut(_mapped(dealt, partial(_pieces, most=piece), f"{id_}, whole boolean, turns array<long>, roles array<string>, texts array<string>"))
     whole = _mapped(pieces.where("whole"), _solved, solved)
 
     # Rows of open conversations that stood in an earlier piece. A row's first place in a piece speaks for its repeats.
@@ -321,7 +322,7 @@ def _repaired(rows: DataFrame, conv: str, turn: str, role: str, text: str, gone:
     return whole.unionAll(_mapped(edited.repartition("conv").sortWithinPartitions("conv", "part", "run"), _hashed, solved))
 
 
-def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None) -> DataFrame:
+def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None, piece: int = PIECE) -> DataFrame:
     """One row for each conversation: its faults, the cheapest edits and a digest of what they leave.
 
     Rows are taken by turn, null first, then role and text in byte order; rows that are equal in all three are repeats
@@ -332,12 +333,12 @@ def repair(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str
     empty one; texts are whole; other columns, of any name, are not looked at. The letters of a conversation are one
     string, and its digest is made by one stream over its pieces: both are what is asked for.
     """
-    return _repaired(rows, conv, turn, role, text, gone).where("found is not null").select(F.col("conv").alias(conv), "found.*")
+    return _repaired(rows, conv, turn, role, text, gone, piece).where("found is not null").select(F.col("conv").alias(conv), "found.*")
 
 
-def repaired_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None) -> DataFrame:
+def repaired_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", gone: str | None = None, piece: int = PIECE) -> DataFrame:
     """The rows of the repaired conversations: id, role, text and the columns part, run and place, by which a
     conversation's rows are in order. What ``repair`` says of nulls, repeats and empty tables holds."""
-    own = _repaired(rows, conv, turn, role, text, gone)
+    own = _repaired(rows, conv, turn, role, text, gone, piece)
     lines = own.select("conv", "part", "run", F.posexplode("lines").alias("place", "line"))
     return lines.select(F.col("conv").alias(conv), "part", "run", "place", F.col("line.role").alias(role), F.col("line.text").alias(text))

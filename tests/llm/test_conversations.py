@@ -68,7 +68,7 @@ def test_repair_matches_sql(spark, sf):
     oracle.compare(queries.op13_conversations(spark, sf), queries.ORACLE_SQL["op13_conversations"], sf)
 
 
-def test_repair_matches_enumeration(spark, monkeypatch):
+def test_repair_matches_enumeration(spark):
     """Null ids, turns, roles and texts, repeats, ties of turns, clashing columns, one piece or a piece for each two rows."""
     rnd = random.Random(5)
     groups = {c: [(rnd.choice([None, 1, 2, 3, 7]), rnd.choice(ROLES[:3] * 3 + ROLES), rnd.choice(TEXTS)) for _ in range(rnd.randint(1, 5))] for c in [None, *range(40)]}
@@ -76,22 +76,20 @@ def test_repair_matches_enumeration(spark, monkeypatch):
     df = spark.createDataFrame(rows, f"{ROWS}, part string, run int, found double").repartition(3)
     want = sorted((_expected(c, own) for c, own in groups.items()), key=str)
     for piece in (4096, 2):
-        monkeypatch.setattr(C, "PIECE", piece)
-        assert sorted(map(tuple, C.repair(df).collect()), key=str) == want
-    turns = C.repaired_turns(df).orderBy("part", "run", "place").collect()
+        assert sorted(map(tuple, C.repair(df, piece=piece).collect()), key=str) == want
+    turns = C.repaired_turns(df, piece=2).orderBy("part", "run", "place").collect()
     for c, *_, sha in want:
         assert hashlib.sha256("\n".join(f"{r.role}:{r.text}" for r in turns if r.conv_id == c).encode()).hexdigest() == sha
 
 
-def test_long_conversation_in_many_pieces_is_solved_as_one(spark, monkeypatch):
+def test_long_conversation_in_many_pieces_is_solved_as_one(spark):
     rnd = random.Random(9)
     roles, texts = rnd.choices(["user", "assistant", "system", "uncle"], k=1500), [rnd.choice(["Yes.", "no", "", f"word {k}.", f"w {k}"]) for k in range(1500)]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(roles, texts))] + [(0, 1, "user", "a."), (2, 1, "user", "b.")]
     wrong = C.faults(roles, texts, [])
     cost, letters = C.least(roles, wrong, C.ENDS)[C.NOTHING]
     text = C._written(C.rewritten(roles, texts, C.NOTHING, letters))
-    monkeypatch.setattr(C, "PIECE", 40)
-    got = {r.conv_id: r for r in C.repair(spark.createDataFrame(rows, ROWS)).collect()}
+    got = {r.conv_id: r for r in C.repair(spark.createDataFrame(rows, ROWS), piece=40).collect()}
     assert got[1].cost == cost and got[1].audit == letters and got[1].repaired_sha256 == hashlib.sha256(text.encode()).hexdigest()
     assert [got[1][k] for k in ("gaps", "blank", "duplicate", "truncated")] == [0, *(wrong.count(k) for k in ("blank", "duplicate", "truncated"))]
     assert (got[0].cost, got[0].audit) == (2, "KI") == (got[2].cost, got[2].audit)
