@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, conversations, decontam, html_extract, langid, lexical, pii, quality, sharding, simhash, topk, toxicity
+from palimpsest.llm import bpe, conversations, decontam, html_extract, langid, lexical, pieces, pii, quality, sharding, simhash, topk, toxicity
 from palimpsest.llm.common import key_remainder, table, whole_text
 
 #: Folds that the contracts name: modulus and held-out remainder.
@@ -80,6 +80,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length(whole_text()).cast("long").alias("n_chars"))
 
 
+def piece_model() -> str:
+    """The public model file that the query uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.with_pieces(docs, piece_model(), keep_ids=False, keep_text=False).select("doc_id", "pieces.*")
+
+
 def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -92,7 +104,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_pii, op3_sharding, op4_quality, op5_langid, op6_topk, op7_toxicity, op8_decontamination, op9_bpe, op10_html,
-        op12_lexical, op13_conversations,
+        op11_sentencepiece, op12_lexical, op13_conversations,
     )
 }
 
