@@ -32,9 +32,20 @@ class Places:
         for i, w in enumerate(words):
             self.at.setdefault(w, []).append(i)
 
+    def from_(self, word: str, start: int) -> list[int]:
+        """A word's places from a place on."""
+        at = self.at.get(word, [])
+        return at[bisect_left(at, start) :]
+
     def of(self, phrase: list[str], start: int = 0) -> list[int]:
-        at = self.at.get(phrase[0], []) if phrase else []
-        return [i for i in at[bisect_left(at, start) :] if self.words[i : i + len(phrase)] == phrase]
+        return [i for i in self.from_(phrase[0], start) if self.words[i : i + len(phrase)] == phrase] if phrase else []
+
+    def agree(self, phrase: list[str], skipped: int, at: int) -> int:
+        """How many tokens of the phrase, from one on, stand from a place on."""
+        n = 0
+        while skipped + n < len(phrase) and at + n < len(self.words) and self.words[at + n] == phrase[skipped + n]:
+            n += 1
+        return n
 
     def widths(self, lo: int, hi: int, bound: int) -> int | None:
         """How far old[lo:hi] must grow towards the bound, in its direction, until it occurs once; None if it never does."""
@@ -142,62 +153,57 @@ def steps(plan: list[str], kinds: dict[str, list[set[str]]]) -> Iterator[Step]:
             yield Step(kind, runs, start)
 
 
-class Draft:
-    """Words that are edited from a cursor on."""
+def rebuilt(old: list[str], gone: set[int], new: dict[int, list[str]]) -> list[str]:
+    """The old words without those that go, with the new ones before their places."""
+    return [w for i in range(len(old) + 1) for w in [*new.get(i, []), *([old[i]] if i < len(old) and i not in gone else [])]]
 
-    def __init__(self, words: list[str]):
-        self.words, self.at = list(words), 0
-
-    def _next(self, word: str, start: int) -> int | None:
-        return next((i for i in range(start, len(self.words)) if self.words[i] == word), None)
-
-    def keep(self, run: list[str]) -> None:
-        """Moves over the run's words as far as they stand at the cursor."""
-        for w in run:
-            self.at += self.words[self.at : self.at + 1] == [w]
-
-    def drop(self, run: list[str]) -> None:
-        """Takes each word out where it stands next, from one place before the cursor on."""
-        for w in run:
-            place = self._next(w, max(0, self.at - 1))
-            if place is None:
-                self.at += 1
-            else:
-                del self.words[place]
-                self.at = place
-
-    def put(self, run: list[str], before: str | None) -> None:
-        """Writes the run before the next such word, at the cursor if there is none, or at the end if none is given."""
-        place = self._next(before, self.at) if before is not None else max(self.at, len(self.words))
-        self.at = self.at if place is None else place
-        self.words[self.at : self.at] = run
-        self.at += len(run)
 
+def code_anchors(old: list[str], plan: list[str]) -> tuple[set[int], dict[int, list[str]]]:
+    """(places that go, new tokens before places) of a code plan on the old text.
 
-def replay_code(old: list[str], plan: list[str]) -> str:
-    """The new text of a code plan: insertions go before the first word that the plan keeps next. Empty if a marker is
-    left in the result."""
-    draft = Draft(old)
-    # The word behind the next <KEEP>, for each place of the plan.
-    kept: list[str | None] = [None] * (len(plan) + 2)
-    for i in range(len(plan) - 1, -1, -1):
-        kept[i] = (plan[i + 1] if i + 1 < len(plan) else None) if plan[i] == "<KEEP>" else kept[i + 1]
-    for kind, runs, start in steps(plan, CODE_STEPS):
+    The old words before a frontier are done. A kept run moves it as far as its words stand there; a dropped word goes
+    where it stands next, the word just before the frontier included; new words are anchored at the next place of the word
+    that the plan keeps after them, or at the end if it keeps none.
+    """
+    places, gone, new, at = Places(old), set(), {}, 0
+    parsed = list(steps(plan, CODE_STEPS))
+    # What the plan keeps next, for each step: also a run that is cut off or stands between steps counts.
+    keeps = [i for i, w in enumerate(plan) if w == "<KEEP>"]
+    for kind, runs, start in parsed:
         if kind == "<KEEP>":
-            draft.keep(runs[0])
-        if kind in ("<DELETE>", "<REPLACE_OLD>"):
-            draft.drop(runs[0])
-        if kind in ("<INSERT>", "<REPLACE_OLD>"):
-            draft.put(runs[-1], kept[min(start, len(plan))])
-    text = " ".join(draft.words)
+            for w in runs[0]:
+                at += at < len(old) and at not in gone and old[at] == w
+            continue
+        if kind != "<INSERT>":
+            for w in runs[0]:
+                spot = next((i for i in places.from_(w, at - 1) if i not in gone), None)
+                at = min(at, len(old) - 1) + 1 if spot is None else spot + 1
+                gone |= {spot} - {None}
+        if kind != "<DELETE>":
+            nth = bisect_left(keeps, start)
+            after = plan[keeps[nth] + 1] if nth < len(keeps) and keeps[nth] + 1 < len(plan) else None
+            spot = len(old) if after is None else next((i for i in places.from_(after, at) if i not in gone), at)
+            new.setdefault(spot, []).extend(runs[-1])
+            at = spot
+    return gone, new
+
+
+def replay_code(old: list[str], plan: list[str]) -> str:
+    """The new text of a code plan. Empty if a marker is left in the result."""
+    text = " ".join(rebuilt(old, *code_anchors(old, plan)))
     return "" if any(m in text for m in MARKS) else text
 
 
 def locate_longest(phrase: list[str], places: Places, start: int) -> tuple[int, int, bool] | None:
-    """(place, tokens left out before it, whether it is ambiguous) of the phrase's first longest part that occurs."""
-    parts = ((i, j) for i in range(len(phrase)) for j in range(len(phrase), i, -1))
-    found = ((places.of(phrase[i:j], start), i) for i, j in parts)
-    return next(((at[0], i, len(at) > 1) for at, i in found if at), None)
+    """(place, tokens left out before it, whether it is ambiguous) of the phrase's first longest part that occurs: it
+    begins at the first token with a place, since a longer part would need one too."""
+    skipped = next((i for i, w in enumerate(phrase) if places.from_(w, start)), None)
+    if skipped is None:
+        return None
+    runs = [(places.agree(phrase, skipped, at), at) for at in places.from_(phrase[skipped], start)]
+    most = max(n for n, _ in runs)
+    own = [at for n, at in runs if n == most]
+    return own[0], skipped, len(own) > 1
 
 
 def anchored(old: list[str], plan: list[str]) -> tuple[set[int], dict[int, list[str]], list[tuple[list[str], list[str] | None]]]:
@@ -233,7 +239,7 @@ def replay_minimal(old: list[str], plan: list[str]) -> str:
     """The new text of a minimal plan: the old one rebuilt from its anchored steps. Phrases that had several places are
     then deleted, and after that replaced, wherever they are left and their new tokens do not stand there already."""
     gone, new, again = anchored(old, plan)
-    out = [w for i in range(len(old) + 1) for w in [*new.get(i, []), *([old[i]] if i < len(old) and i not in gone else [])]]
+    out = rebuilt(old, gone, new)
     left = Places(out)
     cut = {i for phrase, fresh in again if fresh is None for s in left.of(phrase) for i in range(s, s + len(phrase))}
     out = [w for i, w in enumerate(out) if i not in cut]

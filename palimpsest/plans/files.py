@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-from uuid import uuid4
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -13,19 +9,12 @@ from palimpsest.operators import pipelines
 from palimpsest.plans import more, queries as Q
 from palimpsest.sources import lines, records
 from palimpsest.sources import views as V
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all machines share; a temporary one where the session names none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{shared or tempfile.mkdtemp(prefix='spark-')}/files-{uuid4().hex}"
+from palimpsest.sources.shared import new_folder
 
 
 def q_parallel_lines(spark, d):
     """Turn pairs as line-aligned files, in the order of their ids, and back with the numbers of their lines."""
-    at = _folder(spark)
+    at = new_folder(spark)
     paths = {c: f"{at}/{c}" for c in ("id", "source", "target")}
     lines.write_parallel_lines(Q.pairs(spark, d).select(F.col("example_id").alias("line_no"), F.col("example_id").alias("id"), "source", "target"), paths)
     return lines.read_parallel_lines(spark, paths).withColumn("id", F.col("id").cast("long"))
@@ -33,14 +22,14 @@ def q_parallel_lines(spark, d):
 
 def q_beam_lines(spark, d):
     """Candidates as k lines an example, aligned again with their references."""
-    at, p = _folder(spark), Q.pairs(spark, d)
+    at, p = new_folder(spark), Q.pairs(spark, d)
     lines.write_beam_lines(V.candidates(p), f"{at}/hyp")
     lines.write_parallel_lines(p.select(F.col("example_id").alias("line_no"), F.col("target").alias("ref")), {"ref": f"{at}/ref"})
     return lines.align_eval(spark, {"ref": f"{at}/ref"}, f"{at}/hyp", V.BEAMS)
 
 
 def q_beam_json(spark, d):
-    at = _folder(spark)
+    at = new_folder(spark)
     examples = V.eval_rows(spark, d).select("example_id", "src", "ref", F.col("src").alias("full_src"), F.col("ref").alias("full_ref"), F.lit("none").alias("pred_edits"), F.col("pred").alias("rerank_pred"))
     beams = V.candidates(Q.pairs(spark, d)).select("example_id", "beam_rank", "pred", F.concat(F.lit("plan "), "pred").alias("seq_to_score"), "base_score")
     records.write_beam_json(beams.join(examples, "example_id"), at)
@@ -48,20 +37,20 @@ def q_beam_json(spark, d):
 
 
 def q_score_files(spark, d):
-    at = _folder(spark)
+    at = new_folder(spark)
     records.write_scores_json(pipelines.example_scores(V.eval_rows(spark, d)), at)
     return spark.read.json(at).select("metric", "example_id", "value")
 
 
 def q_summary_file(spark, d):
-    at = _folder(spark)
+    at = new_folder(spark)
     lines.write_summary_json(pipelines.evaluate_after_rerank(V.eval_rows(spark, d).withColumnRenamed("pred", "rerank_pred"), V.eval_rows(spark, d)), at)
     return spark.read.json(at)
 
 
 def q_split_dataset(spark, d):
     """Built examples by data set and split, numbered inside each."""
-    at = _folder(spark)
+    at = new_folder(spark)
     built = pipelines.build_edit_dataset(Q.pairs(spark, d)).select("example_id", "model_input", "target")
     split = F.when(F.pmod("example_id", F.lit(10)) == 0, "test").when(F.pmod("example_id", F.lit(10)) == 1, "valid").otherwise("train")
     records.write_edit_dataset(built.withColumn("dataset", F.lit("turns")).withColumn("split", split), at)
@@ -70,7 +59,7 @@ def q_split_dataset(spark, d):
 
 def q_eval_text(spark, d):
     """Texts as an outside scorer gets them: comments by their sub-tokens, from and to line files."""
-    at = _folder(spark)
+    at = new_folder(spark)
     paths = {c: f"{at}/{c}" for c in ("src", "ref", "pred")}
     rows = V.eval_rows(spark, d).select(F.lit("x-comment-update").alias("dataset"), F.col("example_id").alias("line_no"), "src", "ref", T.empty_placeholder(F.col("pred")).alias("pred"))
     records.write_eval_text(rows, paths)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import code, layout, literals
 from palimpsest.functions import text as T
-from palimpsest.operators import code_tables, corrupt, metrics, pipelines
+from palimpsest.operators import code_tables, corrupt, metrics, phrases, pipelines
 from palimpsest.plans import queries as Q
 from palimpsest.sources import views as V
+from palimpsest.sources.shared import cut
 
 
 def q_text_columns(spark, d):
@@ -309,6 +310,22 @@ _MARKER_SQL = f"""with {V.SQL_PAIRS}, k as (select *, row_number() over (order b
 r as (select k.* exclude (place) from pairs join k on pairs.example_id % 24 = k.place union all select 'KEEPER', 0, 0, 0, 0, 0, 0, 0, 0 from pairs)
 select m as marker, count(*) as n, max(a)::int as is_insert, max(b)::int as is_keep, max(c)::int as is_replace, max(d)::int as is_delete, max(e)::int as is_start, max(f)::int as is_old, max(g)::int as is_new, max(h)::int as is_end from r group by m"""
 
+
+def q_phrase_places(spark, d):
+    """Runs of one to four tokens from every place of a target: how often and where first they stand in the source."""
+    w = Q.pairs(spark, d).select("example_id", T.tokens(F.col("source")).alias("words"), T.tokens(F.col("target")).alias("t"))
+    each = w.select("example_id", "t", F.posexplode("t").alias("phrase_id", "_")).withColumn("n", F.col("phrase_id") % 4 + 1).where("phrase_id + n <= size(t)")
+    asked = cut(each.select("example_id", "phrase_id", "n", F.slice("t", F.col("phrase_id") + 1, F.col("n")).alias("phrase")))
+    found = phrases.phrase_places(w, asked).groupBy("example_id", "phrase_id").agg(F.count("*").alias("places"), F.min("pos").alias("first"))
+    return asked.join(found, ["example_id", "phrase_id"]).select("example_id", "phrase_id", F.col("n").alias("tokens"), "places", "first")
+
+
+def q_locate_longest(spark, d):
+    """Where the first twelve tokens of a target, or the longest part of them, stand in the source."""
+    w = Q.pairs(spark, d).select("example_id", T.tokens(F.col("source")).alias("w"), F.slice(T.tokens(F.col("target")), 1, 12).alias("x"))
+    return w.select("example_id", phrases.locate_longest(F.col("w"), F.col("x")).alias("f")).where("f is not null").select("example_id", "f.*")
+
+
 #: Twins of queries that queries.py defines.
 TWINS = {
     "edit_opcodes": f"with {V.SQL_PAIRS} select example_id, source as old_side, target as new_side, true as well_formed from pairs",
@@ -339,6 +356,15 @@ QUERIES = {
     "pad_sequence": (q_pad_sequence, f"with {V.SQL_PAIRS} select example_id, '<s> <s> ' || target || ' </s> </s>' as both, '<s> ' || target as left, target as none from pairs"),
     "full_replace_plan": (q_full_replace_plan, f"with {V.SQL_PAIRS} select example_id, array_to_string(list_concat(list_concat(list_concat(list_concat(['<REPLACE_OLD>'], {V._TOK.format('source')}), ['<REPLACE_NEW>']), {V._TOK.format('target')}), ['<REPLACE_END>']), ' ') as plan from pairs"),
     "coarse_diff": (Q.q_coarse_diff, f"with {V.SQL_PAIRS} select example_id, (len({V._TOK.format('source')}) + len({V._TOK.format('target')}))::bigint as tokens, true as known_kinds from pairs"),
+    "phrase_places": (q_phrase_places, f"""with {V.SQL_PAIRS}, w as (select example_id, {V._TOK.format('source')} as w, {V._TOK.format('target')} as t from pairs),
+x as (select example_id, w, p, t[p + 1:p + 1 + p % 4] as phrase from (select *, unnest(range(0, len(t))) as p from w) where p + 1 + p % 4 <= len(t)),
+f as (select example_id, p, len(phrase) as n, list_filter(range(0, len(w) - len(phrase) + 1), lambda i: w[i + 1:i + len(phrase)] = phrase) as places from x)
+select example_id, p::int as phrase_id, n::int as tokens, len(places)::bigint as places, list_min(places)::int as first from f where len(places) > 0"""),
+    "locate_longest": (q_locate_longest, f"""with {V.SQL_PAIRS}, w as (select example_id, {V._TOK.format('source')} as w, {V._TOK.format('target')}[1:12] as x from pairs),
+parts as (select example_id, w, i, j, x[i + 1:j] as part from (select *, unnest(range(i + 1, len(x) + 1)) as j from (select *, unnest(range(0, len(x))) as i from w))),
+f as (select *, list_filter(range(0, len(w) - len(part) + 1), lambda k: w[k + 1:k + len(part)] = part) as places from parts),
+best as (select *, row_number() over (partition by example_id order by i, j desc) as nth from f where len(places) > 0)
+select example_id, list_min(places)::int as place, i::int as skipped, len(part)::int as length, len(places) > 1 as ambiguous from best where nth = 1"""),
     "near_copy_minimal_plan": (Q._minimal("other", V.edit_pairs), f"with {V.SQL_EDIT_PAIRS} select example_id, target as text, true as unique_phrases from edits"),
     "near_copy_comment_plan": (Q._minimal("comment", V.edit_pairs), f"with {V.SQL_EDIT_PAIRS} select example_id, target as text, true as unique_phrases from edits"),
     "prepare_rerank_comment": (Q.q_prepare_rerank_comment, f"""with {V.SQL_EVAL} select c.example_id, c.beam_rank, {Q._strip_tags(V._ws("'@return ' || src"))} || ' </s> ' || ctx as full_src,

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import code
 from palimpsest.functions import text as T
-from palimpsest.operators import corrupt, edits, metrics, ngrams, pipelines, plans, rerank, structure
+from palimpsest.operators import corrupt, edits, metrics, ngrams, phrases, pipelines, plans, rerank, structure
 from palimpsest.sources import views as V
+from palimpsest.sources.shared import cut
 
 _GRAMS = """
 sides as (select example_id, 'src' as side, {src} as t from evals union all
@@ -250,9 +251,11 @@ def _minimal(mode: str, view=pairs):
         if mode == "code":
             return p.select("example_id", text)
         spans = F.filter(F.split(F.array_join("plan", " "), r" ?<(?:INSERT|REPLACE)_NEW[A-Z_]*>[^<]*<(?:INSERT|REPLACE)_END> ?| ?<DELETE_END> ?"), lambda x: x != "")
-        phrases = F.transform(spans, lambda x: T.tokens(F.regexp_replace(x, "^<[A-Z_]*>", "")))
-        unique = F.forall(phrases, lambda x: (F.size(x) == 0) | (F.size(T.phrase_positions(old, x)) == 1))
-        return p.select("example_id", text, unique.alias("unique_phrases"))
+        named = F.filter(F.transform(spans, lambda x: T.tokens(F.regexp_replace(x, "^<[A-Z_]*>", ""))), lambda x: F.size(x) > 0)
+        held = cut(p.select("example_id", text, old.alias("words"), named.alias("phrases")))
+        each = held.select("example_id", F.posexplode("phrases").alias("phrase_id", "phrase"))
+        counts = phrases.phrase_counts(held, each).groupBy("example_id").agg(F.bool_and(F.col("places") == 1).alias("unique_phrases"))
+        return held.join(counts, "example_id", "left").select("example_id", "text", F.coalesce("unique_phrases", F.lit(True)).alias("unique_phrases"))
 
     return query
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from palimpsest.sources.shared import cut
+
 
 def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
     """(line_no, column): the lines of a text file, or of a folder's files in the order of their names, numbered from 0.
@@ -79,6 +81,28 @@ def merge_gap_check(shards: DataFrame) -> DataFrame:
     return ids.agg(F.count("*").alias("ids"), F.coalesce((F.min("id") == 0) & (F.max("id") + 1 == F.count("*")), F.lit(True)).alias("gapless"))
 
 
-def number_rows(rows: DataFrame, order: list[str], within: str) -> DataFrame:
-    """Adds line_no, counted from 0 inside each value of ``within`` in the given order."""
-    return rows.withColumn("line_no", F.row_number().over(Window.partitionBy(within).orderBy(*order)).cast("long") - 1)
+#: Counts of range parts that are sent to all rows; beyond, rows and counts are joined by part.
+SMALL_PARTS = 1_000_000
+
+
+def number_rows(rows: DataFrame, order: list[str], within: list[str], out: str = "line_no") -> DataFrame:
+    """Adds ``out``, counted from 0 inside each value of the columns ``within`` in the given order.
+
+    Rows are dealt into ranges of (within, order) and sorted there, so a group of any size is spread over many tasks. A
+    row's number is its place in its range and group, and the rows of the group in the ranges before: these counts, a row
+    for each range and group, are summed up. The order should be total; rows that tie in it are numbered in any order, but
+    once. Null is a value like others. A column named as ``out`` is replaced, others stay, whatever their names.
+    """
+    keys = [F.col(f"row.`{c}`").alias(f"key{k}") for k, c in enumerate([*within, *order])]
+    groups = [f"key{k}" for k in range(len(within))]
+    sort = [f"key{k}" for k in range(len(keys))]
+    dealt = rows.drop(out).select(F.struct("*").alias("row")).select("row", *keys)
+    placed = dealt.repartitionByRange(*sort).sortWithinPartitions(*sort).select("row", *groups, F.monotonically_increasing_id().alias("at"))
+    placed = cut(placed).withColumn("part", F.shiftright("at", 33))
+    counts = placed.groupBy("part", *groups).agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy(*groups).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    held = cut(counts.select("part", *[F.col(g).alias(f"{g}_") for g in groups], (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift")))
+    if held.count() <= SMALL_PARTS:
+        held = F.broadcast(held)
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups], placed["part"] == held["part"])
+    return placed.join(held, same).select("row.*", (F.col("at") + F.col("shift")).alias(out))

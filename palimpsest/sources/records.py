@@ -47,5 +47,4 @@ def write_eval_text(rows: DataFrame, paths: dict[str, str]) -> None:
 
 def write_edit_dataset(rows: DataFrame, path: str) -> None:
     """Parquet by dataset and split, rows numbered inside each. rows: dataset, split, example_id and any others."""
-    keyed = rows.withColumn("_part", F.struct("dataset", "split"))
-    number_rows(keyed, ["example_id"], "_part").drop("_part").write.partitionBy("dataset", "split").parquet(path)
+    number_rows(rows, ["example_id"], ["dataset", "split"]).write.partitionBy("dataset", "split").parquet(path)
