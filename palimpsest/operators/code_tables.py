@@ -1,78 +1,84 @@
-"""Functions of tokenised source files as tables. Finding where a function starts and ends walks one file's tokens; that
-walk is an Arrow function, everything before and behind it is native."""
+"""Functions of tokenised source files as tables. Where a function may start and end is found by windows over the token
+table; which of them are outermost is a fold over one file's candidates. Only Python's tokenizer is an Arrow function."""
 
 from __future__ import annotations
 
 import io
 import re
 import tokenize
-from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.code import is_python3, remove_java_annotation
 from palimpsest.functions.literals import escape_literal
+from palimpsest.operators.nesting import nested_spans, outermost, span_nesting_depth
+from palimpsest.sources.shared import cut
 
 #: What a Java function may follow; a comment right before it belongs to it.
-BOUNDS = {";", "}", "{", "*/", "ENDCOM"}
+BOUNDS = ("*/", "ENDCOM", ";", "}", "{")
 OPENERS = {"*/": "/*", "ENDCOM": "//"}
 
-
-def java_spans(words: list[str]) -> list[tuple[int, int]]:
-    """Start and end of every outermost function: a bracketed list, perhaps a throws clause of one name, and a block.
-    A block that is never closed runs to the end; a function at the very start of the file counts."""
-    spans, i = [], 0
-    while i < len(words):
-        body = None
-        if words[i] == ")":
-            body = i + 1 if words[i + 1 : i + 2] == ["{"] else i + 3 if words[i + 1 : i + 2] == ["throws"] and words[i + 3 : i + 4] == ["{"] else None
-        if body is None:
-            i += 1
-            continue
-        # What a former function took cannot start this one.
-        floor = spans[-1][1] if spans else 0
-        at = next((k for k in range(i, floor - 1, -1) if words[k] in BOUNDS), floor - 1)
-        start = at + 1
-        if at >= floor and words[at] in OPENERS:
-            start = next((k for k in range(at, floor - 1, -1) if words[k] == OPENERS[words[at]]), at + 1)
-        depth = accumulate((words[k] == "{") - (words[k] == "}") for k in range(body, len(words)))
-        end = next((body + k + 1 for k, d in enumerate(depth) if d == 0), len(words))
-        spans.append((start, end))
-        i = end
-    return spans
-
-
-def python_spans(words: list[str]) -> list[tuple[int, int]]:
-    """Start and end of every outermost def: up to the DEDENT that balances its block; an open one is left out."""
-    spans, i = [], 0
-    while i < len(words):
-        if words[i] != "def":
-            i += 1
-            continue
-        depth = accumulate((words[k] == "INDENT") - (words[k] == "DEDENT") for k in range(i, len(words)))
-        end = next((i + k + 1 for k, d in enumerate(depth) if words[i + k] == "DEDENT" and d == 0), None)
-        if end is None:
-            break
-        spans.append((i, end))
-        i = end
-    return spans
-
-
-def _functions(rows: DataFrame, key: str, words: Column, spans) -> DataFrame:
-    @F.pandas_udf("array<array<int>>")
-    def found(column: pd.Series) -> pd.Series:
-        return pd.Series([None if w is None else [list(s) for s in spans(list(w))] for w in column])
-
-    at = rows.select(key, words.alias("w")).withColumn("s", found("w")).select(key, "w", F.posexplode("s").alias("idx", "s"))
-    return at.select(key, "idx", F.slice("w", F.col("s")[0] + 1, F.col("s")[1] - F.col("s")[0]).alias("f"))
+_KEY = ["row"]
+
+
+def _tokens(rows: DataFrame, key: str, words: Column) -> tuple[DataFrame, DataFrame]:
+    """Files with a number for each row, and their token table. Files are kept, so that both have the same numbers."""
+    files = cut(rows.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), words.alias("w")))
+    return files, files.select("row", F.posexplode("w").alias("pos", "word"))
+
+
+def _cut_out(files: DataFrame, candidates: DataFrame, start, key: str) -> DataFrame:
+    """(key, idx, f): the tokens of the outermost candidates of each file. start: from a candidate and the end of the
+    function before to where it begins."""
+    each = candidates.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", *[c for c in candidates.columns if c not in ("row", "from")]))).alias("c"))
+    found = files.join(each, "row").select("key", "w", F.posexplode(outermost(F.col("c"))).alias("idx", "x"))
+    at = start(F.col("x.c"), F.col("x.floor"))
+    return found.select(F.col("key").alias(key), "idx", F.slice("w", at + 1, F.col("x.c.end") - at).alias("f"))
+
+
+def java_spans(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidates: the end of a bracketed list, perhaps with a throws clause of one name, before a block. (row, from, end,
+    bound, opener): the list's last bracket, the end of the block or the file, the last bound up to the bracket and, if
+    that ends a comment, where the comment begins."""
+    w = Window.partitionBy(*_KEY).orderBy("pos")
+    word = F.col("word")
+    nested = span_nesting_depth(tokens, _KEY, word == "{", word == "}")
+    # Behind the bracket: the block's first token, or a throws clause and then the block.
+    ahead = lambda n: F.lead("word", n).over(w)
+    body = F.when(ahead(1) == "{", 1).when((ahead(1) == "throws") & (ahead(3) == "{"), 3)
+    last = lambda test: F.last(F.when(test, F.col("pos")), ignorenulls=True).over(w)
+    begun = F.when(word == "*/", last(word == "/*")).when(word == "ENDCOM", last(word == "//"))
+    marked = nested.withColumn("body", F.when(word == ")", F.col("pos") + body)).withColumn("begun", begun)
+    bound = F.last(F.when(word.isin(*BOUNDS), F.struct("pos", "begun")), ignorenulls=True).over(w)
+    lists = marked.withColumn("bound", bound).where("body is not null").select("row", F.col("pos").alias("from"), F.col("body").alias("pos"), "bound")
+    blocks = nested_spans(nested, _KEY, word == "{").select("row", "pos", "end")
+    found = lists.join(blocks, ["row", "pos"]).join(sizes, "row")
+    return found.select("row", "from", F.coalesce(F.col("end") + 1, "size").alias("end"), F.col("bound.pos").alias("bound"), F.col("bound.begun").alias("opener"))
+
+
+def python_spans(tokens: DataFrame) -> DataFrame:
+    """Candidates (row, from, end): every def, and behind the DEDENT that balances it, null if nothing does."""
+    word = F.col("word")
+    nested = span_nesting_depth(tokens, _KEY, word == "INDENT", word == "DEDENT")
+    end = F.last(F.when(word == "DEDENT", F.col("pos") + 1), ignorenulls=True)
+    after = Window.partitionBy(*_KEY, "depth").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # A def stands at the depth to which its block's DEDENT falls back.
+    return nested.where(word.isin("def", "DEDENT")).withColumn("end", end.over(after)).where(word == "def").select("row", F.col("pos").alias("from"), "end")
 
 
 def java_function_table(rows: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, idx, function, standalone): the functions of a file's tokens; standalone ones are static, the others belong
     to a class. Leading annotations go."""
-    f = _functions(rows, key, words, java_spans)
+    files, tokens = _tokens(rows, key, words)
+
+    def start(c: Column, floor: Column) -> Column:
+        """Behind the last bound, where its comment begins, or behind the function before."""
+        inside = c["bound"] >= floor
+        return F.when(inside & (c["opener"] >= floor), c["opener"]).when(inside, c["bound"] + 1).otherwise(floor)
+
+    f = _cut_out(files, java_spans(tokens, files.select("row", F.size("w").alias("size"))), start, key)
     # The head ends at the first block; a comment's braces count as they stand.
     head = F.slice("f", 1, F.array_position("f", "{").cast("int"))
     return f.select(key, "idx", remove_java_annotation(F.array_join("f", " ")).alias("function"), F.array_contains(head, "static").alias("standalone"))
@@ -81,7 +87,8 @@ def java_function_table(rows: DataFrame, key: str, words: Column) -> DataFrame:
 def python_function_table(rows: DataFrame, key: str, words: Column) -> DataFrame:
     """(key, idx, function, standalone): methods, whose first argument is self, are not standalone. Functions without
     brackets or with a sign of version 2 go."""
-    f = _functions(rows, key, words, python_spans).withColumn("at", F.array_position("f", "(").cast("int")).where("at > 0")
+    files, tokens = _tokens(rows, key, words)
+    f = _cut_out(files, python_spans(tokens), lambda c, floor: c["from"], key).withColumn("at", F.array_position("f", "(").cast("int")).where("at > 0")
     out = f.select(key, "idx", F.array_join("f", " ").alias("function"), (F.coalesce(F.get("f", F.col("at")), F.lit("")) != "self").alias("standalone"))
     return out.where(is_python3(F.col("function")))
 

@@ -11,6 +11,7 @@ from palimpsest.functions.code import JAVA_KEYWORDS
 from palimpsest.functions.text import tokens
 from palimpsest.operators import metrics
 from palimpsest.operators.ngrams import ngram_table, total
+from palimpsest.sources.shared import cut, written
 
 #: Weight of a token that is no keyword; a keyword weighs 1.
 PLAIN_WEIGHT = 0.2
@@ -73,6 +74,64 @@ def syntax_counts(subtrees: DataFrame) -> DataFrame:
     return counts.groupBy("example_id").agg(F.sum(F.when(F.col("h") > 0, F.col("r")).otherwise(0)).alias("s_match"), F.sum("r").alias("s_all"))
 
 
+TREE = ["example_id", "side"]
+
+
+def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
+    """Equality of columns, null included, with those of b under the same name and a low line."""
+    return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"{c}_"]) for c in names])
+
+
+def _marked(df: DataFrame, names: list[str], *more: Column) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"{c}_") for c in names], *more)
+
+
+def tree_paths(nodes: DataFrame) -> DataFrame:
+    """(example_id, side, node, kind, path): the places, among their siblings, of a node and of those around it, from the
+    root down.
+
+    nodes: example_id, side, node, parent, ordinal, kind; node is unique on a side, ordinals may have gaps. A node whose
+    parent is null or not there is a root, and roots are siblings. Every round joins each node with the one that it has
+    reached so far, so a depth of d takes log d rounds. Parents that form a circle are an error.
+    """
+    there = _marked(nodes.select(*TREE, "node"), [*TREE, "node"])
+    known = _same(nodes, there, TREE) & (nodes["parent"] == there["node_"])
+    own = nodes.join(there, known, "left").select(*[nodes[c] for c in (*TREE, "node", "kind", "ordinal")], F.col("node_").alias("up"))
+    place = F.row_number().over(Window.partitionBy(*TREE, "up").orderBy("ordinal", "node"))
+    now = written(own.select(*TREE, "node", "kind", "up", F.array(place).alias("path")))
+    # Two times as far each round: no path is longer than its tree has nodes.
+    largest = now.groupBy(*TREE).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(largest.bit_length() + 1):
+        if now.where("up is not null").isEmpty():
+            return now.drop("up")
+        over = _marked(now, [*TREE, "node"], F.col("up").alias("next"), F.col("path").alias("before"))
+        met = now.join(over, _same(now, over, TREE) & (now["up"] == over["node_"]), "left")
+        path = F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path"))
+        now = written(met.select(*TREE, "node", "kind", F.col("next").alias("up"), path.alias("path")))
+    raise ValueError("the parents of some nodes form a circle")
+
+
+def subtree_table(nodes: DataFrame) -> DataFrame:
+    """(example_id, side, node, depth, sexp): roots and the nodes with children, and a digest of the tree below each.
+
+    nodes: what tree_paths takes, and optionally named. Two trees have equal digests if the kinds of their nodes and
+    the order of siblings are equal; unnamed nodes are no part of them, but count as children. A tree is the set of its
+    nodes' kinds and paths from its root, so its digest is a sum over them, which needs no order and no level to wait
+    for: each node gives a row for every tree that it is in, and rows are added up before they are shuffled.
+    """
+    named = F.coalesce(F.col("named"), F.lit(True)) if "named" in nodes.columns else F.lit(True)
+    rows = nodes.select(*TREE, "node", "parent", "ordinal", "kind", named.alias("named"))
+    paths = cut(tree_paths(rows.where("named").drop("named")))
+    parts = paths.select(*TREE, "kind", "path", F.explode(F.sequence(F.lit(1), F.size("path"))).alias("n"))
+    below = F.slice("path", F.col("n") + 1, F.size("path"))
+    value = lambda seed: F.sum(F.xxhash64(F.lit(seed), "kind", below).cast("decimal(38,0)"))
+    sums = parts.groupBy(*TREE, F.slice("path", 1, F.col("n")).alias("path")).agg(F.concat_ws(":", value(1), value(2), F.count("*")).alias("sexp"))
+    sums = _marked(sums, [*TREE, "path"], F.col("sexp"))
+    inner = _marked(rows.select(*TREE, F.col("parent").alias("node")).where("node is not null").distinct(), [*TREE, "node"])
+    held = paths.join(inner, _same(paths, inner, [*TREE, "node"]), "left").where("node_ is not null or size(path) = 1").select(*[paths[c] for c in (*TREE, "node", "path")])
+    return held.join(sums, _same(held, sums, [*TREE, "path"])).select(*[held[c] for c in (*TREE, "node")], F.size("path").alias("depth"), "sexp")
+
+
 def merge_dataflow(edges: DataFrame) -> DataFrame:
     """Edges with sources, and those whose place is the source of one; edges at one place become one with all sources,
     in order, and the greatest relation. edges: example_id, side, pos, var, relation, src_vars, src_pos.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import code, layout, literals
 from palimpsest.functions import text as T
-from palimpsest.operators import code_tables, corrupt, metrics, phrases, pipelines
+from palimpsest.operators import code_tables, corrupt, metrics, nesting, phrases, pipelines, structure
 from palimpsest.plans import queries as Q
 from palimpsest.sources import views as V
 from palimpsest.sources.shared import cut
@@ -311,6 +311,35 @@ r as (select k.* exclude (place) from pairs join k on pairs.example_id % 24 = k.
 select m as marker, count(*) as n, max(a)::int as is_insert, max(b)::int as is_keep, max(c)::int as is_replace, max(d)::int as is_delete, max(e)::int as is_start, max(f)::int as is_old, max(g)::int as is_new, max(h)::int as is_end from r group by m"""
 
 
+#: Elements that a tree of a page is made of; the fixed list keeps both engines' trees equal.
+TAGS = "html|head|body|div|section|article|main|nav|header|footer|aside|ul|ol|li|table|form|h1|h2|p"
+_TAG = f"<(/?)({TAGS})(?:\\s[^>]*)?>"
+
+
+def q_span_nesting_depth(spark, d):
+    """Brackets of whole pages: how deep they lie, how many never close, and how long their spans and their parents are."""
+    text = F.coalesce("html", F.lit(""))
+    t = V.table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all(text, F.lit(r"[(){}\[\]]"), F.lit(0))).alias("pos", "sign"))
+    opens, closes = F.col("sign").isin("(", "[", "{"), F.col("sign").isin(")", "]", "}")
+    nested = nesting.span_nesting_depth(t, ["page_id"], opens, closes)
+    spans = nesting.nested_parents(nesting.nested_spans(nested, ["page_id"], opens), ["page_id"])
+    each = nested.groupBy("page_id").agg(F.count("*").alias("signs"), F.max("depth").alias("deepest"), F.min("depth").alias("lowest"), F.sum("depth").alias("depths"))
+    sums = spans.groupBy("page_id").agg(F.sum(F.col("end") - F.col("pos")).alias("lengths"), F.sum(F.col("end").isNull().cast("long")).alias("open"), F.sum("parent").alias("parents"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return each.join(sums, "page_id", "left").select("page_id", "signs", "deepest", "lowest", "depths", zero("lengths"), zero("open"), zero("parents"))
+
+
+def q_tag_trees(spark, d):
+    """Every other page's element tree against the next page's: its subtrees, and those that the other holds anywhere."""
+    pages = V.table(spark, d, "pages").select(F.expr("page_id div 2").alias("example_id"), F.when(F.col("page_id") % 2 == 0, "ref").otherwise("hyp").alias("side"), F.coalesce("html", F.lit("")).alias("html"))
+    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(_TAG), F.lit(1)).alias("shut"), F.regexp_extract_all("html", F.lit(_TAG), F.lit(2)).alias("kind"))
+    t = pages.select("example_id", "side", F.posexplode(found).alias("pos", "x")).select("example_id", "side", "pos", "x.*")
+    key, opens = ["example_id", "side"], F.col("shut") == ""
+    spans = nesting.nested_spans(nesting.span_nesting_depth(t, key, opens, ~opens), key, opens)
+    nodes = nesting.nested_parents(spans, key).select(*key, F.col("pos").alias("node"), "parent", F.col("pos").alias("ordinal"), "kind")
+    return structure.syntax_counts(structure.subtree_table(nodes))
+
+
 def q_phrase_places(spark, d):
     """Runs of one to four tokens from every place of a target: how often and where first they stand in the source."""
     w = Q.pairs(spark, d).select("example_id", T.tokens(F.col("source")).alias("words"), T.tokens(F.col("target")).alias("t"))
@@ -356,6 +385,37 @@ QUERIES = {
     "pad_sequence": (q_pad_sequence, f"with {V.SQL_PAIRS} select example_id, '<s> <s> ' || target || ' </s> </s>' as both, '<s> ' || target as left, target as none from pairs"),
     "full_replace_plan": (q_full_replace_plan, f"with {V.SQL_PAIRS} select example_id, array_to_string(list_concat(list_concat(list_concat(list_concat(['<REPLACE_OLD>'], {V._TOK.format('source')}), ['<REPLACE_NEW>']), {V._TOK.format('target')}), ['<REPLACE_END>']), ' ') as plan from pairs"),
     "coarse_diff": (Q.q_coarse_diff, f"with {V.SQL_PAIRS} select example_id, (len({V._TOK.format('source')}) + len({V._TOK.format('target')}))::bigint as tokens, true as known_kinds from pairs"),
+    "span_nesting_depth": (q_span_nesting_depth, """with t as (
+  select page_id, generate_subscripts(s, 1) - 1 as pos, unnest(s) as sign from (select page_id, regexp_extract_all(html, '[(){}\\[\\]]') as s from pages)
+), b as (select *, sign in ('(', '[', '{') as opens, sum(case when sign in ('(', '[', '{') then 1 else -1 end) over (partition by page_id order by pos) as depth from t
+), o as (
+  select b.page_id, b.pos, (select min(c.pos) from b c where c.page_id = b.page_id and c.pos > b.pos and c.depth < b.depth) as shut,
+    (select max(c.pos) from b c where c.page_id = b.page_id and c.pos < b.pos and c.opens and c.depth = b.depth - 1) as parent
+  from b where opens
+), sums as (select page_id, sum(shut - pos) as lengths, count(*) filter (shut is null) as open, sum(parent) as parents from o group by page_id)
+select page_id, count(*) as signs, max(depth)::bigint as deepest, min(depth)::bigint as lowest, sum(depth)::bigint as depths,
+  coalesce(any_value(lengths), 0)::bigint as lengths, coalesce(any_value(open), 0)::bigint as open, coalesce(any_value(parents), 0)::bigint as parents
+from b left join sums using (page_id) group by page_id"""),
+    "tag_trees": (q_tag_trees, f"""with recursive t as (
+  select example_id, side, generate_subscripts(k, 1) - 1 as pos, unnest(k) as kind, unnest(c) as shut from (
+    select page_id // 2 as example_id, case when page_id % 2 = 0 then 'ref' else 'hyp' end as side,
+      regexp_extract_all(html, '{_TAG}', 2) as k, regexp_extract_all(html, '{_TAG}', 1) as c from pages)
+), b as (select *, sum(case when shut = '' then 1 else -1 end) over (partition by example_id, side order by pos) as depth from t
+), nodes as (
+  select example_id, side, pos as node, kind, depth, (select max(c.pos) from b c where c.example_id = b.example_id and c.side = b.side and c.pos < b.pos and c.shut = '' and c.depth = b.depth - 1) as parent
+  from b where shut = ''
+), levels as (
+  select example_id, side, node, parent, 0 as up, node as top, kind from nodes
+  union all
+  select l.example_id, l.side, l.node, p.parent, l.up + 1, p.node, l.kind from levels l join nodes p on l.example_id = p.example_id and l.side = p.side and l.parent = p.node
+), texts as (
+  -- The preorder of kinds, each with its depth below the top, tells a tree from every other.
+  select example_id, side, top, string_agg(kind || ':' || up, ' ' order by node) as sexp from levels group by example_id, side, top
+), held as (
+  select x.example_id, x.side, x.sexp from texts x join nodes n on n.example_id = x.example_id and n.side = x.side and n.node = x.top
+  where n.parent is null or exists (select 1 from nodes c where c.example_id = n.example_id and c.side = n.side and c.parent = n.node)
+), counted as (select example_id, sexp, count(*) filter (side = 'ref') as r, count(*) filter (side = 'hyp') as h from held group by example_id, sexp)
+select example_id, sum(case when h > 0 then r else 0 end)::bigint as s_match, sum(r)::bigint as s_all from counted group by example_id"""),
     "phrase_places": (q_phrase_places, f"""with {V.SQL_PAIRS}, w as (select example_id, {V._TOK.format('source')} as w, {V._TOK.format('target')} as t from pairs),
 x as (select example_id, w, p, t[p + 1:p + 1 + p % 4] as phrase from (select *, unnest(range(0, len(t))) as p from w) where p + 1 + p % 4 <= len(t)),
 f as (select example_id, p, len(phrase) as n, list_filter(range(0, len(w) - len(phrase) + 1), lambda i: w[i + 1:i + len(phrase)] = phrase) as places from x)

@@ -27,3 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The table from files in a new shared folder, which stay. Its size is then known, where a checkpoint's would be
+    guessed from what it was made of: after some self joins such a guess has more digits than Spark can hold."""
+    at = new_folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
