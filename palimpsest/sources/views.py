@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import normalize_ws, tokens
+from palimpsest.sources.shared import cut
 
 #: Candidates of an example.
 BEAMS = 5
@@ -79,9 +80,13 @@ def edit_pairs(spark: SparkSession, sf_dir: str, most: int = 512) -> DataFrame:
     begin with the same 60 characters as the least such document but differ from it; blanks evened. One pair for each
     document, so a group of copies gives no more pairs than it has rows."""
     docs = table(spark, sf_dir, "documents").where(F.length("text") > 200).select("doc_id", normalize_ws(F.col("text")).alias("text"))
-    docs = docs.where(F.size(tokens(F.col("text"))) <= most).withColumn("head", F.substring("text", 1, 60))
-    least = docs.groupBy("head").agg(F.min_by(F.struct(F.col("doc_id").alias("source_id"), F.col("text").alias("source")), "doc_id").alias("s")).select("head", "s.*")
-    return docs.join(least, "head").where(F.col("text") != F.col("source")).select(F.col("doc_id").alias("example_id"), "source_id", "source", F.col("text").alias("target"))
+    # Evened texts are written once: every later filter and both sides of the join would even them again.
+    docs = cut(docs).where(F.size(F.split("text", " ")) <= most).withColumn("head", F.substring("text", 1, 60))
+    # A text travels only where another one begins like it.
+    source = docs.select(F.col("doc_id").alias("source_id"), F.col("head").alias("source_head"), F.col("text").alias("source"))
+    many = docs.groupBy("head").agg(F.count("*").alias("n"), F.min("doc_id").alias("source_id")).where("n > 1").join(source, "source_id").where("head = source_head")
+    found = docs.join(many.select("head", "source_id", "source"), "head").where(F.col("text") != F.col("source"))
+    return found.select(F.col("doc_id").alias("example_id"), "source_id", "source", F.col("text").alias("target"))
 
 
 SQL_EDIT_PAIRS = f"""
