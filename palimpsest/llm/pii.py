@@ -2,7 +2,7 @@
 
 Plain identifiers are found by fixed patterns. Disguised ones are found by three small transducers that rewrite a text
 while they keep, for each character they put out, the source range it stands for: (1) look-alike characters become
-ASCII and invisible ones go, (2) written digits become digits and the blanks between them go, (3) "[at]", "(dot)" and
+ASCII, invisible ones go, and in numbers letters that look like digits become digits, (2) written digits become digits and the blanks between them go, (3) "[at]", "(dot)" and
 bare "dot" between name parts become "@" and ".", and so do dots between digits and "plus" before them. The plain
 patterns then run over the rewritten text, and what they find there, if it rests on a rewritten part, is mapped back.
 Commas, slashes and line ends between written digits are read as bounds of numbers first, and as gaps in one number
@@ -115,7 +115,9 @@ _DIGIT_NAMES = {
 }
 _NAME = "|".join(sorted(_DIGIT_NAMES, key=len, reverse=True))
 _POINT = r"dot|point|punkt|punto"
-_DIGIT = rf"(?:\b(?:{_NAME})\b|[0-9])"
+# A name ends where its letters do; digits may stand right beside it.
+_NAMED = rf"(?<![^\W\d_])(?:{_NAME})(?![^\W\d_])"
+_DIGIT = rf"(?:{_NAMED}|[0-9])"
 _SEP = r"[ \t\n,/-]{1,3}"
 _AT_WORD = r"at|arroba|klammeraffe|arobase"
 # Blanks before a sign count from their run's head, so that long runs stay linear.
@@ -125,10 +127,18 @@ _DOT = rf"(?:{_GAP})?[\[({{<][ \t]*(?:{_POINT}|\.)[ \t]*[\])}}>][ \t]*|{_GAP}(?:
 # Written digits in a row: at least one name, two digits or more in all.
 _NUMBER = re.compile(rf"(?:(?:\bplus\b|\+)[ \t]?)?{_DIGIT}(?:(?:{_SEP}|{_DOT}|\.)?{_DIGIT})+", re.IGNORECASE)
 _NAMES_NEAR = re.compile(
-    rf"\b(?:{_NAME})\b(?:{_SEP}|{_DOT}|\.)(?:\b(?:{_NAME})\b|[0-9])|[0-9](?:{_SEP}|{_DOT}|\.)(?:{_NAME})\b", re.IGNORECASE
+    rf"{_NAMED}(?:(?:{_SEP}|{_DOT}|\.){_DIGIT}|[0-9])|[0-9](?:{_SEP}|{_DOT}|\.)?{_NAMED}", re.IGNORECASE
 )
-_PIECE = re.compile(rf"(?P<name>\b(?:{_NAME})\b)|(?P<digit>[0-9])|(?P<plus>\bplus\b|\+)|(?P<dot>{_DOT})|(?P<sep>.)", re.IGNORECASE | re.DOTALL)
+_PIECE = re.compile(rf"(?P<name>{_NAMED})|(?P<digit>[0-9])|(?P<plus>\bplus\b|\+)|(?P<dot>{_DOT})|(?P<sep>.)", re.IGNORECASE | re.DOTALL)
+_HAS_NAME = re.compile(_NAMED, re.IGNORECASE).search
 _BOUNDS = frozenset("\n,/")
+# Letters that are written for digits.
+_DIGITS_ALIKE = {"l": "1", "I": "1", "O": "0", "o": "0"}
+# Ten digits or letters for them at least, or four parts with points, not inside a word.
+_LOOKS_LIKE_NUMBER = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9lIOo]{1,3}(?:\.[0-9lIOo]{1,3}){3}|[0-9lIOo](?:[ ().-]{0,2}[0-9lIOo]){9,})(?![A-Za-z0-9])"
+)
+_GLUED = re.compile(r"[0-9][^\W\d_]|[^\W\d_][0-9]").search
 _DOTTED = re.compile(rf"(?<=[0-9])(?:{_DOT})(?=[0-9])", re.IGNORECASE)
 _PLUS = re.compile(r"(?:\bplus\b[ \t]?|[\[({<][ \t]*(?:plus|\+)[ \t]*[\])}>][ \t]*)(?=[0-9])", re.IGNORECASE)
 
@@ -177,12 +187,22 @@ def _plain_letters(r: Rewritten) -> None:
         r.replace([(m.start(), m.end(), _PLAIN_FORM[m[0]]) for m in re.finditer(f"[{re.escape(''.join(odd))}]", r.text)])
 
 
+def _plain_numbers(r: Rewritten) -> None:
+    """Transducer 1 in numbers: letters that stand for digits, where at least half of the signs are digits."""
+    changes = []
+    for m in _LOOKS_LIKE_NUMBER.finditer(r.text):
+        alike = [i for i in range(*m.span()) if r.text[i] in _DIGITS_ALIKE]
+        if alike and 2 * len(alike) <= sum(c.isalnum() for c in m[0]):
+            changes += [(i, i + 1, _DIGITS_ALIKE[r.text[i]]) for i in alike]
+    r.replace(changes)
+
+
 def _plain_digits(r: Rewritten, fuse: bool) -> bool:
     """Transducer 2: digit names to digits, "plus" to +, "dot" between them to a point; blanks and hyphens between them
     go, commas, slashes and line ends too if ``fuse``. Returns whether any of the latter stayed."""
     changes, bounds = [], False
     for m in _NUMBER.finditer(r.text):
-        if not re.search(rf"\b(?:{_NAME})\b", m[0], re.IGNORECASE):
+        if not _HAS_NAME(m[0]):
             continue
         inside = []
         for p in _PIECE.finditer(r.text, *m.span()):
@@ -255,6 +275,8 @@ _MARK_WORDS = (*_POINT_SET, " @", "_at_")
 
 def _may_spell(low: str) -> bool:
     """Whether a digit's name stands next to a digit or another digit's name; a quick test before the patterns."""
+    if _GLUED(low) and _NAMES_NEAR.search(low):
+        return True
     for sign in ",/-+().[]{}<>":
         low = low.replace(sign, " ")
     words = low.split()
@@ -273,46 +295,64 @@ def _may_mark(low: str) -> bool:
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Identifiers that show only in the rewritten text and meet no plain one."""
+    """Identifiers that show only in the rewritten text, and meet no plain one but those that they hold and exceed."""
     odd, low = not text.isascii() and not _PLAIN_FORM.keys().isdisjoint(set(text)), text.lower()
-    if not odd and not _may_spell(low) and not _may_mark(low):
+    alike = _GLUED(low) is not None and _LOOKS_LIKE_NUMBER.search(text) is not None
+    if not odd and not alike and not _may_spell(low) and not _may_mark(low):
         return []
-    taken, found = list(base), []
+    found: list[Span] = []
     for fuse in (False, True):
         r = Rewritten(text)
         if odd:
             _plain_letters(r)
             low = r.text.lower()
+        if odd or alike:
+            _plain_numbers(r)
+            low = r.text.lower()
         bounds = _may_spell(low) and bool(_NAMES_NEAR.search(r.text)) and _plain_digits(r, fuse)
         low = r.text.lower()
         if _may_mark(low):
             if _MARK.search(r.text):
                 _plain_marks(r)
             _plain_points(r)
-        more = _rewritten_spans(r, taken)
-        found += more
-        taken += more
+        found += _rewritten_spans(r, base, found)
         if not bounds:
             break
         low = text.lower()
     return found
 
 
-def _rewritten_spans(r: Rewritten, taken: list[Span]) -> list[Span]:
-    """Identifiers of the rewritten text that rest on a rewritten part and meet no span in ``taken``."""
+class _Places:
+    """Spans by place."""
+
+    def __init__(self, spans: list[Span]):
+        self.at = sorted((s, e) for _, s, e in spans)
+        self.heads, self.upto = [s for s, _ in self.at], list(accumulate((e for _, e in self.at), max))
+
+    def meet(self, lo: int, hi: int) -> bool:
+        k = bisect_left(self.heads, hi)
+        # Of the spans that begin before its end, the one that ends last.
+        return k > 0 and self.upto[k - 1] > lo
+
+    def exceeded(self, lo: int, hi: int) -> bool:
+        """Whether all spans that meet the range lie in it, and none is all of it."""
+        first = bisect_left(self.heads, lo)
+        if first and self.upto[first - 1] > lo:
+            return False
+        return all(e <= hi and (s, e) != (lo, hi) for s, e in self.at[first : bisect_left(self.heads, hi)])
+
+
+def _rewritten_spans(r: Rewritten, base: list[Span], before: list[Span]) -> list[Span]:
+    """Identifiers of the rewritten text that rest on a rewritten part, meet no span found before, and hold whole, and
+    more than, each plain span that they meet: a plain pattern sees but a part of a disguised identifier."""
     if not any(r.new):
         return []
-    places = sorted((s, e) for _, s, e in taken)
-    heads, upto = [s for s, _ in places], list(accumulate((e for _, e in places), max))
-    found = []
+    plain, taken, found = _Places(base), _Places(before), []
     for kind, s, e in base_spans(r.text):
-        if not any(r.new[s:e]):
-            continue
-        lo, hi = r.start[s], r.end[e - 1]
-        k = bisect_left(heads, hi)
-        # Of the spans that begin before its end, the one that ends last.
-        if not k or upto[k - 1] <= lo:
-            found.append((kind, lo, hi))
+        if any(r.new[s:e]):
+            lo, hi = r.start[s], r.end[e - 1]
+            if not taken.meet(lo, hi) and plain.exceeded(lo, hi):
+                found.append((kind, lo, hi))
     return found
 
 

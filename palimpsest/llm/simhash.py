@@ -299,12 +299,15 @@ def _classed_rows(docs: DataFrame, id_col: str, text: str, budget: int, cap: int
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 3) -> DataFrame:
-    """Keeps one document of each class, the one with the smallest id, whole and with all its columns.
+    """Keeps one document of each class, the one with the smallest id, whole and with all its columns, of any name.
 
-    Rows are told apart by id and text: a repeated row stays once, and an id with two texts is two documents. Of the
-    documents of a class that have no id, one stays besides.
+    Rows are told apart by id and text: a repeated row stays once, and an id with two texts is two documents. Of rows that
+    share id and text but not the other columns, the one with the least hash of the whole row, written as JSON, stays. Of
+    the documents of a class that have no id, one stays besides.
     """
     rows = _classed_rows(docs, id_col, text, budget, CAP)
     least = rows.groupBy("root", F.isnull("id").alias("no_id")).agg(F.min(F.struct("id", "_key", "_check")).alias("r"))
-    kept = docs.select("*", *_row_key(id_col, text)).join(least.select("r._key", "r._check"), ["_key", "_check"], "left_semi")
-    return kept.dropDuplicates(["_key", "_check"]).select(docs.columns)
+    # A row's own columns travel as one, so that no name of theirs can clash.
+    held = docs.select(F.struct("*").alias("row"), *_row_key(id_col, text))
+    kept = held.join(least.select("r._key", "r._check"), ["_key", "_check"], "left_semi")
+    return kept.groupBy("_key", "_check").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")

@@ -94,6 +94,16 @@ def test_topk_takes_numbers_of_any_size(spark):
     assert [tuple(r) for r in topk.top_k(small, query_block=1, candidate_block=1).orderBy("rank").collect()] == [tuple(r) for r in topk.top_k(small).orderBy("rank").collect()]
 
 
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    """Names that the operator uses itself, and rows that differ in other columns only: the same one stays each time."""
+    rows = [(k % 3, "the same text of some words", "p", "q", 7, {"a": k}) for k in range(30)] + [(9, "quite another one", None, "q", 8, None), (9, "quite another one", None, "q", 8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string, _check string, row int, root map<string,int>")
+    kept = [sorted(map(str, simhash.drop_near_duplicates(df.repartition(n)).collect())) for n in (1, 4, 7)]
+    assert kept[0] == kept[1] == kept[2] and len(kept[0]) == 2
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {0, 9} and all(tuple(r) in rows for r in got.collect())
+
+
 def test_large_records_among_small_ones_end_the_subdivision(spark):
     rows = [(k, "x" * (40_000 if k % 50 == 0 else 5)) for k in range(400)]
     got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 4, ranges=64).collect()
