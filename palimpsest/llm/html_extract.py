@@ -38,7 +38,7 @@ SMALL_HOSTS, SMALL_CONSTANTS = 50_000, 500_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|template|textarea|iframe|select|button)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE,
@@ -49,11 +49,15 @@ _ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark output q s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    # Formulas and drawings stand in a line of text, with all their parts.
+    "math annotation maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt "
+    "mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "svg circle defs desc ellipse g line lineargradient path polygon polyline rect stop symbol text textpath title tspan use".split()
 )
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 dt dd pre br hr td th caption figcaption summary legend address".split())
 _HEADING = frozenset("h1 h2 h3".split())
-_BOILER = frozenset("head nav header footer aside form menu dialog".split())
+_BOILER = frozenset("head nav header footer aside menu dialog".split())
 _ARTICLE = frozenset("article main".split())
 # Roles of elements that are no part of an article.
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
@@ -64,20 +68,24 @@ _MARKED = frozenset(
     "disqus notice notices cookie cookies consent gdpr newsletter subscribe subscription share sharing pagination pager "
     "toolbar copyright signup login".split()
 )
-# Whole class and id names that mark such parts inside an article too.
-_NAMED = _MARKED - {"header"} | frozenset(
-    "comment-list comments-list comment-section reader-comments user-comments replies respond discussion related "
-    "related-posts related-articles recommended recommendations social social-links share-buttons tags overlay".split()
+# Whole class and id names of reader comments, and of adverts and notices inside a text.
+_COMMENTS = frozenset(
+    "comment comments comment-list comments-list comment-section comments-section reader-comments user-comments disqus replies respond".split()
+)
+_NAMED = _COMMENTS | frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo popup modal cookie cookies consent gdpr newsletter subscribe "
+    "subscription share-buttons social-links pagination pager breadcrumb breadcrumbs signup login".split()
 )
 _NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 
-#: Flags of a container: no article text ever; a marked name; a name that is marked inside an article too; an article.
-OFF, MARKED, NAMED, ARTICLE, PAGE_WIDE = 1, 2, 4, 8, 16
+#: Flags of a container: no article text ever; a marked name; a name that counts inside an article too; an article; the
+#: page or its body; a form, which is the page's container if most of the text is in it.
+OFF, MARKED, NAMED, ARTICLE, PAGE_WIDE, FORM = 1, 2, 4, 8, 16, 32
 
 
 def _described(tag: str, attrs: str) -> tuple[str, int]:
     """(signature, flags) of an opening tag; runs of three digits or more in names are one sign."""
-    flag = OFF * (tag in _BOILER) | ARTICLE * (tag in _ARTICLE) | PAGE_WIDE * (tag in ("html", "body"))
+    flag = OFF * (tag in _BOILER) | ARTICLE * (tag in _ARTICLE) | PAGE_WIDE * (tag in ("html", "body")) | FORM * (tag == "form")
     if not attrs or attrs.isspace():
         return tag, flag
     names = []
@@ -89,8 +97,10 @@ def _described(tag: str, attrs: str) -> tuple[str, int]:
             flag |= OFF * (value.lower() in _ROLES) | ARTICLE * (value.lower() in _ARTICLE)
         elif key in ("class", "id"):
             names.append(f"{key}={re.sub('[0-9]{3,}', '#', value)}")
+            if not flag & PAGE_WIDE:
+                # An article element can be a reader's comment, but no advert.
+                flag |= NAMED * any(x in (_COMMENTS if flag & ARTICLE else _NAMED) for x in value.lower().split())
             if not flag & (ARTICLE | PAGE_WIDE):
-                flag |= NAMED * any(x in _NAMED for x in value.lower().split())
                 flag |= MARKED * (tag != "section" and any(x.lower() in _MARKED for x in _NAME_PARTS.findall(value)))
     return " ".join([tag, *names]), flag
 
@@ -163,6 +173,33 @@ class Page:
                     open_[tag] = open_.get(tag, 0) + 1
             node = stack[-1][1] if stack else 0
         self._flush(part, node, links, heading)
+        self._settle_forms()
+
+    def masses(self) -> list[int]:
+        """For each container the characters of the texts in it, at any depth, but for those in boilerplate elements."""
+        mass = [0] * len(self.token)
+        off = self.under(lambda i: bool(self.flag[i] & OFF))
+        for b in self.blocks:
+            mass[b.node] += len(b.text) * (not off[b.node])
+        for i in range(len(mass) - 1, 0, -1):
+            mass[self.parent[i]] += mass[i]
+        return mass
+
+    def under(self, test) -> list[bool]:
+        """For each container whether the test holds for it or for one around it."""
+        found = [test(0)]
+        for i in range(1, len(self.token)):
+            found.append(found[self.parent[i]] or test(i))
+        return found
+
+    def _settle_forms(self) -> None:
+        """A form is boilerplate unless it holds more of the page's text than stands outside it."""
+        forms = [i for i, f in enumerate(self.flag) if f & FORM]
+        if forms:
+            mass = self.masses()
+            for i in forms:
+                if 2 * mass[i] <= mass[0]:
+                    self.flag[i] |= OFF
 
     def _flush(self, part: list[str], node: int, links: int, heading: bool) -> None:
         if part:
@@ -185,14 +222,14 @@ class Page:
             near.append(i if n[self.token[i]] == 1 else near[self.parent[i]])
         return near
 
+    def off(self) -> list[bool]:
+        """For each container whether it is a boilerplate element or lies in one."""
+        return self.under(lambda i: bool(self.flag[i] & OFF))
+
     def boiler(self) -> list[bool]:
-        """For each container whether it is boilerplate by its element or name, or lies in one that is."""
-        bad, article = [False], [False]
-        for i in range(1, len(self.token)):
-            p, f = self.parent[i], self.flag[i]
-            article.append(article[p] or bool(f & ARTICLE))
-            bad.append(bad[p] or bool(f & (OFF | NAMED)) or bool(f & MARKED) and not article[i])
-        return bad
+        """For each container whether it is boilerplate by its element or its name, or lies in one that is."""
+        article = self.under(lambda i: bool(self.flag[i] & ARTICLE))
+        return self.under(lambda i: i > 0 and (bool(self.flag[i] & (OFF | NAMED)) or bool(self.flag[i] & MARKED) and not article[i]))
 
     def text_token(self, b: Block) -> int:
         return _number("\0" + b.text, self.token[b.node])
@@ -218,39 +255,51 @@ class Node(NamedTuple):
 
 class Choice(NamedTuple):
     """article: the token of the article node. core: that of the slot with most text. semantic: whether only what is
-    in article elements counts. rejected: slots that are no article text. spared: marked nodes that hold the core."""
+    in article elements counts. rejected: slots that are no article text. spared: marked nodes that hold the core.
+    doubtful: small slots that count where they stand among the article's other text."""
 
     article: int
     core: int
     semantic: bool
     rejected: list[int]
     spared: list[int]
+    doubtful: list[int]
+
+
+def _weightiest(slots: list[Node]) -> Node:
+    return max(slots, key=lambda n: (n.mass, -n.depth, -n.token))
 
 
 def choose(nodes: list[Node]) -> Choice | None:
     """The article's place in a skeleton; None if it has no slot outside boilerplate elements.
 
-    Slots in article elements are the article's if there are any with text; else those with SHARE of the largest slot's
-    text or a heading, unless most of it is links. Marked names only decide between slots outside the largest one.
+    The core is the slot with most text that is no menu, comment or advert. A marked name turns it down only for a slot
+    of like mass, at least half, without one. Slots in article elements are the article's if the core is in one; else
+    the core, headings, and all slots of some size or, if no heading tells where the article begins, of any size.
     """
     nodes = sorted(nodes, key=lambda n: (n.depth, n.token))
     by = {n.token: n for n in nodes}
-    off, article, marked = {}, {}, {}
+    off, article, marked, named = {}, {}, {}, {}
     for n in nodes:
         p = n.parent
         off[n.token] = off.get(p, False) or bool(n.flag & OFF)
         article[n.token] = article.get(p, False) or bool(n.flag & ARTICLE)
+        named[n.token] = named.get(p, False) or bool(n.flag & NAMED)
         marked[n.token] = marked.get(p, False) or bool(n.flag & NAMED) or bool(n.flag & MARKED) and not article[n.token]
     slots = [n for n in nodes if n.mass > 0 and not off[n.token]]
     menu = {n.token for n in slots if n.links > LINKS * n.mass and not article[n.token]}
-    fit = [n for n in slots if n.token not in menu and not marked[n.token]] or [n for n in slots if n.token not in menu] or slots
+    fit = [n for n in slots if n.token not in menu] or slots
     if not fit:
         return None
-    semantic = any(article[n.token] for n in fit)
+    semantic = any(article[n.token] and not named[n.token] for n in fit)
     if semantic:
         fit = [n for n in fit if article[n.token]]
-    core = max(fit, key=lambda n: (n.mass, -n.depth, -n.token))
-    content = {n.token for n in fit if semantic or n.heading or n.mass >= SHARE * core.mass}
+    core = _weightiest([n for n in fit if not named[n.token]] or fit)
+    if marked[core.token] and (plain := [n for n in fit if not marked[n.token] and 2 * n.mass >= core.mass]):
+        core = _weightiest(plain)
+    own = [n for n in fit if n.token == core.token or not marked[n.token]]
+    headed = any(n.heading for n in own)
+    content = {n.token for n in own if semantic or n.heading or not headed or n.mass >= SHARE * core.mass} | {core.token}
     # The deepest node that holds all of them: counts are summed from the bottom up.
     held = dict.fromkeys(by, 0)
     top = None
@@ -268,17 +317,19 @@ def choose(nodes: list[Node]) -> Choice | None:
         under_core[n.token] = under_core.get(n.parent, False) or n.token == core.token
         under_top[n.token] = under_top.get(n.parent, False) or n.token == top.token
     wide = bool(top.flag & PAGE_WIDE)
-    rejected = [
+    small = {n.token for n in own} - content
+    out = [
         n.token for n in nodes
         if n.mass > 0 and n.token not in content and not under_core[n.token] and not (semantic and article[n.token])
         and (n.token in menu or wide or not under_top[n.token]) and n.token != top.token
     ]
+    doubtful = [t for t in out if t in small and under_top[t]]
     spared, at = [], core.token
     while at in by and at != top.token:
         if by[at].flag & (MARKED | NAMED):
             spared.append(at)
         at = by[at].parent
-    return Choice(top.token, core.token, semantic, rejected, spared)
+    return Choice(top.token, core.token, semantic, [t for t in out if t not in doubtful], spared, doubtful)
 
 
 def own_choice(page: Page, constants: frozenset[int]) -> Choice | None:
@@ -302,6 +353,21 @@ def own_choice(page: Page, constants: frozenset[int]) -> Choice | None:
     return None
 
 
+def _named_parts(page: Page, choice: Choice) -> list[bool]:
+    """For each container whether it is a part that its name marks inside an article too: a name alone does not do. The
+    name has to stand more than once on the page, on it or in it, or the part has less than half of the text."""
+    flag, n = page.flag, len(page.token)
+    if not any(f & NAMED for f in flag):
+        return [False] * n
+    mass, counts = page.masses(), page.counts()
+    repeats = [bool(flag[i] & NAMED) and counts[page.token[i]] > 1 for i in range(n)]
+    inner = list(repeats)
+    for i in range(n - 1, 0, -1):
+        inner[page.parent[i]] |= inner[i]
+    article = max((mass[i] for i in range(n) if page.token[i] == choice.article), default=mass[0])
+    return [bool(flag[i] & NAMED) and page.token[i] not in choice.spared and (inner[i] or 2 * mass[i] < article) for i in range(n)]
+
+
 def main_text(html: str, choice: Choice | None, constants: frozenset[int]) -> str:
     """The page's main text under its host's template."""
     page = Page(html)
@@ -310,16 +376,15 @@ def main_text(html: str, choice: Choice | None, constants: frozenset[int]) -> st
     if choice is None:
         return ""
     token, parent, flag, n = page.token, page.parent, page.flag, len(page.token)
-    rejected, spared = frozenset(choice.rejected), frozenset(choice.spared)
+    rejected, spared, doubtful = frozenset(choice.rejected), frozenset(choice.spared), frozenset(choice.doubtful)
+    named = _named_parts(page, choice)
     article, core, under, bad = [False] * n, [False] * n, [False] * n, [False] * n
     own_bad = [False] * n
     for i in range(n):
         p, t = max(parent[i], 0), token[i]
         article[i] = article[p] or bool(flag[i] & ARTICLE)
         core[i] = core[p] or t == choice.core
-        own_bad[i] = bool(flag[i] & OFF) or t in rejected or t not in spared and bool(
-            flag[i] & NAMED or flag[i] & MARKED and not article[i] and not core[i]
-        )
+        own_bad[i] = bool(flag[i] & OFF) or t in rejected or named[i] or t not in spared and bool(flag[i] & MARKED) and not article[i] and not core[i]
         under[i] = under[p] or t == choice.article
         # What lies around the article node does not mark it.
         bad[i] = t != choice.article and (bad[p] or own_bad[i])
@@ -342,9 +407,15 @@ def main_text(html: str, choice: Choice | None, constants: frozenset[int]) -> st
         for i in range(n):
             under[i] = i == top or i > 0 and under[parent[i]]
     inside = [
-        (b.text, c) for b, c in zip(page.blocks, constant, strict=True)
+        (b, c) for b, c in zip(page.blocks, constant, strict=True)
         if under[b.node] and not bad[b.node] and (article[b.node] or not choice.semantic)
     ]
+    if doubtful:
+        # Small slots of a whole page count from its first heading or larger slot to the last.
+        unsure = page.under(lambda i: token[i] in doubtful)
+        sure = [k for k, (b, c) in enumerate(inside) if not unsure[b.node] and not c]
+        inside = [x for k, x in enumerate(inside) if not unsure[x[0].node] or sure and sure[0] < k < sure[-1]]
+    inside = [(b.text, c) for b, c in inside]
     kept = [text for text, c in inside if not c]
     # Constants that outweigh the rest are an article in several versions rather than a template.
     if 2 * sum(map(len, kept)) < sum(len(text) for text, _ in inside):
@@ -367,11 +438,11 @@ def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for host, page_id, html in zip(batch["host"], batch["page"], batch["html"], strict=True):
             page = Page(html)
-            counts, near, boiler = page.counts(), page.single(), page.boiler()
+            counts, near, boiler, off = page.counts(), page.single(), page.boiler(), page.off()
             texts: dict[int, list] = {}
             for b in page.blocks:
                 key, out = page.text_token(b), boiler[b.node]
-                slot = None if out or " " not in b.text else page.token[near[b.node]]
+                slot = None if off[b.node] or " " not in b.text else page.token[near[b.node]]
                 if key in texts:
                     texts[key][0] += 1
                 else:
@@ -396,11 +467,11 @@ def _choices(key: tuple, skeleton: pd.DataFrame) -> pd.DataFrame:
     a page has on average."""
     columns = ["token", "parent", "depth", "flag", "mass", "links", "heading"]
     found = choose([Node(*r) for r in skeleton[columns].itertuples(index=False)])
-    return pd.DataFrame([] if found is None else [(key[0], *found)], columns=["host", "article", "core", "semantic", "rejected", "spared"])
+    return pd.DataFrame([] if found is None else [(key[0], *found)], columns=["host", "article", "core", "semantic", "rejected", "spared", "doubtful"])
 
 
 def templates(pages: DataFrame, small_hosts: int = SMALL_HOSTS) -> DataFrame:
-    """(host, article, core, semantic, rejected, spared, constants): the choice for each host, null without a skeleton,
+    """(host, article, core, semantic, rejected, spared, doubtful, constants): the choice for each host, null without a skeleton,
     and the numbers of the template's texts, which are at most 1 / CONSTANT times as many as a page has on average.
 
     pages: host, page (a number for each row) and html.
@@ -430,7 +501,7 @@ def templates(pages: DataFrame, small_hosts: int = SMALL_HOSTS) -> DataFrame:
     )
     node = valid.where(F.col("n") == 1).select("host", "token", "parent", "depth", "flag").join(slots, ["host", "token"], "left")
     node = node.na.fill(0, ["mass", "links"]).na.fill(False, ["heading"])
-    chosen = node.groupBy("host").applyInPandas(_choices, "host string, article long, core long, semantic boolean, rejected array<long>, spared array<long>")
+    chosen = node.groupBy("host").applyInPandas(_choices, "host string, article long, core long, semantic boolean, rejected array<long>, spared array<long>, doubtful array<long>")
     constant = texts.where(_is_constant()).groupBy("host").agg(F.collect_list("token").alias("constants"))
     return chosen.join(constant, "host", "full_outer")
 
@@ -457,14 +528,14 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     found = cut(templates(pages.select(named, F.xxhash64(url, html).alias("page"), whole_text(html).alias("html")), small_hosts))
 
     @F.pandas_udf("string")
-    def column(texts: pd.Series, article: pd.Series, core: pd.Series, semantic: pd.Series, rejected: pd.Series, spared: pd.Series, constants: pd.Series) -> pd.Series:
+    def column(texts: pd.Series, article: pd.Series, core: pd.Series, semantic: pd.Series, rejected: pd.Series, spared: pd.Series, doubtful: pd.Series, constants: pd.Series) -> pd.Series:
         sets: dict[bytes, frozenset] = {}
         rows = []
-        for t, a, c, s, r, p, x in zip(texts, article, core, semantic, rejected, spared, constants, strict=True):
+        for t, a, c, s, r, p, d, x in zip(texts, article, core, semantic, rejected, spared, doubtful, constants, strict=True):
             key = x.tobytes() if x is not None else b""
             if key not in sets:
                 sets[key] = frozenset(x.tolist()) if x is not None else frozenset()
-            rows.append(main_text(t, None if pd.isna(a) else Choice(int(a), int(c), bool(s), list(r), list(p)), sets[key]))
+            rows.append(main_text(t, None if pd.isna(a) else Choice(int(a), int(c), bool(s), list(r), list(p), list(d)), sets[key]))
         return pd.Series(rows)
 
     size = F.coalesce(F.sum(F.greatest(F.size("constants"), F.lit(0)) + F.greatest(F.size("rejected"), F.lit(0))), F.lit(0))
@@ -474,7 +545,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     # The page's own columns travel as one, so that no name of theirs can clash with the template's.
     rows = pages.select(F.struct("*").alias("row"), named)
     joined = rows.join(found, "host", "left")
-    names = ("article", "core", "semantic", "rejected", "spared", "constants")
+    names = ("article", "core", "semantic", "rejected", "spared", "doubtful", "constants")
     # A null would turn a column of numbers to doubles: the numbers travel as text.
     text = column(F.coalesce(F.col(f"row.`{html}`").cast("string"), F.lit("")), *[F.col(c).cast("string") if c in ("article", "core") else F.col(c) for c in names])
     kept = [F.col(f"row.`{c}`") for c in pages.columns if c.lower() != out.lower()]
