@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -162,12 +164,23 @@ def sentence_bleu(stats: DataFrame, methods: tuple[str, ...] = ("method2_higher_
     return stats.select("example_id", *found)
 
 
-def corpus_bleu(stats: DataFrame, method: str = "method1") -> DataFrame:
-    sums = stats.agg(
+def corpus_sums(stats: DataFrame) -> DataFrame:
+    """One row: all that corpus BLEU and GLEU need of any number of examples, num<n>, den<n>, gnum<n>, gden<n>, hlen, rlen
+    and examples."""
+    num, den = gleu_parts()
+    return stats.agg(
         *[F.sum(f"num{n}").alias(f"num{n}") for n in N], *[F.sum(F.greatest(d, F.lit(1))).alias(f"den{n}") for n, d in zip(N, _dens(), strict=True)],
+        *[F.sum(c).alias(f"gnum{n}") for n, c in zip(N, num, strict=True)], *[F.sum(c).alias(f"gden{n}") for n, c in zip(N, den, strict=True)],
         F.sum("hlen").alias("hlen"), F.sum("rlen").alias("rlen"), F.count("*").alias("examples"),
     )
-    return sums.select("examples", F.round(bleu(method, _cols("num"), _cols("den"), F.col("hlen"), F.col("rlen")), 6).alias("corpus_bleu"))
+
+
+def corpus_bleu(stats: DataFrame, method: str = "method1") -> DataFrame:
+    return bleu_of_sums(corpus_sums(stats), method)
+
+
+def bleu_of_sums(sums: DataFrame, method: str = "method1", others: tuple[str, ...] = ()) -> DataFrame:
+    return sums.select("examples", F.round(bleu(method, _cols("num"), _cols("den"), F.col("hlen"), F.col("rlen")), 6).alias("corpus_bleu"), *others)
 
 
 def gleu_parts() -> tuple[list[Column], list[Column]]:
@@ -367,7 +380,7 @@ def rescore(refs: DataFrame, hyps: DataFrame, ref_len: str = "closest") -> DataF
 
 
 def append_stats(*stats: DataFrame) -> DataFrame:
-    """More examples: statistics are rows, and corpus forms sum them."""
+    """More examples: statistics are rows, and corpus forms sum them. States of sums are in ``states``."""
     return reduce(DataFrame.unionByName, stats)
 
 
@@ -434,17 +447,28 @@ def gleu_resample(stats: DataFrame, iterations: int = 500, seed: int = 0) -> Dat
     """One row: iterations, mean, population deviation and normal 95 % bounds of the corpus GLEU over random choices
     of one reference for each example. The choice is a function of (seed, iteration, example).
 
-    stats: multi_ref_gleu_stats. It is joined to the iterations, a fixed number of them, in compressed form: one row of
-    sums for each example and reference.
+    stats: multi_ref_gleu_stats. No row is made for an example and an iteration: every task adds the sums of its examples,
+    an array over the iterations, and gives a row for each iteration at its end.
     """
     num, den = gleu_parts()
-    narrow = stats.select("example_id", "ref_idx", "hlen", "rlen", *[c.alias(f"num{n}") for n, c in zip(N, num, strict=True)], *[c.alias(f"den{n}") for n, c in zip(N, den, strict=True)])
     sides = ["hlen", "rlen", *[f"num{n}" for n in N], *[f"den{n}" for n in N]]
-    held = narrow.groupBy("example_id").agg(F.array_sort(F.collect_list(F.struct("ref_idx", *sides))).alias("refs"))
-    runs = held.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("iteration").cast("string"), F.col("example_id").cast("string")))
-    pick = (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % F.size("refs")).cast("int")
-    picked = runs.select("iteration", F.col("refs")[pick].alias("r")).groupBy("iteration").agg(*[F.sum(f"r.{x}").alias(x) for x in sides])
+    narrow = stats.select("example_id", "ref_idx", "hlen", "rlen", *[c.alias(f"num{n}") for n, c in zip(N, num, strict=True)], *[c.alias(f"den{n}") for n, c in zip(N, den, strict=True)])
+    long = narrow.select("example_id", "ref_idx", F.array(*[F.col(c).cast("long") for c in sides]).alias("x"))
+    held = long.groupBy(F.coalesce(F.col("example_id").cast("string"), F.lit("")).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ref_idx", "x"))), lambda r: r["x"]).alias("refs"))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, some = np.zeros((iterations, len(sides)), dtype=np.int64), False
+        heads = [f"{seed}:{i}:".encode() for i in range(iterations)]
+        for batch in batches:
+            for id_, refs in zip(batch["id"], batch["refs"], strict=True):
+                tail, some = id_.encode(), True
+                picks = np.array([int.from_bytes(md5(h + tail).digest()[:4], "big") for h in heads], dtype=np.int64) % len(refs)
+                sums += np.array([list(r) for r in refs], dtype=np.int64)[picks]
+        if some:
+            yield pd.DataFrame(sums, columns=sides).assign(iteration=range(iterations))
+
+    parts = held.mapInPandas(add, ", ".join(f"{c} long" for c in sides) + ", iteration int")
+    picked = parts.groupBy("iteration").agg(*[F.sum(c).alias(c) for c in sides])
     scored = picked.select(_gleu(_cols("num"), _cols("den"), F.col("hlen"), F.col("rlen"), False).alias("g"))
     mean, sd = F.avg("g"), F.stddev_pop("g")
     return scored.agg(F.count("*").alias("iterations"), F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(mean - 1.959964 * sd, 6).alias("low"), F.round(mean + 1.959964 * sd, 6).alias("high"))

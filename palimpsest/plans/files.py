@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import pipelines
+from palimpsest.operators import pipelines, states
 from palimpsest.plans import more, queries as Q
 from palimpsest.sources import lines, records
 from palimpsest.sources import views as V
@@ -66,6 +66,16 @@ def q_eval_text(spark, d):
     return lines.read_parallel_lines(spark, paths)
 
 
+def q_scorer_states(spark, d):
+    """Corpus scores of states that a stream leaves behind: its files hold every example, and a third of them again."""
+    at = new_folder(spark)
+    rows = V.eval_rows(spark, d).select("example_id", "src", "ref", "pred")
+    rows.unionByName(rows.where("example_id % 3 = 0")).repartition(6).write.parquet(f"{at}/rows")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/rows")
+    states.keep_up(stream, f"{at}/kept", f"{at}/offsets", availableNow=True).awaitTermination()
+    return states.state_scores(states.merge_states(states.read_states(spark, f"{at}/kept")))
+
+
 _BLEU = Q._SENT_BLEU.format(Q._sql_bleu("method2_higher_orders"))
 QUERIES = {
     "parallel_lines": (q_parallel_lines, f"with {V.SQL_PAIRS} select row_number() over (order by example_id) - 1 as line_no, example_id as id, source, target from pairs"),
@@ -76,5 +86,10 @@ union all select 'SARI', example_id, sari from s union all select 'Acc-top-1', e
     "summary_file": (q_summary_file, more._summary(V.SQL_EVAL)),
     "split_dataset": (q_split_dataset, f"""with {V.SQL_PAIRS}, s as (select *, case example_id % 10 when 0 then 'test' when 1 then 'valid' else 'train' end as split from pairs)
 select 'turns' as dataset, split, row_number() over (partition by split order by example_id) - 1 as line_no, example_id, source || ' </s> ' || context as model_input, target from s"""),
+    "scorer_states": (q_scorer_states, f"""with {Q.SQL_STATS}, b as (select n, sum(num) as num, sum(greatest(den, 1)) as den, sum(hlen) as hlen, sum(rlen) as rlen, count(*) as examples from per group by n),
+x as (select any_value(examples) as examples, round(case when max(case when n = 1 then num end) = 0 then 0.0 else any_value({Q._BP}) * exp(avg(ln(case when num = 0 then 0.1 / den else num / den end))) end, 6) as corpus_bleu from b),
+g as (select n, sum(greatest(num - pen, 0)) as num, sum(den) as den, sum(hlen) as hlen, sum(rlen) as rlen from per group by n),
+y as (select round(case when min(least(num, den, hlen, rlen)) = 0 then 0.0 else exp(least(0.0, 1 - any_value(rlen) / any_value(hlen)) + avg(ln(num / den))) end, 6) as corpus_gleu from g)
+select examples, corpus_bleu, corpus_gleu from x, y"""),
     "eval_text": (q_eval_text, f"with {V.SQL_EVAL} select row_number() over (order by example_id) - 1 as line_no, {Q._sql_subtokens('src')} as src, {Q._sql_subtokens('ref')} as ref, {Q._sql_subtokens('pred')} as pred from evals"),
 }
