@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import drop_punctuation, empty_placeholder, subtokenize_comment, tokens
 from palimpsest.operators.ngrams import ORDERS, ngram_table, total
+from palimpsest.sources.shared import cut
 
 N = range(1, ORDERS + 1)
 #: Stands for a zero precision without smoothing.
@@ -322,16 +323,17 @@ def cider(hyps: DataFrame, refs: DataFrame, sigma: float = 6.0) -> DataFrame:
     """(example_id, cider): TF-IDF cosine over 1- to 4-grams, clipped, with a Gaussian penalty on the difference in
     bigrams. hyps: example_id, pred; refs: example_id, ref_idx, ref. Examples without a reference go.
 
-    The grams of each text are made once, kept in storage, and serve frequencies and scores. The document frequency is
+    The grams of each text are made once, checkpointed, and serve frequencies and scores; nothing stays in storage. The document frequency is
     the only global grouping; it is by gram, with partial sums first.
     """
     long = hyps.select("example_id", F.lit(-1).alias("ref_idx"), F.col("pred").alias("text")).unionByName(
         refs.select("example_id", F.col("ref_idx").cast("int").alias("ref_idx"), F.col("ref").alias("text"))
     )
-    t = ngram_table(long, ["example_id", "ref_idx"], {"x": tokens(F.col("text"))}, whole=True).persist()
+    t = ngram_table(long, ["example_id", "ref_idx"], {"x": tokens(F.col("text"))}, whole=True)
+    t = cut(t)
     is_ref = F.col("ref_idx") >= 0
     held = t.where(is_ref & (F.col("n") > 0)).groupBy("example_id", "gram").count()
-    df = held.groupBy("gram").agg(F.count("*").alias("df")).persist()
+    df = cut(held.groupBy("gram").agg(F.count("*").alias("df")))
     docs = refs.agg(F.countDistinct("example_id")).first()[0]
     idf = F.lit(math.log(max(docs, 1))) - F.log(F.greatest(F.lit(1), F.coalesce("df", F.lit(0))))
     weighted = attach_frequency(t, df).withColumn("w", F.col("c_x") * idf)
@@ -357,26 +359,44 @@ def cider(hyps: DataFrame, refs: DataFrame, sigma: float = 6.0) -> DataFrame:
 REF_LENGTHS = ("closest", "shortest", "average")
 
 
-def multi_ref_stats(hyps: DataFrame, refs: DataFrame, ref_len: str = "closest") -> DataFrame:
+def multi_ref_stats(hyps: DataFrame, refs: DataFrame, ref_len: str = "closest", strict: bool = False) -> DataFrame:
     """For each example: hlen, the reference length rlen, and for each order num (matches clipped by the largest count
     over the references). hyps: example_id, pred; refs: example_id, ref_idx, ref. ref_len: the length closest to the
-    hypothesis's, the shortest, or the average."""
+    hypothesis's, the shortest, or the average. With strict an example on one side only is an error, which names it when
+    it is met; else hypotheses without references go, and references without a hypothesis have an empty one."""
     if ref_len not in REF_LENGTHS:
         raise ValueError(ref_len)
+    return all_lengths_stats(hyps, refs, strict).withColumn("rlen", F.col("rlens")[ref_len]).drop("rlens")
+
+
+def all_lengths_stats(hyps: DataFrame, refs: DataFrame, strict: bool = False) -> DataFrame:
+    """multi_ref_stats with rlens, a struct of all reference lengths, in place of rlen: the grams are made once for all."""
     t = several_table(hyps, refs, {"hyp": "pred"})
     sums = t.groupBy("example_id").agg(
-        total(F.col("c_hyp"), 1).alias("hlen"), F.max("lengths").alias("lengths"), *[total(F.least("c_hyp", "most"), n).alias(f"num{n}") for n in N]
+        total(F.col("c_hyp"), 1).alias("hlen"), F.max("lengths").alias("lengths"), *[total(F.least("c_hyp", "most"), n).alias(f"num{n}") for n in N], total(F.col("c_hyp"), 0).alias("texts")
     )
+    if strict:
+        both = (F.col("texts") > 0) & (F.size("lengths") > 0)
+        alone = F.raise_error(F.concat(F.lit("keys on one side only, such as "), F.coalesce(F.col("example_id").cast("string"), F.lit("null"))))
+        sums = sums.where(F.coalesce(both, F.lit(False)) | alone.cast("boolean"))
     lens = F.transform("lengths", lambda x: x["len"])
     near = F.array_min(F.transform(lens, lambda x: F.struct(F.abs(x - F.col("hlen")), x.alias("len"))))["len"]
-    rlen = {"closest": near, "shortest": F.array_min(lens), "average": F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lens)}[ref_len]
-    return sums.where(F.size("lengths") > 0).withColumn("rlen", rlen).drop("lengths")
+    average = F.aggregate(lens, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(lens)
+    rlens = F.struct(*[c.cast("double").alias(k) for k, c in zip(REF_LENGTHS, (near, F.array_min(lens), average), strict=True)])
+    return sums.where(F.size("lengths") > 0).withColumn("rlens", rlens).drop("lengths", "texts")
+
+
+def multi_bleu_corpora(hyps: DataFrame, refs: DataFrame) -> DataFrame:
+    """multi_bleu_corpus for each way of taking a reference length, ref_len, out of one set of statistics."""
+    stats = all_lengths_stats(hyps, refs)
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("ref_len"), F.col("rlens")[k].alias("rlen")) for k in REF_LENGTHS])).alias("x")
+    return multi_bleu_corpus(stats.select("*", each).select("*", "x.*").drop("x", "rlens"), ("ref_len",))
 
 
 def rescore(refs: DataFrame, hyps: DataFrame, ref_len: str = "closest") -> DataFrame:
-    """Statistics of other hypotheses for the same references, which must have the same examples."""
-    assert_same_keys(refs, hyps)
-    return multi_ref_stats(hyps, refs, ref_len)
+    """Statistics of other hypotheses for the same references, which must have the same examples; another one is an error
+    of the query that meets it, so no job of its own looks for one."""
+    return multi_ref_stats(hyps, refs, ref_len, strict=True)
 
 
 def append_stats(*stats: DataFrame) -> DataFrame:
@@ -391,10 +411,10 @@ def assert_same_keys(a: DataFrame, b: DataFrame, key: str = "example_id") -> Non
         raise ValueError(f"keys on one side only, such as {[r[0] for r in [*only[0], *only[1]]]}")
 
 
-def multi_bleu_corpus(stats: DataFrame) -> DataFrame:
-    """One row: bleu_1 to bleu_4 and length_ratio of the sums, and the lengths hlen and rlen."""
-    sums = stats.agg(*[F.sum(f"num{n}").alias(f"num{n}") for n in N], *[F.sum(d).alias(f"den{n}") for n, d in zip(N, _dens(), strict=True)], F.sum("hlen").alias("hlen"), F.sum("rlen").alias("rlen"))
-    return sums.select("hlen", F.col("rlen").cast("double").alias("rlen"), *_running(_cols("den")))
+def multi_bleu_corpus(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row, or one for each value of ``by``: bleu_1 to bleu_4 and length_ratio of the sums, and the lengths hlen and rlen."""
+    sums = stats.groupBy(*by).agg(*[F.sum(f"num{n}").alias(f"num{n}") for n in N], *[F.sum(d).alias(f"den{n}") for n, d in zip(N, _dens(), strict=True)], F.sum("hlen").alias("hlen"), F.sum("rlen").alias("rlen"))
+    return sums.select(*by, "hlen", F.col("rlen").cast("double").alias("rlen"), *_running(_cols("den")))
 
 
 def ngram_reference_frequency(refs: DataFrame) -> DataFrame:

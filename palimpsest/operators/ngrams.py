@@ -16,6 +16,12 @@ def pad_sequence(words: Column, n: int, left: str | None = None, right: str | No
     return F.concat(ends[0], words, ends[1])
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key over all of the session's shuffle partitions. Texts are small beside the grams that they are about to
+    become, so partitions must not be put together by the size that they have here."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def ngram_table(rows: DataFrame, keys: list[str], sides: dict[str, Column], orders: int = ORDERS, whole: bool = False) -> DataFrame:
     """(keys, n, gram, c_<side> for each side): counts of every gram that any side holds.
 
@@ -24,7 +30,7 @@ def ngram_table(rows: DataFrame, keys: list[str], sides: dict[str, Column], orde
     partitioning. The grams that start at a token are made from it and the next ones, side by side.
     """
     held = F.array(*[F.struct(F.lit(s).alias("side"), w.alias("t")) for s, w in sides.items()])
-    texts = rows.repartition(keys[0]).select(*keys, F.explode(held).alias("x")).select(*keys, "x.side", F.col("x.t").alias("t"))
+    texts = dealt(rows, keys[0]).select(*keys, F.explode(held).alias("x")).select(*keys, "x.side", F.col("x.t").alias("t"))
     parts = [F.col("t"), *[F.slice("t", k, F.greatest(F.size("t") - k + 1, F.lit(0))) for k in range(2, orders + 1)]]
     starts = F.arrays_zip(*[p.alias(f"w{k}") for k, p in enumerate(parts, 1)])
     made = [F.struct(F.lit(k).alias("n"), F.when(F.col(f"z.w{k}").isNotNull(), F.concat_ws(GLUE, *[F.col(f"z.w{i}") for i in range(1, k + 1)])).alias("gram")) for k in range(1, orders + 1)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.code import JAVA_KEYWORDS
 from palimpsest.functions.text import tokens
 from palimpsest.operators import metrics
-from palimpsest.operators.ngrams import ngram_table, total
+from palimpsest.operators.ngrams import dealt, ngram_table, total
 from palimpsest.sources.shared import cut, written
 
 #: Weight of a token that is no keyword; a keyword weighs 1.
@@ -70,7 +70,7 @@ def syntax_counts(subtrees: DataFrame) -> DataFrame:
     """
     side = lambda s: F.count(F.when(F.col("side") == s, 1))
     # Both groupings keep this partitioning.
-    counts = subtrees.repartition("example_id").groupBy("example_id", "sexp").agg(side("ref").alias("r"), side("hyp").alias("h"))
+    counts = dealt(subtrees, "example_id").groupBy("example_id", "sexp").agg(side("ref").alias("r"), side("hyp").alias("h"))
     return counts.groupBy("example_id").agg(F.sum(F.when(F.col("h") > 0, F.col("r")).otherwise(0)).alias("s_match"), F.sum("r").alias("s_all"))
 
 
@@ -139,7 +139,7 @@ def merge_dataflow(edges: DataFrame) -> DataFrame:
     Rows are dealt by example once: uses of a place travel with the edges, and no join is needed.
     """
     key = ["example_id", "side", "pos"]
-    rows = edges.select(*key, "var", "relation", "src_vars", "src_pos").repartition("example_id")
+    rows = dealt(edges.select(*key, "var", "relation", "src_vars", "src_pos"), "example_id")
     own = F.array(F.struct("pos", F.lit(True).alias("is_edge")))
     uses = F.transform("src_pos", lambda p: F.struct(p.alias("pos"), F.lit(False).alias("is_edge")))
     long = rows.withColumn("x", F.explode(F.concat(own, uses))).select("example_id", "side", "x.*", "var", "relation", "src_vars", "src_pos")

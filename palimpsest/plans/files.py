@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import pipelines, states
+from palimpsest.operators import pipelines, states, table_functions
 from palimpsest.plans import more, queries as Q
 from palimpsest.sources import lines, records
 from palimpsest.sources import views as V
@@ -76,6 +76,38 @@ def q_scorer_states(spark, d):
     return states.state_scores(states.merge_states(states.read_states(spark, f"{at}/kept")))
 
 
+def q_sql_scores(spark, d):
+    """Candidates scored from SQL, an example's group at a time, by the share of the reference's tokens that they have; and
+    how many tokens each has, by a table function."""
+    def shares():
+        def share(refs, preds):
+            words = [set(filter(None, x.split(" "))) for x in refs]
+            return refs.__class__([len(w & set(p.split(" "))) / len(w) if w else 0.0 for w, p in zip(words, preds, strict=True)])
+
+        return share
+
+    table_functions.register_scorer(spark, "group_scores", shares)
+    table_functions.register_tokens(spark)
+    p = Q.pairs(spark, d)
+    V.candidates(p).join(p, "example_id").createOrReplaceTempView("scored_candidates")
+    return spark.sql("""
+      with s as (select * from group_scores(table(select example_id, beam_rank, target as a, pred as b from scored_candidates) partition by example_id order by beam_rank)),
+      t as (select example_id, beam_rank, count(*) as tokens from scored_candidates, lateral text_tokens(pred) group by all)
+      select example_id, beam_rank, round(score, 6) as score, coalesce(tokens, 0) as tokens from s left join t using (example_id, beam_rank)""")
+
+
+def q_bad_bytes(spark, d):
+    """Documents whose files are cut inside a sign, spoilt and overlong: read as lines, and repaired."""
+    at = new_folder(spark)
+    # A sign without its end, a byte that none begins with, an overlong slash, and a sign that the line's end cuts.
+    parts = ["61E282", "62FF63", "64C0AF65", "66F09F98"]
+    rows = V.table(spark, d, "documents").where("doc_id is not null").select(F.unhex(F.lit("0A".join(parts))).alias("bad"), F.encode(F.format_string("%012d", "doc_id"), "utf-8").alias("id"))
+    lines_ = rows.select(F.concat("id", F.lit(b"\n"), "bad").alias("value"))
+    lines_.select(F.col("value").cast("string").alias("value")).write.text(at)
+    read = spark.read.text(at).select(T.repair_utf8(F.col("value").cast("binary")).alias("line"))
+    return read.groupBy(F.when(F.length("line") == 12, "number").otherwise(F.col("line")).alias("line")).agg(F.count("*").alias("n"))
+
+
 _BLEU = Q._SENT_BLEU.format(Q._sql_bleu("method2_higher_orders"))
 QUERIES = {
     "parallel_lines": (q_parallel_lines, f"with {V.SQL_PAIRS} select row_number() over (order by example_id) - 1 as line_no, example_id as id, source, target from pairs"),
@@ -91,5 +123,10 @@ x as (select any_value(examples) as examples, round(case when max(case when n =
 g as (select n, sum(greatest(num - pen, 0)) as num, sum(den) as den, sum(hlen) as hlen, sum(rlen) as rlen from per group by n),
 y as (select round(case when min(least(num, den, hlen, rlen)) = 0 then 0.0 else exp(least(0.0, 1 - any_value(rlen) / any_value(hlen)) + avg(ln(num / den))) end, 6) as corpus_gleu from g)
 select examples, corpus_bleu, corpus_gleu from x, y"""),
+    "sql_scores": (q_sql_scores, f"""with {V.SQL_CANDIDATES}, w as (
+  select c.example_id, beam_rank, list_distinct({V._TOK.format('target')}) as r, {V._TOK.format('pred')} as p from candidates c join pairs using (example_id))
+select example_id, beam_rank, round(case when len(r) = 0 then 0.0 else len(list_intersect(r, p)) / len(r)::double end, 6) as score, len(p)::bigint as tokens from w"""),
+    "bad_bytes": (q_bad_bytes, """select line, count(*) as n from (select unnest(['number', 'a' || chr(65533), 'b' || chr(65533) || 'c', 'd' || chr(65533) || chr(65533) || 'e', 'f' || chr(65533)]) as line
+from documents where doc_id is not null) group by line"""),
     "eval_text": (q_eval_text, f"with {V.SQL_EVAL} select row_number() over (order by example_id) - 1 as line_no, {Q._sql_subtokens('src')} as src, {Q._sql_subtokens('ref')} as ref, {Q._sql_subtokens('pred')} as pred from evals"),
 }

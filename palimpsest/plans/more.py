@@ -167,8 +167,7 @@ _CLASS_LIT = {k: v for k, v in {
 
 def q_multi_bleu_corpus(spark, d):
     hyps, refs = V.eval_rows(spark, d).select("example_id", "pred"), V.refs_multi(Q.pairs(spark, d))
-    parts = [metrics.multi_bleu_corpus(metrics.multi_ref_stats(hyps, refs, r)).select(F.lit(r).alias("ref_len"), "*") for r in metrics.REF_LENGTHS]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return metrics.multi_bleu_corpora(hyps, refs)
 
 
 def q_rescore(spark, d):

@@ -29,23 +29,28 @@ def read_lines(spark: SparkSession, path: str, column: str) -> DataFrame:
     return raw.join(F.broadcast(parts), ["_file", "_start"]).select((F.col("_before") + F.col("_row") - F.col("_first")).alias("line_no"), column)
 
 
+def _all_there(joined: DataFrame, marks: list[str], key: str, say: str) -> DataFrame:
+    """A full outer join's rows; one that has no partner on a side is an error that names it. The check is part of the
+    result, so no job of its own counts anything."""
+    whole = reduce(lambda a, b: a & b, [F.col(m).isNotNull() for m in marks])
+    alone = F.raise_error(F.concat(F.lit(f"{say}, such as {key} "), F.col(key).cast("string")))
+    return joined.where(whole | alone.cast("boolean")).drop(*marks)
+
+
 def read_parallel_lines(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """(line_no, one column for each file); files of different lengths are an error."""
-    parts = [read_lines(spark, path, column) for column, path in paths.items()]
-    counts = [p.count() for p in parts]
-    if len(set(counts)) > 1:
-        raise ValueError(f"files of different lengths: {dict(zip(paths, counts, strict=True))}")
-    return reduce(lambda a, b: a.join(b, "line_no"), parts)
+    """(line_no, one column for each file); a line that only some of the files have is an error of the query that meets it."""
+    parts = [read_lines(spark, path, column).withColumn(f"_has_{k}", F.lit(True)) for k, (column, path) in enumerate(paths.items())]
+    joined = reduce(lambda a, b: a.join(b, "line_no", "full_outer"), parts)
+    return _all_there(joined, [f"_has_{k}" for k in range(len(parts))], "line_no", "files of different lengths")
 
 
 def align_eval(spark: SparkSession, paths: dict[str, str], preds: str, nbest: int = 1) -> DataFrame:
     """(example_id, beam_rank, pred, one column for each of paths): nbest lines of preds for each line of the others;
-    any other relation of their lengths is an error."""
-    rows = read_parallel_lines(spark, paths).withColumnRenamed("line_no", "example_id")
-    beams = read_beam_lines(spark, preds, nbest)
-    if (lines := rows.count()) * nbest != (candidates := beams.count()):
+    any other relation of their lengths is an error, by one count of a file of lines and one of the candidates."""
+    column, path = next(iter(paths.items()))
+    if (lines := read_lines(spark, path, column).count()) * nbest != (candidates := read_lines(spark, preds, "pred").count()):
         raise ValueError(f"{candidates} candidates are not {nbest} for each of {lines} lines")
-    return rows.join(beams, "example_id")
+    return read_parallel_lines(spark, paths).withColumnRenamed("line_no", "example_id").join(_beams(spark, preds, nbest), "example_id")
 
 
 def write_parallel_lines(rows: DataFrame, paths: dict[str, str]) -> None:
@@ -60,10 +65,13 @@ def write_parallel_lines(rows: DataFrame, paths: dict[str, str]) -> None:
 
 def read_beam_lines(spark: SparkSession, path: str, k: int) -> DataFrame:
     """(example_id, beam_rank, pred): k lines belong to an example; other counts are an error."""
-    lines = read_lines(spark, path, "pred")
-    if (n := lines.count()) % k:
+    if (n := read_lines(spark, path, "pred").count()) % k:
         raise ValueError(f"{n} lines are no multiple of {k}")
-    return lines.select(F.expr(f"line_no div {k}").alias("example_id"), (F.col("line_no") % k).cast("int").alias("beam_rank"), "pred")
+    return _beams(spark, path, k)
+
+
+def _beams(spark: SparkSession, path: str, k: int) -> DataFrame:
+    return read_lines(spark, path, "pred").select(F.expr(f"line_no div {k}").alias("example_id"), (F.col("line_no") % k).cast("int").alias("beam_rank"), "pred")
 
 
 def write_beam_lines(beams: DataFrame, path: str) -> None:
