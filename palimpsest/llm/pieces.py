@@ -20,9 +20,10 @@ import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
-from struct import unpack
+from struct import pack, unpack
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -42,6 +43,8 @@ BUCKETS, MAX_BUCKETS = 4, 1024
 MEMORY = 1_000_000
 #: From this many signs on, a chunk's merges are kept in a queue; below, the list is searched for the next one.
 LONG = 48
+#: Compression of the bundled documents, which are most of what is shuffled.
+LEVEL = 6
 UNKNOWN_TEXT = " ⁇ "
 
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -102,6 +105,10 @@ class Model:
         self.controls = {i for i, k in enumerate(self.kind) if k == _CONTROL}
         surface = {_NORMAL: lambda p: p.replace(MARK, " ").encode(), _BYTE: lambda p: bytes([int(p[3:5], 16)]), _UNKNOWN: lambda p: UNKNOWN_TEXT.encode(), _CONTROL: lambda p: b""}
         self.surface = [surface[k](p) for p, _, k in pieces]
+        # The pieces' bytes one after another, and where each one's are.
+        self.letters = np.frombuffer(b"".join(self.surface), dtype=np.uint8)
+        self.lengths = np.array([len(x) for x in self.surface], dtype=np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
 
     def _merged(self, parts: list[str]) -> list[str]:
         rank, none = self.rank.get, len(self.rank)
@@ -200,12 +207,22 @@ def chunks(text: str) -> list[str]:
     return [c[1:] for c in re.findall(f"{MARK}+[^{MARK}]*", MARK + marked)]
 
 
-def _requests(texts: list[str], buckets: int) -> list[list[str]]:
-    """The distinct chunks of a block's texts by bucket, in the order in which they are first seen."""
-    out: list[list[str]] = [[] for _ in range(buckets)]
-    for chunk in dict.fromkeys(chain.from_iterable(map(chunks, texts))):
-        out[xxhash.xxh32_intdigest(chunk.encode()) % buckets].append(chunk)
-    return out
+def _requests(words: list[str], buckets: int) -> tuple[list[tuple[int, list[str]]], np.ndarray]:
+    """(bucket, its chunks) of distinct chunks, empty buckets left out, and the chunks' places, bucket after bucket."""
+    if not words:
+        return [], np.zeros(0, dtype=np.int64)
+    held = np.array(words, dtype=object)
+    bucket = (pd.util.hash_array(held, categorize=False) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+    parts = np.split(held[order], cuts)
+    return [(int(b), w.tolist()) for b, w in zip(bucket[order[np.append(0, cuts)]], parts, strict=True)], order
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs one after another."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
 
 
 def _pack(words: list[str]) -> bytes:
@@ -223,11 +240,11 @@ def _answer(ids: list[bytes]) -> bytes:
     return zstandard.compress(len(ids).to_bytes(4, "little") + sizes.tobytes() + b"".join(ids), 3)
 
 
-def _answered(data: bytes) -> list[bytes]:
+def _answered(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes of the chunks' id lists, ids)."""
     raw = zstandard.decompress(data)
     n = int.from_bytes(raw[:4], "little")
-    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) * 4 + 4 + 4 * n).tolist()
-    return [raw[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
+    return np.frombuffer(raw, "<u4", n, 4).astype(np.int64), np.frombuffer(raw, "<u4", -1, 4 + 4 * n)
 
 
 def _digest(words: list[str]) -> int:
@@ -248,7 +265,8 @@ class Segmenter:
             if ids is None:
                 if len(known) >= MEMORY:
                     known.clear()
-                ids = known[word] = np.array(segment(MARK + word), dtype="<u4").tobytes()
+                own = segment(MARK + word)
+                ids = known[word] = pack(f"<{len(own)}I", *own)
             out.append(ids)
         return out
 
@@ -299,7 +317,8 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in _blocks(batches, place, block_bytes):
-            own = [(number, b, _digest(w), _pack(w)) for b, w in enumerate(_requests(texts, n_buckets)) if w]
+            words = [*dict.fromkeys(chain.from_iterable(map(chunks, texts)))]
+            own = [(number, b, _digest(w), _pack(w)) for b, w in _requests(words, n_buckets)[0]]
             yield _parcels(own)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +330,7 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, own, _ in _blocks(batches, place, block_bytes):
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, own[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+            with pa.ipc.new_stream(sink, own[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as stream:
                 for batch in own:
                     stream.write_batch(batch)
             yield _parcels([(number, -1, 0, sink.getvalue().to_pybytes())])
@@ -329,24 +348,42 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
                 answers[bucket] = words, payload
                 continue
             own = pa.ipc.open_stream(payload).read_all()
-            texts = [t or "" for t in own.column(place).to_pylist()]
-            known: dict[str, bytes] = {}
-            for b, wanted in enumerate(_requests(texts, n_buckets)):
-                digest, ids = answers.get(b, (None, None))
-                if wanted:
-                    known.update(zip(wanted, _answered(ids) if digest == _digest(wanted) else segment(wanted), strict=True))
+            parts = [chunks(t or "") for t in own.column(place).to_pylist()]
+            every = [*chain.from_iterable(parts)]
+            index = {c: k for k, c in enumerate(dict.fromkeys(every))}
+            code = np.fromiter(map(index.__getitem__, every), dtype=np.int64, count=len(every))
+            requests, order = _requests([*index], n_buckets)
+            sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype="<u4")]
+            for b, wanted in requests:
+                digest, held_ids = answers.get(b, (None, None))
+                n, found = _answered(held_ids if digest == _digest(wanted) else _answer(segment(wanted)))
+                sizes.append(n)
+                ids.append(found)
+            # Of every chunk, by its number in the block, where its ids are.
+            size, start, flat = np.zeros(len(index), dtype=np.int64), np.zeros(len(index), dtype=np.int64), np.concatenate(ids)
+            size[order] = np.concatenate(sizes)
+            start[order] = np.cumsum(size[order]) - size[order]
+            chunks_of = np.cumsum([0, *map(len, parts)])
             at = 0
             for batch in own.to_batches():
-                yield _coded(batch, texts[at : at + batch.num_rows], known, model)
+                inside = code[chunks_of[at] : chunks_of[at + batch.num_rows]]
+                token = flat[_spread(start[inside], size[inside])]
+                ends = np.cumsum(np.append(0, size[inside]))[chunks_of[at : at + batch.num_rows + 1] - chunks_of[at]]
+                yield _coded(batch, token, ends.tolist(), model)
                 at += batch.num_rows
 
-    def _coded(batch: pa.RecordBatch, texts: list[str], known: dict[str, bytes], model: Model) -> pa.RecordBatch:
-        begin, end = (i.to_bytes(4, "little") for i in (model.begin, model.end))
-        coded = [np.frombuffer(b"".join([begin, *[known[c] for c in chunks(t)], end]), dtype="<u4") for t in texts]
+    def _coded(batch: pa.RecordBatch, token: np.ndarray, ends: list[int], model: Model) -> pa.RecordBatch:
+        """token: the ids of the batch's texts one after another; ends: where each text's begin and end."""
+        length = model.lengths[token]
+        spelled = model.letters[_spread(model.offsets[token], length)].tobytes()
+        cut = np.append(0, np.cumsum(length))[ends].tolist()
+        coded = [np.concatenate([[model.begin], token[a:b], [model.end]]).astype("<u4") for a, b in zip(ends, ends[1:])]
+        # Every text's first piece begins with a marker, which is no part of the text.
+        decoded = [spelled[a + 1 : b] for a, b in zip(cut, cut[1:])]
         columns = {
             "n_tokens": pa.array([len(x) for x in coded], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
-            "decoded_sha256": pa.array([hashlib.sha256(model.decode(x.tolist()).encode()).hexdigest() for x in coded], pa.string()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in coded], pa.string()),
+            "decoded_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
         }
         if keep_ids:
             columns["ids"] = pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32()))
