@@ -18,8 +18,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count
 from struct import pack, unpack
 
 import numpy as np
@@ -27,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
@@ -272,9 +272,13 @@ class Segmenter:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: int, most: int) -> Iterator[tuple[int, list[pa.RecordBatch], list[str]]]:
-    """(number, batches, texts) of the blocks of a partition."""
-    number, held, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    """(number, batches, texts) of the blocks of a partition, whose own number is the last column."""
+    number, held, texts, size = None, [], [], 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        if number is None:
+            number = batch.column(batch.num_columns - 1)[0].as_py() << 32
         held.append(batch)
         own = batch.column(text)
         texts += [t or "" for t in own.to_pylist()]
@@ -295,25 +299,16 @@ def _parcels(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_PARCEL, strict=True)], schema=_ARROW_PARCEL)
 
 
-def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str = "pieces", keep_ids: bool = True, keep_text: bool = True,
-                block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Adds a struct: n_tokens, ids_sha256, decoded_sha256, and ids unless keep_ids is off; all ids count, begin and end too.
+def _sent(docs: DataFrame, place: int, model_path: str, block_bytes: int) -> DataFrame:
+    """Each block's answers (block, bucket, digest of the chunks asked for, payload) and its documents (bucket -1).
 
-    The model's file is read once, on the driver, and broadcast: a vocabulary's size is fixed. Null and empty texts have
-    the begin and end ids only. Repeated rows get equal results, an empty table stays empty, texts are read whole, and
-    chunks may have any length. A column named as ``out`` is replaced; all others stay, but the text with keep_text off.
-    A chunk is segmented once in a task that knows at most ``MEMORY`` of them at a time. If a block that is read again
-    after a loss lists other chunks than those it had asked for, it segments them itself.
-    """
+    place: the text's column. A block has one number in both readings: that of the partition of ``docs``, which is taken
+    before the two are put together, and its place in it."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(open(model_path, "rb").read())
-    small_batches(spark)
-    if not isinstance(docs.schema[text].dataType, StringType):
-        raise TypeError(f"{text} is not a column of strings")
-    docs = docs.drop(*(c for c in docs.columns if c == out and c != text))
-    place, n_buckets = docs.columns.index(text), min(MAX_BUCKETS, BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    kept = [c for k, c in enumerate(docs.columns) if k != place or keep_text and out != text]
-    kind = f"n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' * keep_ids}"
+    n_buckets = _buckets(docs)
+    part = "_" + "_".join(docs.columns)
+    numbered = docs.select("*", F.spark_partition_id().alias(part))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, texts in _blocks(batches, place, block_bytes):
@@ -335,6 +330,34 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
                     stream.write_batch(batch)
             yield _parcels([(number, -1, 0, sink.getvalue().to_pybytes())])
 
+    asked = numbered.mapInArrow(ask, _PARCEL).repartition("bucket")
+    return asked.mapInArrow(answer, asked.schema).unionAll(numbered.mapInArrow(bundle, asked.schema))
+
+
+def _buckets(docs: DataFrame) -> int:
+    return min(MAX_BUCKETS, BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str = "pieces", keep_ids: bool = True, keep_text: bool = True,
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Adds a struct: n_tokens, ids_sha256, decoded_sha256, and ids unless keep_ids is off; all ids count, begin and end too.
+
+    The model's file is read once, on the driver, and broadcast: a vocabulary's size is fixed. Null and empty texts have
+    the begin and end ids only. Repeated rows get equal results, an empty table stays empty, texts are read whole, and
+    chunks may have any length. A column named as ``out`` is replaced; all others stay, but the text with keep_text off.
+    A chunk is segmented once in a task that knows at most ``MEMORY`` of them at a time. If a block that is read again
+    after a loss lists other chunks than those it had asked for, it segments them itself.
+    """
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(open(model_path, "rb").read())
+    small_batches(spark)
+    if not isinstance(docs.schema[text].dataType, StringType):
+        raise TypeError(f"{text} is not a column of strings")
+    docs = docs.drop(*(c for c in docs.columns if c == out and c != text))
+    place, n_buckets = docs.columns.index(text), _buckets(docs)
+    kept = [c for k, c in enumerate(docs.columns) if k != place or keep_text and out != text]
+    kind = f"n_tokens long, ids_sha256 string, decoded_sha256 string{', ids array<int>' * keep_ids}"
+
     schema = StructType([docs.schema[c] for c in kept]).add(out, spark.createDataFrame([], kind).schema)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,10 +371,9 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
                 answers[bucket] = words, payload
                 continue
             own = pa.ipc.open_stream(payload).read_all()
-            parts = [chunks(t or "") for t in own.column(place).to_pylist()]
-            every = [*chain.from_iterable(parts)]
-            index = {c: k for k, c in enumerate(dict.fromkeys(every))}
-            code = np.fromiter(map(index.__getitem__, every), dtype=np.int64, count=len(every))
+            index = defaultdict(count().__next__)  # a chunk gets its number when it is first seen
+            codes = [np.array([*map(index.__getitem__, chunks(t or ""))], dtype=np.int32) for t in own.column(place).to_pylist()]
+            code = np.concatenate(codes)
             requests, order = _requests([*index], n_buckets)
             sizes, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype="<u4")]
             for b, wanted in requests:
@@ -363,7 +385,7 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
             size, start, flat = np.zeros(len(index), dtype=np.int64), np.zeros(len(index), dtype=np.int64), np.concatenate(ids)
             size[order] = np.concatenate(sizes)
             start[order] = np.cumsum(size[order]) - size[order]
-            chunks_of = np.cumsum([0, *map(len, parts)])
+            chunks_of = np.cumsum([0, *map(len, codes)])
             at = 0
             for batch in own.to_batches():
                 inside = code[chunks_of[at] : chunks_of[at + batch.num_rows]]
@@ -391,10 +413,8 @@ def with_pieces(docs: DataFrame, model_path: str, text: str = "text", out: str =
         arrays = [a for k, a in enumerate(batch.columns) if batch.schema.names[k] in kept]
         return pa.RecordBatch.from_arrays([*arrays, made], names=[*kept, out])
 
-    asked = docs.mapInArrow(ask, _PARCEL).repartition("bucket")
-    parcels = asked.mapInArrow(answer, asked.schema).unionAll(docs.mapInArrow(bundle, asked.schema))
     # Of a block, answers in any order and then the documents.
-    sent = parcels.repartition("block").sortWithinPartitions("block", F.col("bucket").desc())
+    sent = _sent(docs, place, model_path, block_bytes).repartition("block").sortWithinPartitions("block", F.col("bucket").desc())
     return sent.mapInArrow(assemble, schema)
 
 

@@ -86,3 +86,20 @@ def test_a_block_that_asked_for_other_chunks_segments_its_own(spark, library):
     df = spark.range(0, 60, 1, 3).select(F.concat(F.lit("word "), (F.rand() * 1e6).cast("long").cast("string")).alias("text"))
     for r in pieces.with_pieces(df, queries.piece_model()).collect():
         assert r.pieces.ids == library.encode(r.text, add_bos=True, add_eos=True)
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_answers_reach_the_blocks_that_asked(spark, sf, partitions):
+    """Every block finds answers to all its own chunks beside its documents, so that none is segmented a second time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").repartition(partitions).cache()
+    parcels = pieces._sent(docs, 1, queries.piece_model(), 1 << 16).collect()
+    docs.unpersist()
+    answers = {(r.block, r.bucket): r.words for r in parcels if r.bucket >= 0}
+    blocks = [r for r in parcels if r.bucket < 0]
+    assert len(blocks) == len({r.block for r in blocks}) >= partitions
+    wanted = {}
+    for r in blocks:
+        texts = pieces.pa.ipc.open_stream(r.payload).read_all().column(1).to_pylist()
+        words = [*dict.fromkeys(c for t in texts for c in pieces.chunks(t or ""))]
+        wanted |= {(r.block, b): pieces._digest(w) for b, w in pieces._requests(words, pieces._buckets(docs))[0]}
+    assert wanted == answers
