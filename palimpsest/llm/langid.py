@@ -5,6 +5,9 @@ each of its words has a likelihood under each language (the product of its trigr
 estimates the languages' proportions until its likelihood is as good as the best, and the set of languages is chosen by
 penalised likelihood among the nested sets of the most frequent ones. The prediction is the language with the largest
 proportion.
+
+With many languages a document is estimated over its likeliest few. The likelihood is concave, so its slope towards each
+language left out bounds what that one could add; languages come in until none could add more than the tolerance.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ TOLERANCE = 0.1
 #: Languages that a model is made for; a column with more is an error, since the model's size goes with them.
 MAX_LANGUAGES = 512
 PENALTY = 1.0
+#: Languages that a document's estimation begins with, and that come in at a time.
+ACTIVE = 8
+#: Cells of trigrams times languages that are held at a time; texts are taken in slices of so many.
+CELLS = 1 << 22
 UNKNOWN = "und"
 
 _LETTER = None
@@ -79,11 +86,18 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", max_languages:
     n = docs.where(F.col(lang).isNotNull()).select(lang).distinct().limit(max_languages + 1).count()
     if n > max_languages:
         raise ValueError(f"more than {max_languages} languages in column {lang}")
-    counts = count_trigrams(docs, lang, text).toPandas()
-    names = sorted(counts["lang"].unique())
-    table = np.full((len(names), BUCKETS), SMOOTH)
-    table[counts["lang"].map({n: i for i, n in enumerate(names)}).to_numpy(dtype=int), counts["bucket"]] += counts["n"]
-    return names, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    def column(own: pd.DataFrame) -> pd.DataFrame:
+        counts = np.full(BUCKETS, SMOOTH)
+        counts[own["bucket"]] += own["n"]
+        return pd.DataFrame({"lang": own["lang"][:1], "logs": [np.log(counts / counts.sum()).astype(np.float32).tobytes()]})
+
+    # A language's counts are at most BUCKETS rows; its column of the model comes to the driver as 4 * BUCKETS bytes.
+    columns = count_trigrams(docs, lang, text).groupBy("lang").applyInPandas(column, "lang string, logs binary")
+    found = {r["lang"]: r["logs"] for r in columns.toLocalIterator()}
+    names, table = sorted(found), np.empty((BUCKETS, len(found)), dtype=np.float32)
+    for k, name in enumerate(names):
+        table[:, k] = np.frombuffer(found.pop(name), np.float32)
+    return names, table
 
 
 def _mixture(like: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,43 +125,90 @@ def _mixture(like: np.ndarray, n: np.ndarray, allowed: np.ndarray) -> tuple[np.n
     return share, value, gap
 
 
-def infer(texts: list[str], log_table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(known, proportions): whether a text has a letter, and its languages' proportions after the set's choice.
+def _full_mixture(like: np.ndarray, n: np.ndarray, likeliest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``_mixture`` gives with all languages allowed. likeliest: each document's languages, the likeliest first."""
+    langs = like.shape[1]
+    if langs <= 2 * ACTIVE:
+        return _mixture(like, n, np.ones((len(n), langs)))
+    share, value, gap = np.zeros((len(n), langs)), np.zeros(len(n)), np.zeros(len(n))
+    live, own, size, active = np.arange(len(n)), like, n, np.sort(likeliest[:, :ACTIVE], axis=1)
+    while len(live):
+        of, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+        part, likely, _ = _mixture(np.take_along_axis(own, active[of], axis=1), size, np.ones(active.shape))
+        mix = np.maximum((np.take_along_axis(own, active[of], axis=1) * part[of]).sum(axis=1), 1e-300)
+        slope = np.add.reduceat(own / mix[:, None], first, axis=0)
+        left = np.maximum(slope.max(axis=1) - size, 0.0)
+        done = (left <= TOLERANCE) | (active.shape[1] == langs)
+        at = live[done]
+        share[at[:, None], active[done]], value[at], gap[at] = part[done], likely[done], left[done]
+        keep = ~done
+        # Those come in whose slope is steepest, beside the ones that are there.
+        np.put_along_axis(slope, active, np.inf, axis=1)
+        more = min(langs, active.shape[1] + ACTIVE)
+        own, live, size = own[keep[of]], live[keep], size[keep]
+        active = np.sort(np.argpartition(-slope[keep], more - 1, axis=1)[:, :more], axis=1)
+    return share, value, gap
 
-    One language is compared with the mixture of all first: the best likelihood of the latter bounds those of the sets
-    between, so these are estimated only for documents and sizes by which they could still win. Of languages with equal
-    shares the first in alphabetical order counts.
-    """
+
+def _infer_slice(bucket: np.ndarray, word: np.ndarray, text: np.ndarray, log_table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(texts with a letter, their proportions) of the trigrams of some texts."""
     langs = log_table.shape[1]
-    known, out = np.zeros(len(texts), dtype=bool), np.zeros((len(texts), langs))
-    bucket, word, text = trigrams(texts)
-    if not len(bucket) or not langs:
-        return known, out
     heads = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    logs = np.add.reduceat(log_table[bucket], heads, axis=0).astype(np.float64)
+    ends = np.append(heads, len(word))
+    # A long text's words are looked up some at a time, so that only words times languages are held of it.
+    logs, at = np.empty((len(heads), langs)), 0
+    while at < len(heads):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + CELLS // langs, side="right")) - 1)
+        logs[at:to] = np.add.reduceat(log_table[bucket[ends[at] : ends[to]]], heads[at:to] - heads[at], axis=0)
+        at = to
     logs -= logs.max(axis=1, keepdims=True)
     like = np.exp(logs)
     of = text[heads]
     first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     n = np.diff(np.append(first, len(of)))
-    share, likely, gap = _mixture(like, n, np.ones((len(first), langs)))
     single = np.add.reduceat(np.maximum(logs, np.log(1e-300)), first, axis=0)
+    share, likely, gap = _full_mixture(like, n, np.argsort(-single, axis=1, kind="stable"))
     top = single.argmax(axis=1)
     best, chosen = single[np.arange(len(first)), top], np.eye(langs)[top]
     cost = PENALTY * (1 + np.log(n) / 2)
-    rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+    likeliest = np.argsort(-share, axis=1, kind="stable")
     for k in range(2, langs + 1):
         open_ = np.flatnonzero(likely + gap - (k - 1) * cost > best)
         if not len(open_):
             break
         inside = np.repeat(np.isin(np.arange(len(first)), open_), n)
-        own, value, _ = _mixture(like[inside], n[open_], (rank[open_] < k).astype(float))
+        held = np.sort(likeliest[open_, :k], axis=1)
+        part, value, _ = _mixture(np.take_along_axis(like[inside], np.repeat(held, n[open_], axis=0), axis=1), n[open_], np.ones(held.shape))
         value = value - (k - 1) * cost[open_]
         better = value > best[open_]
         best[open_] = np.where(better, value, best[open_])
-        chosen[open_] = np.where(better[:, None], own, chosen[open_])
-    known[of[first]] = True
-    out[of[first]] = chosen
+        own = np.zeros((len(open_), langs))
+        np.put_along_axis(own, held, part, axis=1)
+        chosen[open_[better]] = own[better]
+    return of[first], chosen
+
+
+def infer(texts: list[str], log_table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, proportions): whether a text has a letter, and its languages' proportions after the set's choice.
+
+    One language is compared with the mixture of all first: the best likelihood of the latter bounds those of the sets
+    between, so these are estimated only for documents and sizes by which they could still win. Of languages with equal
+    shares the first in alphabetical order counts. Texts are taken in slices of ``CELLS`` trigrams times languages, and
+    of a text beyond that words times languages are held.
+    """
+    langs = log_table.shape[1]
+    known, out = np.zeros(len(texts), dtype=bool), np.zeros((len(texts), langs))
+    bucket, word, text = trigrams(texts)
+    at = 0
+    while langs and at < len(bucket):
+        to = int(np.searchsorted(text, text[min(len(text) - 1, at + CELLS // langs)]))
+        if to <= at:  # one text fills the slice
+            to = int(np.searchsorted(text, text[at], side="right"))
+        elif at + CELLS // langs >= len(text):
+            to = len(text)
+        rows, shares = _infer_slice(bucket[at:to], word[at:to], text[at:to], log_table)
+        known[rows], out[rows] = True, shares
+        at = to
     return known, out
 
 
