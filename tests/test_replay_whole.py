@@ -29,3 +29,15 @@ def test_partial_plans_still_go_by_anchors():
     assert plans.code_whole(OLD, "<DELETE> b <DELETE_END>".split()) is None
     assert plans.code_whole(OLD, [*_plan(OLD, NEW), "<DELETE>", "c", "<DELETE_END>"]) is None
     assert plans.replay_code("a b a".split(), "<DELETE> a <DELETE_END>".split()) == "b a"
+
+
+def test_code_plan_queries_give_the_target(spark, tmp_path):
+    import oracle
+    from palimpsest import catalog
+
+    rows = [(1, 0, "user", "d d d c b"), (1, 1, "assistant", "d e d c"), (2, 0, "user", "x"), (2, 1, "assistant", "y x")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/c")
+    for t in oracle.TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(next((tmp_path / "c").glob("*.parquet")) if t == "conversations" else f"/root/testdata/sf0.001/{t}.parquet")
+    for name in ("apply_edit_plan", "replay_code_plan"):
+        oracle.compare(catalog.queries()[name](spark, str(tmp_path)), catalog.oracle_sql()[name], str(tmp_path))
