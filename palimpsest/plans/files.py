@@ -116,7 +116,7 @@ QUERIES = {
     "score_files": (q_score_files, f"""with {Q.SQL_STATS}, g as ({Q._SENT_GLEU}), b as ({_BLEU}), s as (with {Q._SARI}) select 'GLEU' as metric, example_id, gleu as value from g union all select 'BLEU', * from b
 union all select 'SARI', example_id, sari from s union all select 'Acc-top-1', example_id, (ref = pred)::int::double from evals"""),
     "summary_file": (q_summary_file, more._summary(V.SQL_EVAL)),
-    "split_dataset": (q_split_dataset, f"""with {V.SQL_PAIRS}, s as (select *, case example_id % 10 when 0 then 'test' when 1 then 'valid' else 'train' end as split from pairs)
+    "split_dataset": (q_split_dataset, f"""with {V.SQL_PAIRS}, s as (select *, case (example_id % 10 + 10) % 10 when 0 then 'test' when 1 then 'valid' else 'train' end as split from pairs)
 select 'turns' as dataset, split, row_number() over (partition by split order by example_id) - 1 as line_no, example_id, source || ' </s> ' || context as model_input, target from s"""),
     "scorer_states": (q_scorer_states, f"""with {Q.SQL_STATS}, b as (select n, sum(num) as num, sum(greatest(den, 1)) as den, sum(hlen) as hlen, sum(rlen) as rlen, count(*) as examples from per group by n),
 x as (select any_value(examples) as examples, round(case when max(case when n = 1 then num end) = 0 then 0.0 else any_value({Q._BP}) * exp(avg(ln(case when num = 0 then 0.1 / den else num / den end))) end, 6) as corpus_bleu from b),
