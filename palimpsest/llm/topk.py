@@ -127,7 +127,9 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_
     grid_q = queries.select((F.col("qb") % -(-q_blocks // CELL)).alias("salt"), "q", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).alias("cb"))
     # Every candidate block is dealt to several keys, so that no key gathers more than CELL query blocks.
     dealt = candidates.select("cb", "c", F.explode(F.sequence(F.lit(0), F.lit(-(-q_blocks // CELL) - 1))).alias("salt"))
-    pairs = grid_q.join(dealt, ["cb", "salt"])
+    # Blocks repeat on either side, so their true sizes are far over Spark's estimates, by which it would send all of a side
+    # through the driver: never broadcast.
+    pairs = grid_q.join(dealt.hint("merge"), ["cb", "salt"])
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
